@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import decontaminate, licenses, quality, sharding, simhash
 from .common import table
 
 
@@ -10,8 +10,33 @@ def op1_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_rules(spark, sf_dir):
+    return quality.quality_rules(table(spark, sf_dir, "documents"))
+
+
+def op4_benchmark_decontamination(spark, sf_dir):
+    return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op6_sharding(spark, sf_dir):
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op9_license_scan(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op3_quality_rules": op3_quality_rules,
+    "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op6_sharding": op6_sharding,
+    "op9_license_scan": op9_license_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_quality_rules": quality.ORACLE_SQL,
+    "op4_benchmark_decontamination": decontaminate.ORACLE_SQL,
+    "op6_sharding": sharding.ORACLE_SQL,
+    "op9_license_scan": licenses.ORACLE_SQL,
+}
