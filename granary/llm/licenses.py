@@ -40,8 +40,8 @@ SENTENCES = (
     "this source code form is subject to the terms of the mozilla public license v 2 0",
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
 )
-#: Every sentence above holds one of these, so that texts without any need no splitting.
-HINTS = ("license", "licensed", "permission", "program is", "redistribution", "copyright")
+#: Every sentence above holds one of these words, so that texts without any need no splitting.
+HINTS = ("license", "permission", "warranty", "redistribution", "copyright")
 
 _ID = {s: i + 1 for i, s in enumerate(SENTENCES)}
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, quality, sharding, simhash
+import corpus_pipeline
+
+from . import bpe, decontaminate, licenses, pii, quality, secrets, sharding, simhash, toxicity
 from .common import table
 
 
@@ -18,20 +20,42 @@ def op4_benchmark_decontamination(spark, sf_dir):
     return decontaminate.contained_items(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_bpe_round_trip(spark, sf_dir):
+    return bpe.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op6_sharding(spark, sf_dir):
     return sharding.shard(table(spark, sf_dir, "documents"))
 
 
+def op7_secret_scan(spark, sf_dir):
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+def op8_pii(spark, sf_dir):
+    return pii.digest(pii.scan(table(spark, sf_dir, "documents")))
+
+
 def op9_license_scan(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
+    "op5_bpe_round_trip": op5_bpe_round_trip,
     "op6_sharding": op6_sharding,
+    "op7_secret_scan": op7_secret_scan,
+    "op8_pii": op8_pii,
     "op9_license_scan": op9_license_scan,
+    "op10_toxicity": op10_toxicity,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE_SQL: dict[str, str] = {
