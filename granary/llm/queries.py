@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, decontaminate, licenses, pii, quality, secrets, sharding, simhash, toxicity
+from . import bpe, decontaminate, licenses, pii, quality, secrets, sharding, simhash, substrings, toxicity
 from .common import table
 
 
@@ -12,6 +12,10 @@ def op1_simhash_near_dedup(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_array_dedup(spark, sf_dir):
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_quality_rules(spark, sf_dir):
     return quality.quality_rules(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ def op10_toxicity(spark, sf_dir):
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_suffix_array_dedup": op2_suffix_array_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op4_benchmark_decontamination": op4_benchmark_decontamination,
     "op5_bpe_round_trip": op5_bpe_round_trip,
