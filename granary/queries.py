@@ -1,6 +1,823 @@
-"""The registered queries of the analytics operators, and the SQL they are held against."""
+"""The registered queries of the analytics operators, and the SQL they are held against.
+
+A query's name begins with the inventory identifier of the operator it runs.  Doubles are rounded on both sides, as
+sums are taken in different orders.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+import numpy as np
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .functions import activation, metrics, surfaces, validation
+from .operators import linalg, profile, scaling, stats, table
+from .plans import kmeans, linear, logistic, network, optimizers, pca
+from .sources import csv as sources
+from .streaming import incremental
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+NUMERIC = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return register
+
+
+def read(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return sources.parquet(spark, d, name)
+
+
+def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
+    """Doubles rounded; minus zero becomes zero."""
+    return df.select(*[(F.round(c, digits) + F.lit(0.0)).alias(c) if isinstance(df.schema[c].dataType, T.DoubleType) else F.col(c) for c in df.columns])
+
+
+def r(x: str, digits: int = 6) -> str:
+    return f"round({x}, {digits}) + 0.0::DOUBLE"
+
+
+# --- sources ---------------------------------------------------------------------------------------------------------
+
+
+@query("src01_strict_csv", f"SELECT p_partkey::DOUBLE AS p_partkey, p_size::DOUBLE AS p_size, {r('p_retailprice')} AS p_retailprice FROM part")
+def _(spark, d):
+    names = ["p_partkey", "p_size", "p_retailprice"]
+    cells = read(spark, d, "part").select((F.col("p_partkey") + 2).alias("_line"), F.array(*[F.col(c).cast("string") for c in names]).alias("_cells"))
+    return rounded(sources._validated(cells, names, "p_retailprice").df.drop("row_id"))
+
+
+@query("src10_preset_datasets", "SELECT * FROM (VALUES ('linear',1.0::DOUBLE,3.0::DOUBLE),('linear',2,5),('linear',3,7),('linear',4,9),('linear',5,11),('steep',1,5),('steep',2,10),('steep',3,15),('steep',4,20),('noisy',1,3.2),('noisy',2,4.8),('noisy',3,7.1),('noisy',4,8.9),('noisy',5,11.3)) t(name, x, y)")
+def _(spark, d):
+    out = [sources.preset(spark, n).select(F.lit(n).alias("name"), "x", "y") for n in sources.PRESETS]
+    return out[0].union(out[1]).union(out[2])
+
+
+# --- tables ----------------------------------------------------------------------------------------------------------
+
+
+@query("tab01_any_cell_contains", "SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE contains(lower(c_name), 'buil') OR contains(lower(c_mktsegment), 'buil') OR contains(c_custkey::VARCHAR, 'buil')")
+def _(spark, d):
+    return table.any_cell_contains(read(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment"), "BUIL")
+
+
+@query("tab02_sort_mixed", "SELECT p_partkey, p_size::VARCHAR AS size, row_number() OVER (ORDER BY p_size DESC, p_partkey) AS place FROM part")
+def _(spark, d):
+    from pyspark.sql import Window as W
+
+    df = read(spark, d, "part").select("p_partkey", F.col("p_size").cast("string").alias("size"))
+    return df.withColumn("place", F.row_number().over(W.orderBy(*table.sort_keys("size", "p_partkey", True))).cast("long"))
+
+
+@query("tab04_page", "SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 25 OFFSET 10")
+def _(spark, d):
+    return table.page(read(spark, d, "orders").select("o_orderkey", "o_orderstatus"), ["o_orderkey"], 400.0)
+
+
+@query("tab05_row_number", "SELECT n_nationkey, n_name, row_number() OVER (ORDER BY n_nationkey)::BIGINT AS row_number FROM nation")
+def _(spark, d):
+    out = table.row_numbers(read(spark, d, "nation"), "n_nationkey")
+    return out.select("n_nationkey", "n_name", F.col("row_number").cast("long"))
+
+
+@query("tab06_counts", "SELECT count(*) FILTER (WHERE l_quantity > 25) AS shown, count(*) AS total FROM lineitem")
+def _(spark, d):
+    return read(spark, d, "lineitem").agg(F.count_if(F.col("l_quantity") > 25).alias("shown"), F.count(F.lit(1)).alias("total"))
+
+
+@query("tab07_feature_search", "SELECT column_name AS name FROM information_schema.columns WHERE table_name = 'lineitem' AND contains(lower(column_name), 'price')")
+def _(spark, d):
+    return table.search(table.catalog(read(spark, d, "lineitem")), "PRICE").select("name")
+
+
+@query("tab08_available_features", "SELECT column_name AS name FROM information_schema.columns WHERE table_name = 'part' AND column_name NOT IN ('p_size', 'p_name', 'p_retailprice')")
+def _(spark, d):
+    return table.available(table.catalog(read(spark, d, "part")), ["p_size", "p_name"], "p_retailprice").select("name")
+
+
+def embeddings(spark, d):
+    return read(spark, d, "embeddings").select(F.col("vec_id").alias("row_id"), F.col("embedding").cast("array<double>").alias("features"), "label")
+
+
+EMB = "(SELECT vec_id AS row_id, embedding::DOUBLE[] AS f, label FROM embeddings)"
+
+
+@query("tab10_matrix_row", f"SELECT (unnest(range(1, 65)) - 1)::INT AS j, {r('unnest(f)')} AS v FROM {EMB} WHERE row_id = 7")
+def _(spark, d):
+    return rounded(linalg.coordinates(table.matrix_row(embeddings(spark, d), 7)).select("j", "v"))
+
+
+@query("tab11_matrix_column", f"SELECT row_id, {r('f[4]')} AS value FROM {EMB}")
+def _(spark, d):
+    return rounded(table.matrix_column(embeddings(spark, d), 3))
+
+
+@query("tab12_split_target", "SELECT l_quantity, l_discount, l_tax FROM lineitem")
+def _(spark, d):
+    return table.split_target(read(spark, d, "lineitem").select("l_quantity", "l_discount", "l_tax", "l_extendedprice"), "l_extendedprice")[0]
+
+
+@query("tab13_step_sampling", "SELECT iter, loss FROM (SELECT (event_id - (SELECT min(event_id) FROM events)) AS iter, round(value, 6) AS loss FROM events) WHERE iter % greatest((SELECT count(*) FROM events) // 10, 1) = 0 ORDER BY iter LIMIT 10")
+def _(spark, d):
+    e = read(spark, d, "events")
+    low, n = e.agg(F.min("event_id"), F.count(F.lit(1))).first()
+    return rounded(table.sample_steps(e.select((F.col("event_id") - low).alias("iter"), F.col("value").alias("loss")), "iter", n))
+
+
+@query("tab14_finite_bounds", f"SELECT count(value) AS n, {r('min(value)')} AS lo, {r('max(value)')} AS hi, {r('greatest(max(value) - min(value), 1e-10)')} AS range FROM events WHERE isfinite(value)")
+def _(spark, d):
+    return rounded(table.finite_bounds(read(spark, d, "events"), "value"))
+
+
+# --- linear algebra --------------------------------------------------------------------------------------------------
+
+COORD = f"(SELECT row_id::INT AS i, (unnest(range(1, len(f) + 1)) - 1)::INT AS j, unnest(f) AS v FROM {EMB})"
+
+
+@query("la01_filled", "SELECT i::INT AS i, j::INT AS j, 2.5::DOUBLE AS v FROM range(4) a(i), range(3) b(j)")
+def _(spark, d):
+    return linalg.filled(spark, 4, 3, 2.5)
+
+
+@query("la02_from_values", "SELECT * FROM (VALUES (0, 0, 1.0::DOUBLE), (0, 1, 2.0), (0, 2, 3.0), (1, 0, 4.0), (1, 1, 5.0), (1, 2, 6.0)) t(i, j, v)")
+def _(spark, d):
+    return linalg.from_values(spark, [1, 2, 3, 4, 5, 6], 2, 3)
+
+
+@query("la03_get", f"SELECT {r('f[6]')} AS v FROM {EMB} WHERE row_id = 3")
+def _(spark, d):
+    return rounded(linalg.get(linalg.coordinates(embeddings(spark, d)), 3, 5))
+
+
+@query("la05_shape", "SELECT (max(vec_id) + 1)::INT AS rows, max(len(embedding))::INT AS cols FROM embeddings")
+def _(spark, d):
+    return linalg.shape(linalg.coordinates(embeddings(spark, d)))
+
+
+@query("la06_transpose", f"SELECT j AS i, i AS j, {r('v')} AS v FROM {COORD}")
+def _(spark, d):
+    return rounded(linalg.transpose(linalg.coordinates(embeddings(spark, d))))
+
+
+@query("la07_identity", "SELECT i::INT AS i, j::INT AS j, (i = j)::INT::DOUBLE AS v FROM range(5) a(i), range(5) b(j)")
+def _(spark, d):
+    return linalg.identity(spark, 5)
+
+
+@query("la08_add", f"SELECT i, j, {r('v + v')} AS v FROM {COORD}")
+def _(spark, d):
+    c = linalg.coordinates(embeddings(spark, d))
+    return rounded(linalg.combine(c, c))
+
+
+@query("la09_sub", f"SELECT i, j, {r('v - 2 * v')} AS v FROM {COORD}")
+def _(spark, d):
+    e = embeddings(spark, d)
+    return rounded(linalg.combine(linalg.coordinates(e), linalg.coordinates(linalg.scaled(e, 2.0)), -1))
+
+
+@query("la10_matrix_vector", f"SELECT row_id, {r('list_dot_product(f, list_transform(range(1, 65), lambda x: x / 10.0::DOUBLE))')} AS v FROM {EMB}")
+def _(spark, d):
+    return rounded(linalg.times_vector(embeddings(spark, d), [x / 10.0 for x in range(1, 65)]))
+
+
+@query("la11_matrix_product", f"WITH c AS {COORD} SELECT a.j AS i, b.j AS j, {r('sum(a.v * b.v)', 4)} AS v FROM c a JOIN c b ON a.i = b.i GROUP BY a.j, b.j")
+def _(spark, d):
+    c = linalg.coordinates(embeddings(spark, d))
+    return rounded(linalg.multiply(linalg.transpose(c), c), 4)
+
+
+@query("la12_scalar_product", f"SELECT row_id, list_transform(f, lambda x: round(x * 1.5, 6) + 0.0) AS features FROM {EMB}")
+def _(spark, d):
+    return linalg.scaled(embeddings(spark, d), 1.5).select("row_id", F.transform("features", lambda x: F.round(x, 6) + 0.0).alias("features"))
+
+
+@query("la13_from_rows", "SELECT * FROM (VALUES (0, 0, 1.0::DOUBLE), (0, 1, 2.0), (1, 0, 3.0), (1, 1, 4.0)) t(i, j, v)")
+def _(spark, d):
+    return linalg.from_rows(spark, [[1, 2], [3, 4]])
+
+
+@query("la14_elementwise", f"SELECT row_id, {r('list_sum(list_transform(range(1, 65), lambda i: f[i] * f[i] - (f[i] + 1)))', 4)} AS v FROM {EMB}")
+def _(spark, d):
+    f = F.col("features")
+    v = linalg.elementwise(linalg.elementwise(f, f, "*"), linalg.with_scalar(f, 1.0, "+"), "-")
+    return rounded(embeddings(spark, d).select("row_id", F.aggregate(v, F.lit(0.0), lambda s, x: s + x).alias("v")), 4)
+
+
+@query("la15_vector_scalar", f"SELECT row_id, {r('list_sum(list_transform(f, lambda x: (x - 0.5) / 4))', 5)} AS v FROM {EMB}")
+def _(spark, d):
+    v = linalg.with_scalar(linalg.with_scalar("features", 0.5, "-"), 4.0, "/")
+    return rounded(embeddings(spark, d).select("row_id", F.aggregate(v, F.lit(0.0), lambda s, x: s + x).alias("v")), 5)
+
+
+@query("la16_dot", f"SELECT row_id, {r('list_dot_product(f, f)', 5)} AS v FROM {EMB}")
+def _(spark, d):
+    return rounded(embeddings(spark, d).select("row_id", linalg.dot("features", "features").alias("v")), 5)
+
+
+@query("la18_euclidean", f"SELECT row_id, {r('sqrt(list_sum(list_transform(range(1, 65), lambda i: pow(f[i] - 0.1, 2))))', 5)} AS v FROM {EMB}")
+def _(spark, d):
+    return rounded(embeddings(spark, d).select("row_id", linalg.euclidean("features", [0.1] * 64).alias("v")), 5)
+
+
+@query("la19_outer", "SELECT i::INT AS i, j::INT AS j, ((i + 1) * (j + 4))::DOUBLE AS v FROM range(3) a(i), range(2) b(j)")
+def _(spark, d):
+    return linalg.outer(spark, [1, 2, 3], [4, 5])
+
+
+@query("la20_argmax", f"SELECT row_id, (list_position(f, list_max(f)) - 1)::INT AS place FROM {EMB}")
+def _(spark, d):
+    return embeddings(spark, d).select("row_id", linalg.argmax("features").alias("place"))
+
+
+@query("la23_top_eigen")
+def _(spark, d):
+    e = embeddings(spark, d)
+    m = stats.moments(e.select(*[F.col("features")[j].alias(f"f{j}") for j in range(64)]), [f"f{j}" for j in range(64)])
+    values, _ = linalg.top_eigen(m.correlation(), 5)
+    return rounded(spark.createDataFrame([(i + 1, float(v)) for i, v in enumerate(values)], "component int, eigenvalue double"), 4)
+
+
+# --- statistics ------------------------------------------------------------------------------------------------------
+
+
+@query("st01_mean", "SELECT l_returnflag, " + ", ".join(f"{r(f'avg({c})', 4)} AS {c}" for c in NUMERIC) + " FROM lineitem GROUP BY 1")
+def _(spark, d):
+    return rounded(read(spark, d, "lineitem").groupBy("l_returnflag").agg(*[stats.mean(c).alias(c) for c in NUMERIC]), 4)
+
+
+@query("st02_variance", f"SELECT {r('var_samp(l_quantity)', 4)} AS quantity, {r('var_samp(l_discount)', 8)} AS discount FROM lineitem")
+def _(spark, d):
+    out = read(spark, d, "lineitem").agg(stats.variance("l_quantity").alias("quantity"), stats.variance("l_discount").alias("discount"))
+    return out.select(F.round("quantity", 4).alias("quantity"), F.round("discount", 8).alias("discount"))
+
+
+@query("st03_std_dev", f"SELECT event_type, {r('coalesce(stddev_samp(value), 0)', 4)} AS std_dev FROM events GROUP BY 1")
+def _(spark, d):
+    return rounded(read(spark, d, "events").groupBy("event_type").agg(stats.std_dev("value").alias("std_dev")), 4)
+
+
+@query("st04_pearson", f"SELECT {r('corr(l_quantity, l_extendedprice)')} AS r, 0.0::DOUBLE AS flat FROM lineitem")
+def _(spark, d):
+    return rounded(read(spark, d, "lineitem").agg(stats.pearson("l_quantity", "l_extendedprice").alias("r"), stats.pearson("l_quantity", F.lit(1.0)).alias("flat")))
+
+
+@query("st05_correlation_matrix", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS feature_i, '{b}' AS feature_j, {r(f'covar_samp({a}, {b}) / (greatest(stddev_samp({a}), 1e-10) * greatest(stddev_samp({b}), 1e-10))')} AS corr FROM lineitem" for a in NUMERIC for b in NUMERIC) + ")")
+def _(spark, d):
+    return rounded(stats.correlation_matrix(read(spark, d, "lineitem"), NUMERIC))
+
+
+_Z = ", ".join(f"(SELECT avg({c}) FROM lineitem) AS m_{c}, (SELECT greatest(stddev_samp({c}), 1e-10) FROM lineitem) AS s_{c}" for c in NUMERIC)
+
+
+@query("st06_standardize", f"WITH s AS (SELECT {_Z}) SELECT l_orderkey, l_linenumber, " + ", ".join(f"{r(f'({c} - m_{c}) / s_{c}', 5)} AS {c}" for c in NUMERIC) + " FROM lineitem, s")
+def _(spark, d):
+    return rounded(stats.standardize(read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *NUMERIC), NUMERIC), 5)
+
+
+@query("st07_covariance_matrix", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS feature_i, '{b}' AS feature_j, {r(f'covar_samp({a}, {b})', 4)} AS cov FROM lineitem" for a in ("l_quantity", "l_discount", "l_tax") for b in ("l_quantity", "l_discount", "l_tax")) + ")")
+def _(spark, d):
+    return rounded(stats.covariance_matrix(read(spark, d, "lineitem"), ["l_quantity", "l_discount", "l_tax"]), 4)
+
+
+_STATS = " UNION ALL ".join(
+    f"SELECT '{c}' AS \"column\", count({c}) AS count, avg({c}) AS mean, quantile_cont({c}, 0.5) AS median, stddev_pop({c}) AS std_dev, min({c}) AS min, max({c}) AS max, quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3 FROM lineitem"
+    for c in NUMERIC
+)
+
+
+@query("st08_column_stats", "SELECT \"column\", count, " + ", ".join(f"{r(x, 4)} AS {x}" for x in ("mean", "median", "std_dev", "min", "max", "q1", "q3")) + f", 0::BIGINT AS missing, {r('q3 - q1', 4)} AS iqr, {r('CASE WHEN abs(mean) < 1e-10 THEN 0 ELSE std_dev / abs(mean) * 100 END', 4)} AS cv FROM ({_STATS})")
+def _(spark, d):
+    return rounded(stats.column_stats(read(spark, d, "lineitem"), NUMERIC), 4)
+
+
+@query("st10_percentile", f"SELECT event_type, {r('quantile_cont(value, 0.9)', 4)} AS p90, {r('median(value)', 4)} AS p50 FROM events GROUP BY 1")
+def _(spark, d):
+    return rounded(read(spark, d, "events").groupBy("event_type").agg(stats.percentile("value", 90).alias("p90"), stats.median("value").alias("p50")), 4)
+
+
+@query("st12_histogram", f"""WITH b AS (SELECT min(o_totalprice) AS lo, max(o_totalprice) AS hi FROM orders),
+c AS (SELECT least(floor((o_totalprice - lo) / ((hi - lo) / 20.0::DOUBLE)), 19)::INT AS bin, count(*) AS n FROM orders, b GROUP BY 1)
+SELECT k::INT AS bin, {r('lo + k * ((hi - lo) / 20.0::DOUBLE)', 3)} AS start, {r('CASE WHEN k = 19 THEN hi ELSE lo + (k + 1) * ((hi - lo) / 20.0::DOUBLE) END', 3)} AS "end",
+       coalesce(n, 0)::BIGINT AS count, {r('coalesce(n, 0) / (max(coalesce(n, 0)) OVER ())::DOUBLE')} AS frequency
+FROM range(20) t(k) CROSS JOIN b LEFT JOIN c ON c.bin = k""")
+def _(spark, d):
+    h = stats.histogram(read(spark, d, "orders"), "o_totalprice", 20)
+    return h.select("bin", (F.round("start", 3) + 0.0).alias("start"), (F.round("end", 3) + 0.0).alias("end"), "count", F.round("frequency", 6).alias("frequency"))
+
+
+@query("st14_group_sizes", "SELECT k::INT AS label, count(e.label) AS size FROM range(12) t(k) LEFT JOIN embeddings e ON e.label = k GROUP BY 1")
+def _(spark, d):
+    return stats.group_sizes(read(spark, d, "embeddings"), "label", 12)
+
+
+@query("st15_distinct_classes", "SELECT DISTINCT label AS class FROM embeddings")
+def _(spark, d):
+    return stats.distinct_classes(read(spark, d, "embeddings"), "label")
+
+
+_PAIRS = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS c FROM lineitem" for a in NUMERIC for b in NUMERIC if a < b)
+
+
+@query("st16_correlation_insights", f"""SELECT count(*) AS pairs, arg_max(a || '/' || b, c) AS most_positive, arg_min(a || '/' || b, c) AS most_negative,
+count(*) FILTER (WHERE c > 0.7) AS strong_positive, count(*) FILTER (WHERE c > 0.5) AS moderate_positive, count(*) FILTER (WHERE c < -0.7) AS strong_negative,
+count(*) FILTER (WHERE abs(c) > 0.7) > count(*) // 2 AS multicollinear, count(*) FILTER (WHERE abs(c) > 0.7) = 0 AS independent, {r('avg(abs(c))')} AS mean_abs FROM ({_PAIRS})""")
+def _(spark, d):
+    return rounded(stats.correlation_insights(stats.correlation_matrix(read(spark, d, "lineitem"), NUMERIC)))
+
+
+@query("st18_cost_reduction", f"SELECT {r('greatest(0, least(99.99, (arg_min(value, event_id) - arg_max(value, event_id)) / nullif(arg_min(value, event_id), 0) * 100))', 4)} AS reduction_pct FROM events")
+def _(spark, d):
+    return rounded(stats.cost_reduction(read(spark, d, "events").select("event_id", "value"), "event_id", "value"), 4)
+
+
+@query("st19_path_length", f"""WITH p AS (SELECT user_id, event_id, event_id % 7 AS x, value AS y FROM events),
+s AS (SELECT user_id, event_id, x, y, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) AS st FROM p WINDOW w AS (PARTITION BY user_id ORDER BY event_id))
+SELECT user_id, {r('coalesce(sum(st), 0)', 4)} AS length, {r('sqrt(pow(arg_max(x, event_id) - 1, 2) + pow(arg_max(y, event_id) - 1, 2))', 4)} AS distance,
+CASE WHEN sqrt(pow(arg_max(x, event_id) - 1, 2) + pow(arg_max(y, event_id) - 1, 2)) < 0.01 THEN 'excellent' WHEN sqrt(pow(arg_max(x, event_id) - 1, 2) + pow(arg_max(y, event_id) - 1, 2)) < 0.1 THEN 'good'
+     WHEN sqrt(pow(arg_max(x, event_id) - 1, 2) + pow(arg_max(y, event_id) - 1, 2)) < 0.5 THEN 'fair' ELSE 'poor' END AS quality FROM s GROUP BY user_id""")
+def _(spark, d):
+    p = read(spark, d, "events").select("user_id", "event_id", (F.col("event_id") % 7).cast("double").alias("x"), F.col("value").alias("y"), F.lit(1.0).alias("tx"), F.lit(1.0).alias("ty"))
+    return rounded(stats.path_lengths(p, "user_id", "event_id"), 4)
+
+
+# --- profiling -------------------------------------------------------------------------------------------------------
+
+
+def blanked(spark, d):
+    """Events as strings, with blanks."""
+    e = read(spark, d, "events")
+    return e.select(
+        F.when(F.col("event_id") % 3 == 0, "  ").otherwise(F.col("event_type")).alias("kind"), F.when(F.col("event_id") % 11 == 0, "").otherwise(F.col("user_id").cast("string")).alias("user"),
+        F.when(F.col("event_id") % 50 == 0, None).otherwise((F.col("event_id") % 97).cast("string")).alias("code"), F.when(F.col("event_id") % 200 == 1, "5000").otherwise((F.col("event_id") % 40).cast("string")).alias("score"),
+    )
+
+
+_BLANKED = """(SELECT CASE WHEN event_id % 3 = 0 THEN '  ' ELSE event_type END AS kind, CASE WHEN event_id % 11 = 0 THEN '' ELSE user_id::VARCHAR END AS "user",
+CASE WHEN event_id % 50 = 0 THEN NULL ELSE (event_id % 97)::VARCHAR END AS code, CASE WHEN event_id % 200 = 1 THEN '5000' ELSE (event_id % 40)::VARCHAR END AS score FROM events)"""
+_BCOLS = ("kind", "user", "code", "score")
+
+
+def each(select: str, where: str = "") -> str:
+    return "WITH b AS " + _BLANKED + " " + " UNION ALL ".join(f"SELECT * FROM (SELECT '{c}' AS \"column\", {i} AS position, {select.replace('$', chr(34) + c + chr(34))} FROM b) {where}" for i, c in enumerate(_BCOLS))
+
+
+@query("dq01_missing", each("count(*) AS n_rows, count(*) FILTER (WHERE trim(coalesce($, '')) = '') AS n_missing, round(count(*) FILTER (WHERE trim(coalesce($, '')) = '') * 100.0::DOUBLE / count(*), 6) AS pct, CASE WHEN count(*) FILTER (WHERE trim(coalesce($, '')) = '') * 100.0 / count(*) > 50 THEN 'Critical' WHEN count(*) FILTER (WHERE trim(coalesce($, '')) = '') * 100.0 / count(*) > 20 THEN 'Error' WHEN count(*) FILTER (WHERE trim(coalesce($, '')) = '') * 100.0 / count(*) > 5 THEN 'Warning' ELSE 'Info' END AS severity"))
+def _(spark, d):
+    return rounded(profile.missing(blanked(spark, d)))
+
+
+_NUM = r"CASE WHEN regexp_matches($, '^[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|(?i:inf|infinity|nan))$') THEN $::DOUBLE END"
+_BLANKED_NUM = "(SELECT " + ", ".join(_NUM.replace("$", f'b0."{c}"') + f' AS "{c}"' for c in _BCOLS) + f" FROM {_BLANKED} b0)"
+
+
+def each_num(select: str, where: str) -> str:
+    return "WITH b AS " + _BLANKED_NUM + " " + " UNION ALL ".join(f"SELECT * FROM ({select.replace('$', chr(34) + c + chr(34)).replace('@c', c).replace('@i', str(i))}) {where}" for i, c in enumerate(_BCOLS))
+
+
+@query("dq02_outliers", each_num("""WITH q AS (SELECT count(*) AS n, count($) AS k, quantile_cont($, 0.25) AS q1, quantile_cont($, 0.75) AS q3 FROM b)
+SELECT '@c' AS "column", @i AS position, any_value(k) AS n_numeric, any_value(q1) AS q1, any_value(q3) AS q3, count(*) FILTER (WHERE $ < q1 - 1.5 * (q3 - q1) OR $ > q3 + 1.5 * (q3 - q1)) AS n_outliers,
+round(count(*) FILTER (WHERE $ < q1 - 1.5 * (q3 - q1) OR $ > q3 + 1.5 * (q3 - q1)) * 100.0::DOUBLE / any_value(k), 6) AS pct FROM b, q HAVING any_value(k) > any_value(n) // 2""", ""))
+def _(spark, d):
+    return rounded(profile.outliers(blanked(spark, d)))
+
+
+@query("dq03_low_variance", each_num("""SELECT '@c' AS "column", @i AS position, count($) AS n_numeric, round(coalesce(stddev_pop($), 0), 5) AS std_dev, count($) > 10 AND coalesce(stddev_pop($), 0) < 0.01 AS low FROM b HAVING count($) > count(*) // 2""", ""))
+def _(spark, d):
+    return rounded(profile.low_variance(blanked(spark, d)), 5)
+
+
+@query("dq04_cardinality", each("count(DISTINCT CASE WHEN trim($) <> '' THEN $ END) AS n_distinct, round(count(DISTINCT CASE WHEN trim($) <> '' THEN $ END) / count(*)::DOUBLE, 6) AS ratio, count(DISTINCT CASE WHEN trim($) <> '' THEN $ END) > 50 AND count(DISTINCT CASE WHEN trim($) <> '' THEN $ END) / count(*)::DOUBLE > 0.5 AS high"))
+def _(spark, d):
+    return rounded(profile.cardinality(blanked(spark, d)))
+
+
+@query("dq05_duplicates", "WITH t AS (SELECT text, lang FROM documents), g AS (SELECT count(*) AS n FROM t GROUP BY text, lang) SELECT sum(n)::BIGINT AS n_rows, sum(n - 1)::BIGINT AS n_duplicates, round(sum(n - 1) * 100.0::DOUBLE / sum(n), 6) AS pct FROM g")
+def _(spark, d):
+    return rounded(profile.duplicates(read(spark, d, "documents").select("text", "lang")))
+
+
+@query("dq06_issues")
+def _(spark, d):
+    return rounded(profile.issues(blanked(spark, d)), 4)
+
+
+@query("dq07_quality_score")
+def _(spark, d):
+    return profile.quality_score(profile.issues(blanked(spark, d)))
+
+
+@query("dq09_dtypes", "SELECT * FROM (VALUES ('n_nationkey', 0, 'Numeric'), ('n_name', 1, 'Text'), ('n_regionkey', 2, 'Numeric'), ('flag', 3, 'Binary'), ('day', 4, 'DateTime'), ('none', 5, 'Unknown'), ('kind', 6, 'Categorical')) t(\"column\", position, dtype)")
+def _(spark, d):
+    n = read(spark, d, "nation")
+    return profile.dtypes(n.withColumns({"flag": (F.col("n_nationkey") % 2).cast("string"), "day": F.format_string("2024-01-%02d", F.col("n_nationkey") + 1), "none": F.lit(" "), "kind": F.when(F.col("n_nationkey") % 2 == 0, "a").otherwise("b")}))
+
+
+@query("dq10_missing_percent", f"SELECT event_type, {r('count(*) FILTER (WHERE value > 100) * 100.0 / count(*)', 5)} AS pct FROM events GROUP BY 1")
+def _(spark, d):
+    g = read(spark, d, "events").groupBy("event_type").agg(F.count_if(F.col("value") > 100).alias("k"), F.count(F.lit(1)).alias("n"))
+    return rounded(g.select("event_type", profile.missing_percent(F.col("k"), F.col("n")).alias("pct")), 5)
+
+
+# --- scaling ---------------------------------------------------------------------------------------------------------
+
+
+def scaler(name: str, make, forward: str, params: str):
+    """A query of transformed columns, and one of the round trip."""
+    cols = ["l_quantity", "l_tax"]
+    sql = f"WITH s AS (SELECT {', '.join(params.replace('$', c) for c in cols)} FROM lineitem) SELECT l_orderkey, l_linenumber, " + ", ".join(f"{r(forward.replace('$', c), 5)} AS {c}" for c in cols) + " FROM lineitem, s"
+
+    @query(f"{name}_transform", sql)
+    def _(spark, d):
+        df = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *cols)
+        return rounded(make().fit_transform(df, cols), 5)
+
+    @query(f"{name}_inverse", "SELECT l_orderkey, l_linenumber, " + ", ".join(f"{r(c, 5)} AS {c}" for c in cols) + " FROM lineitem")
+    def _(spark, d):
+        df = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *cols)
+        m = make().fit(df, cols)
+        return rounded(m.inverse_transform(m.transform(df)), 5)
+
+
+scaler("pp01_standard_scaler", scaling.StandardScaler, "($ - m_$) / s_$", "avg($) AS m_$, stddev_pop($) AS s_$")
+scaler("pp03_min_max_scaler", lambda: scaling.MinMaxScaler(-1, 1), "($ - a_$) / (b_$ - a_$) * 2 - 1", "min($) AS a_$, max($) AS b_$")
+scaler("pp05_robust_scaler", scaling.RobustScaler, "($ - m_$) / (b_$ - a_$)", "median($) AS m_$, quantile_cont($, 0.25) AS a_$, quantile_cont($, 0.75) AS b_$")
+
+
+@query("pp07_scaler_parameters", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {r(f'stddev_pop({c})', 4)} AS scale, {r(f'avg({c})', 4)} AS \"offset\" FROM lineitem" for c in NUMERIC))
+def _(spark, d):
+    return rounded(scaling.StandardScaler().fit(read(spark, d, "lineitem"), NUMERIC).describe(spark), 4)
+
+
+@query("pp09_label_encoder", "SELECT c_custkey, (dense_rank() OVER (ORDER BY c_mktsegment) - 1)::INT AS code FROM customer")
+def _(spark, d):
+    c = read(spark, d, "customer")
+    return scaling.LabelEncoder().fit(c, "c_mktsegment").transform(c).select("c_custkey", "code")
+
+
+@query("pp10_imputer", f"WITH m AS (SELECT median(CASE WHEN event_id % 4 <> 0 THEN value END) AS m FROM events) SELECT event_id, {r('CASE WHEN event_id % 4 <> 0 THEN value ELSE m END', 5)} AS value FROM events, m")
+def _(spark, d):
+    e = read(spark, d, "events").select("event_id", F.when(F.col("event_id") % 4 != 0, F.col("value")).alias("value"))
+    return rounded(scaling.Imputer("median").fit_transform(e, ["value"]), 5)
+
+
+# --- linear regression -----------------------------------------------------------------------------------------------
+
+_LIN = """WITH RECURSIVE s AS (SELECT avg(l_quantity) mq, stddev_samp(l_quantity) sq, avg(l_discount) md, stddev_samp(l_discount) sd FROM lineitem),
+x AS (SELECT (l_quantity - mq) / sq AS a, (l_discount - md) / sd AS b, l_extendedprice / 1000 AS y FROM lineitem, s),
+m AS (SELECT avg(a) ma, avg(b) mb, avg(y) my, avg(a*a) aa, avg(a*b) ab, avg(b*b) bb, avg(a*y) ay, avg(b*y) by_, avg(y*y) yy FROM x),
+g AS (SELECT 0 AS it, 0.0::DOUBLE AS wa, 0.0::DOUBLE AS wb, 0.0::DOUBLE AS c UNION ALL
+ SELECT it + 1, wa - 0.1 * (aa*wa + ab*wb + ma*c - ay), wb - 0.1 * (ab*wa + bb*wb + mb*c - by_), c - 0.1 * (ma*wa + mb*wb + c - my) FROM g, m WHERE it < 60)"""
+
+
+def line_data(spark, d):
+    df = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", (F.col("l_extendedprice") / 1000).alias("y"))
+    return stats.standardize(df, ["l_quantity", "l_discount"])
+
+
+def line_model(spark, d, **kw):
+    data = line_data(spark, d)
+    return data, linear.LinearRegression(0.1).fit(data, ["l_quantity", "l_discount"], "y", 60, **kw)
+
+
+@query("reg03_fit", _LIN + f" SELECT 'l_quantity' AS feature, {r('wa', 5)} AS weight FROM g WHERE it = 60 UNION ALL SELECT 'l_discount', {r('wb', 5)} FROM g WHERE it = 60 UNION ALL SELECT '(bias)', {r('c', 5)} FROM g WHERE it = 60")
+def _(spark, d):
+    return rounded(line_model(spark, d)[1].table(spark), 5)
+
+
+@query("reg04_cost_history", _LIN + f" SELECT it::INT AS iter, {r('(yy - 2*(wa*ay + wb*by_ + c*my) + aa*wa*wa + bb*wb*wb + c*c + 2*(ab*wa*wb + ma*wa*c + mb*wb*c)) / 2', 3)} AS cost FROM g, m WHERE it < 60")
+def _(spark, d):
+    return rounded(line_model(spark, d)[1].history_table(spark), 3)
+
+
+@query("reg02_predict", _LIN + f" SELECT l_orderkey, l_linenumber, {r('wa * (l_quantity - mq) / sq + wb * (l_discount - md) / sd + c', 4)} AS prediction FROM lineitem, s, g WHERE it = 60")
+def _(spark, d):
+    data, m = line_model(spark, d)
+    return rounded(m.predict(data).select("l_orderkey", "l_linenumber", "prediction"), 4)
+
+
+@query("reg05_cost", _LIN + f" SELECT {r('avg(pow(wa*a + wb*b + c - y, 2)) / 2', 4)} AS cost FROM x, g WHERE it = 60")
+def _(spark, d):
+    data, m = line_model(spark, d)
+    return rounded(m.predict(data).agg(linear.cost("y", "prediction").alias("cost")), 4)
+
+
+_W = _LIN + ", w AS (SELECT 'l_quantity' AS feature, wa AS weight FROM g WHERE it = 60 UNION ALL SELECT 'l_discount', wb FROM g WHERE it = 60)"
+
+
+@query("reg08_coefficients", _W + f" SELECT feature, {r('weight', 5)} AS weight, {r('abs(weight)', 5)} AS magnitude, abs(weight) = max(abs(weight)) OVER () AS is_largest, {r('abs(weight) / max(abs(weight)) OVER () * 100', 3)} AS impact_pct, CASE WHEN weight > 0 THEN 'positive' ELSE 'negative' END AS sign FROM w")
+def _(spark, d):
+    out = linear.coefficients(line_model(spark, d)[1].table(spark).where("feature <> '(bias)'"))
+    return out.select("feature", F.round("weight", 5).alias("weight"), F.round("magnitude", 5).alias("magnitude"), "is_largest", F.round("impact_pct", 3).alias("impact_pct"), "sign")
+
+
+@query("reg09_importance", _W + f" SELECT feature, {r('weight', 5)} AS importance, {r('abs(weight) / max(abs(weight)) OVER () * 100', 3)} AS bar_pct FROM w")
+def _(spark, d):
+    data, m = line_model(spark, d)
+    out = linear.importance(data, m.table(spark).where("feature <> '(bias)'"), ["l_quantity", "l_discount"])
+    return out.select("feature", F.round("importance", 5).alias("importance"), F.round("bar_pct", 3).alias("bar_pct"))
+
+
+# --- logistic regression ---------------------------------------------------------------------------------------------
+
+
+def graded(spark, d):
+    """Labelled documents: standardised length, a share of symbols, quality."""
+    docs = read(spark, d, "documents").select("doc_id", (F.col("n_chars") / 1000.0).alias("a"), (F.regexp_count("text", F.lit("[#|!]")) / F.greatest(F.col("n_chars"), F.lit(1)) * 10).alias("b"))
+    return docs.join(read(spark, d, "labels").select("doc_id", "quality"), "doc_id")
+
+
+_STEPS = 6
+_GRADED = "x AS (SELECT doc_id, n_chars / 1000.0::DOUBLE AS a, (length(text) - length(regexp_replace(text, '[#|!]', '', 'g'))) / greatest(n_chars, 1)::DOUBLE * 10 AS b, quality::DOUBLE AS y FROM documents JOIN labels USING (doc_id))"
+_LOG = "WITH " + _GRADED + ", p0 AS (SELECT 0.0::DOUBLE AS wa, 0.0::DOUBLE AS wb, 0.0::DOUBLE AS c)" + "".join(
+    f", p{i + 1} AS (SELECT any_value(wa) - 0.1 * avg((1 / (1 + exp(-(wa*a + wb*b + c))) - y) * a) AS wa, any_value(wb) - 0.1 * avg((1 / (1 + exp(-(wa*a + wb*b + c))) - y) * b) AS wb, any_value(c) - 0.1 * avg(1 / (1 + exp(-(wa*a + wb*b + c))) - y) AS c FROM x, p{i})" for i in range(_STEPS)
+)
+
+
+def graded_model(spark, d):
+    data = graded(spark, d)
+    return data, logistic.LogisticRegression(0.1, _STEPS, 1e-12).fit(data, ["a", "b"], "quality")
+
+
+@query("cls03_fit_binary", _LOG + f" SELECT 0 AS model, 'a' AS feature, {r('wa', 5)} AS weight FROM p{_STEPS} UNION ALL SELECT 0, 'b', {r('wb', 5)} FROM p{_STEPS} UNION ALL SELECT 0, '(bias)', {r('c', 5)} FROM p{_STEPS}")
+def _(spark, d):
+    return rounded(graded_model(spark, d)[1].table(spark), 5)
+
+
+@query("cls06_predict_proba", _LOG + f" SELECT doc_id, {r('1 - 1 / (1 + exp(-(wa*a + wb*b + c)))', 5)} AS p0, {r('1 / (1 + exp(-(wa*a + wb*b + c)))', 5)} AS p1 FROM x, p{_STEPS}")
+def _(spark, d):
+    data, m = graded_model(spark, d)
+    return rounded(m.predict_proba(data).select("doc_id", F.col("probabilities")[0].alias("p0"), F.col("probabilities")[1].alias("p1")), 5)
+
+
+@query("cls07_predict", _LOG + f" SELECT doc_id, (1 / (1 + exp(-(wa*a + wb*b + c))) >= 0.5)::INT AS prediction FROM x, p{_STEPS}")
+def _(spark, d):
+    data, m = graded_model(spark, d)
+    return m.predict(data).select("doc_id", "prediction")
+
+
+@query("cls09_training_accuracy", _LOG + f" SELECT {r('avg((abs((1 / (1 + exp(-(wa*a + wb*b + c))) >= 0.5)::INT - y) < 0.5)::INT) * 100', 4)} AS accuracy FROM x, p{_STEPS}")
+def _(spark, d):
+    data, m = graded_model(spark, d)
+    return rounded(m.predict(data).agg(metrics.training_accuracy("quality", "prediction").alias("accuracy")), 4)
+
+
+@query("cls04_fit_multiclass")
+def _(spark, d):
+    e = embeddings(spark, d).select("label", *[F.col("features")[j].alias(f"f{j}") for j in range(8)])
+    return rounded(logistic.LogisticRegression(0.5, 5, 1e-12).fit(e, [f"f{j}" for j in range(8)], "label").table(spark), 5)
+
+
+# --- clustering, components ------------------------------------------------------------------------------------------
+
+_K = 4
+
+
+def _lloyd(steps: int) -> str:
+    dist = "list_sum(list_transform(range(1, 65), lambda i: (f[i] - c[i]) * (f[i] - c[i])))"
+    out = f"WITH x AS (SELECT * FROM {EMB}), c0 AS (SELECT row_id::INT AS k, f AS c FROM x WHERE row_id < {_K})"
+    for i in range(steps + 1):
+        out += f", a{i} AS (SELECT row_id, any_value(f) AS f, arg_min(k, (d, k)) AS k, min(d) AS d FROM (SELECT row_id, f, k, {dist} AS d FROM x, c{i}) GROUP BY row_id)"
+        out += f", m{i} AS (SELECT k, j, avg(v) AS v FROM (SELECT k, unnest(range(1, 65)) AS j, unnest(f) AS v FROM a{i}) GROUP BY k, j)"
+        out += f", c{i + 1} AS (SELECT t.k::INT AS k, CASE WHEN count(m.v) = 0 THEN list_transform(range(64), lambda z: 0.0::DOUBLE) ELSE list(m.v ORDER BY m.j) END AS c FROM range({_K}) t(k) LEFT JOIN m{i} m ON m.k = t.k GROUP BY t.k)"
+    return out
+
+
+def clustered(spark, d, steps: int = 3):
+    e = embeddings(spark, d).select("row_id", "features")
+    init = [x["features"] for x in e.where(F.col("row_id") < _K).orderBy("row_id").collect()]
+    return e, kmeans.KMeans(_K, steps, 1e-12).fit(e, init)
+
+
+@query("km04_fit_centroids", _lloyd(3) + f" SELECT k AS cluster, (unnest(range(1, 65)) - 1)::INT AS j, {r('unnest(c)', 4)} AS v FROM c3")
+def _(spark, d):
+    t = clustered(spark, d)[1].table(spark)
+    return rounded(t.select("cluster", F.posexplode("centroid").alias("j", "v")), 4)
+
+
+@query("km03_assign", _lloyd(3) + " SELECT row_id, k AS label FROM a3")
+def _(spark, d):
+    e, m = clustered(spark, d)
+    return m.predict(e).select("row_id", "label")
+
+
+@query("km06_inertia", _lloyd(3) + f" SELECT {r('sum(d)', 3)} AS inertia FROM a3")
+def _(spark, d):
+    return rounded(spark.createDataFrame([(float(clustered(spark, d)[1].inertia),)], "inertia double"), 3)
+
+
+@query("km02_plus_plus")
+def _(spark, d):
+    e = embeddings(spark, d).select("row_id", "features")
+    return rounded(kmeans.KMeans(5).fit(e).table(spark).select("cluster", F.posexplode("centroid").alias("j", "v")), 4)
+
+
+@query("pca01_fit")
+def _(spark, d):
+    return rounded(pca.PCA(2).fit(read(spark, d, "lineitem"), NUMERIC).table(spark), 4)
+
+
+@query("pca02_transform")
+def _(spark, d):
+    df = read(spark, d, "lineitem")
+    return rounded(pca.PCA(2).fit_transform(df, NUMERIC).select("l_orderkey", "l_linenumber", "pc1", "pc2"), 3)
+
+
+# --- networks, optimizers, surfaces ----------------------------------------------------------------------------------
+
+
+@query("nn01_activations", f"SELECT event_id, {r('1 / (1 + exp(-z))')} AS sigmoid, {r('greatest(z, 0)')} AS relu, {r('tanh(z)')} AS tanh, {r('z')} AS linear FROM (SELECT event_id, (value - 50) / 25 AS z FROM events)")
+def _(spark, d):
+    z = (F.col("value") - 50) / 25
+    return rounded(read(spark, d, "events").select("event_id", *[activation.activate(a, z).alias(a) for a in activation.NAMES]))
+
+
+@query("nn02_derivatives", f"SELECT event_id, {r('1 / (1 + exp(-z)) * (1 - 1 / (1 + exp(-z)))')} AS sigmoid, (z > 0)::INT::DOUBLE AS relu, {r('1 - tanh(z) * tanh(z)')} AS tanh, 1.0::DOUBLE AS linear FROM (SELECT event_id, (value - 50) / 25 AS z FROM events)")
+def _(spark, d):
+    z = (F.col("value") - 50) / 25
+    return rounded(read(spark, d, "events").select("event_id", *[activation.derivative(a, z).alias(a) for a in activation.NAMES]))
+
+
+def _fixed_network() -> network.Network:
+    """Weights by a rule, so that SQL can state them."""
+    net = network.Network([64, 3, 2], ["tanh", "sigmoid"])
+    net.weights = [np.array([[((i * 64 + j) % 7 - 3) / 10 for j in range(64)] for i in range(3)]), np.array([[((i * 3 + j) % 5 - 2) / 4 for j in range(3)] for i in range(2)])]
+    net.biases = [np.array([0.1, -0.2, 0.3]), np.array([0.05, -0.05])]
+    return net
+
+
+_HID = ", ".join(f"tanh({b} + list_sum(list_transform(range(64), lambda j: f[j + 1] * (({i * 64} + j) % 7 - 3) / 10.0::DOUBLE)))" for i, b in enumerate((0.1, -0.2, 0.3)))
+_OUT = ", ".join(f"{r('1 / (1 + exp(-(' + str(b) + ' + ' + ' + '.join(f'h[{j + 1}] * {((i * 3 + j) % 5 - 2) / 4}' for j in range(3)) + ')))')} AS out{i}" for i, b in enumerate((0.05, -0.05)))
+
+
+@query("nn12_predict", f"SELECT row_id, {_OUT} FROM (SELECT row_id, [{_HID}] AS h FROM {EMB})")
+def _(spark, d):
+    out = _fixed_network().predict(embeddings(spark, d))
+    return rounded(out.select("row_id", F.col("output")[0].alias("out0"), F.col("output")[1].alias("out1")))
+
+
+@query("nn11_fit_online")
+def _(spark, d):
+    e = embeddings(spark, d).withColumn("y", F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: (k == F.col("label")).cast("double")))
+    net = network.Network([64, 8, 10], ["tanh", "sigmoid"], 0.1, seed=1).fit(e, "features", "y", "row_id", 3)
+    h = net.history[["epoch", "loss", "accuracy"]].astype({"epoch": int})
+    return rounded(spark.createDataFrame([tuple(x) for x in h.itertuples(index=False)], "epoch int, loss double, accuracy double"), 5)
+
+
+_GRID_SURFACES = " UNION ALL ".join(
+    f"SELECT '{n}' AS surface, x, y, {v} AS v, {gx} AS gx, {gy} AS gy FROM p"
+    for n, v, gx, gy in (
+        ("Quadratic", "x*x + y*y", "2*x", "2*y"),
+        ("Rosenbrock", "(1-x)*(1-x) + 100*(y-x*x)*(y-x*x)", "-2*(1-x) - 400*x*(y-x*x)", "200*(y-x*x)"),
+        ("Saddle", "x*x - y*y", "2*x", "-2*y"),
+        ("Beale", "pow(1.5-x+x*y, 2) + pow(2.25-x+x*y*y, 2) + pow(2.625-x+x*y*y*y, 2)", "2*(1.5-x+x*y)*(y-1) + 2*(2.25-x+x*y*y)*(y*y-1) + 2*(2.625-x+x*y*y*y)*(y*y*y-1)", "2*(1.5-x+x*y)*x + 2*(2.25-x+x*y*y)*2*x*y + 2*(2.625-x+x*y*y*y)*3*x*y*y"),
+        ("Himmelblau", "pow(x*x+y-11, 2) + pow(x+y*y-7, 2)", "4*x*(x*x+y-11) + 2*(x+y*y-7)", "2*(x*x+y-11) + 4*y*(x+y*y-7)"),
+        ("Rastrigin", "20 + x*x - 10*cos(2*pi()*x) + y*y - 10*cos(2*pi()*y)", "2*x + 20*pi()*sin(2*pi()*x)", "2*y + 20*pi()*sin(2*pi()*y)"),
+    )
+)
+
+
+@query("lf01_surfaces", f"WITH p AS (SELECT i / 10.0::DOUBLE AS x, j / 10.0::DOUBLE AS y FROM range(-20, 21) a(i), range(-20, 21) b(j)) SELECT surface, x, y, {r('v', 4)} AS v, {r('gx', 4)} AS gx, {r('gy', 4)} AS gy FROM ({_GRID_SURFACES})")
+def _(spark, d):
+    axis = F.sequence(F.lit(-20), F.lit(20))
+    p = spark.range(-20, 21).select((F.col("id") / 10).alias("x"), F.explode(axis).alias("j")).select("x", (F.col("j") / 10).alias("y"))
+    out = None
+    for n in surfaces.NAMES:
+        gx, gy = surfaces.gradient(n, F.col("x"), F.col("y"))
+        part = p.select(F.lit(n).alias("surface"), "x", "y", surfaces.value(n, F.col("x"), F.col("y")).alias("v"), gx.alias("gx"), gy.alias("gy"))
+        out = part if out is None else out.union(part)
+    return out.select("surface", "x", "y", *[(F.round(c, 4) + 0.0).alias(c) for c in ("v", "gx", "gy")])
+
+
+@query("lf03_catalog", "SELECT * FROM (VALUES ('Quadratic', 1), ('Rosenbrock', 3), ('Saddle', 2), ('Beale', 4), ('Himmelblau', 4), ('Rastrigin', 5)) t(name, difficulty)")
+def _(spark, d):
+    return surfaces.catalog(spark).select("name", "difficulty")
+
+
+@query("lf05_heatmap", f"""WITH p AS (SELECT i::INT AS "row", j::INT AS col, -5.0::DOUBLE + 10.0::DOUBLE * j / 49.0::DOUBLE AS x, -5.0::DOUBLE + 10.0::DOUBLE * i / 49.0::DOUBLE AS y FROM range(50) a(i), range(50) b(j)),
+v AS (SELECT *, pow(x*x+y-11, 2) + pow(x+y*y-7, 2) AS v FROM p), m AS (SELECT min(v) lo, max(v) hi FROM v)
+SELECT "row", col, {r('v', 4)} AS v, {r('greatest(0, least(1, ln(v - lo + 1) / ln(hi - lo + 1)))', 5)} AS t FROM v, m""")
+def _(spark, d):
+    h = surfaces.heatmap(spark, "Himmelblau", 50)
+    return h.select("row", "col", (F.round("v", 4) + 0.0).alias("v"), (F.round("t", 5) + 0.0).alias("t"))
+
+
+_RACE_N = 60
+_CASE = lambda i: "CASE surface " + " ".join(f"WHEN '{n}' THEN {e}" for n, e in (("Quadratic", ("x*x + y*y", "2*x", "2*y")[i]), ("Rosenbrock", ("(1-x)*(1-x) + 100*(y-x*x)*(y-x*x)", "-2*(1-x) - 400*x*(y-x*x)", "200*(y-x*x)")[i]), ("Himmelblau", ("pow(x*x+y-11, 2) + pow(x+y*y-7, 2)", "4*x*(x*x+y-11) + 2*(x+y*y-7)", "2*(x*x+y-11) + 4*y*(x+y*y-7)")[i]))) + " END"
+_RACE_SQL = f"""WITH RECURSIVE k AS (SELECT * FROM (VALUES ('Quadratic', 2.0::DOUBLE, 2.0::DOUBLE), ('Rosenbrock', -1.0, 1.0), ('Himmelblau', 0.0, 0.0)) t(surface, x, y)),
+o AS (SELECT * FROM (VALUES (0, 'SGD', 0.0::DOUBLE, 0.0::DOUBLE), (1, 'Momentum', 0.9, 0.0), (2, 'RMSprop', 0.0, 0.9), (3, 'Adam', 0.9, 0.999)) t(racer, optimizer, b1, b2)),
+f AS (SELECT racer, optimizer, b1, b2, surface, 0 AS it, x, y, 0.0::DOUBLE AS mx, 0.0::DOUBLE AS my, 0.0::DOUBLE AS vx, 0.0::DOUBLE AS vy FROM o, k
+ UNION ALL SELECT racer, optimizer, b1, b2, surface, it + 1, x - 0.001 * CASE optimizer WHEN 'SGD' THEN gx WHEN 'Momentum' THEN nmx WHEN 'RMSprop' THEN gx / sqrt(nvx + 1e-8) ELSE nmx / greatest(1 - pow(b1, it + 1), 1e-8) / (sqrt(nvx / greatest(1 - pow(b2, it + 1), 1e-8)) + 1e-8) END,
+  y - 0.001 * CASE optimizer WHEN 'SGD' THEN gy WHEN 'Momentum' THEN nmy WHEN 'RMSprop' THEN gy / sqrt(nvy + 1e-8) ELSE nmy / greatest(1 - pow(b1, it + 1), 1e-8) / (sqrt(nvy / greatest(1 - pow(b2, it + 1), 1e-8)) + 1e-8) END, nmx, nmy, nvx, nvy
+ FROM (SELECT *, CASE optimizer WHEN 'Momentum' THEN b1*mx + gx WHEN 'Adam' THEN b1*mx + (1-b1)*gx ELSE mx END AS nmx, CASE optimizer WHEN 'Momentum' THEN b1*my + gy WHEN 'Adam' THEN b1*my + (1-b1)*gy ELSE my END AS nmy,
+  CASE WHEN optimizer IN ('RMSprop', 'Adam') THEN b2*vx + (1-b2)*gx*gx ELSE vx END AS nvx, CASE WHEN optimizer IN ('RMSprop', 'Adam') THEN b2*vy + (1-b2)*gy*gy ELSE vy END AS nvy
+  FROM (SELECT *, {_CASE(1)} AS gx, {_CASE(2)} AS gy FROM f)) WHERE it < {_RACE_N}),
+e AS (SELECT racer, optimizer, surface, x, y, {_CASE(0)} AS loss FROM f WHERE it = {_RACE_N})"""
+
+
+def raced(spark):
+    rows = None
+    for s in ("Quadratic", "Rosenbrock", "Himmelblau"):
+        one = optimizers.race(spark, s, 0.001)
+        rows = one if rows is None else rows.union(one)
+    return rows
+
+
+@query("opt06_steps", _RACE_SQL + f" SELECT racer, optimizer, surface, {r('x', 5)} AS x, {r('y', 5)} AS y, {r('loss', 4)} AS loss FROM e")
+def _(spark, d):
+    f = optimizers.finals(raced(spark), _RACE_N)
+    return f.select("racer", "optimizer", "surface", (F.round("x", 5) + 0.0).alias("x"), (F.round("y", 5) + 0.0).alias("y"), (F.round("loss", 4) + 0.0).alias("loss"))
+
+
+@query("race04_ranking", _RACE_SQL + " SELECT racer, surface, row_number() OVER (PARTITION BY surface ORDER BY round(loss, 9), racer)::INT AS rank FROM e")
+def _(spark, d):
+    f = optimizers.finals(raced(spark), _RACE_N).withColumn("loss", F.round("loss", 9))
+    return optimizers.ranking(f).select("racer", "surface", "rank")
+
+
+@query("race05_winner", _RACE_SQL + " SELECT surface, arg_min(optimizer, (round(loss, 9), racer)) AS winner, false AS has_winner, false AS finished FROM e GROUP BY surface")
+def _(spark, d):
+    return optimizers.winner(optimizers.finals(raced(spark), _RACE_N).withColumn("loss", F.round("loss", 9)))
+
+
+@query("race08_distance", _RACE_SQL + f" SELECT racer, surface, {r('sqrt(pow(x - CASE surface WHEN $Quadratic$ THEN 0 WHEN $Rosenbrock$ THEN 1 ELSE 3 END, 2) + pow(y - CASE surface WHEN $Quadratic$ THEN 0 WHEN $Rosenbrock$ THEN 1 ELSE 2 END, 2))', 4)} AS distance FROM e".replace("$", "'"))
+def _(spark, d):
+    return rounded(optimizers.distance_to_minimum(optimizers.finals(raced(spark), _RACE_N)).select("racer", "surface", "distance"), 4)
+
+
+@query("race01_trajectories")
+def _(spark, d):
+    t = optimizers.trajectories(raced(spark), 100, 10)
+    return t.select("racer", "optimizer", "surface", "iter", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"), F.round("loss", 4).alias("loss"), "converged")
+
+
+# --- metrics, validation, configuration ------------------------------------------------------------------------------
+
+
+@query("met01_regression_metrics", f"SELECT {r('avg(pow(y - p, 2))', 3)} AS mse, {r('sqrt(avg(pow(y - p, 2)))', 4)} AS rmse, {r('avg(abs(y - p))', 4)} AS mae, {r('1 - sum(pow(y - p, 2)) / (var_pop(y) * count(*))', 4)} AS r2 FROM (SELECT l_extendedprice / 1000 AS y, l_quantity AS p FROM lineitem)")
+def _(spark, d):
+    x = read(spark, d, "lineitem").select((F.col("l_extendedprice") / 1000).alias("y"), F.col("l_quantity").alias("p"))
+    out = x.agg(metrics.mse("y", "p").alias("mse"), metrics.rmse("y", "p").alias("rmse"), metrics.mae("y", "p").alias("mae"), metrics.r2("y", "p").alias("r2"))
+    return out.select(F.round("mse", 3).alias("mse"), *[F.round(c, 4).alias(c) for c in ("rmse", "mae", "r2")])
+
+
+@query("met05_classification_metrics", f"""WITH x AS (SELECT quality AS y, (n_chars > 400)::INT AS p FROM documents JOIN labels USING (doc_id)), c AS (SELECT count(*) FILTER (WHERE y = 1 AND p = 1) AS tp, count(*) FILTER (WHERE p = 1) AS pp, count(*) FILTER (WHERE y = 1) AS yy, avg((y = p)::INT) AS acc FROM x)
+SELECT {r('acc')} AS accuracy, {r('coalesce(tp / nullif(pp, 0)::DOUBLE, 0)')} AS "precision", {r('coalesce(tp / nullif(yy, 0)::DOUBLE, 0)')} AS recall, {r('2.0 * tp / (pp + yy)')} AS f1 FROM c""")
+def _(spark, d):
+    x = read(spark, d, "documents").join(read(spark, d, "labels"), "doc_id").select(F.col("quality").alias("y"), (F.col("n_chars") > 400).cast("int").alias("p"))
+    return rounded(x.agg(metrics.accuracy("y", "p").alias("accuracy"), metrics.precision("y", "p", 1).alias("precision"), metrics.recall("y", "p", 1).alias("recall"), metrics.f1("y", "p", 1).alias("f1")))
+
+
+_INPUTS = ["5", "0", "-1", "abc", "0.00001", "11", "100001", "1", "", "nan"]
+
+
+@query("val01_validators", """SELECT * FROM (VALUES ('5', 'Valid', 'Valid', 'Valid', 'Valid', 'Valid'), ('0', 'Invalid', 'Invalid', 'Invalid', 'Invalid', 'Invalid'), ('-1', 'Invalid', 'Invalid', 'Invalid', 'Invalid', 'Invalid'),
+('abc', 'Invalid', 'Invalid', 'Invalid', 'Invalid', 'Invalid'), ('0.00001', 'Valid', 'Warning', 'Invalid', 'Invalid', 'Invalid'), ('11', 'Valid', 'Warning', 'Invalid', 'Warning', 'Valid'), ('100001', 'Valid', 'Warning', 'Invalid', 'Invalid', 'Warning'),
+('1', 'Valid', 'Valid', 'Valid', 'Warning', 'Valid'), ('', 'Invalid', 'Invalid', 'Invalid', 'Invalid', 'Invalid'), ('nan', 'Invalid', 'Invalid', 'Invalid', 'Invalid', 'Invalid')) t(input, positive, rate, in_range, clusters, iterations)""")
+def _(spark, d):
+    c = F.col("input")
+    df = spark.createDataFrame([(x,) for x in _INPUTS], "input string")
+    checks = {"positive": validation.positive_number(c), "rate": validation.learning_rate(c), "in_range": validation.integer_in_range(c, 1, 10), "clusters": validation.k_clusters(c, F.lit(20)), "iterations": validation.max_iterations(c)}
+    return df.select("input", *[v["state"].alias(k) for k, v in checks.items()])
+
+
+@query("cfg01_parameters", "SELECT * FROM (VALUES ('KMeans', 'n_clusters', 3.0::DOUBLE, 2.0::DOUBLE, 20.0::DOUBLE), ('KMeans', 'max_iterations', 100, 1, 1000), ('KMeans', 'tolerance', 1e-4, NULL, NULL), ('PCA', 'n_components', 2, 1, 50), ('LogisticRegression', 'learning_rate', 0.01, 1e-5, 1), ('LogisticRegression', 'max_iterations', 1000, 10, 10000), ('LinearRegression', 'learning_rate', 0.01, 1e-5, 1), ('LinearRegression', 'max_iterations', 1000, 10, 10000)) t(algorithm, parameter, default_value, low, high)")
+def _(spark, d):
+    return validation.parameter_table(spark)
+
+
+@query("cfg06_catalog", "SELECT * FROM (VALUES ('KMeans', 'Clustering'), ('PCA', 'DimensionalityReduction'), ('LogisticRegression', 'Classification'), ('LinearRegression', 'Regression'), ('StandardScaler', 'Preprocessing'), ('MinMaxScaler', 'Preprocessing')) t(name, category)")
+def _(spark, d):
+    return validation.catalog(spark).select("name", "category")
+
+
+@query("cfg03_run_kmeans")
+def _(spark, d):
+    from .plans.facade import run
+
+    out = run("KMeans", read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_tax"), ["l_quantity", "l_tax"], max_iterations=5)
+    return out.result.select("l_orderkey", "l_linenumber", "label")
+
+
+@query("perf01_progress", f"SELECT event_id, {r('event_id * 100.0 / 20000', 4)} AS progress_pct, CASE WHEN event_id > 0 THEN {r('5000.0 / event_id * (20000 - event_id)', 2)} END AS eta_ms FROM events WHERE event_id < 20000")
+def _(spark, d):
+    e = read(spark, d, "events").where("event_id < 20000")
+    p = validation.progress(F.col("event_id"), F.lit(20000), F.lit(1.0), F.lit(0.5), F.lit(5000.0))
+    return e.select("event_id", F.round(p["progress_pct"], 4).alias("progress_pct"), F.round(p["eta_ms"], 2).alias("eta_ms"))
+
+
+@query("ext_windowed_stats", f"SELECT time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01') AS window_start, count(value) AS n, {r('avg(value)', 4)} AS mean, {r('coalesce(stddev_samp(value), 0)', 4)} AS std_dev FROM events GROUP BY 1")
+def _(spark, d):
+    out = incremental.windowed_stats(read(spark, d, "events"), "ts", "value", "1 day", "1 hour")
+    return rounded(out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")), 4)
