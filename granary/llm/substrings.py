@@ -34,6 +34,8 @@ STEPS = 4
 GROUP_CONTEXTS = 2_000
 #: Symbols that one suffix array is built over, unless one group has more.
 ARRAY_SYMBOLS = 1 << 18
+#: Symbols that a task sorts, about, in arrays of ARRAY_SYMBOLS.
+TASK_SYMBOLS = 1 << 21
 #: Rows of a table up to which it is broadcast.
 BROADCAST_ROWS = 500_000
 PIECE = 1 << 20  # starts of a long text that are searched at once
@@ -310,8 +312,8 @@ def repeated_starts(contexts: list[tuple[int, bytes, bytes, bytes]], weights: li
     return found
 
 
-def _intervals(starts: list[int]):
-    starts = np.sort(np.array(starts))
+def _intervals(starts):
+    starts = np.sort(np.array(starts, dtype=np.int64))
     first = np.flatnonzero(np.r_[True, np.diff(starts) > 1])
     return starts[first], starts[np.r_[first[1:], len(starts)] - 1]
 
@@ -320,11 +322,32 @@ FOUND = "doc_id long, th long, a long, b long"
 
 
 def _sorted_suffixes(batches):
-    """Contexts sorted by group -> intervals of repeated starts; whole groups go to an array, as many as fit."""
+    """Contexts sorted by group -> intervals of repeated starts; whole groups go to an array, as many as fit.
+
+    Equal contexts of a group are repeats throughout.  One of them goes on, if the group has any that differs.
+    """
     held, size = [], 0
 
     def settle(rows):
-        found = repeated_starts([r[5:] for r in rows], [r[4] for r in rows])
+        found: list = [None] * len(rows)
+        groups: dict[int, dict[tuple, list[int]]] = {}
+        for i, r in enumerate(rows):
+            groups.setdefault(r[2], {}).setdefault(r[5:], []).append(i)
+        left = []
+        for variants in groups.values():
+            single = False
+            for (width, before, _, after), at in variants.items():
+                if len(at) > 1:
+                    for i in at:
+                        found[i] = range(len(before) + len(after) + 2 - width)
+                single |= len(at) == 1 and rows[at[0]][4] < 2
+            if single and len(variants) > 1:
+                left += [(at[0], max(len(at), rows[at[0]][4])) for at in variants.values()]
+        if left:
+            starts = repeated_starts([rows[i][5:] for i, _ in left], [w for _, w in left])
+            for (i, w), x in zip(left, starts):
+                if w < 2:
+                    found[i] = x
         cols = ([], [], [], [])
         for r, starts in zip(rows, found):
             if starts and r[4] < 2:
@@ -389,12 +412,15 @@ def repeated_intervals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     wanted = materialise(asks.groupBy(F.col("doc_id").alias("_doc"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("grp", "a", "b", "weight", "core", "width")).alias("asks")))
     source = one.select("doc_id", "th", "text")
     contexts = source.join(_small(wanted), _same(source, wanted)).select("doc_id", "th", "text", "asks").mapInArrow(_contexts, CONTEXT)
+    # sorting takes long for few bytes, so tasks are dealt by symbols and not by what is shuffled
+    symbols = asks.agg(F.sum(F.col("b") - F.col("a") + F.col("width"))).first()[0] or 0
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-symbols // TASK_SYMBOLS))
     large = materialise(asks.groupBy(F.col("grp").alias("_grp")).count().where(F.col("count") > GROUP_CONTEXTS).select("_grp"))
     if large.isEmpty():
-        sorted_ = contexts.repartition("grp").sortWithinPartitions("grp").mapInArrow(_sorted_suffixes, FOUND)
+        sorted_ = contexts.repartition(tasks, "grp").sortWithinPartitions("grp").mapInArrow(_sorted_suffixes, FOUND)
         return copies, materialise(settled.unionByName(sorted_))
     small = contexts.join(_small(large), contexts.grp == large["_grp"], "left_anti")
-    sorted_ = small.repartition("grp").sortWithinPartitions("grp").mapInArrow(_sorted_suffixes, FOUND)
+    sorted_ = small.repartition(tasks, "grp").sortWithinPartitions("grp").mapInArrow(_sorted_suffixes, FOUND)
     starts = contexts.join(_small(large), contexts.grp == large["_grp"], "left_semi").mapInArrow(_started, "doc_id long, th long, a long, weight int, digest binary")
     starts = materialise(starts)
     twice = starts.groupBy(F.col("digest").alias("_digest")).agg(F.sum("weight").alias("n")).where("n > 1").select("_digest")
