@@ -38,6 +38,8 @@ ARRAY_SYMBOLS = 1 << 18
 TASK_SYMBOLS = 1 << 21
 #: Rows of a table up to which it is broadcast.
 BROADCAST_ROWS = 500_000
+#: Runs of one anchor that are held before they are thinned to one of each variant.
+HELD_RUNS = 50_000
 PIECE = 1 << 20  # starts of a long text that are searched at once
 
 _A, _B, _C = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
@@ -190,32 +192,55 @@ def _emit_runs(batches):
 
 
 def _run_batch(held, meta, ids, ths, weights):
+    """Runs that are equal here are combined before the shuffle: one goes on with weight 2, the others are settled as
+    repeats (no place; dealt by a hash of their own, as an anchor may be that of very many runs)."""
     cols = [np.concatenate(x) for x in zip(*held)]
     of = np.repeat([i for i, _ in meta], [k for _, k in meta])
+    weight = np.array(weights)[of]
+    anchor, c, first, last, extent = cols[:5]
+    head, at, _ = _counts(_combined(anchor, c - first, last - first, extent))
+    weight[head] = np.minimum(np.bincount(at, weight), 2)
+    extra = np.ones(len(of), bool)
+    extra[head] = False
+    cols[0] = np.where(extra, _combined(of, first), anchor)
+    cols[1] = np.where(extra, -1, c)
     take = lambda v, kind: pa.array(v, kind).take(pa.array(of))
-    return _table(RUN, cols[0], take(ids, pa.int64()), take(ths, pa.int64()), take(weights, pa.int32()), *cols[1:])
+    return _table(RUN, cols[0], take(ids, pa.int64()), take(ths, pa.int64()), weight, *cols[1:])
 
 
 def _classify(batches):
     """Runs sorted by anchor -> repeats (grp null) and ranges to be compared.
 
-    A complete anchor's runs are judged together.  What is held of an unfinished one is one row of each variant: rows of
-    a variant met again are repeats, and go out at once.
+    A complete anchor's runs are judged together.  Of a very frequent anchor one row of each variant is held: rows of a
+    variant met again are repeats, and go out at once.
     """
-    held = None
+    held: list[pa.Table] = []
+    rows, limit = 0, HELD_RUNS
     for b in batches:
         t = pa.Table.from_batches([b])
-        held = t if held is None else pa.concat_tables([held, t]).combine_chunks()
-        anchors = held.column("anchor").to_numpy()
-        cut = int(np.searchsorted(anchors, anchors[-1])) if len(anchors) else 0
-        if cut:
-            yield from _judged(held.slice(0, cut))
-            held = held.slice(cut).combine_chunks()
-        if held.num_rows > 100_000:
-            held, out = _thinned(held)
+        settled = t.column("c").to_numpy() < 0
+        if settled.any():
+            yield _repeats(t, np.flatnonzero(settled))
+            t = t.take(pa.array(np.flatnonzero(~settled)))
+        if not t.num_rows:
+            continue
+        anchors = t.column("anchor").to_numpy()
+        if held and held[0].column("anchor")[0].as_py() == anchors[-1]:
+            held.append(t)
+            rows += t.num_rows
+        else:
+            cut = int(np.searchsorted(anchors, anchors[-1]))
+            done = [*held, t.slice(0, cut)]
+            if sum(x.num_rows for x in done):
+                yield from _judged(pa.concat_tables(done).combine_chunks())
+            held, rows, limit = [t.slice(cut)], t.num_rows - cut, HELD_RUNS
+        if rows > limit:
+            kept, out = _thinned(pa.concat_tables(held).combine_chunks())
             yield from out
-    if held is not None and held.num_rows:
-        yield from _judged(held)
+            held, rows = [kept], kept.num_rows
+            limit = max(HELD_RUNS, 2 * rows)
+    if held:
+        yield from _judged(pa.concat_tables(held).combine_chunks())
 
 
 def _columns(t):
