@@ -36,7 +36,7 @@ GROUP_CONTEXTS = 2_000
 ARRAY_SYMBOLS = 1 << 18
 #: Symbols that a task sorts, about, in arrays of ARRAY_SYMBOLS.
 TASK_SYMBOLS = 1 << 21
-#: Rows of a table up to which it is broadcast.
+#: Rows, or elements of its rows' lists, up to which a table is broadcast.
 BROADCAST_ROWS = 500_000
 #: Runs of one anchor that are held before they are thinned to one of each variant.
 HELD_RUNS = 50_000
@@ -343,6 +343,7 @@ def _intervals(starts):
     return starts[first], starts[np.r_[first[1:], len(starts)] - 1]
 
 
+MARK = "_doc long, _th long, starts array<struct<a: long, b: long>>"
 FOUND = "doc_id long, th long, a long, b long"
 
 
@@ -404,8 +405,25 @@ def _started(batches):
             )
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def _small(df: DataFrame, lists: str | None = None) -> DataFrame:
+    """For a broadcast if it has few rows, or few elements in the arrays of ``lists``."""
+    n = df.count() if lists is None else df.agg(F.sum(F.size(lists))).first()[0] or 0
+    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+
+
+def _joined(batches):
+    """Intervals of starts whose strings touch become one."""
+    for b in batches:
+        lists = []
+        for x in b.column(2):
+            out: list[list[int]] = []
+            for start, last in sorted((s["a"], s["b"]) for s in x.as_py()):
+                if out and start <= out[-1][1] + LENGTH:
+                    out[-1][1] = max(out[-1][1], last)
+                else:
+                    out.append([start, last])
+            lists.append([{"a": a, "b": z} for a, z in out])
+        yield b.set_column(2, b.schema.field(2), pa.array(lists, b.schema.field(2).type))
 
 
 def _same(left: DataFrame, right: DataFrame):
@@ -436,7 +454,7 @@ def repeated_intervals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     settled, asks = found.where("grp IS NULL").select("doc_id", "th", "a", "b"), found.where("grp IS NOT NULL")
     wanted = materialise(asks.groupBy(F.col("doc_id").alias("_doc"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("grp", "a", "b", "weight", "core", "width")).alias("asks")))
     source = one.select("doc_id", "th", "text")
-    contexts = source.join(_small(wanted), _same(source, wanted)).select("doc_id", "th", "text", "asks").mapInArrow(_contexts, CONTEXT)
+    contexts = source.join(_small(wanted, "asks"), _same(source, wanted)).select("doc_id", "th", "text", "asks").mapInArrow(_contexts, CONTEXT)
     # sorting takes long for few bytes, so tasks are dealt by symbols and not by what is shuffled
     symbols = asks.agg(F.sum(F.col("b") - F.col("a") + F.col("width"))).first()[0] or 0
     tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-symbols // TASK_SYMBOLS))
@@ -479,10 +497,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     copies, intervals = repeated_intervals(docs)
     texts = _keyed(docs)
-    marks = materialise(intervals.groupBy(F.col("doc_id").alias("_doc"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("a", "b")).alias("starts")))
+    marks = materialise(intervals.groupBy(F.col("doc_id").alias("_doc"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("a", "b")).alias("starts")).mapInArrow(_joined, MARK))
     copied = copies.select(F.col("_th").alias("_copy"), F.lit(True).alias("whole"))
     n = F.octet_length("text")
-    rows = texts.join(_small(marks), _same(texts, marks), "left").join(_small(copied), (F.col("th") == F.col("_copy")) & (n >= LENGTH), "left")
+    rows = texts.join(_small(marks, "starts"), _same(texts, marks), "left").join(_small(copied), (F.col("th") == F.col("_copy")) & (n >= LENGTH), "left")
     plain = F.col("starts").isNull() & F.col("whole").isNull()
     rows = rows.select(
         "doc_id", n.cast("long").alias("n_bytes"), F.coalesce("whole", F.lit(False)).alias("whole"), "starts",
