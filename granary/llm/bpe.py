@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Most distinct words that a task's table holds; it is emptied beyond that, which costs encoding anew and loses nothing.
-TABLE_WORDS = 300_000
+TABLE_WORDS = 600_000
 #: Words of more bytes are encoded where they stand and not kept.
 LONG_WORD = 200
 
@@ -40,17 +40,37 @@ class WordTable:
         self.tokenizer.no_padding()
         self.pieces = {i: p.encode() for p, i in self.tokenizer.get_vocab(with_added_tokens=True).items()}
         self.limit, self.known = limit, {}
+        special = self.tokenizer.get_added_tokens_decoder()
+        plain = [i for i, t in special.items() if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)]
+        #: A special token is cut out before anything else is done to a text, so words around it are encoded by themselves.
+        self.mark, self.mark_text = (plain[0], special[plain[0]].content) if plain else (None, "")
+        self.specials = [t.content.encode() for t in special.values()]
 
     def _entries(self, words: list[bytes]) -> list[tuple[bytes, bytes]]:
-        found = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
-        pieces = self.pieces
-        return [(array("I", ids).tobytes(), b" ".join([pieces[i] for i in ids])) for ids in (e.ids for e in found)]
+        """(ids' bytes, pieces' bytes) of each word: many words make one text, with marks between."""
+        if self.mark is None or any(x in w for x in self.specials for w in words):
+            texts = [[w] for w in words]
+        else:
+            texts = [words[at : at + 500] for at in range(0, len(words), 500)]
+        out = []
+        found = self.tokenizer.encode_batch_fast([self.mark_text.join([w.decode() for w in t]) for t in texts], add_special_tokens=False)
+        for t, e in zip(texts, found):
+            ids = e.ids
+            raw, pieces = array("I", ids).tobytes(), [self.pieces[i] for i in ids]
+            cuts = [i for i, x in enumerate(ids) if x == self.mark] if len(t) > 1 else []
+            for a, b in zip([0, *[i + 1 for i in cuts]], [*cuts, len(ids)]):
+                out.append((raw[4 * a : 4 * b], b" ".join(pieces[a:b])))
+        return out
 
     def _learn(self, words: set[bytes]) -> None:
         new = [w for w in words if w not in self.known and len(w) <= LONG_WORD]
         if len(self.known) + len(new) > self.limit:
             self.known.clear()
             new = [w for w in words if len(w) <= LONG_WORD]
+        odd = [w for w in new if any(x in w for x in self.specials)]
+        if odd:
+            self.known.update(zip(odd, self._entries(odd)))
+            new = [w for w in new if w not in self.known]
         for at in range(0, len(new), 10_000):
             part = new[at : at + 10_000]
             self.known.update(zip(part, self._entries(part)))
@@ -62,7 +82,10 @@ class WordTable:
             self._learn(set().union(*split))
             known = self.known
             for words in split:
-                entries = [known[w] if len(w) <= LONG_WORD else self._entries([w])[0] for w in words]
+                try:
+                    entries = [known[w] for w in words]
+                except KeyError:  # long words are not in the table
+                    entries = [known[w] if len(w) <= LONG_WORD else self._entries([w])[0] for w in words]
                 yield b"".join([e[0] for e in entries]), b" ".join([e[1] for e in entries if e[0]])
 
 
