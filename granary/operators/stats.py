@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 FLOOR = 1e-10
+#: Columns up to which moments are taken by covariance expressions.
+WIDE = 16
 
 
 def col(c: str | Column) -> Column:
@@ -76,7 +78,13 @@ class Moments:
 
 
 def moments(df: DataFrame, columns: list[str]) -> Moments:
-    """One aggregate: p means and p (p + 1) / 2 covariances, combined from partial results."""
+    """One aggregate: p means and p (p + 1) / 2 covariances, combined from partial results.
+
+    Beyond WIDE columns, whose pairs would make too many expressions, means are taken first and the products of
+    deviations are summed by partition as matrices (a null counts as its mean), which an aggregate adds up.
+    """
+    if len(columns) > WIDE:
+        return _wide_moments(df, columns)
     pairs = list(combinations_with_replacement(range(len(columns)), 2))
     row = df.agg(
         F.count(F.lit(1)).alias("n"),
@@ -90,6 +98,28 @@ def moments(df: DataFrame, columns: list[str]) -> Moments:
     return Moments(tuple(columns), n, np.array([row[f"m{i}"] or 0.0 for i in range(len(columns))]), products)
 
 
+def _wide_moments(df: DataFrame, columns: list[str]) -> Moments:
+    import pandas as pd
+
+    data = df.select(*[col(c).alias(f"x{i}") for i, c in enumerate(columns)])
+    row = data.agg(F.count(F.lit(1)).alias("n"), *[F.avg(c) for c in data.columns]).first()
+    means, p = np.array([v or 0.0 for v in row[1:]]), len(columns)
+
+    def products(batches):
+        total = np.zeros((p, p))
+        for pdf in batches:
+            x = np.nan_to_num(pdf.to_numpy(dtype=float) - means)
+            total += x.T @ x
+        i, j = np.triu_indices(p)
+        yield pd.DataFrame({"i": i, "j": j, "v": total[i, j]})
+
+    out = np.zeros((p, p))
+    # p (p + 1) / 2 rows, whatever the table's size
+    for r in data.mapInPandas(products, "i int, j int, v double").groupBy("i", "j").agg(F.sum("v").alias("v")).collect():
+        out[r["i"], r["j"]] = out[r["j"], r["i"]] = r["v"]
+    return Moments(tuple(columns), row["n"], means, out)
+
+
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """``feature_i, feature_j, corr`` for every pair, from one aggregate, without leaving Spark."""
     n = F.count(F.lit(1))

@@ -130,3 +130,12 @@ def importance(df: DataFrame, weights: DataFrame, features: list[str]) -> DataFr
     out = weights.join(F.broadcast(spread), "feature").select("feature", (F.col("weight") * F.col("s")).alias("importance"))  # one row a feature
     top = F.greatest(F.max(F.abs("importance")).over(W.partitionBy()), F.lit(1e-10))
     return out.withColumn("bar_pct", F.abs("importance") / top * 100).orderBy(F.abs("importance").desc(), "feature")
+
+
+def endpoints(df: DataFrame, model: LinearRegression, x: str, y: str, pad: float = 0.1) -> DataFrame:
+    """``x_min, x_max, y_min, y_max, y_at_x_min, y_at_x_max``: padded axis ranges (of 1 at least) and the line's ends."""
+    w, b = float(model.weights[model.features.index(x)]), float(model.bias)
+    row = df.agg(F.min(col(x)).alias("a"), F.max(col(x)).alias("b"), F.min(col(y)).alias("c"), F.max(col(y)).alias("d"))
+    gap = lambda lo, hi: F.greatest(F.col(hi) - F.col(lo), F.lit(1.0)) * pad
+    out = row.select((F.col("a") - gap("a", "b")).alias("x_min"), (F.col("b") + gap("a", "b")).alias("x_max"), (F.col("c") - gap("c", "d")).alias("y_min"), (F.col("d") + gap("c", "d")).alias("y_max"))
+    return out.withColumn("y_at_x_min", F.col("x_min") * w + b).withColumn("y_at_x_max", F.col("x_max") * w + b)

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..errors import InvalidParameter
-from ..functions.surfaces import SURFACES, chosen, gradient, value
+from ..functions.binding import let
+from ..functions.surfaces import NAMES, SURFACES, chosen, gradient, value
 
 KINDS = ("SGD", "Momentum", "RMSprop", "Adam")
 #: beta1, beta2, epsilon of each kind.
@@ -101,27 +102,50 @@ def demo(spark: SparkSession, surface: str) -> DataFrame:
     return runs(spark, [("SGD", surface, 0.001), ("Momentum", surface, 0.001), ("RMSprop", surface, 0.01, 0.0, 0.999), ("Adam", surface, 0.01)])
 
 
-def _step(s: Column, g: tuple[Column, Column], p) -> dict[str, Column]:
-    """State after one step; p: the run's parameters by name."""
+_STATE = ("x", "y", "mx", "my", "vx", "vy", "t", "loss", "converged", "slope")
+
+
+def _start() -> Column:
+    p, zero = F.col, F.lit(0.0)
+    loss = chosen(p("surface"), lambda k: value(k, p("x"), p("y")))
+    parts = (p("x"), p("y"), zero, zero, zero, zero, F.lit(0), loss, F.lit(False), F.lit(float("inf")))
+    return F.struct(*[c.alias(f) for c, f in zip(parts, _STATE)])
+
+
+def _step(s: Column) -> Column:
+    """State after one step.  Each part is bound before it is used again, so that the expression stays small."""
+    p = F.col
     kind, lr, b1, b2, eps = p("optimizer"), p("lr"), p("beta1"), p("beta2"), p("epsilon")
-    t = s["t"] + 1
-    out = {"t": t}
-    c1, c2 = F.greatest(1 - F.pow(b1, t), F.lit(1e-8)), F.greatest(1 - F.pow(b2, t), F.lit(1e-8))
-    for axis, d in zip("xy", g):
-        m, v = s[f"m{axis}"], s[f"v{axis}"]
-        new_m = F.when(kind == "Momentum", b1 * m + d).when(kind == "Adam", b1 * m + (1 - b1) * d).otherwise(m)
-        new_v = F.when(kind.isin("RMSprop", "Adam"), b2 * v + (1 - b2) * d * d).otherwise(v)
-        move = (
-            F.when(kind == "SGD", d)
-            .when(kind == "Momentum", new_m)
-            .when(kind == "RMSprop", d / F.sqrt(new_v + eps))
-            .otherwise(new_m / c1 / (F.sqrt(new_v / c2) + eps))
-        )
-        out |= {f"m{axis}": new_m, f"v{axis}": new_v, axis: s[axis] - lr * move}
-    return out
-
-
-_FIELDS = ("x", "y", "mx", "my", "vx", "vy", "t", "loss", "converged")
+
+    def slopes() -> Column:
+        out = F.lit(None)
+        for n in NAMES:
+            gx, gy = gradient(n, s["x"], s["y"])
+            out = F.when(p("surface") == n, F.struct(gx.alias("x"), gy.alias("y"))).otherwise(out)
+        return out
+
+    def moments(g: Column) -> Column:
+        parts = []
+        for axis in "xy":
+            m, v, d = s[f"m{axis}"], s[f"v{axis}"], g[axis]
+            parts.append(F.when(kind == "Momentum", b1 * m + d).when(kind == "Adam", b1 * m + (1 - b1) * d).otherwise(m).alias(f"m{axis}"))
+            parts.append(F.when(kind.isin("RMSprop", "Adam"), b2 * v + (1 - b2) * d * d).otherwise(v).alias(f"v{axis}"))
+        t = s["t"] + 1
+        return F.struct(*parts, F.greatest(1 - F.pow(b1, t), F.lit(1e-8)).alias("c1"), F.greatest(1 - F.pow(b2, t), F.lit(1e-8)).alias("c2"))
+
+    def place(g: Column, n: Column) -> Column:
+        def at(axis):
+            m, v, d = n[f"m{axis}"], n[f"v{axis}"], g[axis]
+            move = F.when(kind == "SGD", d).when(kind == "Momentum", m).when(kind == "RMSprop", d / F.sqrt(v + eps)).otherwise(m / n["c1"] / (F.sqrt(v / n["c2"]) + eps))
+            return (s[axis] - lr * move).alias(axis)
+
+        return F.struct(at("x"), at("y"))
+
+    def state(g: Column, n: Column, q: Column) -> Column:
+        loss = chosen(p("surface"), lambda k: value(k, q["x"], q["y"]))
+        return let(loss, lambda f: F.struct(*[c.alias(k) for c, k in zip((q["x"], q["y"], n["mx"], n["my"], n["vx"], n["vy"], s["t"] + 1, f, f < CONVERGED, F.hypot(g["x"], g["y"])), _STATE)]))
+
+    return let(slopes(), lambda g: let(moments(g), lambda n: let(place(g, n), lambda q: state(g, n, q))))
 
 
 def trajectories(table: DataFrame, iterations: int, every: int = 1, rule: str = "loss") -> DataFrame:
@@ -132,27 +156,19 @@ def trajectories(table: DataFrame, iterations: int, every: int = 1, rule: str =
     """
     if iterations < 1:
         raise InvalidParameter("At least one iteration")
-    n = min(iterations, MAX_ITERATIONS)
-    p = F.col
-
-    def start():
-        zero = F.lit(0.0)
-        return F.struct(p("x").alias("x"), p("y").alias("y"), *[zero.alias(f) for f in ("mx", "my", "vx", "vy")], F.lit(0).alias("t"), chosen(p("surface"), lambda k: value(k, p("x"), p("y"))).alias("loss"), F.lit(False).alias("converged"))
 
     def step(path: Column, i: Column) -> Column:
-        s = F.element_at(path, -1)
-        g = tuple(chosen(p("surface"), lambda k, a=a: gradient(k, s["x"], s["y"])[a]) for a in (0, 1))
-        new = _step(s, g, p)
-        loss = chosen(p("surface"), lambda k: value(k, new["x"], new["y"]))
-        small = F.hypot(*g) < CONVERGED if rule == "gradient" else loss < CONVERGED
-        if rule == "gradient":
-            stays = s["converged"] | small
-            moved = F.struct(*[F.when(stays, s[f]).otherwise(new[f]).alias(f) for f in _FIELDS[:7]], F.when(stays, s["loss"]).otherwise(loss).alias("loss"), stays.alias("converged"))
-        else:
-            moved = F.struct(*[new[f].alias(f) for f in _FIELDS[:7]], loss.alias("loss"), small.alias("converged"))
-        return F.when(s["converged"], path).otherwise(F.concat(path, F.array(moved)))
+        def grown(s: Column) -> Column:
+            new = lambda: F.concat(path, F.array(_step(s)))
+            if rule == "gradient":  # a step that began on flat ground is not taken
+                return F.when(s["converged"], path).otherwise(
+                    let(_step(s), lambda n: F.when(n["slope"] < CONVERGED, F.concat(path, F.array(s.withField("converged", F.lit(True))))).otherwise(F.concat(path, F.array(n.withField("converged", F.lit(False))))))
+                )
+            return F.when(s["converged"], path).otherwise(new())
 
-    path = F.aggregate(F.sequence(F.lit(1), F.lit(n)), F.array(start()), step)
+        return let(F.element_at(path, -1), grown)
+
+    path = F.aggregate(F.sequence(F.lit(1), F.lit(min(iterations, MAX_ITERATIONS))), F.array(_start()), step)
     out = table.withColumn("path", path).select("racer", "optimizer", "surface", F.posexplode("path").alias("iter", "s"))
     out = out.where((F.col("iter") > 0) & (F.col("iter") % every == 0))
     return out.select("racer", "optimizer", "surface", "iter", "s.x", "s.y", "s.loss", "s.converged")
@@ -160,17 +176,10 @@ def trajectories(table: DataFrame, iterations: int, every: int = 1, rule: str =
 
 def finals(table: DataFrame, iterations: int) -> DataFrame:
     """The state of each run after so many iterations (or where it converged), folded without keeping the path."""
-    p = F.col
-    zero = F.lit(0.0)
-    start = F.struct(p("x").alias("x"), p("y").alias("y"), *[zero.alias(f) for f in ("mx", "my", "vx", "vy")], F.lit(0).alias("t"), chosen(p("surface"), lambda k: value(k, p("x"), p("y"))).alias("loss"), F.lit(False).alias("converged"))
-
-    def step(s: Column, i: Column) -> Column:
-        new = _step(s, tuple(chosen(p("surface"), lambda k, a=a: gradient(k, s["x"], s["y"])[a]) for a in (0, 1)), p)
-        loss = chosen(p("surface"), lambda k: value(k, new["x"], new["y"]))
-        return F.when(s["converged"], s).otherwise(F.struct(*[new[f].alias(f) for f in _FIELDS[:7]], loss.alias("loss"), (loss < CONVERGED).alias("converged")))
-
-    out = table.withColumn("first", start["loss"]).withColumn("s", F.aggregate(F.sequence(F.lit(1), F.lit(min(iterations, MAX_ITERATIONS))), start, step))
-    reduction = F.when(F.col("first") == 0, 100.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), (F.col("first") - F.col("s.loss")) / F.nullif(F.col("first"), zero) * 100)))
+    steps = F.sequence(F.lit(1), F.lit(min(iterations, MAX_ITERATIONS)))
+    s = F.aggregate(steps, _start(), lambda s, i: F.when(s["converged"], s).otherwise(_step(s)))
+    out = table.withColumn("first", chosen(F.col("surface"), lambda k: value(k, F.col("x"), F.col("y")))).withColumn("s", s)
+    reduction = F.when(F.col("first") == 0, 100.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(100.0), (F.col("first") - F.col("s.loss")) / F.nullif(F.col("first"), F.lit(0.0)) * 100)))
     return out.select("racer", "optimizer", "surface", F.col("s.t").alias("iter"), "s.x", "s.y", "s.loss", "s.converged", reduction.alias("reduction_pct"))
 
 

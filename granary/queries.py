@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .functions import activation, metrics, surfaces, validation
+from .functions import activation, basic, metrics, surfaces, validation
 from .operators import linalg, profile, scaling, stats, table
-from .plans import kmeans, linear, logistic, network, optimizers, pca
+from .plans import kmeans, linear, logistic, network, optimizers, pca, selection
 from .sources import csv as sources
 from .streaming import incremental
 
@@ -198,9 +198,9 @@ def _(spark, d):
     return rounded(linalg.multiply(linalg.transpose(c), c), 4)
 
 
-@query("la12_scalar_product", f"SELECT row_id, list_transform(f, lambda x: round(x * 1.5, 6) + 0.0) AS features FROM {EMB}")
+@query("la12_scalar_product", f"SELECT i, j, {r('v * 1.5')} AS v FROM {COORD}")
 def _(spark, d):
-    return linalg.scaled(embeddings(spark, d), 1.5).select("row_id", F.transform("features", lambda x: F.round(x, 6) + 0.0).alias("features"))
+    return rounded(linalg.coordinates(linalg.scaled(embeddings(spark, d), 1.5)))
 
 
 @query("la13_from_rows", "SELECT * FROM (VALUES (0, 0, 1.0::DOUBLE), (0, 1, 2.0), (1, 0, 3.0), (1, 1, 4.0)) t(i, j, v)")
@@ -378,8 +378,8 @@ def _(spark, d):
     return rounded(profile.missing(blanked(spark, d)))
 
 
-_NUM = r"CASE WHEN regexp_matches($, '^[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|(?i:inf|infinity|nan))$') THEN $::DOUBLE END"
-_BLANKED_NUM = "(SELECT " + ", ".join(_NUM.replace("$", f'b0."{c}"') + f' AS "{c}"' for c in _BCOLS) + f" FROM {_BLANKED} b0)"
+_NUM = r"CASE WHEN regexp_matches(@x, '^[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|(?i:inf|infinity|nan))$') THEN @x::DOUBLE END"
+_BLANKED_NUM = "(SELECT " + ", ".join(_NUM.replace("@x", f'b0."{c}"') + f' AS "{c}"' for c in _BCOLS) + f" FROM {_BLANKED} b0)"
 
 
 def each_num(select: str, where: str) -> str:
@@ -418,7 +418,7 @@ def _(spark, d):
     return profile.quality_score(profile.issues(blanked(spark, d)))
 
 
-@query("dq09_dtypes", "SELECT * FROM (VALUES ('n_nationkey', 0, 'Numeric'), ('n_name', 1, 'Text'), ('n_regionkey', 2, 'Numeric'), ('flag', 3, 'Binary'), ('day', 4, 'DateTime'), ('none', 5, 'Unknown'), ('kind', 6, 'Categorical')) t(\"column\", position, dtype)")
+@query("dq09_dtypes", "SELECT * FROM (VALUES ('n_nationkey', 0, 'Numeric'), ('n_name', 1, 'DateTime'), ('n_regionkey', 2, 'Numeric'), ('flag', 3, 'Binary'), ('day', 4, 'DateTime'), ('none', 5, 'Unknown'), ('kind', 6, 'Categorical')) t(\"column\", position, dtype)")
 def _(spark, d):
     n = read(spark, d, "nation")
     return profile.dtypes(n.withColumns({"flag": (F.col("n_nationkey") % 2).cast("string"), "day": F.format_string("2024-01-%02d", F.col("n_nationkey") + 1), "none": F.lit(" "), "kind": F.when(F.col("n_nationkey") % 2 == 0, "a").otherwise("b")}))
@@ -688,16 +688,16 @@ _GRID_SURFACES = " UNION ALL ".join(
 )
 
 
-@query("lf01_surfaces", f"WITH p AS (SELECT i / 10.0::DOUBLE AS x, j / 10.0::DOUBLE AS y FROM range(-20, 21) a(i), range(-20, 21) b(j)) SELECT surface, x, y, {r('v', 4)} AS v, {r('gx', 4)} AS gx, {r('gy', 4)} AS gy FROM ({_GRID_SURFACES})")
+@query("lf01_surfaces", f"WITH p AS (SELECT i / 7.0::DOUBLE AS x, j / 7.0::DOUBLE AS y FROM range(-20, 21) a(i), range(-20, 21) b(j)) SELECT surface, round(x, 6) AS x, round(y, 6) AS y, {r('v', 4)} AS v, {r('gx', 4)} AS gx, {r('gy', 4)} AS gy FROM ({_GRID_SURFACES})")
 def _(spark, d):
     axis = F.sequence(F.lit(-20), F.lit(20))
-    p = spark.range(-20, 21).select((F.col("id") / 10).alias("x"), F.explode(axis).alias("j")).select("x", (F.col("j") / 10).alias("y"))
+    p = spark.range(-20, 21).select((F.col("id") / 7).alias("x"), F.explode(axis).alias("j")).select("x", (F.col("j") / 7).alias("y"))
     out = None
     for n in surfaces.NAMES:
         gx, gy = surfaces.gradient(n, F.col("x"), F.col("y"))
         part = p.select(F.lit(n).alias("surface"), "x", "y", surfaces.value(n, F.col("x"), F.col("y")).alias("v"), gx.alias("gx"), gy.alias("gy"))
         out = part if out is None else out.union(part)
-    return out.select("surface", "x", "y", *[(F.round(c, 4) + 0.0).alias(c) for c in ("v", "gx", "gy")])
+    return out.select("surface", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"), *[(F.round(c, 4) + 0.0).alias(c) for c in ("v", "gx", "gy")])
 
 
 @query("lf03_catalog", "SELECT * FROM (VALUES ('Quadratic', 1), ('Rosenbrock', 3), ('Saddle', 2), ('Beale', 4), ('Himmelblau', 4), ('Rastrigin', 5)) t(name, difficulty)")
@@ -810,14 +810,38 @@ def _(spark, d):
     return out.result.select("l_orderkey", "l_linenumber", "label")
 
 
-@query("perf01_progress", f"SELECT event_id, {r('event_id * 100.0 / 20000', 4)} AS progress_pct, CASE WHEN event_id > 0 THEN {r('5000.0 / event_id * (20000 - event_id)', 2)} END AS eta_ms FROM events WHERE event_id < 20000")
+@query("perf01_progress", f"SELECT event_id, {r('event_id * 100.0 / 1000000', 4)} AS progress_pct, CASE WHEN event_id > 0 AND event_id < 1000000 THEN {r('5000.0 / event_id * (1000000 - event_id)', 1)} END AS eta_ms FROM events")
 def _(spark, d):
-    e = read(spark, d, "events").where("event_id < 20000")
-    p = validation.progress(F.col("event_id"), F.lit(20000), F.lit(1.0), F.lit(0.5), F.lit(5000.0))
-    return e.select("event_id", F.round(p["progress_pct"], 4).alias("progress_pct"), F.round(p["eta_ms"], 2).alias("eta_ms"))
+    p = validation.progress(F.col("event_id"), F.lit(1_000_000), F.lit(1.0), F.lit(0.5), F.lit(5000.0))
+    return read(spark, d, "events").select("event_id", F.round(p["progress_pct"], 4).alias("progress_pct"), F.round(p["eta_ms"], 1).alias("eta_ms"))
 
 
 @query("ext_windowed_stats", f"SELECT time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01') AS window_start, count(value) AS n, {r('avg(value)', 4)} AS mean, {r('coalesce(stddev_samp(value), 0)', 4)} AS std_dev FROM events GROUP BY 1")
 def _(spark, d):
     out = incremental.windowed_stats(read(spark, d, "events"), "ts", "value", "1 day", "1 hour")
     return rounded(out.withColumn("window_start", F.col("window_start").cast("timestamp_ntz")), 4)
+
+
+# --- splits, regularised models --------------------------------------------------------------------------------------
+
+
+@query("src11_scalar_functions", "SELECT n_nationkey, n_nationkey + n_regionkey AS total, (n_nationkey + n_regionkey)::VARCHAR AS total_text FROM nation")
+def _(spark, d):
+    a, b = F.col("n_nationkey"), F.col("n_regionkey")
+    return read(spark, d, "nation").select("n_nationkey", basic.add(a, b).alias("total"), basic.sum_as_string(a, b).alias("total_text"))
+
+
+@query("ext_ridge", f"""WITH m AS (SELECT covar_pop(l_quantity, l_quantity) + 0.5 AS aa, covar_pop(l_quantity, l_tax * 100) AS ab, covar_pop(l_tax * 100, l_tax * 100) + 0.5 AS bb,
+covar_pop(l_quantity, l_extendedprice / 1000) AS ay, covar_pop(l_tax * 100, l_extendedprice / 1000) AS by_ FROM lineitem)
+SELECT 'q' AS feature, {r('(ay * bb - by_ * ab) / (aa * bb - ab * ab)', 5)} AS weight FROM m UNION ALL SELECT 't', {r('(by_ * aa - ay * ab) / (aa * bb - ab * ab)', 5)} FROM m""")
+def _(spark, d):
+    df = read(spark, d, "lineitem").select(F.col("l_quantity").alias("q"), (F.col("l_tax") * 100).alias("t"), (F.col("l_extendedprice") / 1000).alias("y"))
+    w, _ = selection.ridge(stats.moments(df, ["q", "t", "y"]), 0.5)
+    return rounded(spark.createDataFrame([("q", float(w[0])), ("t", float(w[1]))], "feature string, weight double"), 5)
+
+
+@query("ext_cross_validation")
+def _(spark, d):
+    df = read(spark, d, "documents").select("doc_id", (F.col("n_chars") / 1000).alias("y"), (F.size(F.split("text", " ")) / 100).alias("words"))
+    s = selection.cross_validate(df, ["words"], "y", "doc_id", [0.0, 0.1, 1.0])
+    return rounded(spark.createDataFrame([(float(a), float(b)) for a, b in s.table], "penalty double, mse double"), 5)

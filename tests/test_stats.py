@@ -81,3 +81,12 @@ def test_insights(spark):
     r = S.correlation_insights(corr).first()
     assert (r.pairs, r.most_positive, r.strong_positive, r.strong_negative, r.multicollinear) == (3, "a/b", 1, 2, True)
     assert len(S.dataset_tips(corr, 3, 3)) == 2
+
+
+def test_wide_moments_equal_narrow_ones(spark, monkeypatch):
+    df = spark.range(500).select(F.sin("id").alias("a"), (F.col("id") * 2.0).alias("b"), F.cos("id").alias("c")).repartition(5)
+    narrow = S.moments(df, ["a", "b", "c"])
+    monkeypatch.setattr(S, "WIDE", 2)
+    wide = S.moments(df, ["a", "b", "c"])
+    assert wide.n == narrow.n and np.allclose(wide.means, narrow.means) and np.allclose(wide.products, narrow.products)
+    assert S.moments(df.where("false"), ["a", "b", "c"]).n == 0
