@@ -49,12 +49,12 @@ def test_moments_descent_equals_row_descent(spark):
 def test_logistic(spark):
     rows = [(1.0, 2.0, 0), (2.0, 1.0, 0), (1.5, 1.5, 0), (6.0, 5.0, 1), (7.0, 7.0, 1), (6.5, 6.0, 1)]
     df = spark.createDataFrame(rows, "a double, b double, y int")
-    m = logistic.LogisticRegression(0.1, 300, 1e-6).fit(df, ["a", "b"], "y")
+    m = logistic.LogisticRegression(0.3, 60, 1e-6).fit(df, ["a", "b"], "y")
     assert [r.prediction for r in m.predict(df).collect()] == [0, 0, 0, 1, 1, 1]
-    shifted = logistic.LogisticRegression(0.1, 100, 1e-6).fit(df.withColumn("y", F.col("y") + 1), ["a", "b"], "y")
+    shifted = logistic.LogisticRegression(0.3, 60, 1e-6).fit(df.withColumn("y", F.col("y") + 1), ["a", "b"], "y")
     assert [r.prediction for r in shifted.predict(df).collect()] == [0, 0, 0, 1, 1, 1]
     three = spark.createDataFrame([(0.0, 0.0, 0), (0.5, 0.0, 0), (5.0, 0.0, 1), (5.5, 0.0, 1), (0.0, 5.0, 2), (0.5, 5.0, 2)], "a double, b double, y int")
-    m3 = logistic.LogisticRegression(0.3, 200, 1e-6).fit(three, ["a", "b"], "y")
+    m3 = logistic.LogisticRegression(0.5, 60, 1e-6).fit(three, ["a", "b"], "y")
     out = m3.predict(m3.predict_proba(three)).collect()
     assert [r.prediction for r in out] == [0, 0, 1, 1, 2, 2] and all(sum(r.probabilities) == pytest.approx(1) for r in out)
     with pytest.raises(MLError, match="Need at least 2 classes"):
