@@ -249,7 +249,9 @@ def hamming_links(points: DataFrame, distance: int = 3) -> DataFrame:
                 key, row, own = golay_keys(part, golay)
                 yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[row]), pa.array(own)], names=["key", "fp", "own"])
 
-    found = materialise(_searched(points.select("fp").mapInArrow(post, "key long, fp long, own boolean"), distance))
+    # few bytes here become many: a number of tasks is asked for, so that they aren't drawn together by size
+    spread = points.select("fp").repartition(int(points.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")
+    found = materialise(_searched(spread.mapInArrow(post, "key long, fp long, own boolean"), distance))
     links, rest = found.where("v is not null").select("u", "v"), found.where("v is null")
     sizes = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(GROUP_ROWS // 2)).cast("int").alias("blocks"))
     if not rest.isEmpty():
