@@ -8,7 +8,7 @@ from granary.llm import sharding as S
 from .helpers import ODD, clashing, documents
 
 
-@pytest.mark.parametrize("slice_rows", [20_000, 7])
+@pytest.mark.parametrize("slice_rows", [2_000, 7])
 def test_shards(spark, monkeypatch, slice_rows):
     monkeypatch.setattr(S, "SLICE_ROWS", slice_rows)
     texts = ODD + [f"text {i % 50}" for i in range(500)]
