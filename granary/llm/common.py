@@ -28,12 +28,6 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def let(value, body):
-    """Bind ``value`` once for ``body``: a lambda over a one-element array, so that a column expression that is used
-    several times below is evaluated one time only and stays in one projection."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def words(text):
     """The words (runs of other than ASCII white space) of a text column; a null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")

@@ -432,17 +432,17 @@ def _same(left: DataFrame, right: DataFrame):
 
 def _keyed(docs: DataFrame) -> DataFrame:
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.cast("binary").alias("text")).withColumn("th", F.xxhash64("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.cast("binary").alias("text")).withColumns({"th": F.xxhash64("text"), "th2": F.xxhash64(F.lit("copy"), "text")})
 
 
 def repeated_intervals(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(copies, intervals): texts (th) that several rows have, ``rows`` many; and for the others ``doc_id, th, a, b``,
+    """(copies, intervals): texts (by two 64-bit hashes) that several rows have, ``rows`` many; and for the others ``doc_id, th, a, b``,
     the starts a to b being repeated."""
     texts = _keyed(docs)
     copies = materialise(
-        texts.where(F.octet_length("text") >= LENGTH).groupBy("th").agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("least")).where("rows > 1").withColumnRenamed("th", "_th")
+        texts.where(F.octet_length("text") >= LENGTH).groupBy(F.col("th").alias("_th"), F.col("th2").alias("_th2")).agg(F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("least")).where("rows > 1")
     )
-    one = texts.where(F.octet_length("text") >= LENGTH).join(_small(copies), F.col("th") == F.col("_th"), "left").where("rows IS NULL OR doc_id <=> least")
+    one = texts.where(F.octet_length("text") >= LENGTH).join(_small(copies), (F.col("th") == F.col("_th")) & (F.col("th2") == F.col("_th2")), "left").where("rows IS NULL OR doc_id <=> least")
     found = (
         one.select("doc_id", "text", "th", F.when(F.col("rows") > 1, 2).otherwise(1).alias("weight"))
         .mapInArrow(_emit_runs, RUN)
@@ -498,9 +498,9 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     copies, intervals = repeated_intervals(docs)
     texts = _keyed(docs)
     marks = materialise(intervals.groupBy(F.col("doc_id").alias("_doc"), F.col("th").alias("_th")).agg(F.collect_list(F.struct("a", "b")).alias("starts")).mapInArrow(_joined, MARK))
-    copied = copies.select(F.col("_th").alias("_copy"), F.lit(True).alias("whole"))
+    copied = copies.select(F.col("_th").alias("_copy"), F.col("_th2").alias("_copy2"), F.lit(True).alias("whole"))
     n = F.octet_length("text")
-    rows = texts.join(_small(marks, "starts"), _same(texts, marks), "left").join(_small(copied), (F.col("th") == F.col("_copy")) & (n >= LENGTH), "left")
+    rows = texts.join(_small(marks, "starts"), _same(texts, marks), "left").join(_small(copied), (F.col("th") == F.col("_copy")) & (F.col("th2") == F.col("_copy2")) & (n >= LENGTH), "left")
     plain = F.col("starts").isNull() & F.col("whole").isNull()
     rows = rows.select(
         "doc_id", n.cast("long").alias("n_bytes"), F.coalesce("whole", F.lit(False)).alias("whole"), "starts",
