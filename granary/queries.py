@@ -573,7 +573,15 @@ def _(spark, d):
     return rounded(m.predict(data).agg(metrics.training_accuracy("quality", "prediction").alias("accuracy")), 4)
 
 
-@query("cls04_fit_multiclass")
+_OVR = "WITH x AS (SELECT label, embedding[1:8]::DOUBLE[] AS f FROM embeddings), p0 AS (SELECT DISTINCT label AS k, list_transform(range(8), lambda z: 0.0::DOUBLE) AS w, 0.0::DOUBLE AS b FROM x)" + "".join(
+    f", p{i + 1} AS (SELECT k, [{', '.join(f'any_value(w)[{j}] - 0.5 * avg(e * f[{j}])' for j in range(1, 9))}] AS w, any_value(b) - 0.5 * avg(e) AS b"
+    f" FROM (SELECT k, w, b, f, 1 / (1 + exp(-(list_dot_product(w, f) + b))) - (label = k)::INT AS e FROM x, p{i}) GROUP BY k)"
+    for i in range(5)
+)
+_OVR += f" SELECT (dense_rank() OVER (ORDER BY k) - 1)::INT AS model, feature, {r('weight', 5)} AS weight FROM (SELECT k, unnest(['f0', 'f1', 'f2', 'f3', 'f4', 'f5', 'f6', 'f7', '(bias)']) AS feature, unnest(list_append(w, b)) AS weight FROM p5)"
+
+
+@query("cls04_fit_multiclass", _OVR)
 def _(spark, d):
     e = embeddings(spark, d).select("label", *[F.col("features")[j].alias(f"f{j}") for j in range(8)])
     return rounded(logistic.LogisticRegression(0.5, 5, 1e-12).fit(e, [f"f{j}" for j in range(8)], "label").table(spark), 5)
@@ -756,10 +764,10 @@ def _(spark, d):
     return rounded(optimizers.distance_to_minimum(optimizers.finals(raced(spark), _RACE_N)).select("racer", "surface", "distance"), 4)
 
 
-@query("race01_trajectories")
+@query("race01_trajectories", _RACE_SQL.rpartition(",\ne AS")[0] + f" SELECT racer, optimizer, surface, it::INT AS iter, {r('x', 5)} AS x, {r('y', 5)} AS y, {r(_CASE(0), 4)} AS loss, {_CASE(0)} < 1e-6 AS converged FROM f WHERE it > 0 AND it % 10 = 0")
 def _(spark, d):
-    t = optimizers.trajectories(raced(spark), 100, 10)
-    return t.select("racer", "optimizer", "surface", "iter", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"), F.round("loss", 4).alias("loss"), "converged")
+    t = optimizers.trajectories(raced(spark), _RACE_N, 10)
+    return t.select("racer", "optimizer", "surface", "iter", *[(F.round(c, k) + 0.0).alias(c) for c, k in (("x", 5), ("y", 5), ("loss", 4))], "converged")
 
 
 # --- metrics, validation, configuration ------------------------------------------------------------------------------
