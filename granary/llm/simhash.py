@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import jaccard
 from .common import materialise
 from .components import connected_components
 
@@ -295,15 +296,17 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3) -> DataF
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents, one (that of smallest doc_id) of each near-duplicate group; same columns.
+    """The documents, one (that of smallest doc_id) of each group of near copies; same columns.
 
-    Rows without a doc_id can't be told apart from each other and are kept.  If rows repeat a doc_id that stays, one
-    of them stays.
+    Near copies are texts whose five-word shingles have a Jaccard similarity of 0.8 or more (see ``jaccard``); the
+    three words and three bits of ``near_duplicates`` play no part.  Rows without a doc_id can't be told apart from
+    each other and are kept.  If rows repeat a doc_id that stays, one of them stays.
     """
-    near = materialise(near_duplicates(docs))
-    stay = near.where("doc_id = component_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    near = materialise(jaccard.components(docs))
+    least = near.groupBy("component").agg(F.min("doc_id").alias("least"))
+    stay = near.join(least, "component").where("doc_id = least").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
     repeated = not stay.where("n > 1").isEmpty()
-    kept = docs.join(stay.select(F.col("doc_id").alias("_stay")), docs.doc_id == F.col("_stay"), "left_semi")
+    kept = docs.join(stay, docs["doc_id"] == stay["doc_id"], "left_semi")
     if repeated:
         kept = kept.dropDuplicates(["doc_id"])
     return kept.unionByName(docs.where("doc_id is null"))
