@@ -80,15 +80,32 @@ RULES = (
     _rule("MIT", "mit license"),
     _rule("BSD", "released under the bsd"),
 )
-#: A sentence ends at a line's end, or at full stops and the like before white space.
+#: The SQL's pieces end at a line's end, or at full stops and the like before white space.
 SENTENCE_END = r"[.!?:;]+[\x20\x09-\x0D]+|[\x0A\x0D]+"
+#: Marks put into a text, in this order: ``#`` where a sentence ends (lines without a letter or digit, such as blank
+#: comment lines; full stops, but not that of "v. 2.0"), ``|`` where one may end or go on (line ends, colons,
+#: semicolons).  Comment marks are no letters and fall out with other punctuation.
+MARKS = (
+    (r"(?>\r\n|\r|\n)[^A-Za-z0-9\r\n]*+[\r\n][^A-Za-z0-9]*+", " # "),
+    (r"(?<![A-Za-z0-9])([Vv])\.[\x20\x09-\x0D]+(?=[0-9])", "$1 | "),
+    (r"(?<![.!?:;])[:;]*+[.!?][.!?:;]*+[\x20\x09-\x0D]+", " # "),
+    (r"(?<![:;])[:;]++[\x20\x09-\x0D]+|[\r\n]+", " | "),
+    ("[^A-Za-z0-9|#]+", " "),
+)
+#: A known sentence between two marks, the longest first; it may run over ``|`` marks.
+_LONGEST = sorted(SENTENCES, key=lambda s: -len(s.split()))
+KNOWN = "(?<=[|#] )(?:" + "|".join(s.replace(" ", r" (?:[|] )*+") for s in _LONGEST) + ")(?= [|#])"
 
 
 def sentence_ids(text: Column) -> Column:
-    """Identifiers of the recognised sentences, in order."""
+    """Identifiers of the recognised sentences, in order; sentences may be wrapped over lines and comment marks."""
     known = F.array(*[F.lit(s) for s in SENTENCES])
-    plain = F.transform(F.split(text, SENTENCE_END), lambda s: F.lower(F.trim(F.regexp_replace(s, "[^A-Za-z0-9]+", " "))))
-    return F.filter(F.transform(plain, lambda s: F.array_position(known, s).cast("int")), lambda i: i > 0)
+    marked = F.translate(text, "|#", "--")
+    for pattern, mark in MARKS:
+        marked = F.regexp_replace(marked, pattern, mark)
+    marked = F.concat(F.lit("# "), F.lower(F.trim(marked)), F.lit(" #"))
+    found = F.regexp_extract_all(marked, F.lit(KNOWN), F.lit(0))
+    return F.transform(found, lambda s: F.array_position(known, F.regexp_replace(s, "[|] ", "")).cast("int"))
 
 
 def scan(docs: DataFrame) -> DataFrame:

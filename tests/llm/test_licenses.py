@@ -17,3 +17,64 @@ def test_rules(spark):
 
 def test_empty_table(spark):
     assert L.scan(documents(spark, [])).count() == 0
+
+
+MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software."""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions."""
+GPL3 = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU General Public License for more details."""
+GPL2 = GPL3.replace("software:", "software;").replace("Foundation,", "Foundation;").replace("version 3", "version 2")
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution."""
+ISC = """Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies."""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+
+
+def test_wrapped_texts(spark):
+    standard = {"MIT": MIT, "Apache-2.0": APACHE, "GPL-3.0-or-later": GPL3, "GPL-2.0-or-later": GPL2, "BSD-2-Clause": BSD, "ISC": ISC, "MPL-2.0": MPL}
+    layouts = [lambda t: t, lambda t: "x\r\n\r\n" + t.replace("\n", "\r\n") + "\r\n\r\ny"] + [lambda t, m=m: "\n".join(m + line for line in t.split("\n")) for m in ("# ", "// ", " * ")]
+    cases = [(name, lay(t)) for name, t in standard.items() for lay in layouts]
+    cases += [(None, "the\n\nmit license is good"), (None, "a license\n" * 3), (None, "license" + "\n" * 50_000 + ":" * 50_000)]
+    rows = sorted(L.scan(documents(spark, [t for _, t in cases])).collect())
+    assert [r.license for r in rows] == [name for name, _ in cases]
+
+
+def test_every_rule_is_reached(spark):
+    texts = ["\n\n".join(" ".join(w[:2]) + "\n" + " ".join(w[2:]) for w in (L.SENTENCES[i - 1].split() for i in ids)) for _, ids in L.RULES]
+    rows = sorted(L.scan(documents(spark, texts)).collect())
+    assert [r.sentence_ids for r in rows] == [",".join(map(str, ids)) for _, ids in L.RULES]
