@@ -16,18 +16,55 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder the cluster names.
+def free(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have: the given one, with as many underscores before it as that takes."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see: ``spark.checkpoint.dir``.
 
-    ``spark.checkpoint.dir`` is what the session already has on a cluster; only where nothing is set (tests on one
-    machine) a temporary folder is taken.
+    Only where nothing is set, on one machine (as in tests), a temporary folder is taken.
     """
-    spark = df.sparkSession
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="granary-checkpoint-"))
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="granary-checkpoint-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
+
+
+def materialise(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+#: Rows of a key up to which they are brought together for a join; more in tables so large that over HEAVY_KEYS keys
+#: could have as many.
+HEAVY_ROWS, HEAVY_KEYS = 1_000, 100_000
+
+
+def join_each(rows: DataFrame, keyed: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """``rows`` joined by ``key`` to a table with one row for each key, where column ``n`` (dropped) counts its rows.
+
+    Rows of frequent keys stay where they are and their keys are broadcast: HEAVY_KEYS at most, as each has its share
+    of the ``total`` rows (or fewer).
+    """
+    if total <= HEAVY_ROWS:
+        return rows.join(keyed.drop(n), key)
+    limit = max(HEAVY_ROWS, total // HEAVY_KEYS)
+    heavy = F.broadcast(keyed.where(F.col(n) > limit).drop(n))
+    rare = keyed.where(F.col(n) <= limit).drop(n)
+    return rows.join(heavy, key).unionByName(rows.join(heavy.select(key), key, "left_anti").join(rare, key))
+
+
 def words(text):
     """The words (runs of other than ASCII white space) of a text column; a null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import join_each, materialise
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -15,18 +15,18 @@ def _signature(edges: DataFrame) -> tuple:
 def connected_components(edges: DataFrame) -> DataFrame:
     """``edges(u, v)`` (long) to ``(node, root)``: root is the smallest node that can be reached.
 
-    Minima are partial aggregates and joins are on the node, so a hub's neighbours never meet in one buffer; the
-    number of rounds grows with the logarithm of the longest path.  Every round is checkpointed.  Nodes without an
+    Minima are partial aggregates, and a hub's minimum is broadcast to its edges (``join_each``), so a hub's neighbours
+    never meet in one task; the number of rounds grows with the logarithm of the longest path.  Every round is checkpointed.  Nodes without an
     edge are not returned.  Loops and repeated edges are ignored.
     """
     edges = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     before = _signature(edges)
     while before[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        pairs = large.join(least, "u")
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") > F.col("u")).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = join_each(both.where("v > u"), low, "u", "n", before[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n"))
+        pairs = join_each(large, least, "u", "n", before[0])
         small = pairs.select("u", F.col("m").alias("v")).unionByName(
             pairs.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         )

@@ -1,12 +1,18 @@
-"""Near copies by the Jaccard similarity of word shingles: MinHash bands propose pairs, shingle sets decide.
+"""Near copies by the Jaccard similarity of word shingles: SimHash groups and MinHash bands propose, shingle sets decide.
 
-Texts of one shingle set are one point.  A point's MinHashes (BANDS times ROWS) are posted band by band; a pair at
-similarity s shares a band with probability 1 - (1 - s^ROWS)^BANDS, 0.999997 at 0.8.  Pairs that share a band and
-agree in FLOOR of the MinHashes at least are compared by their shingle sets (as 64-bit hashes).
+Texts of one shingle set are one point.  Two things propose pairs of points:
 
-So that a dense group doesn't cost the square of its size, the members of a band are first compared along two random
-trees, in which nobody has more than ARITY children.  After that, only pairs of one band whose ends lie in different
-components are left, and all of those are compared.
+* The 64-bit SimHash of the shingle set: points whose fingerprints are linked by the Golay search of ``simhash`` (3
+  bits) share a key.  At a similarity of 0.8 two fingerprints differ in some ten bits, so this finds the closer copies
+  only; a search that wide would take over a thousand Golay keys a text (figures in the README).
+* MinHashes (BANDS times ROWS), posted band by band, for the rest: a pair at similarity s shares a band with
+  probability 1 - (1 - s^ROWS)^BANDS, 0.999997 at 0.8.
+
+Pairs that share a key and agree in FLOOR of the MinHashes at least are compared by their shingle sets (as 64-bit
+hashes).  So that a dense group doesn't cost the square of its size, the members of a key are first compared along two
+random trees, in which nobody has more than ARITY children.  After that, only pairs of one key whose ends lie in
+different components are left, and all of those are compared.  Keys of over BLOCK_ROWS members are cut into blocks, for
+the trees by chance twice over, for what is left so that every pair of blocks meets.
 """
 
 from __future__ import annotations
@@ -18,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from . import simhash
+from .common import free, join_each, materialise
 from .components import connected_components
 
 WIDTH = 5
@@ -28,9 +35,11 @@ BANDS, ROWS = 24, 4
 #: Estimated similarity under which a pair isn't compared (5.6 standard errors below 0.8 and more).
 FLOOR = 0.55
 ARITY = 8
+#: Members of one key that one task compares with each other.
+BLOCK_ROWS = 20_000
 SEED = 42
 CHUNK = 1024  # shingles that are permuted at once
-#: Wanted texts are looked up by a broadcast up to so many points, and by a shuffle beyond that.
+#: Tables of two or three longs are broadcast up to so many rows (12 MB), and shuffled beyond that.
 BROADCAST_ROWS = 500_000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _RNG = np.random.default_rng(SEED)
@@ -58,6 +67,19 @@ def point_of(hashes: np.ndarray) -> int:
     return int(np.uint64(xxh3_64_intdigest(hashes.tobytes(), SEED)).astype(np.int64))
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """SimHash of a shingle set, as a signed long; 0 without shingles."""
+    ones = np.zeros(64, dtype=np.int64)
+    for at in range(0, len(hashes), simhash.CHUNK):
+        part = np.ascontiguousarray(hashes[at : at + simhash.CHUNK]).view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+
+
+def small(df: DataFrame) -> DataFrame:
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def minhashes(hashes: np.ndarray) -> np.ndarray:
     low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, dtype=np.uint64)
     for at in range(0, len(hashes), CHUNK):
@@ -73,27 +95,28 @@ def near_copies(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def prints(docs: DataFrame) -> DataFrame:
-    """``doc_id, t, point, bands, sig`` for each row: t is the text's hash, sig a byte of each MinHash."""
+    """``doc_id, t, point, fp, bands, sig`` for each row: t is the text's hash, sig a byte of each MinHash."""
 
     def run(batches):
         from xxhash import xxh3_64_intdigest
 
         for b in batches:
-            points, bands, sigs = [], [], []
+            points, fps, bands, sigs = [], [], [], []
             for text in b.column(2):
                 hashes = shingle_set(text.as_py())
                 low = minhashes(hashes)
                 points.append(point_of(hashes))
+                fps.append(fingerprint(hashes))
                 keys = [xxh3_64_intdigest(low[at : at + ROWS].tobytes(), at) for at in range(0, len(low), ROWS)] if len(hashes) else []
                 bands.append(np.array(keys, dtype=np.uint64).view(np.int64))
                 sigs.append(low.astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(points, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
-                names=["doc_id", "t", "point", "bands", "sig"],
+                [b.column(0), b.column(1), pa.array(points, pa.int64()), pa.array(fps, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sigs, pa.binary())],
+                names=["doc_id", "t", "point", "fp", "bands", "sig"],
             )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("t"), F.col("text").cast("binary").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, t long, point long, bands array<long>, sig binary")
+    return rows.mapInArrow(run, "doc_id long, t long, point long, fp long, bands array<long>, sig binary")
 
 
 def _matrix(column) -> np.ndarray:
@@ -150,19 +173,17 @@ def tree_pairs(key: np.ndarray, point: np.ndarray, sig: np.ndarray) -> tuple[np.
     return np.concatenate(a), np.concatenate(b)
 
 
-def cross_pairs(key: np.ndarray, point: np.ndarray, sig: np.ndarray, root: np.ndarray):
-    """All alike pairs of members of each key (rows sorted by key) with different roots, some at a time."""
+def cross_pairs(key: np.ndarray, point: np.ndarray, sig: np.ndarray, root: np.ndarray, seeks: np.ndarray):
+    """All alike pairs of a seeking and another member of each key (rows sorted by key) with different roots, some at
+    a time."""
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     for s, n in zip(first, np.diff(np.r_[first, len(key)])):
-        r = root[s : s + n]
-        kinds, kind, count = np.unique(r, return_inverse=True, return_counts=True)
-        largest = count.argmax()
-        kind = np.where(kind == largest, len(kinds), kind)  # nobody of the largest component need look out
-        for i in np.flatnonzero(kind < len(kinds)):
-            j = np.flatnonzero(kind > kind[i])
-            j = j[_alike(sig[s : s + n], np.full(len(j), i), j)]
+        others = s + np.flatnonzero(~seeks[s : s + n])
+        for i in s + np.flatnonzero(seeks[s : s + n]):
+            j = others[root[others] != root[i]]
+            j = j[_alike(sig, np.full(len(j), i), j)]
             if len(j):
-                yield np.full(len(j), point[s + i]), point[s + j]
+                yield np.full(len(j), point[i]), point[j]
 
 
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -188,41 +209,85 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([point_of(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["point", "hashes"])
 
     texts = docs.select(F.xxhash64(F.col("text").cast("string")).alias("t"), F.col("text").cast("binary").alias("text"))
-    small = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    return texts.join(small, "t", "left_semi").select("text").mapInArrow(run, "point long, hashes binary").dropDuplicates(["point"])
+    return texts.join(small(wanted), "t", "left_semi").select("text").mapInArrow(run, "point long, hashes binary").dropDuplicates(["point"])
 
 
-def _roots(docs: DataFrame, rows: DataFrame) -> DataFrame:
-    """``(node, root)`` of the points that have near copies."""
-    points = rows.dropDuplicates(["point"]).select(F.explode("bands").alias("key"), "point", "sig")
+def _simhash_keys(points: DataFrame, total: int) -> DataFrame:
+    """``key, point, sig``: a key for each group of linked fingerprints that more than one point has."""
+    fps = points.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
+    roots = connected_components(simhash.hamming_links(fps))
+    named = fps.join(roots, fps.fp == roots.node, "left").select("fp", "n", F.coalesce("root", "fp").alias("root"))
+    groups = named.groupBy("root").agg(F.sum("n").alias("points"), F.count(F.lit(1)).alias("fps")).where("points > 1").drop("points")
+    keyed = materialise(join_each(named, groups, "root", "fps", total).select("fp", "n", F.xxhash64(F.lit("simhash"), "root").alias("key")))
+    return join_each(points.select("fp", "point", "sig"), keyed, "fp", "n", total).select("key", "point", "sig")
 
-    def first(batches):
-        for key, point, sig in _whole_keys(batches, lambda b: [b.column(0).to_numpy(), b.column(1).to_numpy(), _matrix(b.column(2))]):
-            same = key[1:] == key[:-1]
-            keep = np.r_[False, same] | np.r_[same, False]
-            key, point, sig = key[keep], point[keep], sig[keep]
+
+def _along_trees(posted: DataFrame) -> DataFrame:
+    """Posts of shared keys (``key, point, sig``), and the pairs (``u, v``) of their trees; a row is one or the other."""
+
+    def run(batches):
+        read = lambda b: [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)] + [_matrix(b.column(4))]
+        none = lambda n, kind: pa.nulls(n, kind)
+        names = ["key", "point", "sig", "u", "v"]
+        for block, key, point, deal, sig in _whole_keys(batches, read):
+            same = block[1:] == block[:-1]
+            keep = np.r_[False, same] | np.r_[same, False] | (deal > 0)
+            block, key, point, deal, sig = block[keep], key[keep], point[keep], deal[keep], sig[keep]
             if not len(key):
                 continue
-            u, v = tree_pairs(key, point, sig)
-            none = lambda n, kind: pa.nulls(n, kind)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(point), pa.array([s.tobytes() for s in sig], pa.binary()), none(len(key), pa.int64()), none(len(key), pa.int64())], names=["key", "point", "sig", "u", "v"])
-            yield pa.RecordBatch.from_arrays([none(len(u), pa.int64()), none(len(u), pa.int64()), none(len(u), pa.binary()), pa.array(u), pa.array(v)], names=["key", "point", "sig", "u", "v"])
+            u, v = tree_pairs(block, point, sig)
+            once = deal < 2
+            n, of = int(once.sum()), pa.array([s.tobytes() for s in sig[once]], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(key[once]), pa.array(point[once]), of, none(n, pa.int64()), none(n, pa.int64())], names=names)
+            yield pa.RecordBatch.from_arrays([none(len(u), pa.int64()), none(len(u), pa.int64()), none(len(u), pa.binary()), pa.array(u), pa.array(v)], names=names)
+
+    frequent = materialise(posted.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).alias("blocks")).where("blocks > 1"))
+    # deal 0: a key that fits; deals 1 and 2: a large key's members, dealt into blocks twice
+    dealt = posted.join(small(frequent), "key", "left").withColumn("deal", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.array(F.lit(1), F.lit(2)))))
+    block = F.when(F.col("deal") == 0, F.col("key")).otherwise(F.xxhash64("key", "deal", F.pmod(F.xxhash64("point", "deal"), "blocks")))
+    dealt = dealt.select(block.alias("block"), "key", "point", "deal", "sig")
+    return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(run, "key long, point long, sig binary, u long, v long")
+
+
+def _left_over(shared: DataFrame, roots: DataFrame, total: int) -> DataFrame:
+    """``(u, v)``: all alike pairs of one key whose ends have different roots.
 
-    def second(batches):
-        for cols in _whole_keys(batches, lambda b: [b.column(0).to_numpy(), b.column(1).to_numpy(), _matrix(b.column(2)), b.column(3).to_numpy()]):
+    Members outside a key's largest component look for partners among all its members.
+    """
+
+    def run(batches):
+        read = lambda b: [b.column(i).to_numpy(zero_copy_only=False) for i in range(2)] + [_matrix(b.column(2)), *(b.column(i).to_numpy(zero_copy_only=False) for i in (3, 4))]
+        for cols in _whole_keys(batches, read):
             for u, v in cross_pairs(*cols):
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    met = materialise(points.repartition("key").sortWithinPartitions("key").mapInArrow(first, "key long, point long, sig binary, u long, v long"))
+    labelled = shared.join(roots, shared.point == roots.node, "left").select("key", "point", "sig", F.coalesce("root", "point").alias("root"))
+    kinds = labelled.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
+    kinds = kinds.groupBy("key").agg(F.max(F.struct("c", "root")).alias("main"), F.sum("c").alias("members"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    blocks = lambda n: F.ceil(n / F.lit(BLOCK_ROWS)).cast("int")
+    mixed = materialise(kinds.select("key", F.col("main.root").alias("main"), "members", blocks(F.col("members")).alias("mb"), blocks(F.col("members") - F.col("main.c")).alias("ob")))
+    rows = join_each(labelled, mixed, "key", "members", total)
+    of = lambda n: F.pmod(F.xxhash64("point", n), n)
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    found = rows.withColumn("m", of("mb")).withColumn("o", every("ob")).withColumn("seeks", F.lit(False))
+    seeks = rows.where("root <> main").withColumn("o", of("ob")).withColumn("m", every("mb")).withColumn("seeks", F.lit(True))
+    cols = [F.xxhash64("key", F.col("o").cast("long"), F.col("m").cast("long")).alias("block"), "point", "sig", "root", "seeks"]
+    both = found.select(*cols).unionByName(seeks.select(*cols))
+    return both.repartition("block").sortWithinPartitions("block").mapInArrow(run, "u long, v long")
+
+
+def _roots(docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """``(node, root)`` of the points that have near copies."""
+    points = materialise(rows.dropDuplicates(["point"]).select("point", "fp", "bands", "sig"))
+    total = points.count()
+    posted = points.select(F.explode("bands").alias("key"), "point", "sig").unionByName(_simhash_keys(points, total))
+    met = materialise(_along_trees(posted))
     shared, pairs = met.where("key is not null").select("key", "point", "sig"), met.where("key is null").select("u", "v")
     wanted = materialise(rows.join(shared.select("point").distinct(), "point", "left_semi").groupBy("point").agg(F.min("t").alias("t")).select("t"))
     sets = materialise(_sets(docs, wanted))
     links = materialise(_links(pairs, sets))
     roots = connected_components(links)
-    labelled = shared.join(roots, shared.point == roots.node, "left").select("key", "point", "sig", F.coalesce("root", "point").alias("root"))
-    mixed = labelled.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-    left = labelled.join(mixed, "key", "left_semi").repartition("key").sortWithinPartitions("key")
-    more = materialise(_links(left.mapInArrow(second, "u long, v long"), sets))
+    more = materialise(_links(_left_over(shared, roots, (BANDS + 1) * total), sets))
     return roots if more.isEmpty() else connected_components(links.unionByName(more))
 
 
@@ -234,3 +299,31 @@ def components(docs: DataFrame) -> DataFrame:
     rows = materialise(prints(docs))
     roots = _roots(docs, rows)
     return rows.join(roots, rows.point == roots.node, "left").select("doc_id", "t", F.coalesce("root", "point").alias("component"))
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The documents, one of each group of near copies; same columns.
+
+    Near copies are texts whose five-word shingles have a Jaccard similarity of 0.8 or more; the fingerprints' groups
+    are a part of what proposes them.  Of a group the row of smallest doc_id stays (null ids are
+    larger than any), of those the one of least text hash; of rows equal in both any one.  Null, empty and white texts
+    are one group; an empty table gives no rows.
+    """
+    rows = materialise(components(docs))
+    total = rows.count()
+    rows = rows.groupBy("component", "doc_id", "t").agg(F.count(F.lit(1)).alias("n"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t"))
+    best = rows.groupBy("component").agg(first.alias("best"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("rows"))
+    best = materialise(best.where("rows > 1"))
+    twice = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("t") == F.col("best.t"))
+    # rows of groups of one need no look: what is left are copies, which go unless they are the best of their group
+    copies = materialise(join_each(rows, best.select("component", "best", "size"), "component", "size", total).withColumn("stays", twice).where("n > 1 OR NOT stays"))
+    doc, text = free(docs, "_doc"), free(docs, "_text")
+    keys = copies.select(F.col("doc_id").alias(doc), F.col("t").alias(text), "stays")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(F.col("text").cast("string")) == F.col(text))
+    kept = docs.join(small(keys.drop("stays")), same, "left_anti")
+    again = keys.where("stays").drop("stays")
+    if again.isEmpty():
+        return kept
+    hashed = docs.join(small(again), same).dropDuplicates([doc, text])
+    return kept.unionByName(hashed.drop(doc, text))

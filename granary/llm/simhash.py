@@ -19,8 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import jaccard
-from .common import materialise
+from .common import HEAVY_ROWS, join_each, materialise
 from .components import connected_components
 
 SEED = 42
@@ -287,26 +286,11 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3) -> DataF
     returned, with the smallest doc_id of their group (null if it has none).
     """
     prints = materialise(fingerprints(docs, width))
-    points = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    points = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
+    total = points.agg(F.sum("n")).first()[0] or 0
     roots = connected_components(hamming_links(points, distance))
-    named = points.join(roots, points.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    lowest = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    groups = named.join(lowest, "root").select("fp", "component_id")
-    return prints.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents, one (that of smallest doc_id) of each group of near copies; same columns.
-
-    Near copies are texts whose five-word shingles have a Jaccard similarity of 0.8 or more (see ``jaccard``); the
-    three words and three bits of ``near_duplicates`` play no part.  Rows without a doc_id can't be told apart from
-    each other and are kept.  If rows repeat a doc_id that stays, one of them stays.
-    """
-    near = materialise(jaccard.components(docs))
-    least = near.groupBy("component").agg(F.min("doc_id").alias("least"))
-    stay = near.join(least, "component").where("doc_id = least").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
-    repeated = not stay.where("n > 1").isEmpty()
-    kept = docs.join(stay, docs["doc_id"] == stay["doc_id"], "left_semi")
-    if repeated:
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where("doc_id is null"))
+    named = points.join(roots, points.fp == roots.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+    lowest = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("points"))
+    groups = join_each(named, lowest, "root", "points", total).select("fp", "component_id", "n")
+    groups = materialise(groups) if total > HEAVY_ROWS else groups
+    return join_each(prints, groups, "fp", "n", total).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

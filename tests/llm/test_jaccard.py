@@ -53,7 +53,7 @@ def test_near_copies_equal_brute_force(spark):
     rng.shuffle(texts)
     docs = documents(spark, texts)
     want = slow_keepers(dict(enumerate(texts)))
-    assert {r.doc_id for r in S.keep_one(clashing(docs)).collect()} == want
+    assert {r.doc_id for r in J.keep_one(clashing(docs)).collect()} == want
     assert len(want) < len({r.component_id for r in S.near_duplicates(docs).collect()})
 
 
@@ -64,4 +64,19 @@ def test_pairs_left_over_by_the_trees_are_found(spark, monkeypatch):
     texts = [edited(rng, words, base, 3) for _ in range(60)]
     docs = documents(spark, texts)
     monkeypatch.setattr(J, "tree_pairs", lambda key, point, sig: (point[:0], point[:0]))
-    assert {r.doc_id for r in S.keep_one(docs).collect()} == slow_keepers(dict(enumerate(texts)))
+    assert {r.doc_id for r in J.keep_one(docs).collect()} == slow_keepers(dict(enumerate(texts)))
+
+
+def test_large_keys_are_compared_in_blocks(spark, monkeypatch):
+    rng = random.Random(10)
+    words = [f"w{i}" for i in range(400)]
+    base = " ".join(rng.choice(words) for _ in range(200))
+    texts = [edited(rng, words, base, rng.choice([0, 2, 4, 6])) for _ in range(70)]
+    monkeypatch.setattr(J, "BLOCK_ROWS", 8)
+    assert {r.doc_id for r in J.keep_one(documents(spark, texts)).collect()} == slow_keepers(dict(enumerate(texts)))
+
+
+def test_empty_table_and_clashing_names(spark):
+    assert J.keep_one(documents(spark, [])).count() == 0
+    docs = documents(spark, ["a b c"]).selectExpr("*", "1 AS _doc", "2 AS _text", "3 AS t", "4 AS `best.of`", "5 AS component")
+    assert J.keep_one(docs.union(docs)).collect() == docs.collect()

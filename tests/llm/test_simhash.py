@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 import xxhash
 
+from granary.llm import jaccard as J
 from granary.llm import simhash as S
 from granary.llm.components import connected_components
 
@@ -97,11 +98,13 @@ def test_oversized_keys_are_searched_in_blocks(near, monkeypatch):
 
 def test_one_of_each_group_stays(spark):
     docs = documents(spark, ["a b c d"] * 3 + ["x y z"] + [None, ""])
-    assert sorted(r.doc_id for r in S.keep_one(docs).collect()) == [0, 3, 4]
-    assert S.keep_one(docs.union(docs)).count() == 3
-    assert S.keep_one(docs).columns == docs.columns
+    assert sorted(r.doc_id for r in J.keep_one(docs).collect()) == [0, 3, 4]
+    assert J.keep_one(docs.union(docs)).count() == 3
+    assert J.keep_one(docs).columns == docs.columns
     none = docs.selectExpr("CAST(NULL AS LONG) doc_id", "text", "lang", "source", "n_chars")
-    assert S.keep_one(none).count() == 6
+    assert sorted(r.text or "" for r in J.keep_one(none).collect()) == ["", "a b c d", "x y z"]
+    same_id = documents(spark, {7: "q w e r t"}).union(documents(spark, {7: "z u i o p", 8: "q w e r t"}))
+    assert sorted((r.doc_id, r.text) for r in J.keep_one(same_id).collect()) == [(7, "q w e r t"), (7, "z u i o p")]
 
 
 def test_empty_table(spark):
