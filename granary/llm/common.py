@@ -46,25 +46,6 @@ def materialise(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: Rows of a key up to which they are brought together for a join; more in tables so large that over HEAVY_KEYS keys
-#: could have as many.
-HEAVY_ROWS, HEAVY_KEYS = 1_000, 100_000
-
-
-def join_each(rows: DataFrame, keyed: DataFrame, key: str, n: str, total: int) -> DataFrame:
-    """``rows`` joined by ``key`` to a table with one row for each key, where column ``n`` (dropped) counts its rows.
-
-    Rows of frequent keys stay where they are and their keys are broadcast: HEAVY_KEYS at most, as each has its share
-    of the ``total`` rows (or fewer).
-    """
-    if total <= HEAVY_ROWS:
-        return rows.join(keyed.drop(n), key)
-    limit = max(HEAVY_ROWS, total // HEAVY_KEYS)
-    heavy = F.broadcast(keyed.where(F.col(n) > limit).drop(n))
-    rare = keyed.where(F.col(n) <= limit).drop(n)
-    return rows.join(heavy, key).unionByName(rows.join(heavy.select(key), key, "left_anti").join(rare, key))
-
-
 def words(text):
     """The words (runs of other than ASCII white space) of a text column; a null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE + "+"), lambda w: w != "")

@@ -2,16 +2,15 @@
 
 Texts of one shingle set are one point.  Two things propose pairs of points:
 
-* The 64-bit SimHash of the shingle set: points whose fingerprints are linked by the Golay search of ``simhash`` (3
-  bits) share a key.  At a similarity of 0.8 two fingerprints differ in some ten bits, so this finds the closer copies
+* The 64-bit SimHash of the shingle set: points whose fingerprints the Golay search of ``simhash`` links (3 bits).  At a similarity of 0.8 two fingerprints differ in some ten bits, so this finds the closer copies
   only; a search that wide would take over a thousand Golay keys a text (figures in the README).
 * MinHashes (BANDS times ROWS), posted band by band, for the rest: a pair at similarity s shares a band with
   probability 1 - (1 - s^ROWS)^BANDS, 0.999997 at 0.8.
 
-Pairs that share a key and agree in FLOOR of the MinHashes at least are compared by their shingle sets (as 64-bit
-hashes).  So that a dense group doesn't cost the square of its size, the members of a key are first compared along two
-random trees, in which nobody has more than ARITY children.  After that, only pairs of one key whose ends lie in
-different components are left, and all of those are compared.  Keys of over BLOCK_ROWS members are cut into blocks, for
+Linked pairs, and those that share a band and agree in FLOOR of the MinHashes at least, are compared by their shingle
+sets (as 64-bit hashes).  So that a dense group doesn't cost the square of its size, the members of a band are first compared along two
+random trees, in which nobody has more than ARITY children.  After that, only pairs of one band whose ends lie in
+different components are left, and all of those are compared.  Bands of over BLOCK_ROWS members are cut into blocks, for
 the trees by chance twice over, for what is left so that every pair of blocks meets.
 """
 
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import free, join_each, materialise
+from .common import free, materialise
 from .components import connected_components
 
 WIDTH = 5
@@ -212,14 +211,14 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.join(small(wanted), "t", "left_semi").select("text").mapInArrow(run, "point long, hashes binary").dropDuplicates(["point"])
 
 
-def _simhash_keys(points: DataFrame, total: int) -> DataFrame:
-    """``key, point, sig``: a key for each group of linked fingerprints that more than one point has."""
-    fps = points.groupBy("fp").agg(F.count(F.lit(1)).alias("n"))
-    roots = connected_components(simhash.hamming_links(fps))
-    named = fps.join(roots, fps.fp == roots.node, "left").select("fp", "n", F.coalesce("root", "fp").alias("root"))
-    groups = named.groupBy("root").agg(F.sum("n").alias("points"), F.count(F.lit(1)).alias("fps")).where("points > 1").drop("points")
-    keyed = materialise(join_each(named, groups, "root", "fps", total).select("fp", "n", F.xxhash64(F.lit("simhash"), "root").alias("key")))
-    return join_each(points.select("fp", "point", "sig"), keyed, "fp", "n", total).select("key", "point", "sig")
+def _simhash_pairs(points: DataFrame) -> DataFrame:
+    """``(u, v)``: the pairs that linked or equal fingerprints propose; one point stands for all of a fingerprint."""
+    fps = materialise(points.groupBy("fp").agg(F.min("point").alias("first")))
+    links = simhash.hamming_links(fps.select("fp"))
+    one, two = (fps.select(F.col("fp").alias(x), F.col("first").alias(f"p{x}")) for x in "uv")
+    linked = links.join(one, "u").join(two, "v").select(F.col("pu").alias("u"), F.col("pv").alias("v"))
+    equal = points.select("fp", "point").join(fps, "fp").where("point <> first").select(F.col("point").alias("u"), F.col("first").alias("v"))
+    return linked.unionByName(equal)
 
 
 def _along_trees(posted: DataFrame) -> DataFrame:
@@ -249,7 +248,7 @@ def _along_trees(posted: DataFrame) -> DataFrame:
     return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(run, "key long, point long, sig binary, u long, v long")
 
 
-def _left_over(shared: DataFrame, roots: DataFrame, total: int) -> DataFrame:
+def _left_over(shared: DataFrame, roots: DataFrame) -> DataFrame:
     """``(u, v)``: all alike pairs of one key whose ends have different roots.
 
     Members outside a key's largest component look for partners among all its members.
@@ -266,7 +265,7 @@ def _left_over(shared: DataFrame, roots: DataFrame, total: int) -> DataFrame:
     kinds = kinds.groupBy("key").agg(F.max(F.struct("c", "root")).alias("main"), F.sum("c").alias("members"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     blocks = lambda n: F.ceil(n / F.lit(BLOCK_ROWS)).cast("int")
     mixed = materialise(kinds.select("key", F.col("main.root").alias("main"), "members", blocks(F.col("members")).alias("mb"), blocks(F.col("members") - F.col("main.c")).alias("ob")))
-    rows = join_each(labelled, mixed, "key", "members", total)
+    rows = labelled.join(mixed, "key")
     of = lambda n: F.pmod(F.xxhash64("point", n), n)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     found = rows.withColumn("m", of("mb")).withColumn("o", every("ob")).withColumn("seeks", F.lit(False))
@@ -279,15 +278,16 @@ def _left_over(shared: DataFrame, roots: DataFrame, total: int) -> DataFrame:
 def _roots(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """``(node, root)`` of the points that have near copies."""
     points = materialise(rows.dropDuplicates(["point"]).select("point", "fp", "bands", "sig"))
-    total = points.count()
-    posted = points.select(F.explode("bands").alias("key"), "point", "sig").unionByName(_simhash_keys(points, total))
+    posted = points.select(F.explode("bands").alias("key"), "point", "sig")
     met = materialise(_along_trees(posted))
     shared, pairs = met.where("key is not null").select("key", "point", "sig"), met.where("key is null").select("u", "v")
-    wanted = materialise(rows.join(shared.select("point").distinct(), "point", "left_semi").groupBy("point").agg(F.min("t").alias("t")).select("t"))
+    proposed = materialise(_simhash_pairs(points))
+    of = shared.select("point").unionByName(proposed.select(F.explode(F.array("u", "v")).alias("point"))).distinct()
+    wanted = materialise(rows.join(of, "point", "left_semi").groupBy("point").agg(F.min("t").alias("t")).select("t"))
     sets = materialise(_sets(docs, wanted))
-    links = materialise(_links(pairs, sets))
+    links = materialise(_links(pairs.unionByName(proposed), sets))
     roots = connected_components(links)
-    more = materialise(_links(_left_over(shared, roots, (BANDS + 1) * total), sets))
+    more = materialise(_links(_left_over(shared, roots), sets))
     return roots if more.isEmpty() else connected_components(links.unionByName(more))
 
 
@@ -310,14 +310,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     are one group; an empty table gives no rows.
     """
     rows = materialise(components(docs))
-    total = rows.count()
     rows = rows.groupBy("component", "doc_id", "t").agg(F.count(F.lit(1)).alias("n"))
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t"))
-    best = rows.groupBy("component").agg(first.alias("best"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("rows"))
+    best = rows.groupBy("component").agg(first.alias("best"), F.sum("n").alias("rows"))
     best = materialise(best.where("rows > 1"))
     twice = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("t") == F.col("best.t"))
     # rows of groups of one need no look: what is left are copies, which go unless they are the best of their group
-    copies = materialise(join_each(rows, best.select("component", "best", "size"), "component", "size", total).withColumn("stays", twice).where("n > 1 OR NOT stays"))
+    copies = materialise(rows.join(best.select("component", "best"), "component").withColumn("stays", twice).where("n > 1 OR NOT stays"))
     doc, text = free(docs, "_doc"), free(docs, "_text")
     keys = copies.select(F.col("doc_id").alias(doc), F.col("t").alias(text), "stays")
     same = F.col("doc_id").cast("long").eqNullSafe(F.col(doc)) & (F.xxhash64(F.col("text").cast("string")) == F.col(text))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HEAVY_ROWS, join_each, materialise
+from .common import materialise
 from .components import connected_components
 
 SEED = 42
@@ -286,11 +286,11 @@ def near_duplicates(docs: DataFrame, width: int = 3, distance: int = 3) -> DataF
     returned, with the smallest doc_id of their group (null if it has none).
     """
     prints = materialise(fingerprints(docs, width))
-    points = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
-    total = points.agg(F.sum("n")).first()[0] or 0
+    points = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = connected_components(hamming_links(points, distance))
-    named = points.join(roots, points.fp == roots.node, "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
-    lowest = named.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("points"))
-    groups = join_each(named, lowest, "root", "points", total).select("fp", "component_id", "n")
-    groups = materialise(groups) if total > HEAVY_ROWS else groups
-    return join_each(prints, groups, "fp", "n", total).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = points.join(roots, points.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    # written tables, so that adaptive execution can split a frequent root or fingerprint over tasks
+    named = materialise(named)
+    lowest = materialise(named.groupBy("root").agg(F.min("least").alias("component_id")))
+    groups = materialise(named.join(lowest, "root").select("fp", "component_id"))
+    return prints.join(groups, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
