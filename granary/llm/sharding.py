@@ -3,8 +3,9 @@
 Rows of each source are put into a seeded random order and get the fractional rank (rank - 1/2) / size; all rows are
 sorted by it and cut into shards of equal counts, so each shard holds every source in proportion.  Law: ``rows``.
 
-Ranks are found without bringing a source, or the table, into one task: rows go to equal slices of the random key
-(or of the fractional rank), are numbered inside their slice, and the slices' counts are summed up before them.
+Ranks are found without bringing a source, or the table, into one task: each source's rows go to equal slices of the
+random key, as many as the source's size asks for, and all rows to equal slices of the fractional rank; rows are
+numbered inside their slice, and the slices' counts are summed up before them, by thousands of slices first.
 """
 
 from __future__ import annotations
@@ -24,47 +25,51 @@ TIES = ("doc_id", "text_crc32", "size")
 
 
 def _before(counts: DataFrame, by: list[str]) -> DataFrame:
-    """``by, slice, before``: rows in the slices before each one."""
-    w = W.partitionBy(*by).orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
-    return counts.select(*by, "slice", F.coalesce(F.sum("count").over(w), F.lit(0)).alias("before"))
+    """``by, slice, n, before``: each slice's rows, and the rows in the slices before it."""
+    earlier = lambda *cols: W.partitionBy(*cols[:-1]).orderBy(cols[-1]).rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.withColumn("part", F.expr("slice div 1000"))
+    parts = counts.groupBy(*by, "part").agg(F.sum("n").alias("rows"))
+    parts = parts.select(*by, "part", F.coalesce(F.sum("rows").over(earlier(*by, "part")), F.lit(0)).alias("earlier"))
+    inside = F.coalesce(F.sum("n").over(earlier(*by, "part", "slice")), F.lit(0))
+    return counts.withColumn("inside", inside).join(parts, [*by, "part"]).select(*by, "slice", "n", (F.col("earlier") + F.col("inside")).alias("before"))
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard, source`` for each row of documents.
 
-    Null texts count as empty ones (size 1).  A null source is a source of its own, a null doc_id sorts first; rows
-    repeated in full get neighbouring places; an empty table gives no rows; other columns are not read.
+    Null texts count as empty ones (size 1).  A null source is a source of its own; the random key is that of doc_id,
+    size and text, so null and repeated ids spread as well.  Rows equal in all of these get neighbouring places (and
+    are numbered in one task, which holds none of them); an empty table gives no rows; other columns are not read.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = materialise(
-        docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"),
-            F.col("source").cast("string").alias("source"),
-            (F.octet_length(text) + 1).cast("long").alias("size"),
-            F.crc32(text).alias("text_crc32"),
-            F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(f":{seed}"))).alias("key"),
-        )
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("source").cast("string").alias("source"),
+        (F.octet_length(text) + 1).cast("long").alias("size"),
+        F.crc32(text).alias("text_crc32"),
     )
-    sizes = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"))
-    total = rows.count()
+    part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    rows = materialise(rows.withColumn("key", F.md5(F.concat_ws(":", part("doc_id"), part("size"), part("text_crc32"), F.lit(str(seed))))).withColumn("of", F.concat(F.when(F.col("source").isNull(), "").otherwise("s"), part("source"))))
+    sizes = materialise(rows.groupBy("of").agg(F.count(F.lit(1)).alias("n")))
+    total = sizes.agg(F.sum("n")).first()[0] or 0
+    rows = rows.join(sizes.withColumnRenamed("n", "of_n"), "of")
+    rows = rows.withColumn("slice", F.expr(f"CAST(conv(substr(key, 1, 8), 16, 10) AS BIGINT) * CAST(ceil(of_n / {SLICE_ROWS}) AS BIGINT) div 4294967296"))
+    before = _before(rows.groupBy("of", "slice").agg(F.count(F.lit(1)).alias("n")), ["of"]).select("of", "slice", "before")
+    inside = F.row_number().over(W.partitionBy("of", "slice").orderBy("key", *TIES))
     slices = max(1, -(-total // SLICE_ROWS))
-    rows = rows.withColumn("slice", F.expr(f"CAST(conv(substr(key, 1, 8), 16, 10) AS BIGINT) * {slices} div 4294967296"))
-    counts = rows.groupBy("source", "slice").count()
-    before = _with_sizes(_before(counts, ["source"]), sizes)
-    inside = F.row_number().over(W.partitionBy("source", "slice").orderBy("key", *TIES))
     ranked = (
         rows.withColumn("i", inside)
-        .join(before, F.col("source").eqNullSafe(F.col("_source")) & (F.col("slice") == F.col("_slice")))
-        .withColumn("fraction", (F.lit(2.0) * (F.col("before") + F.col("i")) - 1) / (F.lit(2.0) * F.col("n")))
+        .join(before, ["of", "slice"])
+        .withColumn("fraction", (F.lit(2.0) * (F.col("before") + F.col("i")) - 1) / (F.lit(2.0) * F.col("of_n")))
         .select("doc_id", "source", "size", "text_crc32", "key", "fraction")
         .withColumn("slice", F.floor(F.col("fraction") * slices))
     )
     ranked = materialise(ranked)
-    first = _before(ranked.groupBy("slice").count(), []).select(F.col("slice").alias("_slice"), "before")
+    first = _before(ranked.groupBy("slice").agg(F.count(F.lit(1)).alias("n")), []).select("slice", "before")
     place = F.row_number().over(W.partitionBy("slice").orderBy("fraction", "key", *TIES))
     return (
         ranked.withColumn("i", place)
-        .join(first, F.col("slice") == F.col("_slice"))
+        .join(first, "slice")
         .withColumn("g", F.col("before") + F.col("i") - 1)
         .withColumn("shard", F.expr(f"CAST(g * {shards} div {max(total, 1)} AS INT)"))
         .select(
@@ -78,17 +83,12 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     )
 
 
-def _with_sizes(before: DataFrame, sizes: DataFrame) -> DataFrame:
-    sizes = sizes.withColumnRenamed("source", "_source")
-    return before.join(sizes, before.source.eqNullSafe(sizes["_source"])).select("_source", F.col("slice").alias("_slice"), "before", "n")
-
-
 ORACLE_SQL = f"""
 WITH t AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(3988292384, c // 2) ELSE c // 2 END, i::BIGINT)) AS t),
-d AS (SELECT doc_id, source, strlen(coalesce(text, '')) + 1 AS size, md5(coalesce(doc_id::VARCHAR, '') || ':{SEED}') AS key,
+d AS (SELECT doc_id, source, strlen(coalesce(text, '')) + 1 AS size,
              list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda x: ('0x' || x)::BIGINT) AS b FROM documents),
-c AS (SELECT doc_id, source, size, key,
-             xor(list_reduce(b, lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8), 4294967295::BIGINT), 4294967295) AS text_crc32 FROM d, t),
+e AS (SELECT doc_id, source, size, xor(list_reduce(b, lambda c, x: xor(t[(xor(c, x) & 255) + 1], c >> 8), 4294967295::BIGINT), 4294967295) AS text_crc32 FROM d, t),
+c AS (SELECT *, md5(coalesce(doc_id::VARCHAR, '') || ':' || size || ':' || text_crc32 || ':{SEED}') AS key FROM e),
 r AS (SELECT *, (2.0::DOUBLE * row_number() OVER (PARTITION BY source ORDER BY key, doc_id, text_crc32, size) - 1) / (2.0::DOUBLE * count(*) OVER (PARTITION BY source)) AS fraction FROM c),
 g AS (SELECT *, row_number() OVER (ORDER BY fraction, key, doc_id, text_crc32, size) - 1 AS g, count(*) OVER () AS n FROM r),
 s AS (SELECT *, (g * {SHARDS} // n)::INT AS shard FROM g)
