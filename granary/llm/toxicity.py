@@ -15,7 +15,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,8 +25,6 @@ from pyspark.sql import functions as F
 
 #: Most labelled rows that are learned from: those with the smallest hashes of their doc_id.
 SAMPLE_ROWS = 20_000
-#: Most stems that are kept, by weight.
-STEMS = 400
 #: A stem occurs in so many different toxic texts at least, and its log odds are so large at least.
 STEM_TEXTS, STEM_ODDS = 6, 2.5
 
@@ -103,9 +101,24 @@ class Grammar:
 
     def __post_init__(self):
         self.known: dict[str, tuple[tuple[int, ...], float]] = {}
+        self.gate = None
         self.lengths = sorted({len(s) for s in self.stems})
         self.machine = Composed(Negated(), Reported(), Aimed())
 
+    def __getstate__(self):
+        return self.__dict__ | {"known": {}, "gate": None}
+
+    def may_hold(self, text: str) -> bool:
+        """Whether a text holds the letters of an insult or threat anywhere; without them it has no event."""
+        if self.gate is None:
+            import ahocorasick
+
+            self.gate = ahocorasick.Automaton()
+            for word in (*self.stems, *INSULTS, *THREATS):
+                self.gate.add_word(word, 0)
+            self.gate.make_automaton()
+        return next(self.gate.iter(text.lower()), None) is not None
+
     def _symbol(self, piece: str) -> tuple[int, float]:
         weight = max([self.stems.get(piece[:n], 0.0) for n in self.lengths if n <= len(piece)], default=0.0)
         if weight > 0:
@@ -130,6 +143,8 @@ class Grammar:
 
     def features(self, text: str) -> np.ndarray | None:
         """Counts of a text's events and what its stems weigh; None if there is no event."""
+        if not self.may_hold(text):
+            return None
         known, look = self.known, self.word
         entries = [known.get(w) or look(w) for w in text.split()]
         if not any(INSULT in s or THREAT in s for s, _ in set(entries)):
@@ -178,61 +193,60 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
-def _stem_counts(texts: DataFrame) -> list:
-    """(stem, toxic, clean): in how many different texts of either label each beginning of a word occurs.
+def _one_of_copies(sample: DataFrame) -> DataFrame:
+    """``text, toxic``: of the texts of one label that share the least hash of their word triples (copies do, near ones
+    mostly), the one of least text hash; texts without words go."""
 
-    Copies, near ones too, mostly share the least hash of their word triples and count once.
-    """
+    def run(batches):
+        for b in batches:
+            keys = []
+            for text in b.column(0):
+                words = (text.as_py() or "").lower().split()
+                keys.append(min((zlib.crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2))), default=None) if words else None)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(keys, pa.int64())], names=["text", "toxic", "key"])
+
+    rows = sample.select("text", "toxic").mapInArrow(run, "text string, toxic int, key long").where("key IS NOT NULL")
+    return rows.groupBy("toxic", "key").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("text", "toxic")
+
+
+def _stem_counts(texts: DataFrame) -> DataFrame:
+    """``stem, toxic, clean``: in how many texts of either label each beginning of a word occurs."""
 
     def run(batches):
-        seen: dict[int, set[int]] = {0: set(), 1: set()}
         for b in batches:
             counts: tuple[Counter, Counter] = (Counter(), Counter())
             for text, toxic in zip(b.column(0), b.column(1)):
-                words = (text.as_py() or "").lower().split()
-                if not words:
-                    continue
-                toxic = toxic.as_py()
-                key = min(zlib.crc32(" ".join(words[i : i + 3]).encode()) for i in range(max(1, len(words) - 2)))
-                if key in seen[toxic]:
-                    continue
-                seen[toxic].add(key)
-                pieces = {p for w in set(words) for p in _PIECE.findall(w) if not p.isdigit()}
-                counts[toxic].update({p[:n] for p in pieces for n in range(3, min(len(p), 12) + 1)})
+                pieces = {p for w in set(text.as_py().lower().split()) for p in _PIECE.findall(w) if not p.isdigit()}
+                counts[toxic.as_py()].update({p[:n] for p in pieces for n in range(3, min(len(p), 12) + 1)})
             stems = list(counts[0].keys() | counts[1].keys())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(stems, pa.string()), pa.array([counts[1][s] for s in stems], pa.int64()), pa.array([counts[0][s] for s in stems], pa.int64())],
                 names=["stem", "toxic", "clean"],
             )
 
-    return texts.select("text", "toxic").mapInArrow(run, "stem string, toxic long, clean long")
+    rows = texts.select("text", "toxic").mapInArrow(run, "stem string, toxic long, clean long")
+    return rows.groupBy("stem").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
 
 
 def learn_stems(sample: DataFrame) -> dict[str, float]:
-    """Beginnings of words with their log odds; of nested ones the longest that keeps nine
-    tenths of the toxic texts, else the shortest."""
+    """Beginnings of words with their log odds, all that pass STEM_TEXTS and STEM_ODDS; of nested ones the longest
+    that keeps nine tenths of the toxic texts, else the shortest."""
     n = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     odds = F.log((F.col("toxic") + 0.5) / F.lit(n.get(1, 0) + 1.0)) - F.log((F.col("clean") + 0.5) / F.lit(n.get(0, 0) + 1.0))
-    rows = (
-        _stem_counts(sample)
-        .groupBy("stem")
-        .agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-        .where(F.col("toxic") >= STEM_TEXTS)
-        .withColumn("odds", odds)
-        .where(F.col("odds") >= STEM_ODDS)
-        .orderBy(F.col("odds").desc(), "stem")
-        .limit(10 * STEMS)
-        .collect()
-    )
+    # beginnings of words of at most SAMPLE_ROWS texts, in STEM_TEXTS of them at least
+    rows = _stem_counts(_one_of_copies(sample)).where(F.col("toxic") >= STEM_TEXTS).withColumn("odds", odds).where(F.col("odds") >= STEM_ODDS).collect()
     found = {r["stem"]: (r["toxic"], r["odds"]) for r in rows}
+    longer = defaultdict(list)
+    for stem in sorted(found):
+        longer[stem[:-1]].append(stem)
     kept: dict[str, float] = {}
-    for stem in sorted(found, key=len):
+    for stem in sorted(found, key=lambda s: (len(s), s)):
         if any(stem[:k] in kept for k in range(3, len(stem))):
             continue
-        while longer := [s for s in found if len(s) == len(stem) + 1 and s.startswith(stem) and found[s][0] >= 0.9 * found[stem][0]]:
-            stem = longer[0]
+        while more := [s for s in longer[stem] if found[s][0] >= 0.9 * found[stem][0]]:
+            stem = more[0]
         kept[stem] = float(found[stem][1])
-    return dict(sorted(kept.items(), key=lambda x: -x[1])[:STEMS])
+    return dict(sorted(kept.items(), key=lambda x: (-x[1], x[0])))
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25) -> tuple[np.ndarray, float]:
@@ -248,7 +262,9 @@ def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25) -> tu
 def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     """Learn stems and weights from at most ``rows`` labelled documents that are not held out.
 
-    Without a labelled row the built-in words score by hand-set weights.
+    Where a doc_id has several labels the largest counts; labels or documents without a doc_id are not learned from,
+    rows that repeat a doc_id all are.  The same rows give the same model however they are partitioned.  Without a
+    labelled row, or with one label only, the built-in words score by hand-set weights.
     """
     usable = labels.where(~held_out() & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
     chosen = usable.groupBy(F.col("doc_id").alias("_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic")).orderBy(F.xxhash64("_id"), "_id").limit(rows)
@@ -291,7 +307,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def reject(docs: DataFrame, model: Model) -> DataFrame:
-    """The documents that are not predicted to be toxic; same columns."""
+    """The documents that are not predicted to be toxic; same columns.
+
+    Rows are judged one by one by their texts alone: null and empty texts stay, repeats and null doc_ids are judged
+    like any other, an empty table gives no rows.
+    """
     at = docs.columns.index("text")
 
     def run(batches):

@@ -1,6 +1,10 @@
+import math
 import random
+import re
 import zlib
 
+import numpy as np
+
 from granary.llm import toxicity as T
 
 from .helpers import ODD, clashing, documents
@@ -69,3 +73,108 @@ def test_no_labels_and_empty_tables(spark):
     none = T.train(docs, labels.limit(0))
     assert none.score("you idiot") > none.score("good day") and 0 <= none.score(None) < 0.5
     assert T.score(documents(spark, []), none).count() == 0
+
+
+def slow_train_and_score(texts, truth):
+    """The method again, plainly: copies by their least triple, stems by counting, events by looking back from each
+    insult or threat, weights by gradient steps."""
+    lower = {i: (t or "").lower() for i, t in texts.items()}
+    piece = lambda w: re.findall(r"[\w']+", w)
+    rows = [i for i in truth if zlib.crc32(str(i).encode()) % 5]
+    one = {}
+    for i in rows:
+        w = lower[i].split()
+        if w:
+            key = (truth[i], min(zlib.crc32(" ".join(w[k : k + 3]).encode()) for k in range(max(1, len(w) - 2))))
+            assert key not in one or texts[one[key]] == texts[i]
+            one[key] = i
+    n = [sum(truth[i] == y for i in rows) for y in (0, 1)]
+    count = {}
+    for i in one.values():
+        for s in {p[:k] for w in lower[i].split() for p in piece(w) if not p.isdigit() for k in range(3, min(12, len(p)) + 1)}:
+            count.setdefault(s, [0, 0])[truth[i]] += 1
+    odds = {s: math.log((c[1] + 0.5) / (n[1] + 1)) - math.log((c[0] + 0.5) / (n[0] + 1)) for s, c in count.items()}
+    good = {s for s in odds if count[s][1] >= T.STEM_TEXTS and odds[s] >= T.STEM_ODDS}
+    stems = {}
+    for s in sorted(good, key=lambda s: (len(s), s)):
+        if not any(s.startswith(k) and s != k for k in stems):
+            while more := sorted(x for x in good if x[:-1] == s and count[x][1] >= 0.9 * count[s][1]):
+                s = more[0]
+            stems[s] = odds[s]
+
+    def features(text):
+        tokens = []  # (symbol, weight); None ends a clause
+        for w in text.split():
+            if w[0] in T.QUOTES:
+                tokens.append((T.REPORT, 0))
+            for p in piece(w.lower()) or [""]:
+                weight = max([v for s, v in stems.items() if p.startswith(s)], default=0)
+                kind = T.INSULT if weight > 0 or p in T.INSULTS else T.THREAT if p in T.THREATS else T.NEGATION if p in T.NEGATIONS else T.TARGET if p in T.TARGETS else T.REPORT if p in T.REPORTS else T.OTHER
+                tokens.append((kind, weight if weight > 0 else float(p in T.INSULTS)))
+            if w[-1] in ".!?;:" + T.QUOTES:
+                tokens.append(None)
+        clauses, now = [], []
+        for t in [*tokens, None]:
+            if t is None and (now or t is not tokens[-1] if tokens else False):
+                clauses.append(now)
+                now = []
+            elif t is not None:
+                now.append(t)
+        if tokens and tokens[-1] is None and clauses and not clauses[-1]:
+            clauses.pop()
+        x, hit = [0.0] * T.WIDTH, 0
+        for c in clauses:
+            found = 0
+            for k, (kind, _) in enumerate(c):
+                if kind in (T.INSULT, T.THREAT):
+                    back = lambda symbol, far: any(c[j][0] == symbol for j in range(max(0, k - far), k))  # noqa: B023, E731
+                    x[T.EVENTS.index((kind, back(T.NEGATION, 3), back(T.REPORT, k), back(T.TARGET, 5)))] += 1
+                    found = 1
+            hit += found
+        if not hit:
+            return [0.0] * T.WIDTH
+        per_word = {}
+        total = sum(w for t in tokens if t for w in [t[1]])
+        words = [sum(max([v for s, v in stems.items() if p.startswith(s)], default=0) or float(p in T.INSULTS) for p in piece(w.lower())) for w in text.split()]
+        return [math.log1p(v) for v in x[: len(T.EVENTS)]] + [math.log1p(hit), hit / len(clauses), max(words), math.log1p(total)]
+
+    x = np.array([features(texts[i] or "") for i in rows])
+    y = np.array([truth[i] for i in rows], float)
+    a = np.hstack([x, np.ones((len(x), 1))])
+    keep = np.r_[np.ones(x.shape[1]), 1e-6]
+    w = np.zeros(a.shape[1])
+    step = 1 / (np.linalg.eigvalsh(a.T @ a)[-1] / 4 + 1)
+    z, before = w, w
+    for k in range(20_000):  # gradient steps with momentum
+        g = a.T @ (1 / (1 + np.exp(-(a @ z))) - y) + keep * z
+        w = z - step * g
+        z, before = w + k / (k + 3) * (w - before), w
+    return {i: 1 / (1 + math.exp(-float(np.r_[features(t or ""), 1] @ w))) for i, t in texts.items()}
+
+
+def test_scores_equal_brute_force_however_rows_are_partitioned(spark):
+    docs, labels, truth = corpus(spark)
+    more = docs.unionByName(docs.where("doc_id < 40").withColumn("doc_id", docs.doc_id + 2000))  # copies with labels
+    labels = labels.unionByName(labels.where("doc_id < 40").withColumn("doc_id", labels.doc_id + 2000))
+    truth |= {i + 2000: truth[i] for i in range(40)}
+    scores = []
+    for parts in (1, 8, 31):
+        d = more.repartition(parts)
+        scores.append({r.doc_id: r.score for r in T.score(d, T.train(d, labels)).collect()})
+    assert scores[0] == scores[1] == scores[2]
+    want = slow_train_and_score({r.doc_id: r.text for r in more.collect()}, truth)
+    assert max(abs(want[i] - s) for i, s in scores[0].items()) < 1e-3
+
+
+def test_repeats_long_texts_and_the_gate(spark):
+    docs, labels, _ = corpus(spark)
+    model = T.train(docs, labels)
+    long = "word1 word2 " * 100_000
+    rows = T.score(documents(spark, [long, long + "idiot", long]), model).collect()
+    assert rows[0].score == rows[2].score == model.score(None) < rows[1].score
+    for r in docs.collect():
+        g = T.Grammar(model.grammar.stems)
+        gated = g.features(r.text or "")
+        g.may_hold = lambda text: True
+        free = g.features(r.text or "")
+        assert (gated is None and free is None) or (gated == free).all()
