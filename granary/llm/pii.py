@@ -9,6 +9,7 @@ are added where the classifier accepts them.
 
 from __future__ import annotations
 
+import bisect
 import re
 
 import numpy as np
@@ -21,14 +22,18 @@ from .secrets import count_of, joined
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "local_phone", "ssn", "iban", "masked_email", "name")
-EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: What follows the at sign of an email address; what precedes it is the run of LOCAL characters before it.
+DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+#: Digits, with three more dotted groups of digits if they follow: only then it is an address.
+IP = re.compile(r"[0-9]++(\.[0-9]++\.[0-9]++\.[0-9]++)?+")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL_PHONE = re.compile(r"(?<![\w+.])\(?[0-9]{3}\)?[\x20.-]?[0-9]{3}[.-][0-9]{4}(?![\w-])")
 SSN = re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")
 IBAN = re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?!\w)")
-MASKED_EMAIL = re.compile(r"(?<!\w)[A-Za-z0-9._%+-]+\x20?[\[(]\x20?(?:at|AT)\x20?[\])]\x20?[A-Za-z0-9-]+(?:\x20?(?:\.|[\[(]\x20?(?:dot|DOT)\x20?[\])])\x20?[A-Za-z0-9-]+)+")
+MASKED_AT = re.compile(r"\x20?[\[(]\x20?(?:at|AT)\x20?[\])]\x20?")
+MASKED_DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\x20?(?:\.|[\[(]\x20?(?:dot|DOT)\x20?[\])])\x20?[A-Za-z0-9-]++)+")
 NAME = re.compile(r"(?<!\w)(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Señor|Señora)\.?\x20[A-Z][a-zà-ÿ]+(?:\x20[A-Z][a-zà-ÿ]+)?")
 
 #: Gazetteers.
@@ -128,23 +133,62 @@ def _votes(kind: str, text: str, start: int, end: int) -> str:
     return "".join("-0+"[v + 1] for v in votes)
 
 
+def _addresses(text: str, signs, domain: re.Pattern) -> list[tuple[int, int]]:
+    """Spans of a run of LOCAL characters, a sign (its spans are given, in order) and a domain.
+
+    As a run ends where its sign begins, the leftmost match starts where the sign's run does, or where the match before
+    ended; every character is looked at a bounded number of times.
+    """
+    out, done = [], 0
+    for at, then in signs:
+        start = at
+        while start > done and text[start - 1] in LOCAL:
+            start -= 1
+        if start < at and (m := domain.match(text, then)):
+            out.append((start, m.end()))
+            done = m.end()
+    return out
+
+
+def emails(text: str) -> list[tuple[int, int]]:
+    return _addresses(text, (m.span() for m in re.finditer("@", text)), DOMAIN)
+
+
+def ips(text: str) -> list[tuple[int, int]]:
+    return [m.span() for m in IP.finditer(text) if m[1]]
+
+
+def _apart(spans: list, taken: list[tuple[int, int]]) -> list:
+    """The spans (kind, start, end, ..) that touch no taken stretch."""
+    merged: list[list[int]] = []
+    for a, b in sorted(taken):
+        if merged and a < merged[-1][1]:
+            merged[-1][1] = max(merged[-1][1], b)
+        else:
+            merged.append([a, b])
+    starts = [a for a, _ in merged]
+    return [s for s in spans if not (k := bisect.bisect_left(starts, s[2])) or merged[k - 1][1] <= s[1]]
+
+
 def _pattern_spans(text: str) -> list[tuple[str, int, int, bool]]:
     """(kind, start, end, base) by start, then kind as listed."""
-    out = []
-    add = lambda kind, pattern, base: out.extend((kind, *m.span(), base) for m in pattern.finditer(text) if not base or _passes(kind, m[0]))
+    base, more = [], []
+    matches = lambda pattern: [m.span() for m in pattern.finditer(text)]
+    add = lambda kind, spans: base.extend((kind, a, b, True) for a, b in spans if _passes(kind, text[a:b]))
+    also = lambda kind, spans: more.extend((kind, a, b, False) for a, b in spans)
     if "@" in text:
-        add("email", EMAIL, True)
+        add("email", emails(text))
     if re.search("[0-9]", text):
-        for kind, pattern in (("ip", IP), ("card", CARD), ("phone", PHONE)):
-            add(kind, pattern, True)
+        add("ip", ips(text))
+        add("card", matches(CARD))
+        add("phone", matches(PHONE))
         for kind, pattern in (("local_phone", LOCAL_PHONE), ("ssn", SSN), ("iban", IBAN)):
-            add(kind, pattern, False)
+            also(kind, matches(pattern))
     if "[" in text or "(" in text:
-        add("masked_email", MASKED_EMAIL, False)
+        also("masked_email", _addresses(text, (m.span() for m in MASKED_AT.finditer(text)), MASKED_DOMAIN))
     if any(t in text for t in ("Mr", "Ms", "Dr", "Prof", "Herr", "Frau", "Monsieur", "Madame", "Señor")):
-        add("name", NAME, False)
-    taken = [s[1:3] for s in out if s[3]]
-    out = [s for s in out if s[3] or not any(a < s[2] and s[1] < b for a, b in taken)]
+        also("name", matches(NAME))
+    out = base + _apart(more, [s[1:3] for s in base])
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
@@ -158,7 +202,10 @@ _ARROW = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """``doc_id, spans`` (kind, start, end, base, votes) for each row of documents."""
+    """``doc_id, spans`` (kind, start, end, base, votes) for each row of documents.
+
+    A null or empty text has none; repeated rows get equal rows; an empty table gives none; other columns are not read.
+    """
 
     def run(batches):
         for b in batches:
@@ -273,7 +320,8 @@ def redacted(text: str, good: frozenset[str]) -> str:
 def redact(docs: DataFrame) -> DataFrame:
     """The documents with personal data replaced; same columns and rows, ``n_chars`` (if there) counted anew.
 
-    Null texts stay null.
+    Null texts stay null, empty ones empty; repeated rows and rows without a doc_id are treated like any other; an empty
+    table gives no rows.
     """
     good = frozenset(accepted(materialise(candidates(docs))))
     at = docs.columns.index("text")

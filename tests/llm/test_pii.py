@@ -1,5 +1,9 @@
 import hashlib
+import random
 import re
+import time
+
+import pytest
 
 from granary.llm import pii as P
 
@@ -61,3 +65,40 @@ def test_redaction(spark):
 def test_empty_table(spark):
     docs = documents(spark, [])
     assert P.digest(P.scan(docs)).count() == P.redact(docs).count() == 0
+
+
+EMAIL, IP = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"
+
+
+def test_linear_patterns_equal_the_plain_ones():
+    rng = random.Random(12)
+    for _ in range(4000):
+        text = "".join(rng.choice(["a", "b.", "@", "@", ".", "1", "22", ".3", "_", "é", " ", "-", "9.9.9.9"]) for _ in range(rng.randrange(40)))
+        assert P.emails(text) == [m.span() for m in re.finditer(EMAIL, text)], text
+        assert P.ips(text) == [m.span() for m in re.finditer(IP, text)], text
+
+
+@pytest.mark.parametrize("run", ["7", "x", "a.", "1.", "@", "x@", "+1(", "a [at] ", "4 ", "ab@c-"])
+def test_long_runs_take_linear_time(run):
+    began = time.time()
+    P.candidates_in(run * (1_000_000 // len(run)) + " @")
+    assert time.time() - began < 30
+
+
+def test_added_kinds_are_found_and_told_apart(spark):
+    """Planted spans of known truth: the labelers agree on the true ones, and the classifier learns that without labels."""
+    rng = random.Random(13)
+    texts, truth = [], []
+    for i in range(400):
+        d = lambda n: "".join(rng.choice("23456789") for _ in range(n))
+        good = i % 2 == 0
+        if i % 4 < 2:
+            texts.append(f"his social security number, ssn {d(3)}-{d(2)}-{d(4)} is on file" if good else f"part 000-{d(2)}-0000x{d(3)} of the list" if i % 8 < 4 else f"code 9{d(2)}-00-{d(4)} of the list")
+        else:
+            body = d(18)
+            check = 98 - int(body + "131400") % 97
+            texts.append(f"pay to bank account iban DE{check:02d}{body}" if good else f"item XX{(check + 1) % 97:02d}{body}")
+        truth.append(good)
+    found = {r.doc_id: any(s.kind in ("ssn", "iban") for s in r.spans) for r in P.scan(documents(spark, texts)).collect()}
+    hits = sum(found[i] and good for i, good in enumerate(truth))
+    assert hits / max(1, sum(found.values())) >= 0.95 and hits / sum(truth) >= 0.95
