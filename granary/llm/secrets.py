@@ -26,10 +26,14 @@ HEX = re.compile("[0-9a-f]{32,}")
 #: What a text must hold (in lower case) for the assign pattern to match anywhere.
 _HINTS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 
-#: A DER sequence starts with 0x30, in base64 an M and one of A to P; line ends may break the run.
-DER_64 = re.compile(r"(?<![A-Za-z0-9+/])M[A-P][A-Za-z0-9+/]{30,}(?:[\r\n]{1,2}[A-Za-z0-9+/]{4,})*={0,2}")
+#: The first line of what may be a DER sequence (0x30, in base64 an M and one of A to P) or an OpenSSH key, in base64.
+DER_64 = re.compile(r"(?<![A-Za-z0-9+/])M[A-P][A-Za-z0-9+/]{30,}")
+SSH_64 = re.compile(r"(?<![A-Za-z0-9+/])b3BlbnNzaC1rZXktdjEA[A-Za-z0-9+/]{20,}")
 DER_HEX = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{60,}")
-SSH_64 = re.compile(r"(?<![A-Za-z0-9+/])b3BlbnNzaC1rZXktdjEA[A-Za-z0-9+/]{20,}(?:[\r\n]{1,2}[A-Za-z0-9+/]{4,})*={0,2}")
+#: A further line: a line end (also one written as an escape), blanks and base64.
+FURTHER = re.compile(r"(?:\\r\\n|\\n|\r\n|[\r\n])[\x20\t]*([A-Za-z0-9+/]+)")
+#: Encoded keys are shorter than this; a longer DER length is no key's.
+KEY_BYTES = 1 << 16
 #: A JSON object starts with a brace, in base64 an e and one of w to z, a digit or a sign.
 JWT = re.compile(r"(?<![A-Za-z0-9_-])(e[w-z0-9_-][A-Za-z0-9_-]+)\.(e[w-z0-9_-][A-Za-z0-9_-]*)\.([A-Za-z0-9_-]*)")
 
@@ -90,11 +94,20 @@ def is_private_der(data: bytes) -> bool:
     return False
 
 
-def is_private_ssh(data: bytes) -> bool:
-    """Whether the bytes are an OpenSSH private key: magic, then length-prefixed fields that end where the bytes end."""
+def der_size(head: bytes) -> int | None:
+    """The size that the first 12 bytes of a private key's DER give it: a sequence that begins with version 0 or 1."""
+    if len(head) < 12 or head[0] != 0x30:
+        return None
+    k = head[1] & 0x7F if head[1] & 0x80 else 0
+    n = int.from_bytes(head[2 : 2 + k], "big") if k else head[1]
+    return 2 + k + n if k <= 2 and head[2 + k : 4 + k] == b"\2\1" and head[4 + k] < 2 else None
+
+
+def ssh_size(data: bytes) -> int | None:
+    """How many bytes an OpenSSH private key takes that starts here: magic, then length-prefixed fields."""
     magic = b"openssh-key-v1\0"
     if not data.startswith(magic):
-        return False
+        return None
     at = len(magic)
 
     def field():
@@ -103,39 +116,71 @@ def is_private_ssh(data: bytes) -> bool:
         if len(data) - at < 4 or n > len(data) - at - 4:
             raise ValueError("length runs over")
         at += 4 + n
-        return data[at - n : at]
 
     try:
         field(), field(), field()
         n = int.from_bytes(data[at : at + 4], "big")
         at += 4
         if not 1 <= n <= 16:
-            return False
+            return None
         for _ in range(n + 1):
             field()
-        return at == len(data)
+        return at
     except ValueError:
-        return False
+        return None
+
+
+def is_private_ssh(data: bytes) -> bool:
+    """Whether the bytes are an OpenSSH private key, which ends where the bytes end."""
+    return ssh_size(data) == len(data)
 
 
 def _unbase64(run: str, url: bool = False) -> bytes | None:
-    run = re.sub(r"[\r\n=]", "", run)
     try:
-        return base64.b64decode(run + "=" * (-len(run) % 4), altchars=b"-_" if url else None, validate=True)
+        return base64.b64decode(run.rstrip("=") + "=" * (-len(run.rstrip("=")) % 4), altchars=b"-_" if url else None, validate=True)
     except (binascii.Error, ValueError):
         return None
 
 
-def _lines_that(text: str, start: int, end: int, confirmed) -> tuple[int, int] | None:
-    """The longest run of whole lines from ``start`` whose base64 is confirmed: a line of words may follow a key."""
-    while True:
-        run = text[start:end]
-        if (data := _unbase64(run)) and confirmed(data):
-            return start, end
-        cut = max(run.rfind("\n"), run.rfind("\r"))
-        if cut < 0:
-            return None
-        end = start + len(run[:cut].rstrip("\r\n"))
+def _wrapped(text: str, first: re.Match, limit: int) -> tuple[str, list[tuple[int, int]]]:
+    """Base64 characters from a first line on, over its further lines, and where lines end: (characters, place)."""
+    run, ends, n, at = [first[0]], [(len(first[0]), first.end())], len(first[0]), first.end()
+    while n < limit and (m := FURTHER.match(text, at)):
+        run.append(m[1])
+        n, at = n + len(m[1]), m.end()
+        ends.append((n, at))
+    return "".join(run), ends
+
+
+def _keys(text: str, start: re.Pattern, size, confirmed) -> list[tuple[int, int]]:
+    """Spans of confirmed base64 keys: the encoding gives a key's size, and there a line (or the text) must end.
+
+    A first line whose first bytes give no size is passed at once; another is read up to its size, KEY_BYTES at most.
+    """
+    out, at = [], 0
+    while first := start.search(text, at):
+        at = first.end()
+        n = size(text, first)
+        if not n:
+            continue
+        need = -(-8 * n // 6)  # characters, without padding
+        run, ends = _wrapped(text, first, need)
+        end = next((e for k, e in ends if k == need), None)
+        if end is not None and confirmed(_unbase64(run[:need]) or b""):
+            while text[end : end + 1] == "=" and (need + 1) % 4 != 1:
+                end, need = end + 1, need + 1
+            out.append((first.start(), end))
+            at = end
+    return out
+
+
+def _der_size(text: str, first: re.Match) -> int | None:
+    return der_size(_unbase64(first[0][:16]) or b"")
+
+
+def _ssh_size(text: str, first: re.Match) -> int | None:
+    run = _wrapped(text, first, 4 * KEY_BYTES // 3)[0][: 4 * KEY_BYTES // 3]
+    return ssh_size(_unbase64(run[: len(run) // 4 * 4]) or b"") or ssh_size(_unbase64(run) or b"")
 
 
 def is_signed_token(header: str, payload: str) -> bool:
@@ -159,8 +204,8 @@ def find(text: str) -> list[tuple[str, int, int]]:
         spans += [("hex", *m.span()) for m in HEX.finditer(text)]
         spans += [("der", *m.span()) for m in DER_HEX.finditer(text) if len(m[0]) % 2 == 0 and is_private_der(bytes.fromhex(m[0]))]
     if _has_run(raw, _BASE64_RUN):
-        spans += [("der", *s) for m in DER_64.finditer(text) if (s := _lines_that(text, *m.span(), is_private_der))]
-        spans += [("ssh", *s) for m in SSH_64.finditer(text) if (s := _lines_that(text, *m.span(), is_private_ssh))]
+        spans += [("der", *s) for s in _keys(text, DER_64, _der_size, is_private_der)]
+        spans += [("ssh", *s) for s in _keys(text, SSH_64, _ssh_size, is_private_ssh)]
     if b".e" in raw:
         spans += [("jwt", *m.span()) for m in JWT.finditer(text) if is_signed_token(m[1], m[2])]
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))

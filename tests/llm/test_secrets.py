@@ -2,6 +2,9 @@ import base64
 import hashlib
 import json
 import re
+import time
+
+import pytest
 
 from granary.llm import secrets as S
 
@@ -72,3 +75,23 @@ def test_query_equals_brute_force(spark):
 
 def test_empty_table(spark):
     assert S.digest(S.scan(documents(spark, []))).count() == 0
+
+
+def test_wrapped_keys_of_every_size():
+    for n in range(30, 130):
+        key = der(0x30, der(2, b"\0"), der(0x30, der(6, b"\x2b\x65\x70")), der(4, der(4, b"k" * n)))
+        ssh = SSH[:-124] + FIELD(b"s" * n)
+        for data, kind in ((key, "der"), (ssh, "ssh")):
+            for gap in ("\n", "\r\n", "\n    ", "\\n", "\\r\\n", "\r"):
+                text = "a key:\n" + gap.join(re.findall(".{1,64}", B64(data)))
+                for after in ("", "\nwords follow", "\n-----END", " x"):
+                    assert S.find(text + after) == [(kind, 7, len(text))], (n, kind, gap, after)
+    assert kinds("MAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAAA\n" + B64(RSA)) == ["der"]
+
+
+@pytest.mark.parametrize("line", ["M" + "A" * 40, B64(PKCS8)[:40], B64(RSA)[:64], "b3BlbnNzaC1rZXktdjEA" + "A" * 40, "ey.", "token", "30" * 20, "eyJ"])
+def test_long_texts_take_linear_time(line):
+    began = time.time()
+    S.find((line + "\n") * (1_000_000 // len(line)))
+    S.find(line * (1_000_000 // len(line)))
+    assert time.time() - began < 60
