@@ -60,13 +60,30 @@ def transpose(coords: DataFrame) -> DataFrame:
     return coords.select(F.col("j").alias("i"), F.col("i").alias("j"), "v")
 
 
+def at(coords: DataFrame, i: int, j: int) -> float:
+    """The value of a cell; one that the matrix doesn't have is an error."""
+    row = get(coords, i, j).first()
+    if row is None:
+        raise DimensionMismatch(f"Index ({i}, {j}) out of bounds")
+    return row["v"]
+
+
+def _sizes(coords: DataFrame) -> tuple[int, int]:
+    return tuple(x or 0 for x in shape(coords).first())
+
+
 def combine(a: DataFrame, b: DataFrame, sign: int = 1) -> DataFrame:
-    """a + b or a - b, by cells."""
+    """a + b or a - b, by cells; matrices of unequal shapes are an error."""
+    if (m := _sizes(a)) != (n := _sizes(b)):
+        raise DimensionMismatch(f"Shapes {m} and {n} differ")
     return a.alias("a").join(b.alias("b"), ["i", "j"]).select("i", "j", (F.col("a.v") + sign * F.col("b.v")).alias("v"))
 
 
 def multiply(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Matrix product: cells meet on the shared index and are summed by place, map side first."""
+    """Matrix product: cells meet on the shared index and are summed by place, map side first.  Unequal inner sizes are
+    an error."""
+    if (m := _sizes(a)[1]) != (n := _sizes(b)[0]):
+        raise DimensionMismatch(f"Inner sizes {m} and {n} differ")
     left = a.select("i", F.col("j").alias("k"), F.col("v").alias("x"))
     right = b.select(F.col("i").alias("k"), "j", F.col("v").alias("y"))
     return left.join(right, "k").groupBy("i", "j").agg(F.sum(F.col("x") * F.col("y")).alias("v"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .stats import long_percentiles
 from .table import number
 
 SEVERITIES = ("Info", "Warning", "Error", "Critical")
@@ -43,7 +44,9 @@ def outliers(df: DataFrame) -> DataFrame:
     """``column, position, n_numeric, q1, q3, n_outliers, pct``: strictly outside 1.5 interquartile ranges, for columns
     where more than half of the rows are numbers."""
     long = _long(df)
-    q = long.groupBy("column", "position").agg(F.count(F.lit(1)).alias("n_rows"), F.count("num").alias("n_numeric"), F.percentile("num", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
+    sizes = long.groupBy("column", "position").agg(F.count(F.lit(1)).alias("n_rows"), F.count("num").alias("n_numeric"))
+    # a row a column on either side
+    q = sizes.join(F.broadcast(long_percentiles(long.select("column", F.col("num").alias("value")), [0.25, 0.75])), "column")
     q = q.where("n_numeric > n_rows div 2").select("column", "position", "n_numeric", F.col("q")[0].alias("q1"), F.col("q")[1].alias("q3"))
     iqr = F.col("q3") - F.col("q1")
     out = (F.col("num") < F.col("q1") - 1.5 * iqr) | (F.col("num") > F.col("q3") + 1.5 * iqr)

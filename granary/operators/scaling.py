@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import DimensionMismatch, EmptyData, InvalidParameter, NotFitted
-from .stats import FLOOR, col
+from .stats import FLOOR, col, percentiles
+from .table import numbered
 
 
 class Transformer:
@@ -46,6 +47,13 @@ class Transformer:
         self.columns = list(columns)
         return [[row[f"{k}_{i}"] for i in range(len(columns))] for k in range(len(of))]
 
+    def _quantiles(self, df: DataFrame, columns: list[str], shares: list[float]) -> list[list[float]]:
+        found = {r["column"]: r["q"] for r in percentiles(df, columns, shares).collect()}  # a row a column
+        if absent := [c for c in columns if c not in found]:
+            raise EmptyData(f"Cannot fit on empty data: no value in {absent}")
+        self.columns = list(columns)
+        return [found[c] for c in columns]
+
     def describe(self, spark) -> DataFrame:
         """``column, scale, offset``."""
         rows = [(c, float(s), float(o)) for c, s, o in zip(self.columns or [], self.scale(), self.offset())]
@@ -108,7 +116,7 @@ class RobustScaler(Transformer):
     """(x - median) / interquartile range, both exact; a range under the floor counts as 1."""
 
     def fit(self, df, columns):
-        (q,) = self._aggregate(df, columns, lambda c: F.percentile(col(c), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))))
+        q = self._quantiles(df, columns, [0.25, 0.5, 0.75])
         self.median = [x[1] for x in q]
         self.iqr = [1.0 if x[2] - x[0] < FLOOR else x[2] - x[0] for x in q]
         return self
@@ -135,9 +143,11 @@ class Imputer(Transformer):
         self.strategy, self.value = strategy, value
 
     def fit(self, df, columns):
+        if self.strategy == "median":
+            self.fill = [q for (q,) in self._quantiles(df, columns, [0.5])]
+            return self
         of = {
             "mean": lambda c: F.avg(col(c)),
-            "median": lambda c: F.median(col(c)),
             "most_frequent": lambda c: F.mode(col(c), True),
             "constant": lambda c: F.max(F.lit(float(self.value))),
         }[self.strategy]
@@ -157,10 +167,9 @@ class LabelEncoder:
     catalog: DataFrame | None = None
 
     def fit(self, df: DataFrame, column: str):
-        from pyspark.sql import Window as W
-
         self.column = column
-        self.catalog = df.select(F.col(column).alias("category")).where("category IS NOT NULL").distinct().withColumn("code", F.row_number().over(W.orderBy("category")) - 1)
+        distinct = df.select(F.col(column).alias("category")).where("category IS NOT NULL").distinct()
+        self.catalog = numbered(distinct, [F.col("category")], "code").withColumn("code", (F.col("code") - 1).cast("int"))
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
@@ -168,3 +177,9 @@ class LabelEncoder:
 
     def inverse_transform(self, df: DataFrame) -> DataFrame:
         return df.join(self.catalog, "code", "left")
+
+    def one_hot(self, df: DataFrame, name: str = "features") -> DataFrame:
+        """Adds an array with a place for each category, 1 at the row's own; null and unknown categories are all 0."""
+        size = self.catalog.count()
+        hot = F.transform(F.sequence(F.lit(0), F.lit(max(size - 1, 0))), lambda i: F.when(i == F.col("code"), 1.0).otherwise(0.0))
+        return self.transform(df).withColumn(name, hot if size else F.expr("CAST(array() AS array<double>)")).drop("code")

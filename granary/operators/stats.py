@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..lineage import materialise
+
 FLOOR = 1e-10
 #: Columns up to which moments are taken by covariance expressions.
 WIDE = 16
@@ -46,7 +48,10 @@ def pearson(a, b) -> Column:
 
 
 def percentile(c, p: float) -> Column:
-    """Percentile (0 to 100) by linear interpolation between ranks; 0 over no rows."""
+    """Percentile (0 to 100) by linear interpolation between ranks, as an aggregate; 0 over no rows.
+
+    The aggregate holds a group's distinct values in one buffer; ``percentiles`` is the way for whole large tables.
+    """
     return F.coalesce(F.percentile(col(c), F.lit(p / 100.0)), F.lit(0.0))
 
 
@@ -54,6 +59,32 @@ def median(c) -> Column:
     return F.coalesce(F.median(col(c)), F.lit(0.0))
 
 
+def percentiles(df: DataFrame, columns: list[str], shares: list[float]) -> DataFrame:
+    """``column, q``: exact percentiles (shares of 0 to 1, linear interpolation between ranks) of whole columns; columns
+    without a value have no row."""
+    return long_percentiles(df.select(*[col(c).alias(c) for c in columns]).unpivot([], columns, "column", "value"), shares)
+
+
+def long_percentiles(long: DataFrame, shares: list[float]) -> DataFrame:
+    """The same for rows of ``column, value``.
+
+    Equal values are counted map side and sorted over ranges of values; a range's first rank is what the ranges before
+    it hold, so no column's values meet in one task.
+    """
+    counts = long.where("value IS NOT NULL").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
+    ranged = materialise(counts.repartitionByRange("column", "value").withColumn("part", F.spark_partition_id()))
+    parts = ranged.groupBy("column", "part").agg(F.sum("n").alias("rows"))  # a row for each task and column
+    earlier = W.partitionBy("column").orderBy("part").rowsBetween(W.unboundedPreceding, -1)
+    parts = parts.select("column", "part", F.coalesce(F.sum("rows").over(earlier), F.lit(0)).alias("earlier"), F.sum("rows").over(W.partitionBy("column")).alias("total"))
+    inside = F.sum("n").over(W.partitionBy("column", "part").orderBy("value"))
+    ranked = ranged.withColumn("inside", inside).join(parts, ["column", "part"]).withColumn("end", F.col("earlier") + F.col("inside"))
+    at = lambda rank: F.max(F.when((rank >= F.col("end") - F.col("n")) & (rank < F.col("end")), F.col("value")))
+    places = [(F.col("total") - 1) * F.lit(p) for p in shares]
+    found = ranked.groupBy("column").agg(F.max("total").alias("total"), *[at(f(x)).alias(f"{k}{i}") for i, x in enumerate(places) for k, f in (("a", F.floor), ("b", F.ceil))])
+    between = lambda i, x: F.when(F.col(f"a{i}") == F.col(f"b{i}"), F.col(f"a{i}")).otherwise((F.ceil(x) - x) * F.col(f"a{i}") + (x - F.floor(x)) * F.col(f"b{i}"))
+    return found.select("column", F.array(*[between(i, x) for i, x in enumerate(places)]).alias("q"))
+
+
 @dataclass(frozen=True)
 class Moments:
     """Count, means and centred second moments (sums of products of deviations) of columns."""
@@ -77,12 +108,22 @@ class Moments:
         return self.covariance() / np.outer(s, s)
 
 
+def complete(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows that have a value in each of the columns."""
+    keep = F.lit(True)
+    for c in columns:
+        keep = keep & col(c).isNotNull()
+    return df.where(keep)
+
+
 def moments(df: DataFrame, columns: list[str]) -> Moments:
     """One aggregate: p means and p (p + 1) / 2 covariances, combined from partial results.
 
-    Beyond WIDE columns, whose pairs would make too many expressions, means are taken first and the products of
-    deviations are summed by partition as matrices (a null counts as its mean), which an aggregate adds up.
+    Rows with a null in any of the columns are left out, so that all moments are of the same rows.  Beyond WIDE columns,
+    whose pairs would make too many expressions, means are taken first and the products of deviations are summed by
+    partition as matrices, which an aggregate adds up.
     """
+    df = complete(df, columns)
     if len(columns) > WIDE:
         return _wide_moments(df, columns)
     pairs = list(combinations_with_replacement(range(len(columns)), 2))
@@ -91,11 +132,14 @@ def moments(df: DataFrame, columns: list[str]) -> Moments:
         *[F.avg(col(c)).alias(f"m{i}") for i, c in enumerate(columns)],
         *[F.covar_pop(col(columns[i]), col(columns[j])).alias(f"c{i}_{j}") for i, j in pairs],
     ).first()
-    n = row["n"]
-    products = np.zeros((len(columns), len(columns)))
+    return Moments(tuple(columns), row["n"], np.array([row[f"m{i}"] or 0.0 for i in range(len(columns))]), _products(row, pairs, len(columns)))
+
+
+def _products(row, pairs, p: int) -> np.ndarray:
+    out = np.zeros((p, p))
     for i, j in pairs:
-        products[i, j] = products[j, i] = n * (row[f"c{i}_{j}"] or 0.0)
-    return Moments(tuple(columns), n, np.array([row[f"m{i}"] or 0.0 for i in range(len(columns))]), products)
+        out[i, j] = out[j, i] = row["n"] * (row[f"c{i}_{j}"] or 0.0)
+    return out
 
 
 def _wide_moments(df: DataFrame, columns: list[str]) -> Moments:
@@ -108,7 +152,7 @@ def _wide_moments(df: DataFrame, columns: list[str]) -> Moments:
     def products(batches):
         total = np.zeros((p, p))
         for pdf in batches:
-            x = np.nan_to_num(pdf.to_numpy(dtype=float) - means)
+            x = pdf.to_numpy(dtype=float) - means
             total += x.T @ x
         i, j = np.triu_indices(p)
         yield pd.DataFrame({"i": i, "j": j, "v": total[i, j]})
@@ -120,34 +164,34 @@ def _wide_moments(df: DataFrame, columns: list[str]) -> Moments:
     return Moments(tuple(columns), row["n"], means, out)
 
 
+def _pairwise(df: DataFrame, columns: list[str], name: str, of) -> DataFrame:
+    """``feature_i, feature_j, name`` for every pair; each unordered pair is aggregated once."""
+    cell = lambda a, b, v: F.struct(a.alias("feature_i"), b.alias("feature_j"), v.alias(name))
+    aggs = [cell(F.lit(a), F.lit(b), of(a, b)) for a, b in combinations_with_replacement(columns, 2)]
+    mirrored = F.transform(F.filter("c", lambda x: x["feature_i"] != x["feature_j"]), lambda x: cell(x["feature_j"], x["feature_i"], x[name]))
+    return df.agg(F.array(*aggs).alias("c")).select(F.explode(F.concat("c", mirrored)).alias("c")).select("c.*")
+
+
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
     """``feature_i, feature_j, corr`` for every pair, from one aggregate, without leaving Spark."""
-    n = F.count(F.lit(1))
-    aggs = []
-    for i, a in enumerate(columns):
-        for j, b in enumerate(columns):
-            sa, sb = (F.greatest(F.coalesce(F.stddev_samp(col(x)), F.lit(0.0)), F.lit(FLOOR)) for x in (a, b))
-            r = F.when(n < 2, float(i == j)).otherwise(F.coalesce(F.covar_samp(col(a), col(b)), F.lit(0.0)) / (sa * sb))
-            aggs.append(F.struct(F.lit(a).alias("feature_i"), F.lit(b).alias("feature_j"), r.alias("corr")))
-    return df.agg(F.array(*aggs).alias("c")).select(F.explode("c").alias("c")).select("c.*")
+    std = lambda x: F.greatest(F.coalesce(F.stddev_samp(col(x)), F.lit(0.0)), F.lit(FLOOR))
+    return _pairwise(df, columns, "corr", lambda a, b: F.when(F.count(F.lit(1)) < 2, float(a == b)).otherwise(F.coalesce(F.covar_samp(col(a), col(b)), F.lit(0.0)) / (std(a) * std(b))))
 
 
 def covariance_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    aggs = [F.struct(F.lit(a).alias("feature_i"), F.lit(b).alias("feature_j"), F.coalesce(F.covar_samp(col(a), col(b)), F.lit(0.0)).alias("cov")) for a in columns for b in columns]
-    return df.agg(F.array(*aggs).alias("c")).select(F.explode("c").alias("c")).select("c.*")
+    return _pairwise(df, columns, "cov", lambda a, b: F.coalesce(F.covar_samp(col(a), col(b)), F.lit(0.0)))
 
 
 def standardize(df: DataFrame, columns: list[str]) -> DataFrame:
     """(x - mean) / max(sample deviation, floor) of the columns; the others stay."""
-    m = moments(df, columns)
-    s = np.maximum(m.std(), FLOOR)
-    return df.withColumns({c: (col(c) - F.lit(float(m.means[i]))) / F.lit(float(s[i])) for i, c in enumerate(columns)})
+    row = df.agg(*[f(c).alias(f"{k}{i}") for i, c in enumerate(columns) for k, f in (("m", mean), ("s", std_dev))]).first()
+    return df.withColumns({c: (col(c) - F.lit(row[f"m{i}"])) / F.lit(max(row[f"s{i}"], FLOOR)) for i, c in enumerate(columns)})
 
 
 def column_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row a column: ``column, count, mean, median, std_dev`` (population), ``min, max, q1, q3, missing, iqr, cv``.
 
-    Columns are unpivoted once, so every column is summarised by the same aggregate.
+    Columns are unpivoted once, so every column is summarised by the same aggregate; percentiles are exact.
     """
     long = df.select(*[col(c).alias(c) for c in columns]).unpivot([], columns, "column", "value")
     rows = long.groupBy("column").agg(
@@ -156,8 +200,9 @@ def column_stats(df: DataFrame, columns: list[str]) -> DataFrame:
         F.coalesce(F.stddev_pop("value"), F.lit(0.0)).alias("std_dev"),
         F.coalesce(F.min("value"), F.lit(0.0)).alias("min"),
         F.coalesce(F.max("value"), F.lit(0.0)).alias("max"),
-        F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"),
     )
+    # a row a column on either side
+    rows = rows.join(F.broadcast(long_percentiles(long, [0.25, 0.5, 0.75])), "column", "left")
     part = lambda i: F.coalesce(F.get("q", F.lit(i)), F.lit(0.0))
     return rows.select(
         "column", "count", "mean", part(1).alias("median"), "std_dev", "min", "max", part(0).alias("q1"), part(2).alias("q3"),

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..lineage import materialise
+
 #: What counts as a number: a plain decimal with optional sign, fraction and exponent, or an infinity or NaN by name.
 NUMBER = r"^[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|(?i:inf|infinity|nan))$"
 FINITE = r"^[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?)$"
@@ -48,8 +50,19 @@ def page(df: DataFrame, order: list, scroll: float = 0.0, row_height: int = 40,
     return df.orderBy(*order).offset(start).limit(visible + overscan)
 
 
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """Adds each row's place in an order, from 1, without a task that sees all rows: rows are sorted over ranges of the
+    order, and a range's numbers start after what the ranges before it hold."""
+    rows = materialise(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
+    parts = rows.groupBy(F.col("_part").alias("_of")).agg(F.count(F.lit(1)).alias("_rows"))  # a row a task
+    before = parts.select("_of", F.coalesce(F.sum("_rows").over(W.orderBy("_of").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(W.partitionBy("_part").orderBy(*order))
+    out = rows.withColumn(name, inside).join(F.broadcast(before), F.col("_part") == F.col("_of"))
+    return out.withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_of", "_before")
+
+
 def row_numbers(df: DataFrame, order: str) -> DataFrame:
-    return df.withColumn("row_number", F.row_number().over(W.orderBy(order)))
+    return numbered(df, [F.col(order)], "row_number")
 
 
 def counts(shown: DataFrame, total: DataFrame) -> dict[str, int]:

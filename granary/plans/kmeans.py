@@ -1,4 +1,4 @@
-"""k-means by Lloyd's iterations: assignment and update are one aggregate, one job an iteration."""
+"""k-means by Lloyd's iterations: assignment and update are one pass, one job an iteration (``sums``)."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import InvalidParameter, MLError, NotFitted
+from .sums import matrix, summed
 
 
 def _vector(v) -> Column:
@@ -19,6 +20,23 @@ def _squared(features: Column, centre) -> Column:
     return F.aggregate(F.zip_with(features, _vector(centre), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
 
+def _update(centroids: np.ndarray):
+    """For a batch: of each centroid, the sum of the rows nearest to it (of equal ones the first), and their number."""
+    k, p = centroids.shape
+
+    def of(batch):
+        x = matrix(batch.column(0), p)
+        total = np.zeros((k, p + 1))
+        for at in range(0, len(x), 4096):
+            part = x[at : at + 4096]
+            d = np.stack([((part - c) ** 2).sum(axis=1) for c in centroids], axis=1)
+            near = np.eye(k)[d.argmin(axis=1)]
+            total += np.hstack([near.T @ part, near.sum(axis=0)[:, None]])
+        return total.ravel()
+
+    return of
+
+
 @dataclass
 class KMeans:
     k: int
@@ -64,11 +82,8 @@ class KMeans:
             self.centroids = np.array(init, dtype=float) if init is not None else self.initialize(cached, row_id)
             p = self.centroids.shape[1]
             for i in range(self.iterations):
-                with_label = cached.withColumn("d", self.distances()).withColumn("label", F.array_position("d", F.array_min("d")) - 1)
-                rows = with_label.groupBy("label").agg(*[F.avg(F.col("features")[j]).alias(f"f{j}") for j in range(p)]).collect()
-                new = np.zeros_like(self.centroids)
-                for r in rows:
-                    new[r["label"]] = [r[f"f{j}"] for j in range(p)]
+                total = summed(cached.select("features"), self.k * (p + 1), _update(self.centroids)).reshape(self.k, p + 1)
+                new = np.divide(total[:, :p], total[:, p:], out=np.zeros((self.k, p)), where=total[:, p:] > 0)
                 shift = np.sqrt(((new - self.centroids) ** 2).sum(axis=1)).max()
                 self.centroids, self.n_iterations = new, i + 1
                 if shift < self.tolerance:

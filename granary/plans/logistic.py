@@ -1,7 +1,7 @@
 """Logistic regression by batch gradient descent; several classes by one against the rest.
 
-The gradients of all classes are taken in the same aggregate, one job an iteration; parameters go in as literals, and
-nothing is chained from one iteration to the next.
+The gradients of all classes are summed in the same pass, one job an iteration (``sums``); nothing is chained from one
+iteration to the next.
 """
 
 from __future__ import annotations
@@ -13,8 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import EmptyData, InvalidParameter, MLError, NotFitted
-from ..operators.stats import col
 from ..functions.activation import sigmoid
+from ..operators.stats import col, complete
+from .sums import matrix, summed
 
 
 @dataclass
@@ -40,32 +41,37 @@ class LogisticRegression:
         return sigmoid(z)
 
     def fit(self, df: DataFrame, features: list[str], label: str) -> LogisticRegression:
-        """Labels are told apart by their sorted distinct values; two are learned by one model, more by one each."""
+        """Labels are told apart by their sorted distinct values; two are learned by one model, more by one each.  Rows
+        with a null among features and label are left out."""
+        df = complete(df, [*features, label])
         rows = df.groupBy(col(label).alias("y")).count().orderBy("y").collect()
         if not rows:
             raise EmptyData("Cannot fit on empty data")
         if len(rows) < 2:
             raise MLError("Need at least 2 classes for classification")
         self.features, self.labels = list(features), [r["y"] for r in rows]
+        n, p = sum(r["count"] for r in rows), len(features)
         models = [1] if len(rows) == 2 else list(range(len(rows)))
-        self.weights, self.biases = np.zeros((len(models), len(features))), np.zeros(len(models))
-        cached = df.select(*[col(c).alias(c) for c in features], *[(col(label) == self.labels[m]).cast("double").alias(f"_y{k}") for k, m in enumerate(models)]).persist()
-        live = list(range(len(models)))
+        targets = np.array([self.labels[m] for m in models])
+        self.weights, self.biases = np.zeros((len(models), p)), np.zeros(len(models))
+        cached = df.select(F.array(*[col(c) for c in features]).alias("x"), col(label).alias("y")).persist()
+        live = np.ones(len(models), dtype=bool)
         try:
             self.n_iterations = 0
-            while live and self.n_iterations < self.iterations:
-                aggs = []
-                for k in live:
-                    e = self._score(k) - F.col(f"_y{k}")
-                    aggs += [F.avg(e).alias(f"b{k}"), *[F.avg(e * F.col(c)).alias(f"w{k}_{j}") for j, c in enumerate(features)]]
-                row = cached.agg(*aggs).first()
+            while live.any() and self.n_iterations < self.iterations:
+                w, b, t = self.weights[live], self.biases[live], targets[live]
+
+                def gradient(batch, w=w, b=b, t=t):
+                    x, y = matrix(batch.column(0), p), batch.column(1).to_numpy(zero_copy_only=False)
+                    with np.errstate(over="ignore"):
+                        e = 1 / (1 + np.exp(-(x @ w.T + b))) - (y[:, None] == t)
+                    return np.hstack([e.T @ x, e.sum(axis=0)[:, None]]).ravel()
+
+                step = self.learning_rate * summed(cached, len(w) * (p + 1), gradient).reshape(len(w), p + 1) / n
                 self.n_iterations += 1
-                for k in list(live):
-                    step = self.learning_rate * np.array([*[row[f"w{k}_{j}"] for j in range(len(features))], row[f"b{k}"]])
-                    self.weights[k] -= step[:-1]
-                    self.biases[k] -= step[-1]
-                    if np.abs(step).max() < self.tolerance:
-                        live.remove(k)
+                self.weights[live] -= step[:, :-1]
+                self.biases[live] -= step[:, -1]
+                live[live] = np.abs(step).max(axis=1) >= self.tolerance
         finally:
             cached.unpersist()
         return self

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import EmptyData, InvalidParameter
-from ..operators.stats import Moments, col
+from ..operators.stats import Moments, _products, col, complete
 from ..streaming.incremental import merge
 from .linear import LinearRegression, _system
 
@@ -32,10 +32,11 @@ def train_test_split(df: DataFrame, key: str, test_share: float = 0.2, seed: int
 
 
 def fold_moments(df: DataFrame, columns: list[str], by: Column, k: int) -> list[Moments]:
-    """Moments of each fold, from one grouped aggregate."""
+    """Moments of each fold's complete rows, from one grouped aggregate."""
     pairs = list(combinations_with_replacement(range(len(columns)), 2))
     rows = (
-        df.groupBy(by.alias("_fold"))
+        complete(df, columns)
+        .groupBy(by.alias("_fold"))
         .agg(
             F.count(F.lit(1)).alias("n"),
             *[F.avg(col(c)).alias(f"m{i}") for i, c in enumerate(columns)],
@@ -45,10 +46,7 @@ def fold_moments(df: DataFrame, columns: list[str], by: Column, k: int) -> list[
     )
     out = [Moments(tuple(columns), 0, np.zeros(len(columns)), np.zeros((len(columns),) * 2)) for _ in range(k)]
     for r in rows:
-        products = np.zeros((len(columns),) * 2)
-        for i, j in pairs:
-            products[i, j] = products[j, i] = r["n"] * (r[f"c{i}_{j}"] or 0.0)
-        out[r["_fold"]] = Moments(tuple(columns), r["n"], np.array([r[f"m{i}"] or 0.0 for i in range(len(columns))]), products)
+        out[r["_fold"]] = Moments(tuple(columns), r["n"], np.array([r[f"m{i}"] or 0.0 for i in range(len(columns))]), _products(r, pairs, len(columns)))
     return out
 
 

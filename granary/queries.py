@@ -6,6 +6,7 @@ sums are taken in different orders.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import numpy as np
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .functions import activation, basic, metrics, surfaces, validation
+from .lineage import shared_folder
 from .operators import linalg, profile, scaling, stats, table
 from .plans import kmeans, linear, logistic, network, optimizers, pca, selection
 from .sources import csv as sources
@@ -58,6 +60,14 @@ def _(spark, d):
     return rounded(sources._validated(cells, names, "p_retailprice").df.drop("row_id"))
 
 
+@query("src01_strict_csv_file", f"SELECT (row_number() OVER (ORDER BY p_partkey) - 1)::BIGINT AS row_id, p_partkey::DOUBLE AS p_partkey, p_size::DOUBLE AS p_size, {r('p_retailprice')} AS p_retailprice FROM part")
+def _(spark, d):
+    path = f"{shared_folder(spark)}/part-{uuid.uuid4().hex}"
+    part = read(spark, d, "part").select("p_partkey", F.when(F.col("p_partkey") % 2 == 0, F.col("p_size").cast("string")).otherwise(F.format_string("%d.0", "p_size")).alias("p_size"), "p_retailprice")
+    part.repartitionByRange("p_partkey").sortWithinPartitions("p_partkey").write.csv(path, header=True, quoteAll=True)
+    return rounded(sources.load_csv(spark, path, "p_retailprice").df)
+
+
 @query("src10_preset_datasets", "SELECT * FROM (VALUES ('linear',1.0::DOUBLE,3.0::DOUBLE),('linear',2,5),('linear',3,7),('linear',4,9),('linear',5,11),('steep',1,5),('steep',2,10),('steep',3,15),('steep',4,20),('noisy',1,3.2),('noisy',2,4.8),('noisy',3,7.1),('noisy',4,8.9),('noisy',5,11.3)) t(name, x, y)")
 def _(spark, d):
     out = [sources.preset(spark, n).select(F.lit(n).alias("name"), "x", "y") for n in sources.PRESETS]
@@ -74,10 +84,16 @@ def _(spark, d):
 
 @query("tab02_sort_mixed", "SELECT p_partkey, p_size::VARCHAR AS size, row_number() OVER (ORDER BY p_size DESC, p_partkey) AS place FROM part")
 def _(spark, d):
-    from pyspark.sql import Window as W
-
     df = read(spark, d, "part").select("p_partkey", F.col("p_size").cast("string").alias("size"))
-    return df.withColumn("place", F.row_number().over(W.orderBy(*table.sort_keys("size", "p_partkey", True))).cast("long"))
+    return table.numbered(df, table.sort_keys("size", "p_partkey", True), "place").withColumn("place", F.col("place").cast("long"))
+
+
+@query("tab02_sort_mixed_strings", "SELECT n_nationkey, cell, row_number() OVER (ORDER BY num IS NULL, num, cell, n_nationkey) AS place FROM (SELECT n_nationkey, cell, CASE WHEN n_nationkey % 3 <> 1 THEN cell::DOUBLE END AS num FROM (SELECT n_nationkey, CASE n_nationkey % 3 WHEN 0 THEN (100 - n_nationkey)::VARCHAR WHEN 1 THEN n_name ELSE (n_nationkey + 0.5)::VARCHAR END AS cell FROM nation))")
+def _(spark, d):
+    key = F.col("n_nationkey")
+    cell = F.when(key % 3 == 0, (100 - key).cast("string")).when(key % 3 == 1, F.col("n_name")).otherwise(F.concat(key.cast("string"), F.lit(".5")))
+    df = read(spark, d, "nation").select("n_nationkey", cell.alias("cell"))
+    return table.numbered(df, table.sort_keys("cell", "n_nationkey"), "place").withColumn("place", F.col("place").cast("long"))
 
 
 @query("tab04_page", "SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 25 OFFSET 10")
@@ -297,6 +313,22 @@ _STATS = " UNION ALL ".join(
 )
 
 
+_HOLED = "(SELECT nullif(l_quantity, 7) AS a, CASE WHEN l_linenumber > 1 THEN l_discount END AS b, l_tax AS c FROM lineitem)"
+
+
+@query("st07_moments_of_complete_rows", " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, {r(f'covar_samp({x}, {y})')} AS cov FROM {_HOLED} WHERE a IS NOT NULL AND b IS NOT NULL" for i, x in enumerate("abc") for j, y in enumerate("abc")))
+def _(spark, d):
+    df = read(spark, d, "lineitem").select(F.nullif("l_quantity", F.lit(7.0)).alias("a"), F.when(F.col("l_linenumber") > 1, F.col("l_discount")).alias("b"), F.col("l_tax").alias("c"))
+    cov = stats.moments(df, ["a", "b", "c"]).covariance()
+    return rounded(spark.createDataFrame([(i, j, float(cov[i, j])) for i in range(3) for j in range(3)], "i int, j int, cov double"))
+
+
+@query("st10_percentiles_of_columns", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", {r(f'quantile_cont({c}, 0.0)', 4)} AS p0, {r(f'quantile_cont({c}, 0.37)', 4)} AS p37, {r(f'quantile_cont({c}, 0.9)', 4)} AS p90, {r(f'quantile_cont({c}, 1.0)', 4)} AS p100 FROM lineitem" for c in NUMERIC))
+def _(spark, d):
+    q = stats.percentiles(read(spark, d, "lineitem"), NUMERIC, [0.0, 0.37, 0.9, 1.0])
+    return rounded(q.select("column", *[F.col("q")[i].alias(n) for i, n in enumerate(("p0", "p37", "p90", "p100"))]), 4)
+
+
 @query("st08_column_stats", "SELECT \"column\", count, " + ", ".join(f"{r(x, 4)} AS {x}" for x in ("mean", "median", "std_dev", "min", "max", "q1", "q3")) + f", 0::BIGINT AS missing, {r('q3 - q1', 4)} AS iqr, {r('CASE WHEN abs(mean) < 1e-10 THEN 0 ELSE std_dev / abs(mean) * 100 END', 4)} AS cv FROM ({_STATS})")
 def _(spark, d):
     return rounded(stats.column_stats(read(spark, d, "lineitem"), NUMERIC), 4)
@@ -408,12 +440,24 @@ def _(spark, d):
     return rounded(profile.duplicates(read(spark, d, "documents").select("text", "lang")))
 
 
-@query("dq06_issues")
+_ISSUES = (
+    f"""WITH m AS ({ORACLE_SQL["dq01_missing"]}), o AS ({ORACLE_SQL["dq02_outliers"]}), l AS ({ORACLE_SQL["dq03_low_variance"]}), c AS ({ORACLE_SQL["dq04_cardinality"]}),
+g AS (SELECT count(*) AS n FROM {_BLANKED} GROUP BY kind, "user", code, score), d AS (SELECT sum(n)::BIGINT AS n_rows, sum(n - 1)::BIGINT AS dup, sum(n - 1) * 100.0::DOUBLE / sum(n) AS pct FROM g),
+i AS (SELECT "column", 'MissingValues' AS issue, severity, n_missing AS affected, pct, CASE WHEN pct > 50 THEN 'Consider dropping this column' WHEN pct > 20 THEN 'Impute or investigate the missing values' ELSE 'Impute the missing values' END AS recommendation FROM m WHERE n_missing > 0
+UNION ALL SELECT "column", 'Outliers', CASE WHEN pct > 10 THEN 'Warning' ELSE 'Info' END, n_outliers, pct, 'Check or cap the outliers' FROM o WHERE pct > 1
+UNION ALL SELECT "column", 'LowVariance', 'Warning', 0, 0, 'Consider dropping this column' FROM l WHERE low
+UNION ALL SELECT "column", 'HighCardinality', 'Info', n_distinct, ratio * 100, 'Consider encoding or grouping' FROM c WHERE high
+UNION ALL SELECT 'Dataset', 'Duplicates', CASE WHEN pct > 10 THEN 'Warning' ELSE 'Info' END, dup, pct, 'Remove duplicate rows' FROM d WHERE dup > 0)"""
+)
+
+
+@query("dq06_issues", _ISSUES + f""" SELECT "column", issue, severity, affected, {r('pct', 4)} AS pct, recommendation FROM i""")
 def _(spark, d):
     return rounded(profile.issues(blanked(spark, d)), 4)
 
 
-@query("dq07_quality_score")
+@query("dq07_quality_score", _ISSUES + """ SELECT score::BIGINT AS score, CASE WHEN score >= 90 THEN 'green' WHEN score >= 70 THEN 'yellow' WHEN score >= 50 THEN 'orange' ELSE 'red' END AS band
+FROM (SELECT 100 - least(sum(CASE severity WHEN 'Info' THEN 1 WHEN 'Warning' THEN 5 WHEN 'Error' THEN 15 ELSE 25 END), 100) AS score FROM i)""")
 def _(spark, d):
     return profile.quality_score(profile.issues(blanked(spark, d)))
 
@@ -573,18 +617,18 @@ def _(spark, d):
     return rounded(m.predict(data).agg(metrics.training_accuracy("quality", "prediction").alias("accuracy")), 4)
 
 
-_OVR = "WITH x AS (SELECT label, embedding[1:8]::DOUBLE[] AS f FROM embeddings), p0 AS (SELECT DISTINCT label AS k, list_transform(range(8), lambda z: 0.0::DOUBLE) AS w, 0.0::DOUBLE AS b FROM x)" + "".join(
-    f", p{i + 1} AS (SELECT k, [{', '.join(f'any_value(w)[{j}] - 0.5 * avg(e * f[{j}])' for j in range(1, 9))}] AS w, any_value(b) - 0.5 * avg(e) AS b"
+_OVR = "WITH x AS (SELECT label, embedding::DOUBLE[] AS f FROM embeddings), p0 AS (SELECT DISTINCT label AS k, list_transform(range(64), lambda z: 0.0::DOUBLE) AS w, 0.0::DOUBLE AS b FROM x)" + "".join(
+    f", p{i + 1} AS (SELECT k, [{', '.join(f'any_value(w)[{j}] - 0.5 * avg(e * f[{j}])' for j in range(1, 65))}] AS w, any_value(b) - 0.5 * avg(e) AS b"
     f" FROM (SELECT k, w, b, f, 1 / (1 + exp(-(list_dot_product(w, f) + b))) - (label = k)::INT AS e FROM x, p{i}) GROUP BY k)"
     for i in range(5)
 )
-_OVR += f" SELECT (dense_rank() OVER (ORDER BY k) - 1)::INT AS model, feature, {r('weight', 5)} AS weight FROM (SELECT k, unnest(['f0', 'f1', 'f2', 'f3', 'f4', 'f5', 'f6', 'f7', '(bias)']) AS feature, unnest(list_append(w, b)) AS weight FROM p5)"
+_OVR += f" SELECT (dense_rank() OVER (ORDER BY k) - 1)::INT AS model, feature, {r('weight', 5)} AS weight FROM (SELECT k, unnest([{', '.join(f"'f{j}'" for j in range(64))}, '(bias)']) AS feature, unnest(list_append(w, b)) AS weight FROM p5)"
 
 
 @query("cls04_fit_multiclass", _OVR)
 def _(spark, d):
-    e = embeddings(spark, d).select("label", *[F.col("features")[j].alias(f"f{j}") for j in range(8)])
-    return rounded(logistic.LogisticRegression(0.5, 5, 1e-12).fit(e, [f"f{j}" for j in range(8)], "label").table(spark), 5)
+    e = embeddings(spark, d).select("label", *[F.col("features")[j].alias(f"f{j}") for j in range(64)])
+    return rounded(logistic.LogisticRegression(0.5, 5, 1e-12).fit(e, [f"f{j}" for j in range(64)], "label").table(spark), 5)
 
 
 # --- clustering, components ------------------------------------------------------------------------------------------
@@ -721,7 +765,7 @@ def _(spark, d):
     return h.select("row", "col", (F.round("v", 4) + 0.0).alias("v"), (F.round("t", 5) + 0.0).alias("t"))
 
 
-_RACE_N = 60
+_RACE_N = 100
 _CASE = lambda i: "CASE surface " + " ".join(f"WHEN '{n}' THEN {e}" for n, e in (("Quadratic", ("x*x + y*y", "2*x", "2*y")[i]), ("Rosenbrock", ("(1-x)*(1-x) + 100*(y-x*x)*(y-x*x)", "-2*(1-x) - 400*x*(y-x*x)", "200*(y-x*x)")[i]), ("Himmelblau", ("pow(x*x+y-11, 2) + pow(x+y*y-7, 2)", "4*x*(x*x+y-11) + 2*(x+y*y-7)", "2*(x*x+y-11) + 4*y*(x+y*y-7)")[i]))) + " END"
 _RACE_SQL = f"""WITH RECURSIVE k AS (SELECT * FROM (VALUES ('Quadratic', 2.0::DOUBLE, 2.0::DOUBLE), ('Rosenbrock', -1.0, 1.0), ('Himmelblau', 0.0, 0.0)) t(surface, x, y)),
 o AS (SELECT * FROM (VALUES (0, 'SGD', 0.0::DOUBLE, 0.0::DOUBLE), (1, 'Momentum', 0.9, 0.0), (2, 'RMSprop', 0.0, 0.9), (3, 'Adam', 0.9, 0.999)) t(racer, optimizer, b1, b2)),

@@ -8,6 +8,7 @@ import os
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,22 +41,30 @@ def header(spark: SparkSession, path: str) -> list[str]:
     return next(csv.reader(io.StringIO(first[0]["value"]))) if first else []
 
 
-def load_csv(spark: SparkSession, path: str, target: str) -> Dataset:
+def load_csv(spark: SparkSession, path: str, target: str, multi_line: bool = False) -> Dataset:
     """A CSV file with a header whose every cell is a finite number; the first offending cell is reported.
 
-    Target cells are looked at before a row's features.  The file is read once and not inferred; unequal rows fail.
+    Target cells are looked at before a row's features; unequal rows fail.  The file is read by Spark's own reader,
+    split over tasks, and not inferred.  Lines are counted by records, blank lines left out.  multi_line: quoted
+    cells may hold line ends (no such cell is a number), for which a file can't be split.
     """
     names = header(spark, path)
     if target not in names:
         raise TargetNotFound(target)
-    df = _read(spark, path, names)
-    return _validated(df, names, target)
+    return _validated(_read(spark, path, names, multi_line), names, target)
 
 
-def _read(spark: SparkSession, path: str, names: list[str]) -> DataFrame:
-    text = spark.read.text(path)
-    rows = text.rdd.zipWithIndex().filter(lambda x: x[1] > 0 and x[0]["value"] != "").map(lambda x: (x[1] + 1, next(csv.reader([x[0]["value"]]))))
-    return rows.toDF(T.StructType([T.StructField("_line", T.LongType()), T.StructField("_cells", T.ArrayType(T.StringType()))]))
+def _read(spark: SparkSession, path: str, names: list[str], multi_line: bool = False) -> DataFrame:
+    """``_line, _cells, _raw``: _raw is a row with too many or too few cells, whose cells are then one too many."""
+    schema = ", ".join([*(f"c{i} string" for i in range(len(names))), "_raw string"])
+    rows = spark.read.schema(schema).csv(path, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_raw", escape='"', multiLine=multi_line)
+    cells = F.array(*[F.coalesce(f"c{i}", F.lit("")) for i in range(len(names))])
+    rows = rows.select(F.when(F.col("_raw").isNull(), cells).otherwise(F.array_append(cells, F.lit(""))).alias("_cells"), "_raw", F.monotonically_increasing_id().alias("_at"))
+    task = F.shiftright("_at", 33)
+    counts = rows.groupBy(task.alias("_task")).agg(F.count(F.lit(1)).alias("_rows"))  # a row a task
+    before = counts.select("_task", F.coalesce(F.sum("_rows").over(W.orderBy("_task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    numbered = rows.join(F.broadcast(before), task == F.col("_task"))
+    return numbered.select((F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 2).alias("_line"), "_cells", "_raw")
 
 
 def load_content(spark: SparkSession, content: str, target: str) -> Dataset:
@@ -72,24 +81,21 @@ def load_content(spark: SparkSession, content: str, target: str) -> Dataset:
 def _validated(df: DataFrame, names: list[str], target: str) -> Dataset:
     at = names.index(target)
     order = [at, *[i for i in range(len(names)) if i != at]]
-    ragged = F.when(F.size("_cells") != len(names), F.struct(F.lit(-1).alias("p"), F.size("_cells").cast("string").alias("value")))
+    raw = F.col("_raw") if "_raw" in df.columns else F.lit(None).cast("string")
+    ragged = F.when(F.size("_cells") != len(names), F.struct(F.when(raw.isNull(), -1).otherwise(-2).alias("p"), F.coalesce(raw, F.size("_cells").cast("string")).alias("value")))
     bad = ragged
     for p in reversed(range(len(order))):
         cell = F.get("_cells", F.lit(order[p]))
         this = F.when(~F.coalesce(cell.rlike(FINITE), F.lit(False)), F.struct(F.lit(p).alias("p"), cell.alias("value")))
         bad = F.coalesce(this, bad) if p != len(order) - 1 else this
     bad = F.coalesce(ragged, bad)
-    checked = df.withColumn("_bad", bad).persist()
-    try:
-        n, first = checked.agg(F.count(F.lit(1)), F.min_by(F.struct("_line", "_bad"), F.when(F.col("_bad").isNotNull(), F.col("_line")))).first()
-    finally:
-        checked.unpersist()
+    n, first = df.withColumn("_bad", bad).agg(F.count(F.lit(1)), F.min_by(F.struct("_line", "_bad"), F.when(F.col("_bad").isNotNull(), F.col("_line")))).first()
     if not n:
         raise EmptyDataset()
     if first is not None and first["_bad"] is not None:
         line, p, value = first["_line"], first["_bad"]["p"], first["_bad"]["value"]
         if p < 0:
-            raise InconsistentRow(line, len(names), int(value))
+            raise InconsistentRow(line, len(names), _fields(value) if p == -2 else int(value))
         import re
 
         raise (InvalidValue if re.match(NUMBER, value or "") else ParseError)(line, names[order[p]], value or "")
@@ -98,13 +104,17 @@ def _validated(df: DataFrame, names: list[str], target: str) -> Dataset:
     return Dataset(df.select((F.col("_line") - 2).alias("row_id"), *cols), features, target)
 
 
+def _fields(record: str) -> int:
+    return len(next(csv.reader(io.StringIO(record)), []))
+
+
 def preview(spark: SparkSession, path: str, rows: int = 10) -> dict:
     """Headers, the first rows as strings, and the number of rows; unequal rows fail."""
     names = header(spark, path)
     df = _read(spark, path, names)
-    ragged = df.where(F.size("_cells") != len(names)).orderBy("_line").limit(1).collect()
+    ragged = df.where("_raw IS NOT NULL").orderBy("_line").limit(1).collect()
     if ragged:
-        raise InconsistentRow(ragged[0]["_line"], len(names), len(ragged[0]["_cells"]))
+        raise InconsistentRow(ragged[0]["_line"], len(names), _fields(ragged[0]["_raw"]))
     return {"headers": names, "rows": [r["_cells"] for r in df.orderBy("_line").limit(rows).collect()], "total_rows": df.count()}
 
 

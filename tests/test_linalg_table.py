@@ -66,3 +66,18 @@ def test_table_operators(spark):
 @pytest.mark.parametrize("text, want", [("5", 5), ("-.5", -0.5), ("1e5", 1e5), ("5.", 5), ("+inf", float("inf")), (" 5 ", None), ("5d", None), ("1_0", None), ("", None), ("0x1", None), ("abc", None)])
 def test_numbers(spark, text, want):
     assert spark.createDataFrame([(text,)], "s string").select(T.number(F.col("s"))).first()[0] == want
+
+
+def test_shapes_and_places_are_checked(spark):
+    a, b = L.from_rows(spark, [[1, 2], [3, 4]]), L.from_rows(spark, [[1, 2, 3], [4, 5, 6]])
+    assert L.at(a, 1, 0) == 3.0 and cells(L.multiply(a, b))[1, 2] == 33.0
+    for wrong in (lambda: L.at(a, 2, 0), lambda: L.combine(a, b), lambda: L.multiply(b, a)):
+        with pytest.raises(DimensionMismatch):
+            wrong()
+
+
+def test_rows_are_numbered_over_ranges(spark):
+    df = spark.range(1000).select(((F.col("id") * 37) % 101).alias("k"), "id").repartition(7)
+    out = T.numbered(df, [F.col("k").desc(), F.col("id")], "place").collect()
+    assert [(r.k, r.id) for r in sorted(out, key=lambda r: r.place)] == sorted(((r.k, r.id) for r in out), key=lambda x: (-x[0], x[1]))
+    assert sorted(r.place for r in out) == list(range(1, 1001))

@@ -64,3 +64,9 @@ def test_imputer_and_encoder(spark):
     out = e.transform(df)
     assert {(r.k, r.code) for r in out.collect()} == {("x", 0), ("y", 1), ("z", 2)}
     assert e.inverse_transform(out.drop("k").select("v", "code")).where(F.col("category") == "x").count() == 2
+
+
+def test_one_hot(spark):
+    df = spark.createDataFrame([(1, "b"), (2, "a"), (3, None), (4, "b")], "id int, kind string")
+    rows = {r["id"]: r["features"] for r in S.LabelEncoder().fit(df, "kind").one_hot(df).collect()}
+    assert rows == {1: [0.0, 1.0], 2: [1.0, 0.0], 3: [0.0, 0.0], 4: [0.0, 1.0]}

@@ -71,3 +71,27 @@ def test_sinks_and_fit(spark, tmp_path):
     m = fit_from_file(spark, write(tmp_path, "x,y\n1,3\n2,5\n3,7\n4,9\n5,11\n"), "y", 2000, 0.05)
     assert m.weights[0] == pytest.approx(2, abs=0.01)
     assert C.to_json(m.table(spark)).first().json.startswith('{"feature":"x"')
+
+
+def test_quoted_cells_and_line_ends(spark, tmp_path):
+    path = write(tmp_path, 'x,"y"\r\n"1.0","2"\r\n3,"4"\r\n')
+    assert [tuple(r) for r in C.load_csv(spark, path, "y").df.orderBy("row_id").collect()] == [(0, 1, 2), (1, 3, 4)]
+    broken = write(tmp_path, 'x,y\n1,2\n"3\n4",5\n', "b.csv")
+    with pytest.raises(CsvError):
+        C.load_csv(spark, broken, "y")
+    with pytest.raises(ParseError) as e:
+        C.load_csv(spark, broken, "y", multi_line=True)
+    assert (e.value.line, e.value.column, e.value.value) == (3, "x", "3\n4")
+    with pytest.raises(InconsistentRow) as e:
+        C.load_csv(spark, write(tmp_path, 'x,y\n1,2\n1,"2,3",4\n', "c.csv"), "y")
+    assert (e.value.line, e.value.expected, e.value.found) == (3, 2, 3)
+
+
+def test_rows_keep_their_order_over_many_tasks(spark, tmp_path):
+    path = write(tmp_path, "x,y\n" + "".join(f"{i},{2 * i}\n" for i in range(20_000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        rows = C.load_csv(spark, path, "y").df.collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(rows) == 20_000 and all(r.row_id == r.x and r.y == 2 * r.x for r in rows)

@@ -90,3 +90,27 @@ def test_wide_moments_equal_narrow_ones(spark, monkeypatch):
     wide = S.moments(df, ["a", "b", "c"])
     assert wide.n == narrow.n and np.allclose(wide.means, narrow.means) and np.allclose(wide.products, narrow.products)
     assert S.moments(df.where("false"), ["a", "b", "c"]).n == 0
+
+
+def test_percentiles_of_columns_equal_numpy(spark):
+    rng = np.random.default_rng(3)
+    data = {"a": rng.normal(size=500), "b": rng.integers(0, 7, 500).astype(float), "c": np.full(500, 2.5), "one": np.r_[4.0, np.full(499, np.nan)], "none": np.full(500, np.nan)}
+    rows = [tuple(None if np.isnan(v[i]) else float(v[i]) for v in data.values()) for i in range(500)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in data)).repartition(5)
+    shares = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
+    found = {r["column"]: r["q"] for r in S.percentiles(df, list(data), shares).collect()}
+    assert set(found) == {"a", "b", "c", "one"}
+    for c, q in found.items():
+        assert np.allclose(q, np.quantile(data[c][~np.isnan(data[c])], shares))
+
+
+def test_moments_are_of_complete_rows_at_any_width(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 17))
+    holes = rng.random((60, 17)) < 0.02
+    df = spark.createDataFrame([tuple(None if h else float(v) for v, h in zip(*r)) for r in zip(x, holes)], ", ".join(f"c{i} double" for i in range(17)))
+    whole = x[~holes.any(axis=1)]
+    m = S.moments(df, [f"c{i}" for i in range(17)])
+    assert m.n == len(whole) < 60 and np.allclose(m.covariance(), np.cov(whole.T)) and np.allclose(m.means, whole.mean(axis=0))
+    few = S.moments(df.where("c16 IS NOT NULL"), [f"c{i}" for i in range(16)])
+    assert few.n == m.n and np.allclose(few.products, m.products[:16, :16])
