@@ -155,14 +155,17 @@ def _alike(sig: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def tree_pairs(key: np.ndarray, point: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of children and parents in two random trees over the members of each key (rows sorted by key)."""
+    """Pairs of children and parents in two random trees over the members of each key (rows sorted by key).
+
+    The trees' orders are of the points alone, so that bands with the same members make the same pairs.
+    """
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[first, len(key)])
     base = np.repeat(first, size)
     place = np.arange(len(key)) - base
     a, b = [], []
     for times in _TIMES[:2, 0]:
-        mixed = (point.view(np.uint64) ^ key.view(np.uint64)) * times
+        mixed = point.view(np.uint64) * times
         order = np.lexsort((mixed ^ (mixed >> np.uint64(29)), key))
         child = place > 0
         i, j = order[child], order[(base + (place - 1) // ARITY)[child]]
