@@ -5,13 +5,12 @@ Each stage takes ``(spark, docs, sf_dir)`` and returns a DataFrame; all but the
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from granary.llm import bpe, decontaminate, jaccard, pii, toxicity
-from granary.llm.common import table
+from granary.llm.common import shared_folder, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,11 +51,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what each stage keeps is written to the cluster's shared folder and read again."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="granary-pipeline-")
-    folder = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    """All stages over documents; what each stage keeps is written to the cluster's shared folder and read again.
+
+    A stage's table is removed once the next one's is written; the last one's stays, as the result is read from it.
+    """
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            done = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{k - 1}")
+            done.getFileSystem(spark._jsc.hadoopConfiguration()).delete(done, True)
     return docs
