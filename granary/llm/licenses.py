@@ -39,9 +39,23 @@ SENTENCES = (
     "released under the bsd license",
     "this source code form is subject to the terms of the mozilla public license v 2 0",
     "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version",
+    "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
+    "this is free and unencumbered software released into the public domain",
+    "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
 )
+#: Licences that a line may name by their short identifier.
+TAGGED = (
+    "MIT", "Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-or-later", "LGPL-3.0-or-later", "AGPL-3.0-or-later", "BSD-2-Clause", "BSD-3-Clause", "ISC",
+    "MPL-2.0", "EPL-2.0", "Unlicense", "Zlib", "BSL-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0",
+)
+SENTENCES += tuple(f"spdx license identifier {t.lower().replace('-', ' ').replace('.', ' ')}" for t in TAGGED)
 #: Every sentence above holds one of these words, so that texts without any need no splitting.
-HINTS = ("license", "permission", "warranty", "redistribution", "copyright")
+HINTS = ("license", "permission", "warranty", "redistribution", "copyright", "public domain")
 
 _ID = {s: i + 1 for i, s in enumerate(SENTENCES)}
 
@@ -52,15 +66,24 @@ def _rule(name: str, *starts: str) -> tuple[str, tuple[int, ...]]:
 
 
 #: Ordered rules: a licence, and the identifiers that must follow one another among the recognised sentences.  The
-#: first rule that matches names the document's main licence.
+#: first rule that matches names the document's main licence.  Sentences that an earlier, longer rule has matched
+#: don't count for a rule whose sentences are a part of its.
 RULES = (
-    _rule("MIT", "permission is hereby granted free of charge", "the above copyright notice and this"),
+    _rule("MIT", "permission is hereby granted free of charge to any person obtaining", "the above copyright notice and this"),
     _rule("Apache-2.0", "licensed under the apache license version 2 0 the license", "you may not use", "you may obtain", "unless required"),
     _rule("GPL-3.0-or-later", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3", "this program is distributed"),
     _rule("GPL-2.0-or-later", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2", "this program is distributed"),
+    _rule("AGPL-3.0-or-later", "this program is free software you can redistribute it and or modify it under the terms of the gnu affero"),
+    _rule("LGPL-2.1-or-later", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1"),
+    _rule("LGPL-3.0-or-later", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3"),
+    _rule("BSD-3-Clause", "redistribution and use", "redistributions of source", "redistributions in binary", "neither the name"),
     _rule("BSD-2-Clause", "redistribution and use", "redistributions of source", "redistributions in binary"),
     _rule("ISC", "permission to use copy modify and or distribute"),
     _rule("MPL-2.0", "this source code form"),
+    _rule("EPL-2.0", "this program and the accompanying materials"),
+    _rule("BSL-1.0", "permission is hereby granted free of charge to any person or organization"),
+    _rule("Zlib", "permission is granted to anyone"),
+    _rule("Unlicense", "this is free and unencumbered"),
     _rule("GPL-3.0-only", "this work is licensed under the gnu general public license version 3"),
     _rule("GPL-3.0-only", "gnu general public license version 3"),
     _rule("GPL-2.0-only", "this work is licensed under the gnu general public license version 2"),
@@ -79,9 +102,16 @@ RULES = (
     _rule("MIT", "the mit license"),
     _rule("MIT", "mit license"),
     _rule("BSD", "released under the bsd"),
+    *(_rule(t, f"spdx license identifier {t.lower().replace('-', ' ').replace('.', ' ')}") for t in TAGGED),
 )
-#: The SQL's pieces end at a line's end, or at full stops and the like before white space.
-SENTENCE_END = r"[.!?:;]+[\x20\x09-\x0D]+|[\x0A\x0D]+"
+
+
+def _sequence(ids: tuple[int, ...]) -> str:
+    return "".join(f",{i}," for i in ids)
+
+
+#: For each rule, the earlier rules that its sentences are a part of.
+HOLDERS = [[j for j in range(k) if _sequence(ids) in _sequence(RULES[j][1]) and RULES[j][0] != name] for k, (name, ids) in enumerate(RULES)]
 #: Marks put into a text, in this order: ``#`` where a sentence ends (lines without a letter or digit, such as blank
 #: comment lines; full stops, but not that of "v. 2.0"), ``|`` where one may end or go on (line ends, colons,
 #: semicolons).  Comment marks are no letters and fall out with other punctuation.
@@ -122,9 +152,14 @@ def scan(docs: DataFrame) -> DataFrame:
     found = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
         .withColumn("ids", F.when(hinted, sentence_ids(F.col("text"))).otherwise(F.expr("CAST(array() AS array<int>)")))
-        .withColumn("sequence", F.concat(F.lit(","), F.array_join("ids", ","), F.lit(",")))
+        .withColumn("sequence", F.array_join(F.transform("ids", lambda i: F.concat(F.lit(","), i.cast("string"), F.lit(","))), ""))
     )
-    rules = [F.when(F.instr(F.col("sequence"), "," + ",".join(map(str, ids)) + ",") > 0, F.lit(name)) for name, ids in RULES]
+
+    def times(k):
+        pattern = _sequence(RULES[k][1])
+        return (F.length("sequence") - F.length(F.replace("sequence", F.lit(pattern), F.lit("")))) / len(pattern)
+
+    rules = [F.when(times(k) > sum((times(j) for j in HOLDERS[k]), F.lit(0)), F.lit(name)) for k, (name, _) in enumerate(RULES)]
     return (
         found.withColumn("names", F.array_distinct(F.array_compact(F.array(*rules))))
         .withColumn("n_sentences", F.size("ids").cast("long"))
@@ -133,13 +168,28 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 _KNOWN = ", ".join(f"'{s}'" for s in SENTENCES)
-_MATCHES = ", ".join(f"CASE WHEN contains(seq, ',{','.join(map(str, ids))},') THEN '{name}' END" for name, ids in RULES)
+_TIMES = [f"(length(seq) - length(replace(seq, '{_sequence(ids)}', ''))) / {len(_sequence(ids))}" for _, ids in RULES]
+_MATCHES = ", ".join(f"CASE WHEN {_TIMES[k]} > {' + '.join(_TIMES[j] for j in HOLDERS[k]) or 0} THEN '{name}' END" for k, (name, _) in enumerate(RULES))
+#: MARKS without looking around: line ends are made one character first, and every mark stands twice, so that a
+#: sentence may take one on either side.
+_MARKED = "regexp_replace(translate(coalesce(text, ''), '|#', '--'), '\\r\\n', chr(10), 'g')"
+for _pattern, _mark in (
+    (r"[\n\r][^A-Za-z0-9\r\n]*[\r\n][^A-Za-z0-9]*", " # "),
+    (r"(^|[^A-Za-z0-9])([Vv])\.[\x20\x09-\x0D]+([0-9])", r"\1\2 | \3"),
+    (r"[.!?:;]*[.!?][.!?:;]*[\x20\x09-\x0D]+", " # "),
+    (r"[:;]+[\x20\x09-\x0D]+|[\r\n]+", " | "),
+    ("[^A-Za-z0-9|#]+", " "),
+    (r"([|#])", r"\1 \1"),
+):
+    _MARKED = f"regexp_replace({_MARKED}, '{_pattern}', '{_mark}', 'g')"
+_ANY = "[|#] (" + "|".join(s.replace(" ", " (?:[|] )*") for s in _LONGEST) + ") [|#]"
+_HINTED = " OR ".join(f"contains(lower(text), '{h}')" for h in HINTS)
 ORACLE_SQL = rf"""
 WITH p AS (
-  SELECT doc_id, list_filter(list_transform(string_split_regex(coalesce(text, ''), '{SENTENCE_END}'),
-           lambda s: coalesce(list_position([{_KNOWN}], lower(trim(regexp_replace(s, '[^A-Za-z0-9]+', ' ', 'g')))), 0)), lambda i: i > 0) AS ids
+  SELECT doc_id, list_transform(regexp_extract_all(CASE WHEN {_HINTED} THEN '# # ' || lower(trim({_MARKED})) || ' # #' ELSE '' END, '{_ANY}', 1),
+           lambda s: list_position([{_KNOWN}], regexp_replace(s, '[|] ', '', 'g'))) AS ids
   FROM documents),
-q AS (SELECT doc_id, ids, ',' || array_to_string(ids, ',') || ',' AS seq FROM p),
+q AS (SELECT doc_id, ids, array_to_string(list_transform(ids, lambda i: ',' || i || ','), '') AS seq FROM p),
 r AS (SELECT doc_id, ids, list_filter([{_MATCHES}], lambda x: x IS NOT NULL) AS hits FROM q),
 u AS (SELECT doc_id, ids, list_filter(hits, lambda x, i: list_position(hits, x) = i) AS names FROM r)
 SELECT doc_id, CAST(len(ids) AS BIGINT) AS n_sentences, array_to_string(ids, ',') AS sentence_ids,

@@ -65,16 +65,71 @@ License, v. 2.0. If a copy of the MPL was not distributed with this
 file, You can obtain one at https://mozilla.org/MPL/2.0/."""
 
 
+BSD3 = BSD + """
+
+3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission."""
+LGPL = """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either
+version 2.1 of the License, or (at your option) any later version."""
+AGPL = GPL3.replace("GNU General", "GNU Affero General", 1)
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:"""
+UNLICENSE = "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy."
+EPL = """This program and the accompanying materials are made available under the
+terms of the Eclipse Public License 2.0 which is available at
+https://www.eclipse.org/legal/epl-2.0/
+
+SPDX-License-Identifier: EPL-2.0"""
+BOOST = """Permission is hereby granted, free of charge, to any person or organization
+obtaining a copy of the software and accompanying documentation covered by
+this license (the "Software") to use, reproduce, display, distribute,
+execute, and transmit the Software, and to prepare derivative works of the
+Software, and to permit third-parties to whom the Software is furnished to
+do so, all subject to the following:"""
+STANDARD = {
+    "MIT": MIT, "Apache-2.0": APACHE, "GPL-3.0-or-later": GPL3, "GPL-2.0-or-later": GPL2, "BSD-2-Clause": BSD, "BSD-3-Clause": BSD3, "ISC": ISC, "MPL-2.0": MPL, "LGPL-2.1-or-later": LGPL,
+    "LGPL-3.0-or-later": LGPL.replace("2.1", "3"), "AGPL-3.0-or-later": AGPL, "Zlib": ZLIB, "Unlicense": UNLICENSE, "EPL-2.0": EPL, "BSL-1.0": BOOST,
+}
+
+
+def by_sql(texts):
+    import duckdb
+
+    c = duckdb.connect()
+    c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    c.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    return sorted(c.execute(L.ORACLE_SQL).fetchall())
+
+
 def test_wrapped_texts(spark):
-    standard = {"MIT": MIT, "Apache-2.0": APACHE, "GPL-3.0-or-later": GPL3, "GPL-2.0-or-later": GPL2, "BSD-2-Clause": BSD, "ISC": ISC, "MPL-2.0": MPL}
+    standard = STANDARD
     layouts = [lambda t: t, lambda t: "x\r\n\r\n" + t.replace("\n", "\r\n") + "\r\n\r\ny"] + [lambda t, m=m: "\n".join(m + line for line in t.split("\n")) for m in ("# ", "// ", " * ")]
     cases = [(name, lay(t)) for name, t in standard.items() for lay in layouts]
     cases += [(None, "the\n\nmit license is good"), (None, "a license\n" * 3), (None, "license" + "\n" * 50_000 + ":" * 50_000)]
+    cases += [("BSD-3-Clause", BSD3 + "\n\n" + BSD), (None, BSD.replace("Redistributions in", "Copies in")), (None, "MIT"), ("Zlib", "// SPDX-License-Identifier: Zlib\n"), (None, "SPDX-License-Identifier: Zlibx")]
     rows = sorted(L.scan(documents(spark, [t for _, t in cases])).collect())
     assert [r.license for r in rows] == [name for name, _ in cases]
+    assert rows[-5].licenses == "BSD-3-Clause,BSD-2-Clause" and all("," not in r.licenses for r in rows[:-5])
+    assert [tuple(r) for r in rows] == by_sql([t for _, t in cases])
+
+
+def test_repeats_and_long_texts(spark):
+    texts = [None, "", MIT, MIT, "word " * 200_000 + "\n\n" + MIT, ISC + "\n\n" + ISC]
+    docs = documents(spark, texts)
+    rows = sorted(L.scan(docs.union(docs)).collect())
+    assert [r.license for r in rows] == [x for x in (None, None, "MIT", "MIT", "MIT", "ISC") for _ in (0, 1)]
+    assert rows[-1].n_sentences == 2 and rows[-1].licenses == "ISC"
+    assert [tuple(r) for r in sorted(L.scan(docs).collect())] == by_sql(texts)
 
 
 def test_every_rule_is_reached(spark):
     texts = ["\n\n".join(" ".join(w[:2]) + "\n" + " ".join(w[2:]) for w in (L.SENTENCES[i - 1].split() for i in ids)) for _, ids in L.RULES]
     rows = sorted(L.scan(documents(spark, texts)).collect())
-    assert [r.sentence_ids for r in rows] == [",".join(map(str, ids)) for _, ids in L.RULES]
+    assert [(r.sentence_ids, r.license) for r in rows] == [(",".join(map(str, ids)), name) for name, ids in L.RULES]
