@@ -104,7 +104,8 @@ def der_size(head: bytes) -> int | None:
 
 
 def ssh_size(data: bytes) -> int | None:
-    """How many bytes an OpenSSH private key takes that starts here: magic, then length-prefixed fields."""
+    """How many bytes an OpenSSH private key takes that starts here: magic, then length-prefixed fields; None if it is
+    none, 0 if what there is ends before."""
     magic = b"openssh-key-v1\0"
     if not data.startswith(magic):
         return None
@@ -127,12 +128,12 @@ def ssh_size(data: bytes) -> int | None:
             field()
         return at
     except ValueError:
-        return None
+        return 0
 
 
 def is_private_ssh(data: bytes) -> bool:
     """Whether the bytes are an OpenSSH private key, which ends where the bytes end."""
-    return ssh_size(data) == len(data)
+    return len(data) > 0 and ssh_size(data) == len(data)
 
 
 def _unbase64(run: str, url: bool = False) -> bytes | None:
@@ -179,8 +180,13 @@ def _der_size(text: str, first: re.Match) -> int | None:
 
 
 def _ssh_size(text: str, first: re.Match) -> int | None:
-    run = _wrapped(text, first, 4 * KEY_BYTES // 3)[0][: 4 * KEY_BYTES // 3]
-    return ssh_size(_unbase64(run[: len(run) // 4 * 4]) or b"") or ssh_size(_unbase64(run) or b"")
+    for limit in (1 << 9, 1 << 13, 4 * KEY_BYTES // 3):
+        run = _wrapped(text, first, limit)[0]
+        n = ssh_size(_unbase64(run[: len(run) // 4 * 4]) or b"")
+        n = n if n != 0 else ssh_size(_unbase64(run) or b"")  # a last group of two or three
+        if n != 0 or len(run) < limit:
+            return n
+    return None
 
 
 def is_signed_token(header: str, payload: str) -> bool:

@@ -114,14 +114,13 @@ def slow_train_and_score(texts, truth):
             if w[-1] in ".!?;:" + T.QUOTES:
                 tokens.append(None)
         clauses, now = [], []
-        for t in [*tokens, None]:
-            if t is None and (now or t is not tokens[-1] if tokens else False):
+        for t in tokens:
+            if t is None:
                 clauses.append(now)
                 now = []
-            elif t is not None:
+            else:
                 now.append(t)
-        if tokens and tokens[-1] is None and clauses and not clauses[-1]:
-            clauses.pop()
+        clauses += [now] if now else []
         x, hit = [0.0] * T.WIDTH, 0
         for c in clauses:
             found = 0
@@ -133,8 +132,7 @@ def slow_train_and_score(texts, truth):
             hit += found
         if not hit:
             return [0.0] * T.WIDTH
-        per_word = {}
-        total = sum(w for t in tokens if t for w in [t[1]])
+        total = sum(t[1] for t in tokens if t)
         words = [sum(max([v for s, v in stems.items() if p.startswith(s)], default=0) or float(p in T.INSULTS) for p in piece(w.lower())) for w in text.split()]
         return [math.log1p(v) for v in x[: len(T.EVENTS)]] + [math.log1p(hit), hit / len(clauses), max(words), math.log1p(total)]
 
