@@ -21,47 +21,46 @@ NAMES = tuple(s[0] for s in SURFACES)
 _TWO_PI = 2 * math.pi
 
 
-def _math(x):
-    return (F.cos, F.sin) if isinstance(x, Column) else (math.cos, math.sin)
+def _power(v, k: int):
+    out = 1
+    for _ in range(k):
+        out = out * v
+    return out
 
 
-def value(name: str, x, y):
-    """The surface at (x, y), columns or numbers."""
-    cos, _ = _math(x)
+def _squares(name: str, x, y) -> list[tuple]:
+    """The terms of a weighted sum of squares: (weight, residual, its slopes by x and by y)."""
+    if name == "Quadratic":
+        return [(1, x, 1, 0), (1, y, 0, 1)]
+    if name == "Saddle":
+        return [(1, x, 1, 0), (-1, y, 0, 1)]
     if name == "Rosenbrock":
-        return (1 - x) * (1 - x) + 100 * (y - x * x) * (y - x * x)
-    if name == "Beale":
-        a, b, c = 1.5 - x + x * y, 2.25 - x + x * y * y, 2.625 - x + x * y * y * y
-        return a * a + b * b + c * c
+        return [(1, 1 - x, -1, 0), (100, y - _power(x, 2), -2 * x, 1)]
     if name == "Himmelblau":
-        a, b = x * x + y - 11, x + y * y - 7
-        return a * a + b * b
-    if name == "Saddle":
-        return x * x - y * y
-    if name == "Rastrigin":
-        return 20 + x * x - 10 * cos(_TWO_PI * x) + y * y - 10 * cos(_TWO_PI * y)
-    if name == "Quadratic":
-        return x * x + y * y
+        return [(1, _power(x, 2) + y - 11, 2 * x, 1), (1, x + _power(y, 2) - 7, 1, 2 * y)]
+    if name == "Beale":
+        return [(1, level - x * (1 - _power(y, k)), _power(y, k) - 1, k * x * _power(y, k - 1)) for k, level in enumerate((1.5, 2.25, 2.625), 1)]
     raise ValueError(name)
 
 
+def _waves(v):
+    """Rastrigin's share of one coordinate, and its slope."""
+    cos, sin = (F.cos, F.sin) if isinstance(v, Column) else (math.cos, math.sin)
+    return _power(v, 2) + 10 * (1 - cos(_TWO_PI * v)), 2 * v + 10 * _TWO_PI * sin(_TWO_PI * v)
+
+
+def value(name: str, x, y):
+    """The surface at (x, y), columns or numbers."""
+    if name == "Rastrigin":
+        return _waves(x)[0] + _waves(y)[0]
+    return sum(weight * residual * residual for weight, residual, _, _ in _squares(name, x, y))
+
+
 def gradient(name: str, x, y):
-    _, sin = _math(x)
-    if name == "Rosenbrock":
-        return -2 * (1 - x) - 400 * x * (y - x * x), 200 * (y - x * x)
-    if name == "Beale":
-        a, b, c = 1.5 - x + x * y, 2.25 - x + x * y * y, 2.625 - x + x * y * y * y
-        return 2 * a * (y - 1) + 2 * b * (y * y - 1) + 2 * c * (y * y * y - 1), 2 * a * x + 2 * b * 2 * x * y + 2 * c * 3 * x * y * y
-    if name == "Himmelblau":
-        a, b = x * x + y - 11, x + y * y - 7
-        return 4 * x * a + 2 * b, 2 * a + 4 * y * b
-    if name == "Saddle":
-        return 2 * x, -2 * y
     if name == "Rastrigin":
-        return 2 * x + 10 * _TWO_PI * sin(_TWO_PI * x), 2 * y + 10 * _TWO_PI * sin(_TWO_PI * y)
-    if name == "Quadratic":
-        return 2 * x, 2 * y
-    raise ValueError(name)
+        return _waves(x)[1], _waves(y)[1]
+    terms = _squares(name, x, y)
+    return sum(2 * w * r * dx for w, r, dx, _ in terms), sum(2 * w * r * dy for w, r, _, dy in terms)
 
 
 def chosen(name: Column, of) -> Column:
