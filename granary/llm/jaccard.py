@@ -16,6 +16,7 @@ the trees by chance twice over, for what is left so that every pair of blocks me
 
 from __future__ import annotations
 
+from contextlib import contextmanager
 from itertools import accumulate
 
 import numpy as np
@@ -188,6 +189,22 @@ def cross_pairs(key: np.ndarray, point: np.ndarray, sig: np.ndarray, root: np.nd
                 yield np.full(len(j), point[i]), point[j]
 
 
+#: Rows of one Arrow batch where every row carries shingle sets.
+SET_ROWS = 500
+
+
+@contextmanager
+def _small_batches(spark):
+    """Jobs run inside move few rows at once between Spark and Python, as these are large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(SET_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def _links(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """``(u, v)``: the pairs whose shingle sets are near copies."""
 
@@ -287,10 +304,13 @@ def _roots(docs: DataFrame, rows: DataFrame) -> DataFrame:
     proposed = materialise(_simhash_pairs(points))
     of = shared.select("point").unionByName(proposed.select(F.explode(F.array("u", "v")).alias("point"))).distinct()
     wanted = materialise(rows.join(of, "point", "left_semi").groupBy("point").agg(F.min("t").alias("t")).select("t"))
-    sets = materialise(_sets(docs, wanted))
-    links = materialise(_links(pairs.unionByName(proposed), sets))
+    with _small_batches(docs.sparkSession):
+        sets = materialise(_sets(docs, wanted))
+        links = materialise(_links(pairs.unionByName(proposed), sets))
     roots = connected_components(links)
-    more = materialise(_links(_left_over(shared, roots), sets))
+    left = materialise(_left_over(shared, roots))
+    with _small_batches(docs.sparkSession):
+        more = materialise(_links(left, sets))
     return roots if more.isEmpty() else connected_components(links.unionByName(more))
 
 
