@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Most distinct words that a task's table holds; it is emptied beyond that, which costs encoding anew and loses nothing.
-TABLE_WORDS = 300_000
+TABLE_WORDS = 200_000
 #: Words of more bytes are encoded where they stand and not kept.
 LONG_WORD = 200
 
@@ -96,8 +96,8 @@ def _over(docs: DataFrame, path: str | None, schema: str, row) -> DataFrame:
         table = WordTable(path)
         names = [c.split()[0] for c in schema.split(", ")]
         for b in batches:
-            texts = [t.as_py() for t in b.column(1)]
-            cols = list(zip(*[row(i, d) for i, d in table.texts(texts)])) or [()] * (len(names) - 1)
+            parts = (b.column(1).slice(at, 500).to_pylist() for at in range(0, b.num_rows, 500))
+            cols = list(zip(*[row(i, d) for part in parts for i, d in table.texts(part)])) or [()] * (len(names) - 1)
             kinds = {"long": pa.int64(), "string": pa.string(), "array<int>": pa.list_(pa.int32())}
             out = [pa.array(c, kinds[k.split()[1]]) for c, k in zip(cols, schema.split(", ")[1:])]
             yield pa.RecordBatch.from_arrays([b.column(0), *out], names=names)
