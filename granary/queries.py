@@ -74,6 +74,22 @@ def _(spark, d):
     return out[0].union(out[1]).union(out[2])
 
 
+@query("src02_preview", "SELECT n_nationkey::VARCHAR || '|' || n_name || '|' || n_regionkey::VARCHAR AS cells, 'n_nationkey|n_name|n_regionkey' AS headers, 25::BIGINT AS total_rows FROM nation ORDER BY n_nationkey LIMIT 7")
+def _(spark, d):
+    path = f"{shared_folder(spark)}/nation-{uuid.uuid4().hex}"
+    read(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey").coalesce(1).sortWithinPartitions("n_nationkey").write.csv(path, header=True)
+    seen = sources.preview(spark, path, 7)
+    rows = [("|".join(r), "|".join(seen["headers"]), seen["total_rows"]) for r in seen["rows"]]
+    return spark.createDataFrame(rows, "cells string, headers string, total_rows long")
+
+
+@query("src06_head_of_a_text", "SELECT string_agg(n_name, chr(10) ORDER BY n_name) AS head FROM (SELECT n_name FROM nation ORDER BY n_name LIMIT 5)")
+def _(spark, d):
+    path = f"{shared_folder(spark)}/names-{uuid.uuid4().hex}"
+    sources.write_note(spark, path, "\n".join(sorted(x["n_name"] for x in read(spark, d, "nation").collect())))
+    return spark.createDataFrame([(sources.head(spark, path, 5),)], "head string")
+
+
 # --- tables ----------------------------------------------------------------------------------------------------------
 
 
@@ -96,6 +112,13 @@ def _(spark, d):
     return table.numbered(df, table.sort_keys("cell", "n_nationkey"), "place").withColumn("place", F.col("place").cast("long"))
 
 
+@query("tab03_toggle_sort", "SELECT * FROM (VALUES ('none', 'a', 'a', false), ('a up', 'a', 'a', true), ('a down', 'a', 'a', false), ('a down', 'b', 'b', false)) t(state, clicked, sorted_by, descending)")
+def _(spark, d):
+    states = {"none": None, "a up": ("a", False), "a down": ("a", True)}
+    rows = [(k, c, *table.toggle_sort(states[k], c)) for k, c in (("none", "a"), ("a up", "a"), ("a down", "a"), ("a down", "b"))]
+    return spark.createDataFrame(rows, "state string, clicked string, sorted_by string, descending boolean")
+
+
 @query("tab04_page", "SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 25 OFFSET 10")
 def _(spark, d):
     return table.page(read(spark, d, "orders").select("o_orderkey", "o_orderstatus"), ["o_orderkey"], 400.0)
@@ -573,6 +596,14 @@ def _(spark, d):
     return out.select("feature", F.round("importance", 5).alias("importance"), F.round("bar_pct", 3).alias("bar_pct"))
 
 
+@query("reg10_endpoints", f"""WITH b AS (SELECT min(l_quantity) AS a, max(l_quantity) AS b, min(l_tax) AS c, max(l_tax) AS d FROM lineitem), e AS (SELECT a - greatest(b - a, 1) * 0.1::DOUBLE AS x_min, b + greatest(b - a, 1) * 0.1::DOUBLE AS x_max, c - greatest(d - c, 1) * 0.1::DOUBLE AS y_min, d + greatest(d - c, 1) * 0.1::DOUBLE AS y_max FROM b)
+SELECT {', '.join(f'{r(c)} AS {c}' for c in ('x_min', 'x_max', 'y_min', 'y_max'))}, {r('2 * x_min + 1')} AS y_at_x_min, {r('2 * x_max + 1')} AS y_at_x_max FROM e""")
+def _(spark, d):
+    m = linear.LinearRegression().initialize(["l_quantity"])
+    m.weights, m.bias = np.array([2.0]), 1.0
+    return rounded(linear.endpoints(read(spark, d, "lineitem"), m, "l_quantity", "l_tax"))
+
+
 # --- logistic regression ---------------------------------------------------------------------------------------------
 
 
@@ -757,6 +788,11 @@ def _(spark, d):
     return surfaces.catalog(spark).select("name", "difficulty")
 
 
+@query("lf06_heat_colors", "SELECT event_id, printf('hsl(%d, 80%%, %d%%)', 240 - 6 * (event_id % 41), 30 + event_id % 41) AS color FROM events")
+def _(spark, d):
+    return read(spark, d, "events").select("event_id", surfaces.heat_color((F.col("event_id") % 41) / 40).alias("color"))
+
+
 @query("lf05_heatmap", f"""WITH p AS (SELECT i::INT AS "row", j::INT AS col, -5.0::DOUBLE + 10.0::DOUBLE * j / 49.0::DOUBLE AS x, -5.0::DOUBLE + 10.0::DOUBLE * i / 49.0::DOUBLE AS y FROM range(50) a(i), range(50) b(j)),
 v AS (SELECT *, pow(x*x+y-11, 2) + pow(x+y*y-7, 2) AS v FROM p), m AS (SELECT min(v) lo, max(v) hi FROM v)
 SELECT "row", col, {r('v', 4)} AS v, {r('greatest(0, least(1, ln(v - lo + 1) / ln(hi - lo + 1)))', 5)} AS t FROM v, m""")
@@ -849,6 +885,25 @@ def _(spark, d):
     return validation.parameter_table(spark)
 
 
+@query("cfg02_defaults", "SELECT * FROM (VALUES ('conservative', 'KMeans', 'n_clusters', 2.0::DOUBLE), ('balanced', 'KMeans', 'n_clusters', 3), ('aggressive', 'KMeans', 'n_clusters', 8), ('conservative', 'LinearRegression', 'learning_rate', 0.001), ('balanced', 'LinearRegression', 'learning_rate', 0.01), ('aggressive', 'LinearRegression', 'learning_rate', 0.1), ('conservative', 'LinearRegression', 'max_iterations', 500), ('balanced', 'LinearRegression', 'max_iterations', 1000), ('aggressive', 'LinearRegression', 'max_iterations', 2000)) t(preset, algorithm, parameter, value)")
+def _(spark, d):
+    wanted = (("KMeans", "n_clusters"), ("LinearRegression", "learning_rate"), ("LinearRegression", "max_iterations"))
+    rows = [(preset, a, p, float(validation.defaults(a, preset)[p])) for preset in validation.PRESETS for a, p in wanted]
+    return spark.createDataFrame(rows, "preset string, algorithm string, parameter string, value double")
+
+
+@query("val03_csv_checks", "SELECT * FROM (VALUES (0, 5, 1000, 'Invalid', 'Valid'), (5, 5, 3000000, 'Warning', 'Warning'), (100, 5, 6000000, 'Valid', 'Invalid'), (6000, 5, 0, 'Warning', 'Valid'), (100, 60, 2097152, 'Warning', 'Valid'), (10001, 5, 5242880, 'Invalid', 'Warning'), (100, 101, 5242881, 'Invalid', 'Invalid')) t(n_rows, n_cols, n_bytes, dimensions, size)")
+def _(spark, d):
+    cases = [(0, 5, 1000), (5, 5, 3_000_000), (100, 5, 6_000_000), (6000, 5, 0), (100, 60, 2 << 20), (10_001, 5, 5 << 20), (100, 101, (5 << 20) + 1)]
+    rows = [(n, p, b, validation.csv_dimensions(n, p)[0], validation.csv_file_size(b)[0]) for n, p, b in cases]
+    return spark.createDataFrame(rows, "n_rows int, n_cols int, n_bytes int, dimensions string, size string")
+
+
+@query("met09_catalog", "SELECT * FROM (VALUES ('MSE', false), ('RMSE', false), ('MAE', false), ('R2', true), ('Accuracy', true), ('Precision', true), ('Recall', true), ('F1', true)) t(name, higher_is_better)")
+def _(spark, d):
+    return spark.createDataFrame(list(metrics.CATALOG), "name string, higher_is_better boolean")
+
+
 @query("cfg06_catalog", "SELECT * FROM (VALUES ('KMeans', 'Clustering'), ('PCA', 'DimensionalityReduction'), ('LogisticRegression', 'Classification'), ('LinearRegression', 'Regression'), ('StandardScaler', 'Preprocessing'), ('MinMaxScaler', 'Preprocessing')) t(name, category)")
 def _(spark, d):
     return validation.catalog(spark).select("name", "category")
