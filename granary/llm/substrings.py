@@ -36,8 +36,8 @@ GROUP_CONTEXTS = 2_000
 ARRAY_SYMBOLS = 1 << 18
 #: Symbols that a task sorts, about, in arrays of ARRAY_SYMBOLS.
 TASK_SYMBOLS = 1 << 21
-#: Rows, or elements of its rows' lists, up to which a table is broadcast.
-BROADCAST_ROWS = 500_000
+#: Bytes up to which a table is broadcast, counting so many for a row, or for an element of its rows' lists.
+BROADCAST_BYTES, ROW_BYTES = 24 << 20, 48
 #: Runs of one anchor that are held before they are thinned to one of each variant.
 HELD_RUNS = 50_000
 PIECE = 1 << 20  # starts of a long text that are searched at once
@@ -408,7 +408,7 @@ def _started(batches):
 def _small(df: DataFrame, lists: str | None = None) -> DataFrame:
     """For a broadcast if it has few rows, or few elements in the arrays of ``lists``."""
     n = df.count() if lists is None else df.agg(F.sum(F.size(lists))).first()[0] or 0
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+    return F.broadcast(df) if n * ROW_BYTES <= BROADCAST_BYTES else df
 
 
 def _joined(batches):

@@ -61,7 +61,7 @@ def corpus():
     return texts | {1000 + i: t for i, t in enumerate(ODD)}
 
 
-@pytest.mark.parametrize("limits", [{}, {"GROUP_CONTEXTS": 3, "ARRAY_SYMBOLS": 5000, "BROADCAST_ROWS": 0}, {"PIECE": 700}])
+@pytest.mark.parametrize("limits", [{}, {"GROUP_CONTEXTS": 3, "ARRAY_SYMBOLS": 5000, "BROADCAST_BYTES": 0}, {"PIECE": 700}])
 def test_equals_brute_force(spark, monkeypatch, limits):
     for k, v in limits.items():
         monkeypatch.setattr(R, k, v)
