@@ -54,6 +54,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     total = sizes.agg(F.sum("n")).first()[0] or 0
     rows = rows.join(sizes.withColumnRenamed("n", "of_n"), "of")
     rows = rows.withColumn("slice", F.expr(f"CAST(conv(substr(key, 1, 8), 16, 10) AS BIGINT) * CAST(ceil(of_n / {SLICE_ROWS}) AS BIGINT) div 4294967296"))
+    rows = rows.repartition("of", "slice")  # else the join's partitioning, by source alone, would serve the window too
     before = _before(rows.groupBy("of", "slice").agg(F.count(F.lit(1)).alias("n")), ["of"]).select("of", "slice", "before")
     inside = F.row_number().over(W.partitionBy("of", "slice").orderBy("key", *TIES))
     slices = max(1, -(-total // SLICE_ROWS))
