@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Most distinct words that a task's table holds; it is emptied beyond that, which costs encoding anew and loses nothing.
-TABLE_WORDS = 200_000
+TABLE_WORDS = 100_000
 #: Words of more bytes are encoded where they stand and not kept.
 LONG_WORD = 200
 

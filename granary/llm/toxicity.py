@@ -97,7 +97,7 @@ class Grammar:
     """Symbols for words, and the composed machine; ``stems`` has each insult stem's weight."""
 
     stems: dict[str, float] = field(default_factory=dict)
-    limit: int = 300_000
+    limit: int = 100_000
 
     def __post_init__(self):
         self.known: dict[str, tuple[tuple[int, ...], float]] = {}
