@@ -21,9 +21,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+CLEAN = "spark.cleaner.referenceTracking.cleanCheckpoints"
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    """Cut the lineage with a reliable checkpoint in the shared folder.
+
+    Unless the cluster's settings say otherwise, Spark removes the files once no table refers to them any more.
+    """
     context = df.sparkSession.sparkContext
+    if context.getConf().get(CLEAN) is None:
+        context._jsc.sc().conf().set(CLEAN, "true")
     if not context._jsc.sc().getCheckpointDir().isDefined():
         context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
