@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-
-from . import bpe, decontaminate, licenses, pii, quality, secrets, sharding, simhash, substrings, toxicity
+from . import bpe, decontaminate, licenses, merkle, pii, quality, secrets, sharding, simhash, substrings, toxicity
 from .common import table
 
 
@@ -49,6 +47,10 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_merkle_manifest(spark, sf_dir):
+    return merkle.audit(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
@@ -60,7 +62,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_license_scan": op9_license_scan,
     "op10_toxicity": op10_toxicity,
-    "pipeline": corpus_pipeline.run,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -68,4 +70,5 @@ ORACLE_SQL: dict[str, str] = {
     "op4_benchmark_decontamination": decontaminate.ORACLE_SQL,
     "op6_sharding": sharding.ORACLE_SQL,
     "op9_license_scan": licenses.ORACLE_SQL,
+    "op11_merkle_manifest": merkle.ORACLE_SQL,
 }
