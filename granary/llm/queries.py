@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, licenses, merkle, pii, quality, secrets, sharding, simhash, substrings, toxicity
+from . import bpe, decontaminate, lexical, licenses, merkle, pii, quality, secrets, sharding, simhash, substrings, toxicity
 from .common import table
 
 
@@ -51,6 +51,10 @@ def op11_merkle_manifest(spark, sf_dir):
     return merkle.audit(table(spark, sf_dir, "documents"))
 
 
+def op13_ranked_search(spark, sf_dir):
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_suffix_array_dedup": op2_suffix_array_dedup,
@@ -63,6 +67,7 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_toxicity": op10_toxicity,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -71,4 +76,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_sharding": sharding.ORACLE_SQL,
     "op9_license_scan": licenses.ORACLE_SQL,
     "op11_merkle_manifest": merkle.ORACLE_SQL,
+    "op13_ranked_search": lexical.ORACLE_SQL,
 }
