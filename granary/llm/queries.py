@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, decontaminate, lexical, licenses, merkle, pii, quality, secrets, sharding, simhash, substrings, toxicity
+from . import bpe, decontaminate, lexical, licenses, merkle, pii, positives, quality, secrets, sharding, simhash, substrings, toxicity
 from .common import table
 
 
@@ -51,6 +51,10 @@ def op11_merkle_manifest(spark, sf_dir):
     return merkle.audit(table(spark, sf_dir, "documents"))
 
 
+def op12_quality_classifier(spark, sf_dir):
+    return positives.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_ranked_search(spark, sf_dir):
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -67,6 +71,7 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_toxicity": op10_toxicity,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_quality_classifier": op12_quality_classifier,
     "op13_ranked_search": op13_ranked_search,
 }
 
