@@ -1,39 +1,5 @@
-"""Connected components by alternating large-star and small-star steps (Kiveris et al., 2014)."""
+"""Connected components of links between documents."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-from .common import materialise
-
-
-def _signature(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first())
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """``edges(u, v)`` (long) to ``(node, root)``: root is the smallest node that can be reached.
-
-    Minima are partial aggregates, and they are joined to the edges as written tables, so that adaptive execution can
-    split a hub's edges over tasks (or broadcast the minima); the number of rounds grows with the logarithm of the
-    longest path.  Every round is checkpointed.  Nodes without an
-    edge are not returned.  Loops and repeated edges are ignored.
-    """
-    edges = materialise(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = _signature(edges)
-    while before[0]:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = materialise(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
-        least = materialise(large.groupBy("u").agg(F.min("v").alias("m")))
-        pairs = large.join(least, "u")
-        small = pairs.select("u", F.col("m").alias("v")).unionByName(
-            pairs.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        )
-        edges = materialise(small.where("u <> v").distinct())
-        after = _signature(edges)
-        if after == before:
-            break
-        before = after
-    return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
+from ..operators.components import connected_components  # noqa: F401

@@ -7,8 +7,9 @@ Texts of one shingle set are one point.  Two things propose pairs of points:
 * MinHashes (BANDS times ROWS), posted band by band, for the rest: a pair at similarity s shares a band with
   probability 1 - (1 - s^ROWS)^BANDS, 0.999997 at 0.8.
 
-Linked pairs, and those that share a band and agree in FLOOR of the MinHashes at least, are compared by their shingle
-sets (as 64-bit hashes).  So that a dense group doesn't cost the square of its size, the members of a band are first compared along two
+Only keys and points are shuffled by band; the MinHashes themselves are joined to the pairs that come of it.  Linked
+pairs, and those that share a band and agree in FLOOR of the MinHashes at least, are compared by their shingle sets (as
+64-bit hashes).  So that a dense group doesn't cost the square of its size, the members of a band are first compared along two
 random trees, in which nobody has more than ARITY children.  After that, only pairs of one band whose ends lie in
 different components are left, and all of those are compared.  Bands of over BLOCK_ROWS members are cut into blocks, for
 the trees by chance twice over, for what is left so that every pair of blocks meets.
@@ -155,7 +156,7 @@ def _alike(sig: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def tree_pairs(key: np.ndarray, point: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def tree_pairs(key: np.ndarray, point: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of children and parents in two random trees over the members of each key (rows sorted by key).
 
     The trees' orders are of the points alone, so that bands with the same members make the same pairs.
@@ -169,10 +170,8 @@ def tree_pairs(key: np.ndarray, point: np.ndarray, sig: np.ndarray) -> tuple[np.
         mixed = point.view(np.uint64) * times
         order = np.lexsort((mixed ^ (mixed >> np.uint64(29)), key))
         child = place > 0
-        i, j = order[child], order[(base + (place - 1) // ARITY)[child]]
-        ok = _alike(sig, i, j)
-        a.append(point[i[ok]])
-        b.append(point[j[ok]])
+        a.append(point[order[child]])
+        b.append(point[order[(base + (place - 1) // ARITY)[child]]])
     return np.concatenate(a), np.concatenate(b)
 
 
@@ -242,33 +241,47 @@ def _simhash_pairs(points: DataFrame) -> DataFrame:
 
 
 def _along_trees(posted: DataFrame) -> DataFrame:
-    """Posts of shared keys (``key, point, sig``), and the pairs (``u, v``) of their trees; a row is one or the other."""
+    """Posts of shared keys (``key, point``), and the pairs (``u, v``) of their trees; a row is one or the other."""
 
     def run(batches):
-        read = lambda b: [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)] + [_matrix(b.column(4))]
-        none = lambda n, kind: pa.nulls(n, kind)
-        names = ["key", "point", "sig", "u", "v"]
-        for block, key, point, deal, sig in _whole_keys(batches, read):
+        read = lambda b: [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+        none = lambda n: pa.nulls(n, pa.int64())
+        names = ["key", "point", "u", "v"]
+        for block, key, point, deal in _whole_keys(batches, read):
             same = block[1:] == block[:-1]
             keep = np.r_[False, same] | np.r_[same, False] | (deal > 0)
-            block, key, point, deal, sig = block[keep], key[keep], point[keep], deal[keep], sig[keep]
+            block, key, point, deal = block[keep], key[keep], point[keep], deal[keep]
             if not len(key):
                 continue
-            u, v = tree_pairs(block, point, sig)
+            u, v = tree_pairs(block, point)
             once = deal < 2
-            n, of = int(once.sum()), pa.array([s.tobytes() for s in sig[once]], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(key[once]), pa.array(point[once]), of, none(n, pa.int64()), none(n, pa.int64())], names=names)
-            yield pa.RecordBatch.from_arrays([none(len(u), pa.int64()), none(len(u), pa.int64()), none(len(u), pa.binary()), pa.array(u), pa.array(v)], names=names)
+            n = int(once.sum())
+            yield pa.RecordBatch.from_arrays([pa.array(key[once]), pa.array(point[once]), none(n), none(n)], names=names)
+            yield pa.RecordBatch.from_arrays([none(len(u)), none(len(u)), pa.array(u), pa.array(v)], names=names)
 
     frequent = materialise(posted.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.lit(BLOCK_ROWS)).alias("blocks")).where("blocks > 1"))
     # deal 0: a key that fits; deals 1 and 2: a large key's members, dealt into blocks twice
     dealt = posted.join(small(frequent), "key", "left").withColumn("deal", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.array(F.lit(1), F.lit(2)))))
     block = F.when(F.col("deal") == 0, F.col("key")).otherwise(F.xxhash64("key", "deal", F.pmod(F.xxhash64("point", "deal"), "blocks")))
-    dealt = dealt.select(block.alias("block"), "key", "point", "deal", "sig")
-    return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(run, "key long, point long, sig binary, u long, v long")
+    dealt = dealt.select(block.alias("block"), "key", "point", "deal")
+    return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(run, "key long, point long, u long, v long")
 
 
-def _left_over(shared: DataFrame, roots: DataFrame) -> DataFrame:
+def _alike_pairs(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
+    """The pairs that agree in FLOOR of their MinHashes at least, each once."""
+
+    def run(batches):
+        for b in batches:
+            if b.num_rows:
+                ok = (_matrix(b.column(2)) == _matrix(b.column(3))).mean(axis=1) >= FLOOR
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(ok))
+
+    pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    one, two = (sigs.select(F.col("point").alias(n), F.col("sig").alias(f"s{n}")) for n in "uv")
+    return pairs.join(one, "u").join(two, "v").select("u", "v", "su", "sv").mapInArrow(run, "u long, v long")
+
+
+def _left_over(shared: DataFrame, roots: DataFrame, sigs: DataFrame) -> DataFrame:
     """``(u, v)``: all alike pairs of one key whose ends have different roots.
 
     Members outside a key's largest component look for partners among all its members.
@@ -280,12 +293,13 @@ def _left_over(shared: DataFrame, roots: DataFrame) -> DataFrame:
             for u, v in cross_pairs(*cols):
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    labelled = shared.join(roots, shared.point == roots.node, "left").select("key", "point", "sig", F.coalesce("root", "point").alias("root"))
+    labelled = shared.join(roots, shared.point == roots.node, "left").select("key", "point", F.coalesce("root", "point").alias("root"))
     kinds = labelled.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
     kinds = kinds.groupBy("key").agg(F.max(F.struct("c", "root")).alias("main"), F.sum("c").alias("members"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     blocks = lambda n: F.ceil(n / F.lit(BLOCK_ROWS)).cast("int")
     mixed = materialise(kinds.select("key", F.col("main.root").alias("main"), "members", blocks(F.col("members")).alias("mb"), blocks(F.col("members") - F.col("main.c")).alias("ob")))
-    rows = labelled.join(mixed, "key")
+    # MinHashes go along only here, with members of keys that hold several components
+    rows = labelled.join(mixed, "key").join(sigs, "point")
     of = lambda n: F.pmod(F.xxhash64("point", n), n)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     found = rows.withColumn("m", of("mb")).withColumn("o", every("ob")).withColumn("seeks", F.lit(False))
@@ -298,9 +312,9 @@ def _left_over(shared: DataFrame, roots: DataFrame) -> DataFrame:
 def _roots(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """``(node, root)`` of the points that have near copies."""
     points = materialise(rows.dropDuplicates(["point"]).select("point", "fp", "bands", "sig"))
-    posted = points.select(F.explode("bands").alias("key"), "point", "sig")
-    met = materialise(_along_trees(posted))
-    shared, pairs = met.where("key is not null").select("key", "point", "sig"), met.where("key is null").select("u", "v")
+    sigs = points.select("point", "sig")
+    met = materialise(_along_trees(points.select(F.explode("bands").alias("key"), "point")))
+    shared, pairs = met.where("key is not null").select("key", "point"), materialise(_alike_pairs(met.where("key is null").select("u", "v"), sigs))
     proposed = materialise(_simhash_pairs(points))
     of = shared.select("point").unionByName(proposed.select(F.explode(F.array("u", "v")).alias("point"))).distinct()
     wanted = materialise(rows.join(of, "point", "left_semi").groupBy("point").agg(F.min("t").alias("t")).select("t"))
@@ -308,7 +322,7 @@ def _roots(docs: DataFrame, rows: DataFrame) -> DataFrame:
         sets = materialise(_sets(docs, wanted))
         links = materialise(_links(pairs.unionByName(proposed), sets))
     roots = connected_components(links)
-    left = materialise(_left_over(shared, roots))
+    left = materialise(_left_over(shared, roots, sigs))
     with _small_batches(docs.sparkSession):
         more = materialise(_links(left, sets))
     return roots if more.isEmpty() else connected_components(links.unionByName(more))

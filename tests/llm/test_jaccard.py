@@ -63,7 +63,7 @@ def test_pairs_left_over_by_the_trees_are_found(spark, monkeypatch):
     base = " ".join(rng.choice(words) for _ in range(200))
     texts = [edited(rng, words, base, 3) for _ in range(60)]
     docs = documents(spark, texts)
-    monkeypatch.setattr(J, "tree_pairs", lambda key, point, sig: (point[:0], point[:0]))
+    monkeypatch.setattr(J, "tree_pairs", lambda key, point: (point[:0], point[:0]))
     assert {r.doc_id for r in J.keep_one(docs).collect()} == slow_keepers(dict(enumerate(texts)))
 
 
