@@ -40,9 +40,12 @@ def std_dev(c) -> Column:
 
 
 def pearson(a, b) -> Column:
-    """Pearson's r; 0 under two rows or where either side's squared deviations sum to less than the floor."""
+    """Pearson's r over the rows that have both values; 0 under two of them or where either side's squared deviations
+    sum to less than the floor."""
     a, b = col(a), col(b)
-    n = F.count(F.when(a.isNotNull() & b.isNotNull(), 1))
+    both = a.isNotNull() & b.isNotNull()
+    a, b = F.when(both, a), F.when(both, b)
+    n = F.count(a)
     flat = (F.var_pop(a) * n < FLOOR) | (F.var_pop(b) * n < FLOOR)
     return F.when((n < 2) | flat, 0.0).otherwise(F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0)))
 
@@ -173,12 +176,23 @@ def _pairwise(df: DataFrame, columns: list[str], name: str, of) -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``feature_i, feature_j, corr`` for every pair, from one aggregate, without leaving Spark."""
-    std = lambda x: F.greatest(F.coalesce(F.stddev_samp(col(x)), F.lit(0.0)), F.lit(FLOOR))
-    return _pairwise(df, columns, "corr", lambda a, b: F.when(F.count(F.lit(1)) < 2, float(a == b)).otherwise(F.coalesce(F.covar_samp(col(a), col(b)), F.lit(0.0)) / (std(a) * std(b))))
+    """``feature_i, feature_j, corr`` for every pair, each over the rows that have both values, from one aggregate.
+
+    A deviation under the floor counts as the floor; under two rows with both values a column goes with itself only.
+    """
+
+    def of(a, b):
+        x, y = col(a), col(b)
+        deviation = lambda v, w: F.coalesce(F.stddev_samp(F.when(w.isNotNull(), v)), F.lit(0.0))
+        r = F.coalesce(F.covar_samp(x, y), F.lit(0.0)) / (F.greatest(deviation(x, y), F.lit(FLOOR)) * F.greatest(deviation(y, x), F.lit(FLOOR)))
+        r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))  # beyond 1 by rounding only
+        return F.when(F.count(F.when(x.isNotNull(), y)) < 2, float(a == b)).otherwise(r)
+
+    return _pairwise(df, columns, "corr", of)
 
 
 def covariance_matrix(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``feature_i, feature_j, cov`` for every pair, each over the rows that have both values; 0 under two of them."""
     return _pairwise(df, columns, "cov", lambda a, b: F.coalesce(F.covar_samp(col(a), col(b)), F.lit(0.0)))
 
 

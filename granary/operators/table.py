@@ -11,13 +11,18 @@ from pyspark.sql import Window as W
 from ..lineage import materialise
 
 #: What counts as a number: a plain decimal with optional sign, fraction and exponent, or an infinity or NaN by name.
-NUMBER = r"^[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|(?i:inf|infinity|nan))$"
-FINITE = r"^[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?)$"
+NUMBER = r"[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?|(?i:inf|infinity|nan))"
+FINITE = r"[+-]?(\d+\.?\d*([eE][+-]?\d+)?|\.\d+([eE][+-]?\d+)?)"
+
+
+def is_whole(c: Column, pattern: str) -> Column:
+    """Whether a pattern covers a whole string, a line end at its end included."""
+    return c.rlike(rf"\A(?:{pattern})\z")
 
 
 def number(c: Column) -> Column:
     """The number a string holds, or null: casts alone would also take blanks and suffixes."""
-    return F.when(c.rlike(NUMBER), c.try_cast("double"))
+    return F.when(is_whole(c, NUMBER), c.try_cast("double"))
 
 
 def any_cell_contains(df: DataFrame, needle: str) -> DataFrame:
@@ -50,15 +55,27 @@ def page(df: DataFrame, order: list, scroll: float = 0.0, row_height: int = 40,
     return df.orderBy(*order).offset(start).limit(visible + overscan)
 
 
+def free(df: DataFrame, name: str) -> str:
+    """A column name that the table doesn't have: the given one, with as many underscores before it as that takes."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Adds each row's place in an order, from 1, without a task that sees all rows: rows are sorted over ranges of the
-    order, and a range's numbers start after what the ranges before it hold."""
-    rows = materialise(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()))
-    parts = rows.groupBy(F.col("_part").alias("_of")).agg(F.count(F.lit(1)).alias("_rows"))  # a row a task
-    before = parts.select("_of", F.coalesce(F.sum("_rows").over(W.orderBy("_of").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(W.partitionBy("_part").orderBy(*order))
-    out = rows.withColumn(name, inside).join(F.broadcast(before), F.col("_part") == F.col("_of"))
-    return out.withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_of", "_before")
+    order, and a range's numbers start after what the ranges before it hold.
+
+    A column of the given name is replaced; all others stay, whatever they are called.
+    """
+    part, of, before = (free(df, x) for x in ("_part", "_of", "_before"))
+    rows = materialise(df.repartitionByRange(*order).withColumn(part, F.spark_partition_id()))
+    parts = rows.groupBy(F.col(part).alias(of)).agg(F.count(F.lit(1)).alias("n"))  # a row a task
+    parts = parts.select(of, F.coalesce(F.sum("n").over(W.orderBy(of).rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(before))
+    inside = F.row_number().over(W.partitionBy(part).orderBy(*order))
+    out = rows.withColumn(name, inside).join(F.broadcast(parts), F.col(part) == F.col(of))
+    return out.withColumn(name, F.col(name) + F.col(before)).drop(part, of, before)
 
 
 def row_numbers(df: DataFrame, order: str) -> DataFrame:

@@ -68,6 +68,15 @@ def _(spark, d):
     return rounded(sources.load_csv(spark, path, "p_retailprice").df)
 
 
+@query("src01_strict_csv_folder", "SELECT (row_number() OVER (ORDER BY p_partkey % 7 <> 0, p_partkey) - 1)::BIGINT AS row_id, p_partkey::DOUBLE AS p_partkey, p_size::DOUBLE AS p_size FROM part")
+def _(spark, d):
+    """Two folders' files, the first a seventh of the rows, read as one: rows are numbered by file name."""
+    path = f"{shared_folder(spark)}/parts-{uuid.uuid4().hex}"
+    part = read(spark, d, "part").select("p_partkey", "p_size", F.when(F.col("p_partkey") % 7 == 0, "a").otherwise("b").alias("half"))
+    part.coalesce(1).sortWithinPartitions("half", "p_partkey").write.partitionBy("half").csv(path, header=True)
+    return sources.load_csv(spark, f"{path}/*", "p_size").df.select("row_id", "p_partkey", "p_size")
+
+
 @query("src10_preset_datasets", "SELECT * FROM (VALUES ('linear',1.0::DOUBLE,3.0::DOUBLE),('linear',2,5),('linear',3,7),('linear',4,9),('linear',5,11),('steep',1,5),('steep',2,10),('steep',3,15),('steep',4,20),('noisy',1,3.2),('noisy',2,4.8),('noisy',3,7.1),('noisy',4,8.9),('noisy',5,11.3)) t(name, x, y)")
 def _(spark, d):
     out = [sources.preset(spark, n).select(F.lit(n).alias("name"), "x", "y") for n in sources.PRESETS]
@@ -325,6 +334,29 @@ def _(spark, d):
     return rounded(stats.standardize(read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *NUMERIC), NUMERIC), 5)
 
 
+_GAPS = "(SELECT nullif(l_quantity, 7) AS a, CASE WHEN l_linenumber > 1 THEN l_discount END AS b, l_tax AS c, CASE WHEN l_tax > 1 THEN 1.0 END AS d FROM lineitem)"
+
+
+def _with_gaps(df: DataFrame) -> DataFrame:
+    gap = F.when(F.col("l_linenumber") > 1, F.col("l_discount"))
+    return df.select(F.nullif("l_quantity", F.lit(7.0)).alias("a"), gap.alias("b"), F.col("l_tax").alias("c"), F.when(F.col("l_tax") > 1, F.lit(1.0)).alias("d"))
+
+
+@query(
+    "st05_correlations_with_nulls",
+    " UNION ALL ".join(
+        f"SELECT '{x}' AS feature_i, '{y}' AS feature_j, {r(f'coalesce(corr({x}, {y}), {float(x == y)})')} AS corr, {r(f'coalesce(covar_samp({x}, {y}), 0)')} AS cov, {r(f'coalesce(corr({x}, {y}), 0)')} AS pearson FROM {_GAPS}"
+        for x in "abcd"
+        for y in "abcd"
+    ),
+)
+def _(spark, d):
+    df = _with_gaps(read(spark, d, "lineitem"))
+    both = stats.correlation_matrix(df, list("abcd")).join(stats.covariance_matrix(df, list("abcd")), ["feature_i", "feature_j"])
+    own = df.agg(F.array(*[F.struct(F.lit(x).alias("feature_i"), F.lit(y).alias("feature_j"), stats.pearson(x, y).alias("pearson")) for x in "abcd" for y in "abcd"]).alias("c"))
+    return rounded(both.join(own.select(F.explode("c").alias("c")).select("c.*"), ["feature_i", "feature_j"]))
+
+
 @query("st07_covariance_matrix", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS feature_i, '{b}' AS feature_j, {r(f'covar_samp({a}, {b})', 4)} AS cov FROM lineitem" for a in ("l_quantity", "l_discount", "l_tax") for b in ("l_quantity", "l_discount", "l_tax")) + ")")
 def _(spark, d):
     return rounded(stats.covariance_matrix(read(spark, d, "lineitem"), ["l_quantity", "l_discount", "l_tax"]), 4)

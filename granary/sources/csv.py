@@ -5,6 +5,7 @@ from __future__ import annotations
 import csv
 import io
 import os
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import CsvError, EmptyDataset, InconsistentRow, InvalidParameter, InvalidValue, ParseError, TargetNotFound
-from ..operators.table import FINITE, NUMBER
+from ..operators.table import FINITE, NUMBER, is_whole
 
 MAX_UPLOAD = 10 * 1024 * 1024
 # The preset points.
@@ -42,29 +43,41 @@ def header(spark: SparkSession, path: str) -> list[str]:
 
 
 def load_csv(spark: SparkSession, path: str, target: str, multi_line: bool = False) -> Dataset:
-    """A CSV file with a header whose every cell is a finite number; the first offending cell is reported.
+    """A CSV file, or a folder of them, with headers and otherwise finite numbers only; the first offending cell is
+    reported.
 
-    Target cells are looked at before a row's features; unequal rows fail.  The file is read by Spark's own reader,
-    split over tasks, and not inferred.  Lines are counted by records, blank lines left out.  multi_line: quoted
-    cells may hold line ends (no such cell is a number), for which a file can't be split.
+    Target cells are looked at before a row's features; unequal rows fail.  Files are read by Spark's own reader, split
+    over tasks, and not inferred.  Rows are numbered by file name and place in the file; an error has its file and the
+    line in it, counted by records without blank lines.  Quoted cells may hold line ends (no such cell is a number): a
+    file that seems to have unequal rows is read once more without splitting it, which multi_line asks for at once.
     """
     names = header(spark, path)
     if target not in names:
         raise TargetNotFound(target)
-    return _validated(_read(spark, path, names, multi_line), names, target)
+    try:
+        return _validated(_read(spark, path, names, multi_line), names, target)
+    except InconsistentRow:
+        if multi_line:
+            raise
+    return _validated(_read(spark, path, names, True), names, target)
 
 
 def _read(spark: SparkSession, path: str, names: list[str], multi_line: bool = False) -> DataFrame:
-    """``_line, _cells, _raw``: _raw is a row with too many or too few cells, whose cells are then one too many."""
+    """``_row, _file, _line, _cells, _raw``: _raw is a row with too many or too few cells, whose cells are then one too
+    many."""
     schema = ", ".join([*(f"c{i} string" for i in range(len(names))), "_raw string"])
     rows = spark.read.schema(schema).csv(path, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_raw", escape='"', multiLine=multi_line)
     cells = F.array(*[F.coalesce(f"c{i}", F.lit("")) for i in range(len(names))])
-    rows = rows.select(F.when(F.col("_raw").isNull(), cells).otherwise(F.array_append(cells, F.lit(""))).alias("_cells"), "_raw", F.monotonically_increasing_id().alias("_at"))
-    task = F.shiftright("_at", 33)
-    counts = rows.groupBy(task.alias("_task")).agg(F.count(F.lit(1)).alias("_rows"))  # a row a task
-    before = counts.select("_task", F.coalesce(F.sum("_rows").over(W.orderBy("_task").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    numbered = rows.join(F.broadcast(before), task == F.col("_task"))
-    return numbered.select((F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 2).alias("_line"), "_cells", "_raw")
+    cells = F.when(F.col("_raw").isNull(), cells).otherwise(F.array_append(cells, F.lit("")))
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block")]
+    rows = rows.select(cells.alias("_cells"), "_raw", *place).withColumn("_at", F.monotonically_increasing_id())
+    # a row for each part of a file that one task reads
+    parts = rows.groupBy("_file", "_block").agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("n"))
+    earlier = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("_file", "_block", "_first", earlier(W.orderBy("_file", "_block")).alias("_all"), earlier(W.partitionBy("_file").orderBy("_block")).alias("_own"))
+    out = rows.join(F.broadcast(parts), ["_file", "_block"])
+    inside = F.col("_at") - F.col("_first")
+    return out.select((F.col("_all") + inside).alias("_row"), "_file", (F.col("_own") + inside + 2).alias("_line"), "_cells", "_raw")
 
 
 def load_content(spark: SparkSession, content: str, target: str) -> Dataset:
@@ -86,22 +99,26 @@ def _validated(df: DataFrame, names: list[str], target: str) -> Dataset:
     bad = ragged
     for p in reversed(range(len(order))):
         cell = F.get("_cells", F.lit(order[p]))
-        this = F.when(~F.coalesce(cell.rlike(FINITE), F.lit(False)), F.struct(F.lit(p).alias("p"), cell.alias("value")))
+        this = F.when(~F.coalesce(is_whole(cell, FINITE), F.lit(False)), F.struct(F.lit(p).alias("p"), cell.alias("value")))
         bad = F.coalesce(this, bad) if p != len(order) - 1 else this
     bad = F.coalesce(ragged, bad)
-    n, first = df.withColumn("_bad", bad).agg(F.count(F.lit(1)), F.min_by(F.struct("_line", "_bad"), F.when(F.col("_bad").isNotNull(), F.col("_line")))).first()
+    file = F.col("_file") if "_file" in df.columns else F.lit(None).cast("string")
+    place = F.struct(file.alias("file"), "_line")
+    n, first = df.withColumn("_bad", bad).agg(F.count(F.lit(1)), F.min_by(F.struct(place.alias("place"), "_bad"), F.when(F.col("_bad").isNotNull(), place))).first()
     if not n:
         raise EmptyDataset()
     if first is not None and first["_bad"] is not None:
-        line, p, value = first["_line"], first["_bad"]["p"], first["_bad"]["value"]
+        line, p, value = first["place"]["_line"], first["_bad"]["p"], first["_bad"]["value"]
         if p < 0:
-            raise InconsistentRow(line, len(names), _fields(value) if p == -2 else int(value))
-        import re
-
-        raise (InvalidValue if re.match(NUMBER, value or "") else ParseError)(line, names[order[p]], value or "")
+            error = InconsistentRow(line, len(names), _fields(value) if p == -2 else int(value))
+        else:
+            error = (InvalidValue if re.fullmatch(NUMBER, value or "") else ParseError)(line, names[order[p]], value or "")
+        error.file = first["place"]["file"]
+        raise error
     cols = [F.get("_cells", F.lit(i)).cast("double").alias(c) for i, c in enumerate(names)]
     features = [c for i, c in enumerate(names) if i != at]
-    return Dataset(df.select((F.col("_line") - 2).alias("row_id"), *cols), features, target)
+    row = F.col("_row") if "_row" in df.columns else F.col("_line") - 2
+    return Dataset(df.select(row.alias("row_id"), *cols), features, target)
 
 
 def _fields(record: str) -> int:
@@ -109,13 +126,14 @@ def _fields(record: str) -> int:
 
 
 def preview(spark: SparkSession, path: str, rows: int = 10) -> dict:
-    """Headers, the first rows as strings, and the number of rows; unequal rows fail."""
+    """Headers, the first rows as strings, and the number of rows; unequal rows fail.  Line ends as in ``load_csv``."""
     names = header(spark, path)
-    df = _read(spark, path, names)
-    ragged = df.where("_raw IS NOT NULL").orderBy("_line").limit(1).collect()
-    if ragged:
-        raise InconsistentRow(ragged[0]["_line"], len(names), _fields(ragged[0]["_raw"]))
-    return {"headers": names, "rows": [r["_cells"] for r in df.orderBy("_line").limit(rows).collect()], "total_rows": df.count()}
+    for multi_line in (False, True):
+        df = _read(spark, path, names, multi_line)
+        ragged = df.where("_raw IS NOT NULL").orderBy("_row").limit(1).collect()
+        if not ragged:
+            return {"headers": names, "rows": [r["_cells"] for r in df.orderBy("_row").limit(rows).collect()], "total_rows": df.count()}
+    raise InconsistentRow(ragged[0]["_line"], len(names), _fields(ragged[0]["_raw"]))
 
 
 def check_upload(path: str, limit: int = MAX_UPLOAD) -> None:

@@ -81,3 +81,11 @@ def test_rows_are_numbered_over_ranges(spark):
     out = T.numbered(df, [F.col("k").desc(), F.col("id")], "place").collect()
     assert [(r.k, r.id) for r in sorted(out, key=lambda r: r.place)] == sorted(((r.k, r.id) for r in out), key=lambda x: (-x[0], x[1]))
     assert sorted(r.place for r in out) == list(range(1, 1001))
+
+
+def test_numbering_keeps_the_users_columns(spark):
+    df = spark.createDataFrame([(i, i * 2, "x", i, i, i) for i in range(50)], "k int, _part int, _of string, _before int, _rows int, n int")
+    out = T.numbered(df, [F.col("k").desc()], "place")
+    assert out.columns == [*df.columns, "place"]
+    assert all((r.place, r._part, r._of, r._before, r.n) == (50 - r.k, 2 * r.k, "x", r.k, r.k) for r in out.collect())
+    assert T.numbered(df, [F.col("k")], "n").columns == df.columns

@@ -77,11 +77,11 @@ def test_quoted_cells_and_line_ends(spark, tmp_path):
     path = write(tmp_path, 'x,"y"\r\n"1.0","2"\r\n3,"4"\r\n')
     assert [tuple(r) for r in C.load_csv(spark, path, "y").df.orderBy("row_id").collect()] == [(0, 1, 2), (1, 3, 4)]
     broken = write(tmp_path, 'x,y\n1,2\n"3\n4",5\n', "b.csv")
-    with pytest.raises(CsvError):
-        C.load_csv(spark, broken, "y")
-    with pytest.raises(ParseError) as e:
-        C.load_csv(spark, broken, "y", multi_line=True)
-    assert (e.value.line, e.value.column, e.value.value) == (3, "x", "3\n4")
+    for load in (lambda: C.load_csv(spark, broken, "y"), lambda: C.load_csv(spark, broken, "y", multi_line=True), lambda: C.load_content(spark, 'x,y\n1,2\n"3\n4",5\n', "y")):
+        with pytest.raises(ParseError) as e:
+            load()
+        assert (e.value.line, e.value.column, e.value.value) == (3, "x", "3\n4")
+    assert C.preview(spark, broken)["rows"] == [["1", "2"], ["3\n4", "5"]]
     with pytest.raises(InconsistentRow) as e:
         C.load_csv(spark, write(tmp_path, 'x,y\n1,2\n1,"2,3",4\n', "c.csv"), "y")
     assert (e.value.line, e.value.expected, e.value.found) == (3, 2, 3)
@@ -95,3 +95,29 @@ def test_rows_keep_their_order_over_many_tasks(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     assert len(rows) == 20_000 and all(r.row_id == r.x and r.y == 2 * r.x for r in rows)
+
+
+def test_a_line_end_at_the_end_of_a_cell_is_no_number(load):
+    with pytest.raises(ParseError) as e:
+        load('x,y\n"3\n",1\n', "y")
+    assert e.value.value == "3\n"
+
+
+def test_folder_of_unequal_files(spark, tmp_path):
+    """Rows are numbered by file name, whatever order tasks read the files in; errors name the file and its line."""
+    (tmp_path / "d").mkdir()
+    sizes, n = {"a.csv": 5, "b.csv": 3000, "c.csv": 1}, 0
+    for name, size in sizes.items():
+        (tmp_path / "d" / name).write_text("x,y\n" + "".join(f"{n + i},{i}\n" for i in range(size)))
+        n += size
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4000")
+    try:
+        rows = C.load_csv(spark, str(tmp_path / "d"), "y").df.collect()
+        (tmp_path / "d" / "b.csv").write_text("x,y\n" + "1,1\n" * 2000 + "1,no\n")
+        (tmp_path / "d" / "c.csv").write_text("x,y\nno,1\n")
+        with pytest.raises(ParseError) as e:
+            C.load_csv(spark, str(tmp_path / "d"), "y")
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(rows) == n and all(r.row_id == r.x for r in rows)
+    assert e.value.file.endswith("b.csv") and e.value.line == 2002

@@ -114,3 +114,25 @@ def test_moments_are_of_complete_rows_at_any_width(spark):
     assert m.n == len(whole) < 60 and np.allclose(m.covariance(), np.cov(whole.T)) and np.allclose(m.means, whole.mean(axis=0))
     few = S.moments(df.where("c16 IS NOT NULL"), [f"c{i}" for i in range(16)])
     assert few.n == m.n and np.allclose(few.products, m.products[:16, :16])
+
+
+def test_correlations_with_nulls_are_of_the_rows_with_both(spark):
+    rows = [(1.0, 1.0), (2.0, 2.0), (3.0, 3.0)] + [(2.0, None)] * 20
+    df = spark.createDataFrame(rows, "a double, b double")
+    assert df.agg(S.pearson("a", "b")).first()[0] == pytest.approx(1)
+    assert {(r.feature_i, r.feature_j): r["corr"] for r in S.correlation_matrix(df, ["a", "b"]).collect()} == pytest.approx({(x, y): 1.0 for x in "ab" for y in "ab"})
+    none = spark.createDataFrame([(1.0, None), (None, 2.0), (3.0, 4.0)], "a double, b double")
+    assert none.agg(S.pearson("a", "b")).first()[0] == 0
+    assert {(r.feature_i, r.feature_j): r["corr"] for r in S.correlation_matrix(none, ["a", "b"]).collect()}["a", "b"] == 0
+
+
+def test_correlations_lie_between_minus_one_and_one(spark):
+    import random
+
+    for seed in range(5):
+        rng = random.Random(seed)
+        cell = lambda: None if rng.random() < 0.4 else rng.choice([0.0, 1.0, 1e-9, 1e9, rng.gauss(0, 1)])
+        df = spark.createDataFrame([tuple(cell() for _ in range(3)) for _ in range(rng.randrange(2, 30))], "a double, b double, c double")
+        found = S.correlation_matrix(df, ["a", "b", "c"])
+        assert all(abs(r["corr"]) <= 1 + 1e-12 for r in found.collect())
+        assert all(abs(x) <= 1 + 1e-12 for x in df.agg(S.pearson("a", "b"), S.pearson("b", "c")).first())
