@@ -55,7 +55,7 @@ def contracted(edges: DataFrame) -> DataFrame:
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
-    """``edges(u, v)`` (long) to ``(node, root)``: root is the smallest node that can be reached.
+    """``edges(u, v)`` (long) to ``(node, root)``: root is the smallest node that can be reached; a root itself has no row.
 
     Minima are partial aggregates, and they are joined to the edges as written tables, so that adaptive execution can
     split a hub's edges over tasks (or broadcast the minima); the number of rounds grows with the logarithm of the

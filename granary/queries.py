@@ -16,8 +16,8 @@ from pyspark.sql import types as T
 
 from .functions import activation, basic, metrics, surfaces, validation
 from .lineage import shared_folder
-from .operators import linalg, profile, scaling, stats, table
-from .plans import kmeans, linear, logistic, network, optimizers, pca, selection
+from .operators import blocks, linalg, profile, scaling, stats, table
+from .plans import density, kmeans, linear, linkage, logistic, network, optimizers, pca, selection
 from .sources import csv as sources
 from .streaming import incremental
 
@@ -246,6 +246,20 @@ def _(spark, d):
     return rounded(linalg.multiply(linalg.transpose(c), c), 4)
 
 
+@query("la11_block_gram", f"WITH c AS {COORD} SELECT a.j::BIGINT AS i, b.j::BIGINT AS j, {r('sum(a.v * b.v)', 4)} AS v FROM c a JOIN c b ON a.i = b.i GROUP BY a.j, b.j")
+def _(spark, d):
+    x = blocks.from_packed(embeddings(spark, d).select("row_id", "features"))
+    return rounded(x.transpose().times(x).coordinates(), 4)
+
+
+@query("la11_block_product", f"WITH x AS (SELECT * FROM {EMB}) SELECT a.row_id AS i, b.row_id AS j, {r('list_dot_product(a.f, b.f)', 5)} AS v FROM x a, x b WHERE b.row_id < 200")
+def _(spark, d):
+    """All vectors by the first 200 of them: neither matrix nor the product is square."""
+    e = embeddings(spark, d).select("row_id", "features")
+    few = blocks.from_packed(e.where("row_id < 200"))
+    return rounded(blocks.from_packed(e).times(few.transpose()).coordinates(), 5)
+
+
 @query("la12_scalar_product", f"SELECT i, j, {r('v * 1.5')} AS v FROM {COORD}")
 def _(spark, d):
     return rounded(linalg.coordinates(linalg.scaled(embeddings(spark, d), 1.5)))
@@ -738,6 +752,59 @@ def _(spark, d):
     return rounded(kmeans.KMeans(5).fit(e).table(spark).select("cluster", F.posexplode("centroid").alias("j", "v")), 4)
 
 
+@query("km02_scalable_start")
+def _(spark, d):
+    """Centres of all vectors from oversampled candidates, in a number of jobs that doesn't depend on k."""
+    found = kmeans.KMeans(10, seed=7).initialize_scalable(embeddings(spark, d).select("row_id", "features"))
+    return spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(found)], "cluster int, centroid array<double>")
+
+
+_POINTS = f"(SELECT row_id, f[1] AS x, f[2] AS y, f[3] AS z FROM {EMB})"
+_EPS, _LEAST = 0.05, 6
+
+
+def _reached(name: str, links: str) -> str:
+    """Two tables of SQL: all pairs that links (u, v) connect, and the smallest node that each reaches."""
+    return f"{name}_all AS (SELECT u, v FROM {links} UNION SELECT a.u, b.v FROM {name}_all a JOIN {links} b ON a.v = b.u), {name} AS (SELECT u, least(u, min(v)) AS root FROM {name}_all GROUP BY u)"
+
+
+def three(spark, d):
+    return embeddings(spark, d).select("row_id", F.slice("features", 1, 3).alias("features"))
+
+
+@query(
+    "km08_density_clusters",
+    f"""WITH RECURSIVE p AS {_POINTS},
+near AS (SELECT a.row_id AS u, b.row_id AS v FROM p a JOIN p b ON (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z) <= {_EPS}::DOUBLE * {_EPS}::DOUBLE),
+core AS (SELECT u FROM near GROUP BY u HAVING count(*) >= {_LEAST}),
+links AS (SELECT u, v FROM near WHERE u IN (FROM core) AND v IN (FROM core)),
+{_reached('tree', 'links')},
+border AS (SELECT near.u, min(root) AS root FROM near JOIN tree ON near.v = tree.u WHERE near.u NOT IN (FROM core) GROUP BY near.u)
+SELECT p.row_id, coalesce(t.root, b.root, -1) AS cluster, CASE WHEN t.u IS NOT NULL THEN 'core' WHEN b.u IS NOT NULL THEN 'border' ELSE 'noise' END AS kind
+FROM p LEFT JOIN tree t ON t.u = p.row_id LEFT JOIN border b ON b.u = p.row_id""",
+)
+def _(spark, d):
+    return density.Density(_EPS, _LEAST).fit_predict(three(spark, d))
+
+
+_CUTS = {"low": 0.03, "middle": 0.045, "high": 0.06}
+
+
+@query(
+    "km08_single_linkage_cuts",
+    f"WITH RECURSIVE p AS {_POINTS}, d AS (SELECT a.row_id AS u, b.row_id AS v, sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) + (a.z - b.z) * (a.z - b.z)) AS h FROM p a JOIN p b ON a.row_id <> b.row_id), "
+    + ", ".join(f"e_{k} AS (SELECT u, v FROM d WHERE h <= {h}), {_reached(k, f'e_{k}')}" for k, h in _CUTS.items())
+    + " SELECT p.row_id, "
+    + ", ".join(f"coalesce({k}.root, p.row_id) AS {k}" for k in _CUTS)
+    + " FROM p "
+    + " ".join(f"LEFT JOIN {k} ON {k}.u = p.row_id" for k in _CUTS),
+)
+def _(spark, d):
+    model = linkage.SingleLinkage(max(_CUTS.values())).fit(three(spark, d))
+    cuts = [model.cut_tree(h).withColumnRenamed("cluster", k) for k, h in _CUTS.items()]
+    return cuts[0].join(cuts[1], "row_id").join(cuts[2], "row_id")
+
+
 @query("pca01_fit")
 def _(spark, d):
     return rounded(pca.PCA(2).fit(read(spark, d, "lineitem"), NUMERIC).table(spark), 4)

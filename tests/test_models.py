@@ -67,6 +67,23 @@ def packed(spark, rows):
     return spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(rows)], "row_id int, features array<double>")
 
 
+def test_scalable_start_takes_as_many_jobs_for_any_k_and_is_no_worse(spark):
+    rng = np.random.default_rng(4)
+    x = np.vstack([rng.normal(c, 0.1, (60, 3)) for c in rng.uniform(-5, 5, (12, 3))])
+    df = packed(spark, x.tolist()).repartition(3).persist()
+    jobs = {}
+    for k in (3, 12):
+        spark.sparkContext.setJobGroup(f"start {k}", "")
+        assert kmeans.KMeans(k, seed=5).initialize_scalable(df).shape == (k, 3)
+        jobs[k] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"start {k}"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[3] == jobs[12] <= 2 * (2 * 5 + 2)
+    one, two = (kmeans.KMeans(12, 10, seed=5, start=s).fit(df).inertia for s in ("scalable", "plus_plus"))
+    assert one <= 1.05 * two
+    same = packed(spark, [(1.0, 2.0)] * 5)
+    assert kmeans.KMeans(3, seed=1).initialize_scalable(same).tolist() == [[1, 2]] * 3
+
+
 def test_kmeans(spark):
     df = packed(spark, [(1, 1), (1.5, 2), (1, 0), (10, 10), (10.5, 11), (9, 10)])
     m = kmeans.KMeans(2, seed=7)
