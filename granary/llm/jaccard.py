@@ -9,10 +9,11 @@ Texts of one shingle set are one point.  Two things propose pairs of points:
 
 Only keys and points are shuffled by band; the MinHashes themselves are joined to the pairs that come of it.  Linked
 pairs, and those that share a band and agree in FLOOR of the MinHashes at least, are compared by their shingle sets (as
-64-bit hashes).  So that a dense group doesn't cost the square of its size, the members of a band are first compared along two
-random trees, in which nobody has more than ARITY children.  After that, only pairs of one band whose ends lie in
-different components are left, and all of those are compared.  Bands of over BLOCK_ROWS members are cut into blocks, for
-the trees by chance twice over, for what is left so that every pair of blocks meets.
+64-bit hashes).  So that a dense group costs neither the square of its size nor its size for each band, the members of
+EARLY bands are first compared along a random tree, in which nobody has more than ARITY children.  Then every band with
+members of several components tries one member of each with one of the largest, TRIES times.  After that, only pairs of
+one band whose ends lie in different components are left, and all of those are compared.  Bands of over BLOCK_ROWS
+members are cut into blocks, for the trees by chance twice over, for what is left so that every pair of blocks meets.
 """
 
 from __future__ import annotations
@@ -36,6 +37,8 @@ BANDS, ROWS = 24, 4
 #: Estimated similarity under which a pair isn't compared (5.6 standard errors below 0.8 and more).
 FLOOR = 0.55
 ARITY = 8
+#: Bands that trees are put over, and how often single members of what is left apart are tried.
+EARLY, TRIES = 4, 2
 #: Members of one key that one task compares with each other.
 BLOCK_ROWS = 20_000
 SEED = 42
@@ -157,22 +160,18 @@ def _alike(sig: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def tree_pairs(key: np.ndarray, point: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of children and parents in two random trees over the members of each key (rows sorted by key).
+    """Pairs of children and parents in a random tree over the members of each key (rows sorted by key).
 
-    The trees' orders are of the points alone, so that bands with the same members make the same pairs.
+    The tree's order is of the points alone, so that bands with the same members make the same pairs.
     """
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     size = np.diff(np.r_[first, len(key)])
     base = np.repeat(first, size)
     place = np.arange(len(key)) - base
-    a, b = [], []
-    for times in _TIMES[:2, 0]:
-        mixed = point.view(np.uint64) * times
-        order = np.lexsort((mixed ^ (mixed >> np.uint64(29)), key))
-        child = place > 0
-        a.append(point[order[child]])
-        b.append(point[order[(base + (place - 1) // ARITY)[child]]])
-    return np.concatenate(a), np.concatenate(b)
+    mixed = point.view(np.uint64) * _TIMES[0, 0]
+    order = np.lexsort((mixed ^ (mixed >> np.uint64(29)), key))
+    child = place > 0
+    return point[order[child]], point[order[(base + (place - 1) // ARITY)[child]]]
 
 
 def cross_pairs(key: np.ndarray, point: np.ndarray, sig: np.ndarray, root: np.ndarray, seeks: np.ndarray):
@@ -241,19 +240,20 @@ def _simhash_pairs(points: DataFrame) -> DataFrame:
 
 
 def _along_trees(posted: DataFrame) -> DataFrame:
-    """Posts of shared keys (``key, point``), and the pairs (``u, v``) of their trees; a row is one or the other."""
+    """Posts of shared keys (``key, point``), and the pairs (``u, v``) of the trees of early ones; a row is one or the
+    other."""
 
     def run(batches):
-        read = lambda b: [b.column(i).to_numpy(zero_copy_only=False) for i in range(4)]
+        read = lambda b: [b.column(i).to_numpy(zero_copy_only=False) for i in range(5)]
         none = lambda n: pa.nulls(n, pa.int64())
         names = ["key", "point", "u", "v"]
-        for block, key, point, deal in _whole_keys(batches, read):
+        for block, key, point, deal, early in _whole_keys(batches, read):
             same = block[1:] == block[:-1]
             keep = np.r_[False, same] | np.r_[same, False] | (deal > 0)
-            block, key, point, deal = block[keep], key[keep], point[keep], deal[keep]
+            block, key, point, deal, early = block[keep], key[keep], point[keep], deal[keep], early[keep].astype(bool)
             if not len(key):
                 continue
-            u, v = tree_pairs(block, point)
+            u, v = tree_pairs(block[early], point[early])
             once = deal < 2
             n = int(once.sum())
             yield pa.RecordBatch.from_arrays([pa.array(key[once]), pa.array(point[once]), none(n), none(n)], names=names)
@@ -263,7 +263,7 @@ def _along_trees(posted: DataFrame) -> DataFrame:
     # deal 0: a key that fits; deals 1 and 2: a large key's members, dealt into blocks twice
     dealt = posted.join(small(frequent), "key", "left").withColumn("deal", F.explode(F.when(F.col("blocks").isNull(), F.array(F.lit(0))).otherwise(F.array(F.lit(1), F.lit(2)))))
     block = F.when(F.col("deal") == 0, F.col("key")).otherwise(F.xxhash64("key", "deal", F.pmod(F.xxhash64("point", "deal"), "blocks")))
-    dealt = dealt.select(block.alias("block"), "key", "point", "deal")
+    dealt = dealt.select(block.alias("block"), "key", "point", "deal", "early")
     return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(run, "key long, point long, u long, v long")
 
 
@@ -281,6 +281,18 @@ def _alike_pairs(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return pairs.join(one, "u").join(two, "v").select("u", "v", "su", "sv").mapInArrow(run, "u long, v long")
 
 
+def _labelled(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    return shared.join(roots, shared.point == roots.node, "left").select("key", "point", F.coalesce("root", "point").alias("root"))
+
+
+def _by_one_each(shared: DataFrame, roots: DataFrame, seed: int) -> DataFrame:
+    """``(u, v)``: for each key with several components, one member of each of them with one of the largest."""
+    one = F.min_by("point", F.xxhash64("point", F.lit(seed))).alias("one")
+    kinds = materialise(_labelled(shared, roots).groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"), one))
+    mixed = kinds.groupBy("key").agg(F.max(F.struct("c", "root", "one")).alias("main"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select("key", "main")
+    return kinds.join(mixed, "key").where("root <> main.root").select(F.col("one").alias("u"), F.col("main.one").alias("v"))
+
+
 def _left_over(shared: DataFrame, roots: DataFrame, sigs: DataFrame) -> DataFrame:
     """``(u, v)``: all alike pairs of one key whose ends have different roots.
 
@@ -293,7 +305,7 @@ def _left_over(shared: DataFrame, roots: DataFrame, sigs: DataFrame) -> DataFram
             for u, v in cross_pairs(*cols):
                 yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
 
-    labelled = shared.join(roots, shared.point == roots.node, "left").select("key", "point", F.coalesce("root", "point").alias("root"))
+    labelled = _labelled(shared, roots)
     kinds = labelled.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
     kinds = kinds.groupBy("key").agg(F.max(F.struct("c", "root")).alias("main"), F.sum("c").alias("members"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     blocks = lambda n: F.ceil(n / F.lit(BLOCK_ROWS)).cast("int")
@@ -313,19 +325,26 @@ def _roots(docs: DataFrame, rows: DataFrame) -> DataFrame:
     """``(node, root)`` of the points that have near copies."""
     points = materialise(rows.dropDuplicates(["point"]).select("point", "fp", "bands", "sig"))
     sigs = points.select("point", "sig")
-    met = materialise(_along_trees(points.select(F.explode("bands").alias("key"), "point")))
-    shared, pairs = met.where("key is not null").select("key", "point"), materialise(_alike_pairs(met.where("key is null").select("u", "v"), sigs))
+    posted = points.select("point", F.posexplode("bands").alias("band", "key")).select("key", "point", (F.col("band") < EARLY).alias("early"))
+    met = materialise(_along_trees(posted))
+    shared, pairs = met.where("key is not null").select("key", "point"), _alike_pairs(met.where("key is null").select("u", "v"), sigs)
     proposed = materialise(_simhash_pairs(points))
     of = shared.select("point").unionByName(proposed.select(F.explode(F.array("u", "v")).alias("point"))).distinct()
     wanted = materialise(rows.join(of, "point", "left_semi").groupBy("point").agg(F.min("t").alias("t")).select("t"))
     with _small_batches(docs.sparkSession):
         sets = materialise(_sets(docs, wanted))
-        links = materialise(_links(pairs.unionByName(proposed), sets))
+        links = materialise(_links(materialise(pairs).unionByName(proposed), sets))
     roots = connected_components(links)
-    left = materialise(_left_over(shared, roots, sigs))
-    with _small_batches(docs.sparkSession):
-        more = materialise(_links(left, sets))
-    return roots if more.isEmpty() else connected_components(links.unionByName(more))
+    for k in range(TRIES + 1):
+        # what the trees have left apart: one of each component for all keys, then all members of keys still mixed
+        roots = materialise(roots)
+        left = materialise(_alike_pairs(_by_one_each(shared, roots, k), sigs) if k < TRIES else _left_over(shared, roots, sigs))
+        with _small_batches(docs.sparkSession):
+            more = materialise(_links(left, sets))
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            roots = connected_components(links)
+    return roots
 
 
 def components(docs: DataFrame) -> DataFrame:
