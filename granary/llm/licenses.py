@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,14 +48,26 @@ SENTENCES = (
     "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at https www eclipse org legal epl 2 0",
     "this is free and unencumbered software released into the public domain",
     "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions",
+    "the name of the author may not be used to endorse or promote products derived from this software without specific prior written permission",
+    "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
     "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following",
 )
-#: Licences that a line may name by their short identifier.
+#: Licences that a line may name by their short identifier; several may be joined by OR and AND.
 TAGGED = (
-    "MIT", "Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.1-or-later", "LGPL-3.0-or-later", "AGPL-3.0-or-later", "BSD-2-Clause", "BSD-3-Clause", "ISC",
-    "MPL-2.0", "EPL-2.0", "Unlicense", "Zlib", "BSL-1.0", "CC-BY-4.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0",
+    "MIT", "MIT-0", "Apache-2.0", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "LGPL-2.0-only", "LGPL-2.0-or-later", "LGPL-2.1-only", "LGPL-2.1-or-later",
+    "LGPL-3.0-only", "LGPL-3.0-or-later", "AGPL-3.0-only", "AGPL-3.0-or-later", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "ISC", "MPL-2.0", "EPL-1.0", "EPL-2.0", "EUPL-1.2", "CDDL-1.0",
+    "Artistic-2.0", "Unlicense", "Zlib", "BSL-1.0", "NCSA", "OFL-1.1", "PostgreSQL", "WTFPL", "CC0-1.0", "CC-BY-3.0", "CC-BY-4.0", "CC-BY-SA-3.0", "CC-BY-SA-4.0", "CC-BY-NC-4.0",
 )
-SENTENCES += tuple(f"spdx license identifier {t.lower().replace('-', ' ').replace('.', ' ')}" for t in TAGGED)
+#: Identifiers no longer in use, and what they stand for.
+OLD_TAGS = {"GPL-2.0": "GPL-2.0-only", "GPL-3.0": "GPL-3.0-only", "LGPL-2.0": "LGPL-2.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3.0": "LGPL-3.0-only", "AGPL-3.0": "AGPL-3.0-only"}
+TAG_LINE = "spdx license identifier "
+
+
+def _tag(name: str) -> str:
+    return TAG_LINE + name.lower().replace("-", " ").replace(".", " ")
+
+
+SENTENCES += tuple(_tag(t) for t in (*TAGGED, *OLD_TAGS))
 #: Every sentence above holds one of these words, so that texts without any need no splitting.
 HINTS = ("license", "permission", "warranty", "redistribution", "copyright", "public domain")
 
@@ -77,10 +91,12 @@ RULES = (
     _rule("LGPL-2.1-or-later", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1"),
     _rule("LGPL-3.0-or-later", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3"),
     _rule("BSD-3-Clause", "redistribution and use", "redistributions of source", "redistributions in binary", "neither the name"),
+    _rule("BSD-3-Clause", "redistribution and use", "redistributions of source", "redistributions in binary", "the name of the author may not"),
     _rule("BSD-2-Clause", "redistribution and use", "redistributions of source", "redistributions in binary"),
     _rule("ISC", "permission to use copy modify and or distribute"),
     _rule("MPL-2.0", "this source code form"),
     _rule("EPL-2.0", "this program and the accompanying materials"),
+    _rule("CC0-1.0", "to the extent possible under law"),
     _rule("BSL-1.0", "permission is hereby granted free of charge to any person or organization"),
     _rule("Zlib", "permission is granted to anyone"),
     _rule("Unlicense", "this is free and unencumbered"),
@@ -102,7 +118,8 @@ RULES = (
     _rule("MIT", "the mit license"),
     _rule("MIT", "mit license"),
     _rule("BSD", "released under the bsd"),
-    *(_rule(t, f"spdx license identifier {t.lower().replace('-', ' ').replace('.', ' ')}") for t in TAGGED),
+    *((t, (_ID[_tag(t)],)) for t in TAGGED),
+    *((t, (_ID[_tag(old)],)) for old, t in OLD_TAGS.items()),
 )
 
 
@@ -116,17 +133,37 @@ HOLDERS = [[j for j in range(k) if _sequence(ids) in _sequence(RULES[j][1]) and
 #: comment lines; full stops, but not that of "v. 2.0"), ``|`` where one may end or go on (line ends, colons,
 #: semicolons).  Comment marks are no letters and fall out with other punctuation.
 MARKS = (
+    (r"([0-9])\+", "$1 or later "),
     (r"(?>\r\n|\r|\n)[^A-Za-z0-9\r\n]*+[\r\n][^A-Za-z0-9]*+", " # "),
     (r"(?<![A-Za-z0-9])([Vv])\.[\x20\x09-\x0D]+(?=[0-9])", "$1 | "),
     (r"(?<![.!?:;])[:;]*+[.!?][.!?:;]*+[\x20\x09-\x0D]+", " # "),
     (r"(?<![:;])[:;]++[\x20\x09-\x0D]+|[\r\n]+", " | "),
     ("[^A-Za-z0-9|#]+", " "),
 )
+_GAP = " (?:[|] )*"
+#: Rewritten in the marked text: whoever a licence names becomes "the copyright holder" or "the author"; what stands
+#: before an identifier takes no mark.
+NAMES = tuple(
+    (re.sub(" ", lambda _: _GAP, pattern), name)
+    for pattern, name in (
+        ("neither the names? of (?:[a-z0-9|#]+ ){1,30}?nor the names? of (?:its|their|other|any) contributors", "neither the name of the copyright holder nor the names of its contributors"),
+        ("the names? of (?:[a-z0-9|#]+ ){1,30}?may not be used to endorse", "the name of the author may not be used to endorse"),
+        (TAG_LINE, TAG_LINE),
+        ("to the extent possible under law (?:[a-z0-9|#]+ ){1,30}?has waived all", "to the extent possible under law the author has waived all"),
+    )
+)
 #: A known sentence between two marks, the longest first; it may run over ``|`` marks.
 _LONGEST = sorted(SENTENCES, key=lambda s: -len(s.split()))
 KNOWN = "(?<=[|#] )(?:" + "|".join(s.replace(" ", r" (?:[|] )*+") for s in _LONGEST) + ")(?= [|#])"
 
 
+def _tags_apart(line: Column) -> Column:
+    """A line that names several licences by identifiers becomes a sentence for each of them; exceptions fall out."""
+    for pattern, text in ((" or later", " orlater"), (" with [a-z0-9 ]+? exception(?: [0-9] [0-9])?", ""), (" (?:or|and) ", f" # {TAG_LINE}"), (" orlater", " or later")):
+        line = F.when(F.contains(line, F.lit(TAG_LINE)), F.regexp_replace(line, pattern, text)).otherwise(line)
+    return line
+
+
 def sentence_ids(text: Column) -> Column:
     """Identifiers of the recognised sentences, in order; sentences may be wrapped over lines and comment marks."""
     known = F.array(*[F.lit(s) for s in SENTENCES])
@@ -134,6 +171,9 @@ def sentence_ids(text: Column) -> Column:
     for pattern, mark in MARKS:
         marked = F.regexp_replace(marked, pattern, mark)
     marked = F.concat(F.lit("# "), F.lower(F.trim(marked)), F.lit(" #"))
+    for pattern, name in NAMES:
+        marked = F.regexp_replace(marked, pattern, name)
+    marked = F.array_join(F.transform(F.split(F.regexp_replace(marked, "([|#]) ", "\n$1 "), "\n"), _tags_apart), "")
     found = F.regexp_extract_all(marked, F.lit(KNOWN), F.lit(0))
     return F.transform(found, lambda s: F.array_position(known, F.regexp_replace(s, "[|] ", "")).cast("int"))
 
@@ -174,6 +214,7 @@ _MATCHES = ", ".join(f"CASE WHEN {_TIMES[k]} > {' + '.join(_TIMES[j] for j in HO
 #: sentence may take one on either side.
 _MARKED = "regexp_replace(translate(coalesce(text, ''), '|#', '--'), '\\r\\n', chr(10), 'g')"
 for _pattern, _mark in (
+    (r"([0-9])\+", r"\1 or later "),
     (r"[\n\r][^A-Za-z0-9\r\n]*[\r\n][^A-Za-z0-9]*", " # "),
     (r"(^|[^A-Za-z0-9])([Vv])\.[\x20\x09-\x0D]+([0-9])", r"\1\2 | \3"),
     (r"[.!?:;]*[.!?][.!?:;]*[\x20\x09-\x0D]+", " # "),
@@ -182,11 +223,19 @@ for _pattern, _mark in (
     (r"([|#])", r"\1 \1"),
 ):
     _MARKED = f"regexp_replace({_MARKED}, '{_pattern}', '{_mark}', 'g')"
+_NAMED = f"'# # ' || lower(trim({_MARKED})) || ' # #'"
+for _pattern, _name in NAMES:
+    _NAMED = f"regexp_replace({_NAMED}, '{_pattern}', '{_name}', 'g')"
+_SPLIT = f"string_split(regexp_replace({_NAMED}, '([|#] [|#]) ', chr(10) || '\\1 ', 'g'), chr(10))"
+_APART = "x"
+for _pattern, _mark in ((" or later", " orlater"), (" with [a-z0-9 ]+? exception(?: [0-9] [0-9])?", ""), (" (?:or|and) ", f" # # {TAG_LINE}"), (" orlater", " or later")):
+    _APART = f"regexp_replace({_APART}, '{_pattern}', '{_mark}', 'g')"
+_LINES = f"array_to_string(list_transform({_SPLIT}, lambda x: CASE WHEN contains(x, '{TAG_LINE}') THEN {_APART} ELSE x END), '')"
 _ANY = "[|#] (" + "|".join(s.replace(" ", " (?:[|] )*") for s in _LONGEST) + ") [|#]"
 _HINTED = " OR ".join(f"contains(lower(text), '{h}')" for h in HINTS)
 ORACLE_SQL = rf"""
 WITH p AS (
-  SELECT doc_id, list_transform(regexp_extract_all(CASE WHEN {_HINTED} THEN '# # ' || lower(trim({_MARKED})) || ' # #' ELSE '' END, '{_ANY}', 1),
+  SELECT doc_id, list_transform(regexp_extract_all(CASE WHEN {_HINTED} THEN {_LINES} ELSE '' END, '{_ANY}', 1),
            lambda s: list_position([{_KNOWN}], regexp_replace(s, '[|] ', '', 'g'))) AS ids
   FROM documents),
 q AS (SELECT doc_id, ids, array_to_string(list_transform(ids, lambda i: ',' || i || ','), '') AS seq FROM p),

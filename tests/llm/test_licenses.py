@@ -133,3 +133,33 @@ def test_every_rule_is_reached(spark):
     texts = ["\n\n".join(" ".join(w[:2]) + "\n" + " ".join(w[2:]) for w in (L.SENTENCES[i - 1].split() for i in ids)) for _, ids in L.RULES]
     rows = sorted(L.scan(documents(spark, texts)).collect())
     assert [(r.sentence_ids, r.license) for r in rows] == [(",".join(map(str, ids)), name) for name, ids in L.RULES]
+
+
+def found(spark, texts):
+    """The licences of each text, which the SQL must agree about."""
+    import duckdb
+
+    rows = {r.doc_id: tuple(r) for r in L.scan(documents(spark, texts)).collect()}
+    c = duckdb.connect()
+    c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    c.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    assert {r[0]: r for r in c.execute(L.ORACLE_SQL).fetchall()} == rows
+    return [rows[i][3] for i in range(len(texts))]
+
+
+def test_any_organisation_in_the_third_clause(spark):
+    third = "Neither the name of {} nor the names of its\n   contributors may be used to endorse or promote products derived from\n   this software without specific prior written permission."
+    old = "The name of {} may not be used to endorse or promote products derived from this software without specific prior written permission."
+    names = ["the copyright holder", "Google Inc.", "the University of Example", "Foo & Bar, Ltd. (Köln)", "the\n   Regents of the University"]
+    texts = [f"{BSD}\n\n3. {x.format(n)}" for n in names for x in (third, old)]
+    assert found(spark, [*texts, BSD, third.format("X")]) == ["BSD-3-Clause"] * len(texts) + ["BSD-2-Clause", ""]
+
+
+def test_identifier_expressions(spark):
+    lines = {
+        "MIT OR Apache-2.0": "MIT,Apache-2.0", "(MIT AND BSD-3-Clause) OR ISC": "MIT,BSD-3-Clause,ISC", "LGPL-2.1-only": "LGPL-2.1-only", "AGPL-3.0-only": "AGPL-3.0-only", "CC0-1.0": "CC0-1.0",
+        "GPL-2.0-or-later OR MIT": "MIT,GPL-2.0-or-later", "GPL-2.0+": "GPL-2.0-or-later", "GPL-2.0": "GPL-2.0-only", "GPL-2.0-only WITH Classpath-exception-2.0": "GPL-2.0-only", "Nothing-1.0": "",
+        "MIT OR Nothing-1.0": "MIT", "0BSD OR Zlib OR ISC OR MIT OR NCSA OR WTFPL OR OFL-1.1": "MIT,0BSD,ISC,Zlib,NCSA,OFL-1.1,WTFPL",
+    }
+    got = found(spark, [f"// SPDX-License-Identifier: {x}\nint main() {{ this or that; }}" for x in lines] + ["MIT or Apache-2.0", "license of mit or isc"])
+    assert got == [*lines.values(), "", ""]
