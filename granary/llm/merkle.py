@@ -15,18 +15,15 @@ ancestors beyond it already.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, placed
 
 #: Children of a parent, and characters of a digest.
 RUN, DIGEST = 3, 64
 #: Levels that one group holds: 243 nodes and their ancestors, some 23 KB of preimages.
 STEPS = 5
 SPAN = RUN**STEPS
-#: Tables are broadcast up to so many bytes, and shuffled beyond that.
-BROADCAST_BYTES = 16 << 20
 #: The columns of a row that its leaf covers, in order.
 COVERED = ("doc_id", "source", "lang", "n_chars", "text")
 _INTEGERS = ("doc_id", "n_chars")
@@ -61,24 +58,6 @@ def _after(p: Column) -> Column:
     return F.substring(p["preimage"], (p["slot"] + 1) * DIGEST + 1, F.lit(RUN * DIGEST))
 
 
-def _placed(df: DataFrame, by: str, order: list[str]) -> DataFrame:
-    """Adds ``i``, each row's place among those of one ``by`` (a string without nulls) from 0, and ``n``, their number.
-
-    Rows equal in everything are told apart by where they lie, so that any number of them spreads over the ranges.
-    """
-    rows = df.withColumn("lies", F.monotonically_increasing_id())
-    keys = [by, *order, "lies"]
-    rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("at", F.monotonically_increasing_id())
-    rows = materialise(rows.drop("lies").withColumn("part", F.shiftright("at", 33)))
-    # a row for each part, and one more for each key that begins in it
-    runs = rows.groupBy(by, "part").agg(F.min("at").alias("first"), F.count(F.lit(1)).alias("rows"))
-    earlier = F.coalesce(F.sum("rows").over(W.partitionBy(by).orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    runs = materialise(runs.select(by, "part", (earlier - F.col("first")).alias("shift"), F.sum("rows").over(W.partitionBy(by)).alias("n")))
-    size = runs.agg(F.sum(F.octet_length(by) + 32)).first()[0] or 0
-    runs = F.broadcast(runs) if size <= BROADCAST_BYTES else runs
-    return rows.join(runs, [by, "part"]).withColumn("i", F.col("at") + F.col("shift")).drop("at", "part", "shift")
-
-
 def _grow(nodes: DataFrame) -> tuple[list[DataFrame], DataFrame]:
     """Passes over ``k, i, n, hash`` (n nodes for each key k): their blocks ``k, b, n, preimages, top``, and ``k, hash``
     of the trees' tops.
@@ -164,10 +143,10 @@ def manifest(docs: DataFrame, carry: dict[str, Column] | None = None) -> DataFra
         leaf_hash(covered).alias("hash"),
         *[c.alias(f"carry{j}") for j, c in enumerate(carry.values())],
     )
-    leaves = _placed(materialise(rows), "k", ["doc_id", "hash"])
+    leaves = placed(materialise(rows), "k", ["doc_id", "hash"])
     trees, subroots = _grow(leaves.select("k", "i", "n", "hash"))
     subroots = subroots.select(F.lit("").alias("k"), F.col("k").alias("of"), "hash")
-    sources = _placed(materialise(subroots), "k", ["of"])
+    sources = placed(materialise(subroots), "k", ["of"])
     crown, root = _grow(sources.select("k", "i", "n", "hash"))
     found = root.first()
     nothing = sources.sparkSession.createDataFrame([("", [])], f"k string, path {_PATH}")

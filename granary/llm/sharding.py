@@ -3,43 +3,29 @@
 Rows of each source are put into a seeded random order and get the fractional rank (rank - 1/2) / size; all rows are
 sorted by it and cut into shards of equal counts, so each shard holds every source in proportion.  Law: ``rows``.
 
-Ranks are found without bringing a source, or the table, into one task: each source's rows go to equal slices of the
-random key, as many as the source's size asks for, and all rows to equal slices of the fractional rank; rows are
-numbered inside their slice, and the slices' counts are summed up before them, by thousands of slices first.
+Both numberings are over ranges of the order (``common.placed``), so neither a source, nor the table, nor the rows that
+share a rank (those of all sources of one row, say) meet in one task.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
-from .common import materialise
+from .common import materialise, placed
 
 SHARDS = 16
 SEED = 17
-#: Rows that a slice holds on average; a slice is what one task sorts.
-SLICE_ROWS = 2_000
 #: Where rows tie, what orders them; rows equal in all of these are alike in the result.
 TIES = ("doc_id", "text_crc32", "size")
 
 
-def _before(counts: DataFrame, by: list[str]) -> DataFrame:
-    """``by, slice, n, before``: each slice's rows, and the rows in the slices before it."""
-    earlier = lambda *cols: W.partitionBy(*cols[:-1]).orderBy(cols[-1]).rowsBetween(W.unboundedPreceding, -1)
-    counts = counts.withColumn("part", F.expr("slice div 1000"))
-    parts = counts.groupBy(*by, "part").agg(F.sum("n").alias("rows"))
-    parts = parts.select(*by, "part", F.coalesce(F.sum("rows").over(earlier(*by, "part")), F.lit(0)).alias("earlier"))
-    inside = F.coalesce(F.sum("n").over(earlier(*by, "part", "slice")), F.lit(0))
-    return counts.withColumn("inside", inside).join(parts, [*by, "part"]).select(*by, "slice", "n", (F.col("earlier") + F.col("inside")).alias("before"))
-
-
 def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """``doc_id, size, text_crc32, law, shard, slot, grown_shard, source`` for each row of documents.
 
     Null texts count as empty ones (size 1).  A null source is a source of its own; the random key is that of doc_id,
-    size and text, so null and repeated ids spread as well.  Rows equal in all of these get neighbouring places (and
-    are numbered in one task, which holds none of them); an empty table gives no rows; other columns are not read.
+    size and text, so null and repeated ids spread as well.  Rows equal in all of these get neighbouring places; an
+    empty table gives no rows; other columns are not read.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(
@@ -49,35 +35,19 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
         F.crc32(text).alias("text_crc32"),
     )
     part = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    rows = materialise(rows.withColumn("key", F.md5(F.concat_ws(":", part("doc_id"), part("size"), part("text_crc32"), F.lit(str(seed))))).withColumn("of", F.concat(F.when(F.col("source").isNull(), "").otherwise("s"), part("source"))))
-    sizes = materialise(rows.groupBy("of").agg(F.count(F.lit(1)).alias("n")))
-    total = sizes.agg(F.sum("n")).first()[0] or 0
-    rows = rows.join(sizes.withColumnRenamed("n", "of_n"), "of")
-    rows = rows.withColumn("slice", F.expr(f"CAST(conv(substr(key, 1, 8), 16, 10) AS BIGINT) * CAST(ceil(of_n / {SLICE_ROWS}) AS BIGINT) div 4294967296"))
-    rows = rows.repartition("of", "slice")  # else the join's partitioning, by source alone, would serve the window too
-    before = _before(rows.groupBy("of", "slice").agg(F.count(F.lit(1)).alias("n")), ["of"]).select("of", "slice", "before")
-    inside = F.row_number().over(W.partitionBy("of", "slice").orderBy("key", *TIES))
-    slices = max(1, -(-total // SLICE_ROWS))
-    ranked = (
-        rows.withColumn("i", inside)
-        .join(before, ["of", "slice"])
-        .withColumn("fraction", (F.lit(2.0) * (F.col("before") + F.col("i")) - 1) / (F.lit(2.0) * F.col("of_n")))
-        .select("doc_id", "source", "size", "text_crc32", "key", "fraction")
-        .withColumn("slice", F.floor(F.col("fraction") * slices))
-    )
-    ranked = materialise(ranked)
-    first = _before(ranked.groupBy("slice").agg(F.count(F.lit(1)).alias("n")), []).select("slice", "before")
-    place = F.row_number().over(W.partitionBy("slice").orderBy("fraction", "key", *TIES))
+    key = F.md5(F.concat_ws(":", part("doc_id"), part("size"), part("text_crc32"), F.lit(str(seed))))
+    of = F.concat(F.when(F.col("source").isNull(), "").otherwise("s"), part("source"))
+    ranked = placed(materialise(rows.withColumn("key", key).withColumn("of", of)), "of", ["key", *TIES])
+    fraction = (F.lit(2.0) * (F.col("i") + 1) - 1) / (F.lit(2.0) * F.col("n"))
+    ranked = ranked.select("doc_id", "source", "size", "text_crc32", "key", fraction.alias("fraction"), F.lit("").alias("all"))
     return (
-        ranked.withColumn("i", place)
-        .join(first, "slice")
-        .withColumn("g", F.col("before") + F.col("i") - 1)
-        .withColumn("shard", F.expr(f"CAST(g * {shards} div {max(total, 1)} AS INT)"))
+        placed(materialise(ranked), "all", ["fraction", "key", *TIES])
+        .withColumn("shard", F.expr(f"CAST(i * {shards} div n AS INT)"))
         .select(
             "doc_id", "size", "text_crc32",
             F.lit("rows").alias("law"),
             "shard",
-            F.expr(f"g - (CAST(shard AS BIGINT) * {total} + {shards - 1}) div {shards}").alias("slot"),
+            F.expr(f"i - (CAST(shard AS BIGINT) * n + {shards - 1}) div {shards}").alias("slot"),
             F.lit(None).cast("int").alias("grown_shard"),
             "source",
         )
