@@ -1,10 +1,12 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 Words become symbols: insult, threat, target, negation, reported speech, other.  Transducers for negation, reported
-speech and targets are composed into one machine that runs over each clause and rewrites its insults and threats into
-events: plain or aimed at somebody, negated, reported.  A text's score is a logistic function of its clauses' events
-and of the matched stems' weights, so a word alone does not decide: a negated or quoted insult is another event than
-one thrown at the reader.
+speech and targets (before or after) are composed into machines that run over each clause and rewrite its insults and
+threats into events: plain or aimed at somebody, negated, reported.  A text's score is a logistic function of its
+clauses' events.  What a stem weighs counts in plain events only; a negated or quoted insult lowers the score, one aimed
+at somebody raises it more than the bare word, and so does an aimed threat, whether or not labels tell: weights start
+from hand-set ones, are drawn towards them and stay on their side of zero, and an aimed threat weighs as the heaviest
+stem.
 
 Learned from labelled rows: the insult stems (word beginnings that are far more frequent in toxic texts, whatever the
 language) and the events' weights.
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 SAMPLE_ROWS = 20_000
 #: A stem occurs in so many different toxic texts at least, and its log odds are so large at least.
 STEM_TEXTS, STEM_ODDS = 6, 2.5
+#: Letters of a stem, from and to; a longer beginning shares its first twelve letters with a stem.
+STEM_LETTERS = 3, 12
 
 INSULTS = frozenset("idiot moron scum loser trash pathetic stupid disgusting worthless clown".split())
 THREATS = frozenset("kill hurt destroy beat smash burn shoot stab hunt strangle umbringen töten tuer frapper matar golpear".split())
@@ -61,7 +65,7 @@ class Reported(Transducer):
 
 
 class Aimed(Transducer):
-    """A target reaches the five words after it."""
+    """A target reaches the five words after it; read backwards, those before it."""
 
     def step(self, state, symbol):
         return (5, False) if symbol == TARGET else (max(state - 1, 0), state > 0)
@@ -73,8 +77,8 @@ class Composed:
     def __init__(self, *parts: Transducer):
         self.parts, self.arcs, self.start = parts, {}, (0,) * len(parts)
 
-    def run(self, clause: list[int]):
-        """The events of a clause: (insult or threat, marks)."""
+    def run(self, clause):
+        """For each symbol of a clause its event: (insult or threat, marks); None for others."""
         state = self.start
         for symbol in clause:
             if (arc := self.arcs.get((state, symbol))) is None:
@@ -82,16 +86,29 @@ class Composed:
                 event = (symbol, *(m for _, m in steps)) if symbol in (INSULT, THREAT) else None
                 arc = self.arcs[state, symbol] = tuple(s for s, _ in steps), event
             state, event = arc
-            if event:
-                yield event
+            yield event
 
 
-#: Every event, in order: (insult or threat, negated, reported, aimed).
+#: Every event, in order: (insult or threat, negated, reported, aimed).  Plain events, those neither negated nor
+#: reported, count as not aimed in any case, and again as aimed if they are.
 EVENTS = [(c, n, r, a) for c in (INSULT, THREAT) for n in (False, True) for r in (False, True) for a in (False, True)]
 _AT = {e: i for i, e in enumerate(EVENTS)}
 WIDTH = len(EVENTS) + 4
 
 
+def _prior(event) -> tuple[float, float, float]:
+    """An event's hand-set weight, and the bounds between which labels may move it."""
+    kind, negated, reported, aimed = event
+    if negated or reported:
+        return -0.5, -math.inf, -0.1
+    return {(INSULT, False): (0.5, 0.0, math.inf), (INSULT, True): (0.5, 0.1, math.inf), (THREAT, False): (0.5, 0.1, math.inf), (THREAT, True): (2.0, 1.0, math.inf)}[kind, aimed]
+
+
+#: Weights of the events, and then of: clauses with a plain event, their share, the largest weight of a stem in a plain
+#: event, and the sum of these.
+PRIOR, LOWEST, HIGHEST = (np.array([*x, *y]) for x, y in zip(zip(*map(_prior, EVENTS)), ((0.0,) * 4, (0.0,) * 4, (math.inf,) * 4)))
+
+
 @dataclass
 class Grammar:
     """Symbols for words, and the composed machine; ``stems`` has each insult stem's weight."""
@@ -100,10 +117,12 @@ class Grammar:
     limit: int = 100_000
 
     def __post_init__(self):
-        self.known: dict[str, tuple[tuple[int, ...], float]] = {}
+        self.known: dict[str, tuple[tuple[int, float], ...]] = {}
         self.gate = None
         self.lengths = sorted({len(s) for s in self.stems})
-        self.machine = Composed(Negated(), Reported(), Aimed())
+        #: An aimed threat weighs as much as the heaviest stem.
+        self.threat = max(self.stems.values(), default=1.0)
+        self.machine, self.backwards = Composed(Negated(), Reported(), Aimed()), Composed(Aimed())
 
     def __getstate__(self):
         return self.__dict__ | {"known": {}, "gate": None}
@@ -128,49 +147,61 @@ class Grammar:
                 return symbol, 1.0 * (symbol == INSULT)
         return OTHER, 0.0
 
-    def word(self, word: str) -> tuple[tuple[int, ...], float]:
-        """The symbols of a word between white space (its quotes and clause ends among them), and its weight."""
+    def word(self, word: str) -> tuple[tuple[int, float], ...]:
+        """The symbols of a word between white space (its quotes and clause ends among them), with their weights."""
         if len(self.known) > self.limit:
             self.known.clear()
-        found = [self._symbol(p) for p in _PIECE.findall(word.lower())]
-        symbols = [s for s, _ in found] or [OTHER]
+        symbols = [self._symbol(p) for p in _PIECE.findall(word.lower())] or [(OTHER, 0.0)]
         if word[0] in QUOTES:
-            symbols.insert(0, REPORT)
+            symbols.insert(0, (REPORT, 0.0))
         if word[-1] in ".!?;:" + QUOTES:
-            symbols.append(END)
-        entry = self.known[word] = tuple(symbols), sum(w for _, w in found)
+            symbols.append((END, 0.0))
+        entry = self.known[word] = tuple(symbols)
         return entry
 
+    def events(self, clause: list[int]):
+        """Place and event of each insult and threat of a clause."""
+        ahead = list(self.backwards.run(reversed(clause)))[::-1]
+        for k, (event, other) in enumerate(zip(self.machine.run(clause), ahead)):
+            if event:
+                kind, negated, reported, aimed = event
+                yield k, (kind, negated, reported, aimed or other[1])
+
     def features(self, text: str) -> np.ndarray | None:
-        """Counts of a text's events and what its stems weigh; None if there is no event."""
+        """Counts of a text's events and what stems weigh in plain ones; None if there is no event."""
         if not self.may_hold(text):
             return None
         known, look = self.known, self.word
         entries = [known.get(w) or look(w) for w in text.split()]
-        if not any(INSULT in s or THREAT in s for s, _ in set(entries)):
+        if not any(s in (INSULT, THREAT) for e in set(entries) for s, _ in e):
             return None
-        out = np.zeros(WIDTH)
-        clause: list[int] = []
+        out, weights = np.zeros(WIDTH), []
+        clause: list[tuple[int, float]] = []
         hit = clauses = 0
 
         def close():
             nonlocal hit, clauses
-            before = out[: len(EVENTS)].sum()
-            for event in self.machine.run(clause):
-                out[_AT[event]] += 1
             clauses += 1
-            hit += out[: len(EVENTS)].sum() > before
+            symbols = [s for s, _ in clause]
+            if INSULT in symbols or THREAT in symbols:
+                plain = False
+                for k, (kind, negated, reported, aimed) in self.events(symbols):
+                    out[_AT[kind, negated, reported, aimed]] += 1
+                    if not (negated or reported):
+                        plain = True
+                        weights.append(self.threat * aimed if kind == THREAT else clause[k][1])
+                        out[_AT[kind, False, False, False]] += aimed
+                hit += plain
             clause.clear()
 
-        for symbols, _ in entries:
-            for s in symbols:
-                if s == END:
+        for entry in entries:
+            for s in entry:
+                if s[0] == END:
                     close()
                 else:
                     clause.append(s)
         if clause:
             close()
-        weights = [w for _, w in entries if w]
         out[: len(EVENTS)] = np.log1p(out[: len(EVENTS)])
         out[len(EVENTS) :] = math.log1p(hit), hit / clauses, max(weights, default=0.0), math.log1p(sum(weights))
         return out
@@ -217,7 +248,7 @@ def _stem_counts(texts: DataFrame) -> DataFrame:
             counts: tuple[Counter, Counter] = (Counter(), Counter())
             for text, toxic in zip(b.column(0), b.column(1)):
                 pieces = {p for w in set(text.as_py().lower().split()) for p in _PIECE.findall(w) if not p.isdigit()}
-                counts[toxic.as_py()].update({p[:n] for p in pieces for n in range(3, min(len(p), 12) + 1)})
+                counts[toxic.as_py()].update({p[:n] for p in pieces for n in range(STEM_LETTERS[0], min(len(p), STEM_LETTERS[1]) + 1)})
             stems = list(counts[0].keys() | counts[1].keys())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(stems, pa.string()), pa.array([counts[1][s] for s in stems], pa.int64()), pa.array([counts[0][s] for s in stems], pa.int64())],
@@ -241,7 +272,7 @@ def learn_stems(sample: DataFrame) -> dict[str, float]:
         longer[stem[:-1]].append(stem)
     kept: dict[str, float] = {}
     for stem in sorted(found, key=lambda s: (len(s), s)):
-        if any(stem[:k] in kept for k in range(3, len(stem))):
+        if any(stem[:k] in kept for k in range(STEM_LETTERS[0], len(stem))):
             continue
         while more := [s for s in longer[stem] if found[s][0] >= 0.9 * found[stem][0]]:
             stem = more[0]
@@ -249,13 +280,32 @@ def learn_stems(sample: DataFrame) -> dict[str, float]:
     return dict(sorted(kept.items(), key=lambda x: (-x[1], x[0])))
 
 
-def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression by Newton steps; weights and bias."""
+def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 100) -> tuple[np.ndarray, float]:
+    """Logistic regression between the weights' bounds, with a ridge towards PRIOR, by Newton steps over the weights that
+    are not held by a bound; weights and bias."""
     a = np.hstack([x, np.ones((len(x), 1))])
-    w, keep = np.zeros(a.shape[1]), np.r_[np.full(x.shape[1], ridge), 1e-6]
+    start, low, high = np.r_[PRIOR, -2.0], np.r_[LOWEST, -np.inf], np.r_[HIGHEST, np.inf]
+    keep = np.r_[np.full(x.shape[1], ridge), 1e-6]
+
+    def cost(w):
+        z = a @ w
+        return np.logaddexp(0, z).sum() - y @ z + keep @ (w - start) ** 2 / 2
+
+    w, now = start, cost(start)
     for _ in range(steps if len(x) else 0):
         p = 1 / (1 + np.exp(-np.clip(a @ w, -30, 30)))
-        w += np.linalg.solve((a * (p * (1 - p))[:, None]).T @ a + np.diag(keep), a.T @ (y - p) - keep * w)
+        g = a.T @ (p - y) + keep * (w - start)
+        free = ~(((w <= low) & (g > 0)) | ((w >= high) & (g < 0)))
+        b = a[:, free]
+        move = np.zeros(len(w))
+        move[free] = np.linalg.solve((b * (p * (1 - p))[:, None]).T @ b + np.diag(keep[free]), g[free])
+        for k in range(40):
+            new = np.clip(w - move / 2**k, low, high)
+            if (then := cost(new)) < now:
+                break
+        else:
+            break
+        w, now = new, then
     return w[:-1], float(w[-1])
 
 
@@ -285,7 +335,7 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
         sample.unpersist()
     y = got.column("y").to_numpy().astype(float)
     if not len(y) or y.min() == y.max():
-        return Model(grammar, np.r_[[2.0 * (not n) * (1 - 0.5 * r) for _, n, r, _ in EVENTS], np.zeros(4)], -2.0)
+        return Model(grammar, PRIOR, -2.0)
     x = np.array(got.column("x").to_pylist())
     order = np.lexsort((y, *x.T))  # sums in one order, whatever order the rows came in
     return Model(grammar, *fit(x[order], y[order]))

@@ -13,14 +13,14 @@ from .helpers import ODD, clashing, documents
 def events(text):
     g = T.Grammar({"grob": 3.0})
     out, clause = [], []
-    for w in text.split():
-        for s in g.word(w)[0]:
+    for w in [*text.split(), "."]:
+        for s, _ in g.word(w):
             if s == T.END:
-                out += list(g.machine.run(clause))
+                out += [e for _, e in g.events(clause)]
                 clause = []
             else:
                 clause.append(s)
-    return out + list(g.machine.run(clause))
+    return out
 
 
 def test_composed_transducers():
@@ -29,10 +29,26 @@ def test_composed_transducers():
     assert events("he said: stupid") == [(T.INSULT, False, False, False)]
     assert events("anna said it is stupid. trash") == [(T.INSULT, False, True, False), (T.INSULT, False, False, False)]
     assert events('the "idiot" thing') == [(T.INSULT, False, True, False)]
-    assert events("i will never kill you") == [(T.THREAT, True, False, False)]
+    assert events("i will never kill you") == [(T.THREAT, True, False, True)]
+    assert events("i will kill you") == [(T.THREAT, False, False, True)] and events("a b c d e kill. you") == [(T.THREAT, False, False, False)]
     assert events("grobian GROBE") == [(T.INSULT, False, False, False)] * 2
 
 
+def test_clauses_decide_and_not_words(spark):
+    """Aimed insults score over bare ones; denied, reported and quoted ones no higher than a text without any; aimed
+    threats above it, labels or not."""
+    docs, labels, _ = corpus(spark)
+    for model in (T.train(docs, labels), T.train(docs, labels.limit(0))):
+        for word in ("idiot", "scum", "trash"):
+            bare, nothing = model.score(word), model.score("")
+            assert model.score(f"you {word}") > bare > nothing and model.score(f"{word}, that is what you are") > bare
+            for text in (f"it is not {word}", f"he said {word}", f'the "{word}" thing', f"nobody called you {word}"):
+                assert model.score(text) < nothing
+        assert model.score("i will kill you") > model.score("i will kill time") > model.score("i will never kill you")
+        assert model.score("i will kill you") > 2 * model.score("")
+    assert T.train(docs, labels).score("i will kill you") > 0.5
+
+
 def corpus(spark):
     rng = random.Random(4)
     words = [f"word{i}" for i in range(300)]
@@ -76,8 +92,8 @@ def test_no_labels_and_empty_tables(spark):
 
 
 def slow_train_and_score(texts, truth):
-    """The method again, plainly: copies by their least triple, stems by counting, events by looking back from each
-    insult or threat, weights by gradient steps."""
+    """The method again, plainly: copies by their least triple, stems by counting, events by looking back and ahead
+    from each insult or threat, weights by projected gradient steps."""
     lower = {i: (t or "").lower() for i, t in texts.items()}
     piece = lambda w: re.findall(r"[\w']+", w)
     rows = [i for i in truth if zlib.crc32(str(i).encode()) % 5]
@@ -121,31 +137,35 @@ def slow_train_and_score(texts, truth):
             else:
                 now.append(t)
         clauses += [now] if now else []
-        x, hit = [0.0] * T.WIDTH, 0
+        x, hit, weights = [0.0] * T.WIDTH, 0, []
         for c in clauses:
-            found = 0
-            for k, (kind, _) in enumerate(c):
+            plain = 0
+            for k, (kind, weight) in enumerate(c):
                 if kind in (T.INSULT, T.THREAT):
-                    back = lambda symbol, far: any(c[j][0] == symbol for j in range(max(0, k - far), k))  # noqa: B023, E731
-                    x[T.EVENTS.index((kind, back(T.NEGATION, 3), back(T.REPORT, k), back(T.TARGET, 5)))] += 1
-                    found = 1
-            hit += found
-        if not hit:
+                    near = lambda symbol, back, ahead: any(c[j][0] == symbol for j in range(max(0, k - back), min(len(c), k + ahead + 1)))  # noqa: B023, E731
+                    negated, reported, aimed = near(T.NEGATION, 3, 0), near(T.REPORT, k, 0), near(T.TARGET, 5, 5)
+                    x[T.EVENTS.index((kind, negated, reported, aimed))] += 1
+                    if not negated and not reported:
+                        plain = 1
+                        weights.append(max(stems.values(), default=1) * aimed if kind == T.THREAT else weight)
+                        if aimed:
+                            x[T.EVENTS.index((kind, False, False, False))] += 1
+            hit += plain
+        if not clauses:
             return [0.0] * T.WIDTH
-        total = sum(t[1] for t in tokens if t)
-        words = [sum(max([v for s, v in stems.items() if p.startswith(s)], default=0) or float(p in T.INSULTS) for p in piece(w.lower())) for w in text.split()]
-        return [math.log1p(v) for v in x[: len(T.EVENTS)]] + [math.log1p(hit), hit / len(clauses), max(words), math.log1p(total)]
+        return [math.log1p(v) for v in x[: len(T.EVENTS)]] + [math.log1p(hit), hit / len(clauses), max(weights, default=0), math.log1p(sum(weights))]
 
     x = np.array([features(texts[i] or "") for i in rows])
     y = np.array([truth[i] for i in rows], float)
     a = np.hstack([x, np.ones((len(x), 1))])
     keep = np.r_[np.ones(x.shape[1]), 1e-6]
-    w = np.zeros(a.shape[1])
+    start, low, high = np.r_[T.PRIOR, -2], np.r_[T.LOWEST, -np.inf], np.r_[T.HIGHEST, np.inf]
+    w = start
     step = 1 / (np.linalg.eigvalsh(a.T @ a)[-1] / 4 + 1)
     z, before = w, w
     for k in range(20_000):  # gradient steps with momentum
-        g = a.T @ (1 / (1 + np.exp(-(a @ z))) - y) + keep * z
-        w = z - step * g
+        g = a.T @ (1 / (1 + np.exp(-(a @ z))) - y) + keep * (z - start)
+        w = np.clip(z - step * g, low, high)
         z, before = w + k / (k + 3) * (w - before), w
     return {i: 1 / (1 + math.exp(-float(np.r_[features(t or ""), 1] @ w))) for i, t in texts.items()}
 
