@@ -19,6 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def lean_workers(spark: SparkSession) -> None:
+    """Python workers give large blocks of memory back when they free them, so that what one stage took isn't there still
+    in the next one.  Settings of the cluster's own stand."""
+    for name, value in (("ARROW_DEFAULT_MEMORY_POOL", "system"), ("MALLOC_MMAP_THRESHOLD_", str(1 << 20)), ("MALLOC_TRIM_THRESHOLD_", str(1 << 20)), ("MALLOC_ARENA_MAX", "2")):
+        spark.sparkContext.environment.setdefault(name, value)
+
+
 def free(df: DataFrame, name: str) -> str:
     """A column name that the table doesn't have: the given one, with as many underscores before it as that takes."""
     taken = {c.lower() for c in df.columns}
