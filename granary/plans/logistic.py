@@ -17,6 +17,9 @@ from ..functions.activation import sigmoid
 from ..operators.stats import col, complete
 from .sums import matrix, summed
 
+#: Distinct labels, each of which takes a model.
+MOST_LABELS = 1000
+
 
 @dataclass
 class LogisticRegression:
@@ -41,10 +44,13 @@ class LogisticRegression:
         return sigmoid(z)
 
     def fit(self, df: DataFrame, features: list[str], label: str) -> LogisticRegression:
-        """Labels are told apart by their sorted distinct values; two are learned by one model, more by one each.  Rows
-        with a null among features and label are left out."""
+        """Labels are told apart by their sorted distinct values; two are learned by one model, more by one each; over
+        MOST_LABELS of them are an error, as a number is no class.  Rows with a null among features and label are left
+        out."""
         df = complete(df, [*features, label])
-        rows = df.groupBy(col(label).alias("y")).count().orderBy("y").collect()
+        rows = df.groupBy(col(label).alias("y")).count().orderBy("y").limit(MOST_LABELS + 1).collect()
+        if len(rows) > MOST_LABELS:
+            raise MLError(f"Over {MOST_LABELS} distinct labels")
         if not rows:
             raise EmptyData("Cannot fit on empty data")
         if len(rows) < 2:

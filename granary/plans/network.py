@@ -1,7 +1,8 @@
 """Feed-forward networks.
 
 Training row by row in row order can't be split, so it is one grouped-map task; ``fit_minibatch`` is the variant that
-scales: gradients of partitions are summed by an aggregate, one job a step.  Prediction is column expressions.
+scales: mini-batches by key, gradients summed by matrix products, one job a step, with L1, L2 or both.  Prediction is
+column expressions.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from ..errors import DimensionMismatch, InvalidParameter, NotFitted
 from ..functions.activation import NAMES, activate, initialize, np_activate, np_derivative
 from ..operators.linalg import argmax
+from .sums import matrix, summed
 
 
 @dataclass
@@ -101,33 +103,61 @@ class Network:
             self.biases[k] = flat[at + n_in * n_out : at + n_in * n_out + n_out]
             at += n_in * n_out + n_out
 
-    def fit_minibatch(self, df: DataFrame, features: str, targets: str, steps: int) -> Network:
-        """Whole-table gradient steps: every partition sums its rows' gradients, an aggregate sums the partitions'."""
-        data = df.select(F.col(features).cast("array<double>").alias("x"), F.col(targets).cast("array<double>").alias("y")).persist()
+    def _flat(self) -> np.ndarray:
+        return np.concatenate([np.r_[w.ravel(), b] for w, b in zip(self.weights, self.biases)])
+
+    def summed_gradients(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Gradients of all weights and biases, layer by layer, summed over rows; then the sum of losses and the rows."""
+        zs, outs = self.forward(x)
+        d = (outs[-1] - y) * np_derivative(self.activations[-1], zs[-1])
+        parts = []
+        for k in range(len(self.weights) - 1, -1, -1):
+            parts.insert(0, np.r_[(d.T @ outs[k]).ravel(), d.sum(axis=0)])
+            if k:
+                d = d @ self.weights[k] * np_derivative(self.activations[k - 1], zs[k - 1])
+        return np.r_[np.concatenate(parts), ((outs[-1] - y) ** 2).mean(axis=1).sum(), len(x)]
+
+    def fit_minibatch(self, df: DataFrame, features: str, targets: str, steps: int, parts: int = 1, key: Column | None = None, l1: float = 0.0, l2: float = 0.0) -> Network:
+        """Gradient steps over mini-batches: step k takes the rows whose key leaves k on division by ``parts``.
+
+        The key is an integer column (without one, the seeded hash of features and targets), so a mini-batch is the same
+        however rows are partitioned.  Tasks sum their rows' gradients by matrix products, one job a step.  l2 adds its
+        share of the weights to the mean gradient, l1 shrinks weights towards zero after the step (both: elastic net);
+        biases are free of either.  A batch without rows changes nothing; ``history`` has each step's mean loss.  Rows
+        with null features or targets are left out; vectors of other lengths than the layers' are an error.
+        """
+        if parts < 1 or l1 < 0 or l2 < 0:
+            raise InvalidParameter("parts must be 1 or more, l1 and l2 not negative")
+        data = df.select(F.col(features).cast("array<double>").alias("x"), F.col(targets).cast("array<double>").alias("y"), *([key.alias("key")] if key is not None else []))
+        data = data.where("x IS NOT NULL AND y IS NOT NULL")
+        of = F.col("key") if key is not None else F.xxhash64("x", "y", F.lit(self.seed))
+        data = data.select("x", "y", F.pmod(of, F.lit(parts)).alias("part")).persist()
+        n_in, n_out, losses = self.sizes[0], self.sizes[-1], []
+        shrunk = np.concatenate([np.r_[np.ones(w.size), np.zeros(b.size)] for w, b in zip(self.weights, self.biases)])
         try:
-            for _ in range(steps):
-                start = (list(self.sizes), list(self.activations), self.learning_rate, self.seed, self.weights, self.biases)
-
-                def run(batches):
-                    net = Network(*start)
-                    for pdf in batches:
-                        total, n = None, 0
-                        for x, y in zip(pdf["x"], pdf["y"]):
-                            gw, gb, _ = net.gradients(x, y)
-                            flat = np.concatenate([np.r_[w.ravel(), b] for w, b in zip(gw, gb)])
-                            total, n = flat if total is None else total + flat, n + 1
-                        if n:
-                            yield pd.DataFrame({"k": range(len(total)), "g": total, "n": float(n)})
-
-                rows = data.mapInPandas(run, "k int, g double, n double").groupBy("k").agg((F.sum("g") / F.sum("n")).alias("g")).orderBy("k").collect()
-                if not rows:
-                    break
-                flat = np.concatenate([np.r_[w.ravel(), b] for w, b in zip(self.weights, self.biases)])
-                self._load(flat - self.learning_rate * np.array([r["g"] for r in rows]))
+            if not data.where((F.size("x") != n_in) | (F.size("y") != n_out)).isEmpty():
+                raise DimensionMismatch(f"Features must have {n_in} numbers and targets {n_out}")
+            for k in range(steps):
+                start = (list(self.sizes), list(self.activations), self.learning_rate, self.seed, list(self.weights), list(self.biases))
+                batch = data.where(F.col("part") == k % parts).select("x", "y")
+                total = summed(batch, len(shrunk) + 2, lambda b, start=start: Network(*start).summed_gradients(matrix(b.column(0), n_in), matrix(b.column(1), n_out)))
+                if not total[-1]:
+                    continue
+                flat = self._flat()
+                flat = flat - self.learning_rate * (total[:-2] / total[-1] + l2 * shrunk * flat)
+                limit = self.learning_rate * l1 * shrunk
+                self._load(np.sign(flat) * np.maximum(np.abs(flat) - limit, 0))
+                losses.append((k, total[-2] / total[-1]))
         finally:
             data.unpersist()
+        self.history = pd.DataFrame(losses, columns=["step", "loss"])
         return self
 
+    def table(self, spark) -> DataFrame:
+        """``layer, unit, input, weight``: input -1 is the bias."""
+        rows = [(k, u, i, float(v)) for k, (w, b) in enumerate(zip(self.weights, self.biases)) for u in range(len(w)) for i, v in [(-1, b[u]), *enumerate(w[u])]]
+        return spark.createDataFrame(rows, "layer int, unit int, input int, weight double")
+
     def output(self, features: Column) -> Column:
         """The last layer's activations as an array column."""
         out = features.cast("array<double>")

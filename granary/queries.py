@@ -95,7 +95,7 @@ def _(spark, d):
 @query("src06_head_of_a_text", "SELECT string_agg(n_name, chr(10) ORDER BY n_name) AS head FROM (SELECT n_name FROM nation ORDER BY n_name LIMIT 5)")
 def _(spark, d):
     path = f"{shared_folder(spark)}/names-{uuid.uuid4().hex}"
-    sources.write_note(spark, path, "\n".join(sorted(x["n_name"] for x in read(spark, d, "nation").collect())))
+    read(spark, d, "nation").select("n_name").coalesce(1).sortWithinPartitions("n_name").write.text(path)
     return spark.createDataFrame([(sources.head(spark, path, 5),)], "head string")
 
 
@@ -139,9 +139,11 @@ def _(spark, d):
     return out.select("n_nationkey", "n_name", F.col("row_number").cast("long"))
 
 
-@query("tab06_counts", "SELECT count(*) FILTER (WHERE l_quantity > 25) AS shown, count(*) AS total FROM lineitem")
+@query("tab06_counts", "SELECT count(*) FILTER (WHERE l_quantity > 25) AS shown, count(*) AS total, 2::BIGINT AS columns FROM lineitem")
 def _(spark, d):
-    return read(spark, d, "lineitem").agg(F.count_if(F.col("l_quantity") > 25).alias("shown"), F.count(F.lit(1)).alias("total"))
+    total = read(spark, d, "lineitem").select("l_orderkey", "l_quantity")
+    found = table.counts(total.where("l_quantity > 25"), total)
+    return spark.createDataFrame([(found["shown"], found["total"], found["columns"])], "shown long, total long, columns long")
 
 
 @query("tab07_feature_search", "SELECT column_name AS name FROM information_schema.columns WHERE table_name = 'lineitem' AND contains(lower(column_name), 'price')")
@@ -849,6 +851,29 @@ def _(spark, d):
     return rounded(out.select("row_id", F.col("output")[0].alias("out0"), F.col("output")[1].alias("out1")))
 
 
+_UNITS = 10
+
+
+def _minibatch_sql(steps: int, parts: int, rate: float, l1: float, l2: float) -> str:
+    """One layer of sigmoid units from zero weights, a unit a label."""
+    out = f"WITH x AS (SELECT vec_id, label, embedding::DOUBLE[] AS f FROM embeddings), p0 AS (SELECT k::INT AS k, list_transform(range(64), lambda z: 0.0::DOUBLE) AS w, 0.0::DOUBLE AS b FROM range({_UNITS}) t(k))"
+    for i in range(steps):
+        new = [f"any_value(w)[{j}] - {rate} * (avg(e * f[{j}]) + {l2} * any_value(w)[{j}])" for j in range(1, 65)]
+        soft = ", ".join(f"sign({x}) * greatest(abs({x}) - {rate * l1}, 0)" for x in new)
+        out += f", e{i} AS (SELECT k, w, b, f, (s - (label = k)::INT) * s * (1 - s) AS e FROM (SELECT *, 1 / (1 + exp(-(list_dot_product(w, f) + b))) AS s FROM x, p{i} WHERE vec_id % {parts} = {i % parts}))"
+        out += f", p{i + 1} AS (SELECT k, [{soft}] AS w, any_value(b) - {rate} * avg(e) AS b FROM e{i} GROUP BY k)"
+    return out + f" SELECT k AS unit, unnest(range(-1, 64))::INT AS input, {r('unnest(list_prepend(b, w))', 5)} AS weight FROM p{steps}"
+
+
+@query("nn10_fit_minibatch", _minibatch_sql(6, 3, 0.5, 0.002, 0.01))
+def _(spark, d):
+    """Elastic net: a unit a label, mini-batches of a third of the rows."""
+    e = embeddings(spark, d).withColumn("y", F.transform(F.sequence(F.lit(0), F.lit(_UNITS - 1)), lambda k: (F.col("label") == k).cast("double")))
+    net = network.Network([64, _UNITS], ["sigmoid"], 0.5, weights=[np.zeros((_UNITS, 64))], biases=[np.zeros(_UNITS)])
+    net.fit_minibatch(e, "features", "y", 6, parts=3, key=F.col("row_id"), l1=0.002, l2=0.01)
+    return rounded(net.table(spark).select("unit", "input", "weight"), 5)
+
+
 @query("nn11_fit_online")
 def _(spark, d):
     e = embeddings(spark, d).withColumn("y", F.transform(F.sequence(F.lit(0), F.lit(9)), lambda k: (k == F.col("label")).cast("double")))
