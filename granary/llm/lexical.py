@@ -30,7 +30,7 @@ QUERY_BYTES = 8 << 20
 #: Documents and postings that a task indexes at a time.
 BLOCK_DOCS, BLOCK_POSTINGS = 8192, 1_000_000
 #: Documents whose scores may be left to complete when reading stops, as a multiple of k.
-OPEN = 4
+OPEN = 16
 #: Each stretch of reading goes down to this share of the impact that the one before it ended with.
 STEP = 0.75
 #: Slices in which tasks' lists are merged first.
