@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from .functions import activation, basic, metrics, surfaces, validation
 from .lineage import shared_folder
 from .operators import blocks, linalg, profile, scaling, stats, table
-from .plans import density, kmeans, linear, linkage, logistic, network, optimizers, pca, selection
+from .plans import density, kmeans, linear, linkage, logistic, network, optimizers, pca, selection, svd
 from .sources import csv as sources
 from .streaming import incremental
 
@@ -754,6 +754,20 @@ def _(spark, d):
     return rounded(kmeans.KMeans(5).fit(e).table(spark).select("cluster", F.posexplode("centroid").alias("j", "v")), 4)
 
 
+@query("la23_svd_rebuilt", f"SELECT row_id, (unnest(range(1, 65)) - 1)::INT AS j, {r('unnest(f)', 5)} AS v FROM {EMB}")
+def _(spark, d):
+    """All vectors, rebuilt from their coordinates along the right singular vectors."""
+    e = embeddings(spark, d).select("row_id", "features")
+    model = svd.SVD(64).fit(e)
+    back = [F.aggregate(F.zip_with("projected", F.array(*[F.lit(float(v)) for v in c]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x) for c in model.vectors.T]
+    return rounded(model.transform(e).select("row_id", F.posexplode(F.array(*back)).alias("j", "v")), 5)
+
+
+@query("la23_sketched_svd")
+def _(spark, d):
+    return rounded(svd.SVD(8, sketch=True, powers=6).fit(embeddings(spark, d)).table(spark).select("component", "value"), 4)
+
+
 @query("km02_scalable_start")
 def _(spark, d):
     """Centres of all vectors from oversampled candidates, in a number of jobs that doesn't depend on k."""
