@@ -821,6 +821,30 @@ def _(spark, d):
     return cuts[0].join(cuts[1], "row_id").join(cuts[2], "row_id")
 
 
+_PAIR = ["l_quantity", "l_extendedprice"]
+_LOADINGS = [(1, "l_quantity", 1, 1), (1, "l_extendedprice", 1, 1), (2, "l_quantity", 1, -1), (2, "l_extendedprice", -1, -1)]
+
+
+@query(
+    "pca01_two_columns",
+    f"WITH c AS (SELECT corr({_PAIR[0]}, {_PAIR[1]}) AS r FROM lineitem) "
+    + " UNION ALL ".join(f"SELECT {k} AS component, '{c}' AS feature, {r(f'{s} / sqrt(2)')} AS loading, {r(f'1 + {e} * r')} AS explained_variance, {r(f'(1 + {e} * r) / 2')} AS ratio FROM c" for k, c, s, e in _LOADINGS),
+)
+def _(spark, d):
+    """Two columns have components in closed form."""
+    return rounded(pca.PCA(2).fit(read(spark, d, "lineitem"), _PAIR).table(spark))
+
+
+@query(
+    "pca02_two_columns",
+    f"WITH m AS (SELECT avg({_PAIR[0]}) AS a, stddev_samp({_PAIR[0]}) AS s, avg({_PAIR[1]}) AS b, stddev_samp({_PAIR[1]}) AS t FROM lineitem), "
+    f"z AS (SELECT l_orderkey, l_linenumber, ({_PAIR[0]} - a) / s AS x, ({_PAIR[1]} - b) / t AS y FROM lineitem, m) SELECT l_orderkey, l_linenumber, {r('(x + y) / sqrt(2)', 4)} AS pc1, {r('(x - y) / sqrt(2)', 4)} AS pc2 FROM z",
+)
+def _(spark, d):
+    df = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", *_PAIR)
+    return rounded(pca.PCA(2).fit(df, _PAIR).transform(df).select("l_orderkey", "l_linenumber", "pc1", "pc2"), 4)
+
+
 @query("pca01_fit")
 def _(spark, d):
     return rounded(pca.PCA(2).fit(read(spark, d, "lineitem"), NUMERIC).table(spark), 4)
