@@ -17,7 +17,7 @@ from pyspark.sql import types as T
 from .functions import activation, basic, metrics, surfaces, validation
 from .lineage import shared_folder
 from .operators import blocks, linalg, profile, scaling, stats, table
-from .plans import density, kmeans, linear, linkage, logistic, network, optimizers, pca, selection, svd
+from .plans import density, kernel, kmeans, linear, linkage, logistic, network, optimizers, pca, selection, svd
 from .sources import csv as sources
 from .streaming import incremental
 
@@ -821,6 +821,14 @@ def _(spark, d):
     return cuts[0].join(cuts[1], "row_id").join(cuts[2], "row_id")
 
 
+@query("pca06_kernel_components")
+def _(spark, d):
+    """All vectors along three components of a Gaussian kernel's space, through 128 landmarks."""
+    e = embeddings(spark, d).select("row_id", "features")
+    found = kernel.KernelPCA(3, "rbf", 0.5, landmarks=128).fit(e).transform(e)
+    return found.select("row_id", F.transform("projected", lambda v: F.round(v, 4)).alias("projected"))
+
+
 _PAIR = ["l_quantity", "l_extendedprice"]
 _LOADINGS = [(1, "l_quantity", 1, 1), (1, "l_extendedprice", 1, 1), (2, "l_quantity", 1, -1), (2, "l_extendedprice", -1, -1)]
 
