@@ -41,6 +41,8 @@ ARITY = 8
 EARLY, TRIES = 4, 2
 #: Members of one key that one task compares with each other.
 BLOCK_ROWS = 20_000
+#: Bytes of shingle sets that one task holds of either side, a set more at most.
+BLOCK_BYTES = 32 << 20
 SEED = 42
 CHUNK = 1024  # shingles that are permuted at once
 #: Tables of two or three longs are broadcast up to so many rows (12 MB), and shuffled beyond that.
@@ -174,17 +176,22 @@ def tree_pairs(key: np.ndarray, point: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return point[order[child]], point[order[(base + (place - 1) // ARITY)[child]]]
 
 
-def cross_pairs(key: np.ndarray, point: np.ndarray, sig: np.ndarray, root: np.ndarray, seeks: np.ndarray):
-    """All alike pairs of a seeking and another member of each key (rows sorted by key) with different roots, some at
-    a time."""
+def cross_links(key, point, sig, root, seeks, hashes):
+    """For each seeking member of a key and each other root among its members, one that is a near copy, if any is (rows
+    sorted by key)."""
     first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
     for s, n in zip(first, np.diff(np.r_[first, len(key)])):
         others = s + np.flatnonzero(~seeks[s : s + n])
         for i in s + np.flatnonzero(seeks[s : s + n]):
             j = others[root[others] != root[i]]
             j = j[_alike(sig, np.full(len(j), i), j)]
-            if len(j):
-                yield np.full(len(j), point[i]), point[j]
+            if not len(j):
+                continue
+            own, linked = np.frombuffer(hashes[i], np.uint64), set()
+            for k in j.tolist():
+                if root[k] not in linked and near_copies(own, np.frombuffer(hashes[k], np.uint64)):
+                    linked.add(root[k])
+                    yield point[i], point[k]
 
 
 #: Rows of one Arrow batch where every row carries shingle sets.
@@ -293,30 +300,39 @@ def _by_one_each(shared: DataFrame, roots: DataFrame, seed: int) -> DataFrame:
     return kinds.join(mixed, "key").where("root <> main.root").select(F.col("one").alias("u"), F.col("main.one").alias("v"))
 
 
-def _left_over(shared: DataFrame, roots: DataFrame, sigs: DataFrame) -> DataFrame:
-    """``(u, v)``: all alike pairs of one key whose ends have different roots.
+def _left_over(shared: DataFrame, roots: DataFrame, sigs: DataFrame, sets: DataFrame) -> DataFrame:
+    """``(u, v)``: links between members of one key that have different roots.
 
-    Members outside a key's largest component look for partners among all its members.
+    Members outside a key's largest component look for partners among all its members; pairs are compared where they
+    meet, so that only links leave a task.
     """
 
     def run(batches):
-        read = lambda b: [b.column(i).to_numpy(zero_copy_only=False) for i in range(2)] + [_matrix(b.column(2)), *(b.column(i).to_numpy(zero_copy_only=False) for i in (3, 4))]
+        def read(b):
+            block, point, root, seeks = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3, 4))
+            hashes = np.empty(b.num_rows, dtype=object)
+            hashes[:] = b.column(5).to_pylist()
+            return [block, point, _matrix(b.column(2)), root, seeks, hashes]
+
         for cols in _whole_keys(batches, read):
-            for u, v in cross_pairs(*cols):
-                yield pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], names=["u", "v"])
-
-    labelled = _labelled(shared, roots)
-    kinds = labelled.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"))
-    kinds = kinds.groupBy("key").agg(F.max(F.struct("c", "root")).alias("main"), F.sum("c").alias("members"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
-    blocks = lambda n: F.ceil(n / F.lit(BLOCK_ROWS)).cast("int")
-    mixed = materialise(kinds.select("key", F.col("main.root").alias("main"), "members", blocks(F.col("members")).alias("mb"), blocks(F.col("members") - F.col("main.c")).alias("ob")))
-    # MinHashes go along only here, with members of keys that hold several components
-    rows = labelled.join(mixed, "key").join(sigs, "point")
+            found = list(cross_links(*cols))
+            u, v = zip(*found) if found else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
+
+    sizes = sets.select("point", F.octet_length("hashes").cast("long").alias("bytes"))
+    labelled = _labelled(shared, roots).join(sizes, "point")
+    kinds = labelled.groupBy("key", "root").agg(F.count(F.lit(1)).alias("c"), F.sum("bytes").alias("bytes"))
+    kinds = kinds.groupBy("key").agg(F.max(F.struct("c", "root", "bytes")).alias("main"), F.sum("c").alias("members"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    blocks = lambda n, size: F.greatest(F.lit(1), F.ceil(n / F.lit(BLOCK_ROWS)), F.ceil(size / F.lit(BLOCK_BYTES))).cast("int")
+    outside = blocks(F.col("members") - F.col("main.c"), F.col("bytes") - F.col("main.bytes"))
+    mixed = materialise(kinds.select("key", F.col("main.root").alias("main"), blocks(F.col("members"), F.col("bytes")).alias("mb"), outside.alias("ob")))
+    # MinHashes and sets go along only here, with members of keys that hold several components
+    rows = labelled.drop("bytes").join(mixed, "key").join(sigs, "point").join(sets, "point")
     of = lambda n: F.pmod(F.xxhash64("point", n), n)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     found = rows.withColumn("m", of("mb")).withColumn("o", every("ob")).withColumn("seeks", F.lit(False))
     seeks = rows.where("root <> main").withColumn("o", of("ob")).withColumn("m", every("mb")).withColumn("seeks", F.lit(True))
-    cols = [F.xxhash64("key", F.col("o").cast("long"), F.col("m").cast("long")).alias("block"), "point", "sig", "root", "seeks"]
+    cols = [F.xxhash64("key", F.col("o").cast("long"), F.col("m").cast("long")).alias("block"), "point", "sig", "root", "seeks", "hashes"]
     both = found.select(*cols).unionByName(seeks.select(*cols))
     return both.repartition("block").sortWithinPartitions("block").mapInArrow(run, "u long, v long")
 
@@ -338,9 +354,9 @@ def _roots(docs: DataFrame, rows: DataFrame) -> DataFrame:
     for k in range(TRIES + 1):
         # what the trees have left apart: one of each component for all keys, then all members of keys still mixed
         roots = materialise(roots)
-        left = materialise(_alike_pairs(_by_one_each(shared, roots, k), sigs) if k < TRIES else _left_over(shared, roots, sigs))
+        left = materialise(_alike_pairs(_by_one_each(shared, roots, k), sigs)) if k < TRIES else None
         with _small_batches(docs.sparkSession):
-            more = materialise(_links(left, sets))
+            more = materialise(_links(left, sets) if k < TRIES else _left_over(shared, roots, sigs, sets).distinct())
         if not more.isEmpty():
             links = links.unionByName(more)
             roots = connected_components(links)
