@@ -12,6 +12,9 @@ from ..errors import MLError, NotFitted
 from ..operators.linalg import top_eigen
 from ..operators.stats import FLOOR, col, moments
 
+#: Variances (of standardised columns) that differ by less can't be told apart.
+EQUAL = 1e-9
+
 
 @dataclass
 class PCA:
@@ -33,6 +36,30 @@ class PCA:
         self.components, self.explained_variance = vectors, values
         return self
 
+    def along(self, directions: list[list[float]]) -> PCA:
+        """Components in the order and with the signs of the directions they lie along, whatever their variances.
+
+        Where variances are equal, any turn of the components has them too, and the directions themselves are taken.
+        """
+        if self.components is None:
+            raise NotFitted("PCA not fitted. Call fit() first.")
+        if len(directions) != len(self.components):
+            raise MLError(f"Expected {len(self.components)} directions, not {len(directions)}")
+        left, components, variances = list(range(len(self.components))), [], []
+        for d in np.asarray(directions, dtype=float):
+            weights = self.components @ d
+            lead = max(left, key=lambda k: abs(weights[k]))
+            same = [k for k in range(len(weights)) if abs(self.explained_variance[k] - self.explained_variance[lead]) <= EQUAL]
+            v = weights[same] @ self.components[same]
+            for c in components:
+                v = v - (v @ c) * c
+            norm = np.linalg.norm(v)
+            components.append(v / norm if norm > EQUAL else self.components[lead])
+            variances.append(self.explained_variance[lead])
+            left.remove(lead)
+        self.components, self.explained_variance = np.array(components), np.array(variances)
+        return self
+
     def explained_variance_ratio(self) -> np.ndarray:
         """Shares of the kept components' variance; they sum to 1."""
         return self.explained_variance / self.explained_variance.sum()

@@ -154,6 +154,21 @@ def test_pca(spark):
         pca.PCA(1).fit(df.limit(1), ["a", "b"])
 
 
+@pytest.mark.parametrize("prices", [[1.0, 2.0, 3.0, 5.0], [5.0, 3.0, 2.0, 1.0], [1.0, -1.0, -1.0, 1.0]])
+def test_two_column_queries_put_the_sum_first(spark, tmp_path, prices):
+    """Correlations above, under and at zero: the component that is the sum is the first one, as in the SQL."""
+    from granary import queries
+
+    x = [1.0, 1.0, -1.0, -1.0] if prices[0] == prices[3] else [1.0, 2.0, 3.5, 4.0]
+    rows = [(i, 1, a, b) for i, (a, b) in enumerate(zip(x, prices))]
+    spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_quantity double, l_extendedprice double").write.parquet(str(tmp_path / "lineitem.parquet"))
+    r = np.corrcoef(x, prices)[0, 1]
+    h = 0.5**0.5
+    got = {(c, f): (v, e) for c, f, v, e, _ in queries.QUERIES["pca01_two_columns"](spark, str(tmp_path)).collect()}
+    want = {(1, "l_quantity"): (h, 1 + r), (1, "l_extendedprice"): (h, 1 + r), (2, "l_quantity"): (h, 1 - r), (2, "l_extendedprice"): (-h, 1 - r)}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-6) for k in want)
+
+
 def test_network(spark):
     xor = spark.createDataFrame([(0, [0.0, 0.0], [0.0]), (1, [0.0, 1.0], [1.0]), (2, [1.0, 0.0], [1.0]), (3, [1.0, 1.0], [0.0])], "row_id int, features array<double>, y array<double>")
     net = network.Network([2, 4, 1], ["tanh", "sigmoid"], 0.5, seed=3)
