@@ -70,3 +70,30 @@ def test_forest_of_any_edges(spark):
     got = sorted(map(tuple, L.spanning_forest(spark.createDataFrame(edges + edges[:20], "u long, v long, height double")).collect()))
     assert got == kruskal({(h, min(u, v), max(u, v)) for u, v, h in edges if u != v})[0]
     assert L.spanning_forest(spark.createDataFrame([], "u long, v long, height double")).count() == 0
+
+
+def test_rounds_and_one_task_agree(spark, monkeypatch):
+    """Ties in plenty, with tasks that reduce what they hold again and again: rounds of jobs, one task, and Kruskal."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 12, (150, 2)) / 4
+    edges = [e for e in distances(x) if e[0] <= 0.6]
+    want, find = kruskal(edges)
+    for few, held in ((0, 40), (10, 300), (L.FEW, L.HELD)):
+        monkeypatch.setattr(L, "FEW", few)
+        monkeypatch.setattr(L, "HELD", held)
+        model = L.SingleLinkage(0.6).fit(table(spark, x))
+        assert sorted(h for _, _, h in model.linkage().collect()) == [h for _, _, h in sorted(want, key=lambda e: e[2])]
+        assert {r.row_id: r.cluster for r in model.cut_tree(0.6).collect()} == {i: find(i) for i in range(len(x))}
+
+
+def test_few_edges_take_few_jobs(spark):
+    """A fit and its cuts over few points: rounds of jobs took over a hundred."""
+    rng = np.random.default_rng(6)
+    points = table(spark, rng.normal(0, 1, (300, 3)))
+    spark.sparkContext.setJobGroup("linkage", "linkage")
+    try:
+        model = L.SingleLinkage(0.8).fit(points)
+        assert all(model.cut_tree(h).count() == 300 for h in (0.3, 0.5, 0.8))
+        assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("linkage")) < 80
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
