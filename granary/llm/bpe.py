@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Most distinct words that a task's table holds; it is emptied beyond that, which costs encoding anew and loses nothing.
 TABLE_WORDS = 100_000
+#: The same where a task has its worker's memory to itself and not, as in the pipeline, what earlier stages left.
+ALONE_WORDS = 600_000
 #: Words of more bytes are encoded where they stand and not kept.
 LONG_WORD = 200
 
@@ -89,11 +91,11 @@ class WordTable:
                 yield b"".join([e[0] for e in entries]), b" ".join([e[1] for e in entries if e[0]])
 
 
-def _over(docs: DataFrame, path: str | None, schema: str, row) -> DataFrame:
+def _over(docs: DataFrame, path: str | None, schema: str, row, words: int = TABLE_WORDS) -> DataFrame:
     path = path or default_path()
 
     def run(batches):
-        table = WordTable(path)
+        table = WordTable(path, words)
         names = [c.split()[0] for c in schema.split(", ")]
         for b in batches:
             parts = (b.column(1).slice(at, 500).to_pylist() for at in range(0, b.num_rows, 500))
@@ -133,8 +135,9 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
     return encoded.select(F.col("doc_id").cast("long"), "ids").mapInArrow(run, "doc_id long, text string")
 
 
-def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each whole text, encoded and decoded in one pass.
+def round_trip(docs: DataFrame, path: str | None = None, words: int = TABLE_WORDS) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of each whole text, encoded and decoded in one pass
+    with a table of at most so many words.
 
     Nulls, repeats, empty tables and other columns as in ``encode``.
     """
@@ -142,4 +145,4 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     def row(ids, decoded):
         return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()
 
-    return _over(docs, path, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", row)
+    return _over(docs, path, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", row, words)

@@ -51,3 +51,26 @@ def test_queries_and_round_trip(spark):
 def test_empty_table(spark):
     docs = documents(spark, [])
     assert B.round_trip(docs).count() == B.encode(docs).count() == B.decode(B.encode(docs)).count() == 0
+
+
+def test_query_encodes_a_word_once_among_many(spark, tmp_path, monkeypatch):
+    """The query's table holds what a task of real size meets; the rows are those of the smaller table."""
+    import types
+
+    from granary.llm import queries
+
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame([(i, t) for i, t in enumerate(TEXTS)], "doc_id long, text string").write.parquet(path)
+    want = sorted(map(tuple, B.round_trip(spark.read.parquet(path)).collect()))
+    asked = []
+    counted = types.SimpleNamespace(round_trip=lambda docs, **k: asked.append(k) or B.round_trip(docs, **k), ALONE_WORDS=B.ALONE_WORDS)
+    monkeypatch.setattr(queries, "bpe", counted)
+    assert sorted(map(tuple, queries.op5_bpe_round_trip(spark, str(tmp_path)).collect())) == want
+    table, encoded = B.WordTable(B.default_path(), asked[0]["words"]), []
+    entries = table._entries
+    table._entries = lambda words: encoded.extend(words) or entries(words)
+    words = [b"w%d" % i for i in range(150_000)]
+    for _ in range(2):
+        for at in range(0, len(words), 10_000):
+            table._learn(set(words[at : at + 10_000]))
+    assert len(encoded) == len(words)
