@@ -112,7 +112,7 @@ def _validated(df: DataFrame, names: list[str], target: str) -> Dataset:
         if p < 0:
             error = InconsistentRow(line, len(names), _fields(value) if p == -2 else int(value))
         else:
-            error = (InvalidValue if re.fullmatch(NUMBER, value or "") else ParseError)(line, names[order[p]], value or "")
+            error = (InvalidValue if re.match(rf"(?:{NUMBER})\Z", value or "") else ParseError)(line, names[order[p]], value or "")
         error.file = first["place"]["file"]
         raise error
     cols = [F.get("_cells", F.lit(i)).cast("double").alias(c) for i, c in enumerate(names)]
