@@ -328,12 +328,14 @@ def _left_over(shared: DataFrame, roots: DataFrame, sigs: DataFrame, sets: DataF
     mixed = materialise(kinds.select("key", F.col("main.root").alias("main"), blocks(F.col("members"), F.col("bytes")).alias("mb"), outside.alias("ob")))
     # MinHashes and sets go along only here, with members of keys that hold several components
     rows = labelled.drop("bytes").join(mixed, "key").join(sigs, "point").join(sets, "point")
+    # (o, m, seeks): the blocks that a member goes to, be it to be found or to seek; sets are joined once for both
     of = lambda n: F.pmod(F.xxhash64("point", n), n)
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    found = rows.withColumn("m", of("mb")).withColumn("o", every("ob")).withColumn("seeks", F.lit(False))
-    seeks = rows.where("root <> main").withColumn("o", of("ob")).withColumn("m", every("mb")).withColumn("seeks", F.lit(True))
-    cols = [F.xxhash64("key", F.col("o").cast("long"), F.col("m").cast("long")).alias("block"), "point", "sig", "root", "seeks", "hashes"]
-    both = found.select(*cols).unionByName(seeks.select(*cols))
+    place = lambda o, m, seeks: F.struct(o.cast("long").alias("o"), m.cast("long").alias("m"), F.lit(seeks).alias("seeks"))
+    every = lambda n, at: F.transform(F.sequence(F.lit(0), F.col(n) - 1), at)
+    found = every("ob", lambda o: place(o, of("mb"), False))
+    seeks = every("mb", lambda m: place(of("ob"), m, True))
+    both = rows.withColumn("at", F.explode(F.when(F.col("root") != F.col("main"), F.concat(found, seeks)).otherwise(found)))
+    both = both.select(F.xxhash64("key", "at.o", "at.m").alias("block"), "point", "sig", "root", "at.seeks", "hashes")
     return both.repartition("block").sortWithinPartitions("block").mapInArrow(run, "u long, v long")
 
 
@@ -358,8 +360,8 @@ def _roots(docs: DataFrame, rows: DataFrame) -> DataFrame:
         with _small_batches(docs.sparkSession):
             more = materialise(_links(left, sets) if k < TRIES else _left_over(shared, roots, sigs, sets).distinct())
         if not more.isEmpty():
-            links = links.unionByName(more)
-            roots = connected_components(links)
+            # the components found so far stand for the links that they came from
+            roots = connected_components(roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more))
     return roots
 
 

@@ -1,4 +1,5 @@
-"""Connected components by local contraction, then alternating large-star and small-star steps (Kiveris et al., 2014)."""
+"""Connected components by local contraction, then alternating large-star and small-star steps (Kiveris et al., 2014)
+until what is left fits one chunk of contraction."""
 
 from __future__ import annotations
 
@@ -59,13 +60,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Minima are partial aggregates, and they are joined to the edges as written tables, so that adaptive execution can
     split a hub's edges over tasks (or broadcast the minima); the number of rounds grows with the logarithm of the
-    longest path that is left after contraction.  Every round is checkpointed.  Nodes without an edge are not returned.
+    longest path that is left after contraction.  Every round is checkpointed.  Once CHUNK edges at most are left, they are
+    contracted at once instead: a round is nineteen stages, whatever it holds.  Nodes without an edge are not returned.
     Loops, repeated edges and edges with a null end are ignored; no edges give no rows.
     """
     edges = edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     edges = materialise(contracted(edges).distinct())
     before = _signature(edges)
-    while before[0]:
+    while before[0] > CHUNK:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = materialise(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
         large = materialise(both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
@@ -77,6 +79,6 @@ def connected_components(edges: DataFrame) -> DataFrame:
         edges = materialise(small.where("u <> v").distinct())
         after = _signature(edges)
         if after == before:
-            break
+            return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
         before = after
-    return edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))
+    return contracted(edges.coalesce(1)).select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -68,6 +68,23 @@ def test_components_on_a_chain_a_star_and_loops(spark):
     assert found == {i: 100 for i in range(101, 161)} | {i: 5 for i in range(6, 60)}
 
 
+def test_few_edges_take_no_rounds_and_more_take_rounds_to_the_same_components(spark, monkeypatch):
+    from granary.operators import components
+
+    edges = [(i, i + 1) for i in range(100, 160)] + [(5, i) for i in range(6, 60)] + [(7, None), (300, 300)]
+    edges = spark.createDataFrame(edges, "u long, v long").repartition(4)
+    checkpoints, signatures = [], []
+    cut, sign = components.materialise, components._signature
+    monkeypatch.setattr(components, "materialise", lambda df: checkpoints.append(1) or cut(df))
+    monkeypatch.setattr(components, "_signature", lambda df: signatures.append(1) or sign(df))
+    expected = {i: 100 for i in range(101, 161)} | {i: 5 for i in range(6, 60)}
+    assert {r.node: r.root for r in connected_components(edges).collect()} == expected
+    assert len(checkpoints) == len(signatures) == 1
+    monkeypatch.setattr(components, "CHUNK", 10)
+    assert {r.node: r.root for r in connected_components(edges).collect()} == expected
+    assert len(checkpoints) > 2
+
+
 @pytest.fixture
 def near(spark):
     rng = random.Random(3)
