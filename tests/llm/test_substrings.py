@@ -87,3 +87,41 @@ def test_repeated_rows_and_ids(spark):
 
 def test_empty_table(spark):
     assert R.remove_repeats(documents(spark, [])).count() == 0
+
+
+def test_operator_gives_spans_and_what_is_left(spark):
+    rng = random.Random(5)
+    words = [f"ü{i}" for i in range(3000)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    passage, short = text(80), text(51)
+    assert len(passage.encode()) > R.LENGTH > len(short.encode()) + 4
+    ends = [(text(20) + c, c + text(20)) for c in "abcdef"]
+    texts = {i: a + (passage if i < 3 else short) + z for i, (a, z) in enumerate(ends)}
+    texts |= {10: passage * 2, 11: "é" * 300, 12: "x" * 401, 13: "y" * 700, 14: "y" * 700, 15: None, 16: "ab", 17: "a" + "é" * 200 + "ê" * 300, 18: "b" + "é" * 200 + "è" * 300}
+    rows = {r.doc_id: r for r in R.without_repeats(documents(spark, texts)).collect()}
+    want = slow(texts)
+    for i, r in rows.items():
+        raw, at, left = (texts[i] or "").encode(), 0, b""
+        assert bytes(r.text) == raw
+        for a, b in r.spans:
+            assert at <= a < b and (a > at or not at)  # ascending, never touching
+            left, at = left + raw[at:a], b
+        assert bytes(r.kept) == left + raw[at:]
+        assert (len(raw), len(raw) - len(r.kept), len(r.spans), hashlib.sha256(r.kept).hexdigest()) == want[i]
+    assert [tuple(s) for s in rows[13].spans] == [(0, 700)] and rows[15].spans == []
+    out = {r.doc_id: r.text for r in R.digest(R.without_repeats(documents(spark, texts))).collect()}
+    for i, (a, z) in enumerate(ends):  # a passage of under LENGTH bytes stays, by contract; of a longer one nothing does
+        assert out[i] == (a + z if i < 3 else a + short + z)
+    assert (out[13], out[15], out[16]) == ("", "", "ab")
+    for i in out:
+        assert out[i] == bytes(rows[i].kept).decode(errors="replace")
+
+
+def test_query_returns_what_is_left(spark, tmp_path):
+    from granary.llm.queries import QUERIES
+
+    passage = "".join(chr(97 + i * i % 23) + str(i) for i in range(200))
+    documents(spark, {1: "<" + passage + ">", 2: "[" + passage + "]", 3: "alone"}).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = QUERIES["op2_suffix_array_dedup"](spark, str(tmp_path))
+    assert rows.columns[:5] == ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+    assert {r.doc_id: r.text for r in rows.collect()} == {1: "<>", 2: "[]", 3: "alone"}
